@@ -24,11 +24,13 @@ QGRAM = 4
 
 
 # ------------------------------------------------------------------ G1-G5
-def response_lines(df: DataFrame, text: str = "pred", keys: Sequence[str] = ("uid",)) -> DataFrame:
-    """G1: (keys, pos, line): stripped non-empty lines, ``pos`` 0-based."""
-    ex = df.select(*keys, F.posexplode(split_lines(F.col(text))).alias("pos", "raw"))
-    return ex.select(*keys, F.col("pos").cast("long").alias("pos"), strip(F.col("raw")).alias("line")) \
-        .where(F.length("line") > 0)
+def response_lines(df: DataFrame, text: str = "pred", keys: Sequence[str] = ("uid",),
+                   carry: Sequence[str] = ()) -> DataFrame:
+    """G1: (keys, pos, line): stripped non-empty lines, ``pos`` 0-based.
+    ``carry`` columns ride along (e.g. a one-row vocabulary array)."""
+    ex = df.select(*keys, *carry, F.posexplode(split_lines(F.col(text))).alias("pos", "raw"))
+    return ex.select(*keys, F.col("pos").cast("long").alias("pos"), strip(F.col("raw")).alias("line"),
+                     *carry).where(F.length("line") > 0)
 
 
 def clean_line(c: Column) -> Column:
@@ -68,7 +70,8 @@ def classify_lines(gens: DataFrame, vocab, aliases: Mapping[str, str] = LABEL_AL
                    keys: Sequence[str] = ("uid",)) -> DataFrame:
     """G1-G7 on every line: (keys, pos, line, label, value, status) with
     status ok / no_label / no_separator / unknown_label / refusal."""
-    lines = response_lines(gens, text, keys)
+    carry = [vocab] if isinstance(vocab, str) else []
+    lines = response_lines(gens, text, keys, carry)
     c = clean_line(F.col("line"))
     lines = lines.withColumn("_c", c)
     has_sep, raw_label, value = split_label_entity(F.col("_c"))
@@ -257,3 +260,29 @@ __all__ = ["response_lines", "clean_line", "is_label_line", "split_label_entity"
            "empty_papers", "annotation_rows", "group_annotations", "relevant_papers",
            "multi_label_entities", "match_contained", "extraction_table", "find_mentions",
            "str_array"]
+
+
+def extraction_scores(gold: DataFrame, parsed: DataFrame, vocab_row: DataFrame,
+                      keys: Sequence[str] = ("uid",)) -> DataFrame:
+    """Per-label precision / recall / F1 of free-text extraction.
+
+    precision = predicted values containing a gold entity / predicted values;
+    recall = gold entities found in a predicted value / gold entities (gold
+    restricted to the vocabulary). Only per-label aggregates leave the join."""
+    matches = match_contained(gold, parsed, keys)
+    g = (gold.crossJoin(vocab_row).where(F.array_contains(F.col("vocab"), F.col("label")))
+         .groupBy("label").agg(F.count(F.lit(1)).alias("n_gold")))
+    p = parsed.groupBy("label").agg(F.count(F.lit(1)).alias("n_pred"))
+    m = matches.groupBy("label").agg(
+        F.count_distinct(*keys, "entity").alias("matched_gold"),
+        F.count_distinct(*keys, "value").alias("matched_pred"))
+    labs = g.select("label").union(p.select("label")).distinct()
+    j = labs.join(g, "label", "left").join(p, "label", "left").join(m, "label", "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    prec = F.coalesce(F.try_divide(z("matched_pred").cast("double"), F.col("n_pred")), F.lit(0.0))
+    rec = F.coalesce(F.try_divide(z("matched_gold").cast("double"), F.col("n_gold")), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0))
+    return j.select("label", z("n_gold").alias("n_gold"), z("n_pred").alias("n_pred"),
+                    z("matched_gold").alias("matched_gold"), z("matched_pred").alias("matched_pred"),
+                    F.round(prec, 6).alias("precision"), F.round(rec, 6).alias("recall"),
+                    F.round(f1, 6).alias("f1"))

@@ -1 +1,180 @@
-"""Registered queries."""
+"""Registered extraction queries (G1-G9, P11, A1-A5, K2 data) over F5."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.fixed import LABEL_ALIASES, REFUSAL_PREFIXES
+from ..operators import extraction as X
+from . import fixtures as fx
+from .oracle import LINES, WS, str_list, strip_sql
+from .registry import register
+
+ALIASES = {**LABEL_ALIASES, **fx.FIXTURE_ALIASES}
+LB = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
+
+
+def _inputs(spark, sf):
+    gens = fx.generations(spark, sf)
+    vocab = fx.vocab_array(fx.paper_vocab(spark, sf))
+    return gens, vocab
+
+
+def _classified(spark, sf, relevant_only=True):
+    gens, vocab = _inputs(spark, sf)
+    if relevant_only:
+        gens = gens.join(X.relevant_papers(gens), "uid", "left_semi")
+    return X.classify_lines(gens.crossJoin(vocab), "vocab", ALIASES, REFUSAL_PREFIXES)
+
+
+def _parsed(spark, sf):
+    ok = _classified(spark, sf).where(F.col("status") == "ok")
+    return ok.groupBy("uid", "label", "value").agg(F.min("pos").alias("first_pos"))
+
+
+def _gold(spark, sf, relevant_only=True):
+    gens, _ = _inputs(spark, sf)
+    gold = X.group_annotations(gens)
+    if relevant_only:
+        gold = gold.join(X.relevant_papers(gens), "uid", "left_semi")
+    return gold
+
+
+_alias_case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items())
+PARSE = f"""{LINES},
+rl AS (SELECT uid, unnest(string_split_regex(pred, '{LB}')) AS raw,
+              generate_subscripts(string_split_regex(pred, '{LB}'), 1) - 1 AS pos FROM gens),
+lines AS (SELECT uid, CAST(pos AS BIGINT) AS pos, {strip_sql("raw")} AS line FROM rl
+          WHERE length({strip_sql("raw")}) > 0),
+cl AS (SELECT *, replace(regexp_replace(regexp_replace(line, '^[\\p{{Nd}}*]+', ''),
+                 '^{WS[:-1]}.-]*', ''), '"', '') AS c FROM lines),
+sp AS (SELECT cl.*, v.vocab,
+         len(list_filter(v.vocab, lambda l: starts_with(lower(c), l))) > 0 AS is_label,
+         strpos(c, ': ') > 0 AS has_sep,
+         lower({strip_sql("split_part(c, ':', 1)")}) AS lab0,
+         {strip_sql("substr(c, strpos(c, ':') + 1)")} AS val
+       FROM cl CROSS JOIN pvocab v),
+can AS (SELECT sp.*, CASE WHEN ends_with(lab0, 's') AND lab0 <> 'rbs'
+                          THEN substr(lab0, 1, length(lab0) - 1) ELSE lab0 END AS lab1 FROM sp),
+cls AS (SELECT uid, pos, line,
+          CASE WHEN has_sep THEN lab END AS label, CASE WHEN has_sep THEN val END AS value,
+          CASE WHEN NOT is_label THEN 'no_label' WHEN NOT has_sep THEN 'no_separator'
+               WHEN NOT list_contains(vocab, lab) THEN 'unknown_label'
+               WHEN len(list_filter({str_list(REFUSAL_PREFIXES)}, lambda r: starts_with(lower(val), r))) > 0 THEN 'refusal'
+               ELSE 'ok' END AS status
+        FROM (SELECT can.*, CASE lab1 {_alias_case} ELSE lab1 END AS lab FROM can) z),
+gold AS (SELECT DISTINCT uid, label, entity FROM anno_rows),
+rcls AS (SELECT * FROM cls WHERE uid IN (SELECT uid FROM relevant)),
+parsed AS (SELECT uid, label, value, min(pos) AS first_pos FROM rcls WHERE status = 'ok' GROUP BY ALL),
+rgold AS (SELECT * FROM gold WHERE uid IN (SELECT uid FROM relevant)),
+matches AS (SELECT g.uid, g.label, g.entity, p.value FROM rgold g JOIN parsed p
+            ON g.uid = p.uid AND g.label = p.label AND contains(p.value, g.entity))"""
+
+
+@register("response_lines", f"WITH {PARSE}\nSELECT uid, pos, line FROM lines")
+def response_lines(spark, sf):
+    """G1: stripped non-empty response lines with their position."""
+    gens, _ = _inputs(spark, sf)
+    return X.response_lines(gens)
+
+
+@register("parsed_extractions", f"WITH {PARSE}\nSELECT uid, label, value, first_pos FROM parsed")
+def parsed_extractions(spark, sf):
+    """(paper, label, value) extractions, first-seen position."""
+    return _parsed(spark, sf)
+
+
+@register("unparsed_lines", f"WITH {PARSE}\nSELECT uid, pos, line, status FROM rcls WHERE status <> 'ok'")
+def unparsed_lines(spark, sf):
+    """Lines that yield no extraction, with the reason."""
+    return X.unparsed_lines(_classified(spark, sf)).select("uid", "pos", "line", "status")
+
+
+@register("empty_papers", f"""WITH {PARSE}
+SELECT uid FROM relevant WHERE uid NOT IN (SELECT uid FROM parsed)""")
+def empty_papers(spark, sf):
+    """Relevant papers without any extraction."""
+    gens, _ = _inputs(spark, sf)
+    return X.empty_papers(X.relevant_papers(gens), _parsed(spark, sf))
+
+
+@register("relevant_papers", f"WITH {LINES}\nSELECT uid FROM relevant")
+def relevant_papers(spark, sf):
+    """Papers with a usable annotation other than 'not relevant'."""
+    gens, _ = _inputs(spark, sf)
+    return X.relevant_papers(gens)
+
+
+@register("grouped_annotations", f"WITH {LINES}\nSELECT DISTINCT uid, label, entity FROM anno_rows")
+def grouped_annotations(spark, sf):
+    """A1: distinct stripped entities per paper and label."""
+    gens, _ = _inputs(spark, sf)
+    return X.group_annotations(gens)
+
+
+@register("multi_label_entities", f"""WITH {LINES}
+SELECT uid, entity, CAST(count(DISTINCT label) AS BIGINT) AS n_labels,
+       string_agg(DISTINCT label, '|' ORDER BY label) AS labels
+FROM anno_rows GROUP BY uid, entity HAVING count(DISTINCT label) > 1""")
+def multi_label_entities(spark, sf):
+    """A2: entities carrying more than one label in a paper."""
+    gens, _ = _inputs(spark, sf)
+    return X.multi_label_entities(gens)
+
+
+@register("contained_matches", f"WITH {PARSE}\nSELECT uid, label, entity, value FROM matches")
+def contained_matches(spark, sf):
+    """A3: gold entities contained in predicted values of the same label."""
+    return X.match_contained(_gold(spark, sf), _parsed(spark, sf))
+
+
+@register("extraction_table", f"""WITH {PARSE},
+a1 AS (SELECT uid, label, '"' || label || '":[' || string_agg('"' || entity || '"', ',' ORDER BY entity) || ']' AS e
+       FROM rgold GROUP BY uid, label),
+a AS (SELECT uid, '{{' || string_agg(e, ',' ORDER BY label) || '}}' AS annotation FROM a1 GROUP BY uid),
+p1 AS (SELECT uid, label, '"' || label || '":[' || string_agg('"' || value || '"', ',' ORDER BY first_pos, value) || ']' AS e
+       FROM parsed GROUP BY uid, label),
+p AS (SELECT uid, '{{' || string_agg(e, ',' ORDER BY label) || '}}' AS prediction FROM p1 GROUP BY uid),
+t1 AS (SELECT p1.uid, p1.label, '"' || p1.label || '":[' ||
+              coalesce(string_agg('"' || m.entity || '"', ',' ORDER BY m.entity), '') || ']' AS e
+       FROM p1 LEFT JOIN matches m ON m.uid = p1.uid AND m.label = p1.label GROUP BY p1.uid, p1.label),
+t AS (SELECT uid, '{{' || string_agg(e, ',' ORDER BY label) || '}}' AS "true" FROM t1 GROUP BY uid)
+SELECT g.title, r.uid, coalesce(a.annotation, '{{}}') AS annotation, coalesce(p.prediction, '{{}}') AS prediction,
+       coalesce(t."true", '{{}}') AS "true"
+FROM relevant r JOIN (SELECT DISTINCT uid, title FROM gens) g USING (uid)
+LEFT JOIN a USING (uid) LEFT JOIN p USING (uid) LEFT JOIN t USING (uid)""")
+def extraction_table(spark, sf):
+    """A4/K2: per relevant paper, annotation / prediction / true maps as JSON."""
+    gens, _ = _inputs(spark, sf)
+    rel = X.relevant_papers(gens)
+    papers = gens.select("uid", "title").join(rel, "uid", "left_semi")
+    gold = _gold(spark, sf)
+    parsed = _parsed(spark, sf)
+    return X.extraction_table(papers, gold, parsed, X.match_contained(gold, parsed))
+
+
+@register("extraction_scores", f"""WITH {PARSE},
+gl AS (SELECT label, count(*) AS n_gold FROM rgold WHERE list_contains((SELECT vocab FROM pvocab), label) GROUP BY label),
+pl AS (SELECT label, count(*) AS n_pred FROM parsed GROUP BY label),
+mg AS (SELECT label, count(DISTINCT (uid, entity)) AS matched_gold, count(DISTINCT (uid, value)) AS matched_pred
+       FROM matches GROUP BY label),
+labs AS (SELECT label FROM gl UNION SELECT label FROM pl)
+SELECT l.label, CAST(coalesce(n_gold, 0) AS BIGINT) AS n_gold, CAST(coalesce(n_pred, 0) AS BIGINT) AS n_pred,
+  CAST(coalesce(matched_gold, 0) AS BIGINT) AS matched_gold, CAST(coalesce(matched_pred, 0) AS BIGINT) AS matched_pred,
+  round(coalesce(coalesce(matched_pred, 0)::DOUBLE / nullif(n_pred, 0), 0), 6) AS precision,
+  round(coalesce(coalesce(matched_gold, 0)::DOUBLE / nullif(n_gold, 0), 0), 6) AS recall,
+  round(coalesce(2.0 * coalesce(matched_pred, 0) / nullif(n_pred, 0) * coalesce(matched_gold, 0) / nullif(n_gold, 0)
+        / nullif(coalesce(matched_pred, 0)::DOUBLE / nullif(n_pred, 0) + coalesce(matched_gold, 0)::DOUBLE / nullif(n_gold, 0), 0), 0), 6) AS f1
+FROM labs l LEFT JOIN gl USING (label) LEFT JOIN pl USING (label) LEFT JOIN mg USING (label)""")
+def extraction_scores(spark, sf):
+    """Flagship: parse -> match -> per-label precision / recall / F1."""
+    return X.extraction_scores(_gold(spark, sf), _parsed(spark, sf), fx.vocab_array(fx.paper_vocab(spark, sf)))
+
+
+@register("mention_search", """SELECT DISTINCT d.doc_id, b.item_id
+FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
+def mention_search(spark, sf):
+    """A5: benchmark passages contained in documents (whole texts)."""
+    docs = fx.load(spark, sf, "documents").select("doc_id", "text")
+    items = fx.load(spark, sf, "benchmark").select("item_id", "text")
+    return X.find_mentions(docs, items)
