@@ -1 +1,181 @@
-"""Registered queries."""
+"""Registered source/sink round trips and the streaming score: K1-K9,
+S2-S8, ST1. Each writes to a fresh directory under the checkpoint dir."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.fixed import REPORT_ROWS_START
+from ..operators import metrics as M
+from ..operators import sampling as D
+from ..sources import readers as S
+from ..sources import sinks as K
+from ..session import scratch_path
+from ..streaming.scores import stream_scores as _stream_scores
+from . import fixtures as fx
+from .oracle import LINES, PAIRS, SOURCE_PAIRS, metrics_sql
+from .q_curation import host_index as _host_index_rows
+from .q_extraction import extraction_table as _extraction_table
+from .registry import ORACLE, register
+
+
+def _m1_rows(spark, sf):
+    pairs = fx.model_pairs(spark, sf).where(F.col("model") == "m1")
+    return D.global_rank(pairs, ["id"], bucket=F.floor(F.col("id") / F.lit(4096)), name="num")
+
+
+@register("report_roundtrip3", f"""WITH {PAIRS}
+SELECT row_number() OVER (ORDER BY id) AS num, lower(pred) AS pred, lower("true") AS "true" FROM pairs WHERE model = 'm1'""")
+def report_roundtrip3(spark, sf):
+    """K4 + S5: three-column run report written as text and parsed back."""
+    rows = _m1_rows(spark, sf)
+    metrics = M.compute_metrics(rows)
+    path = scratch_path(spark, "report3")
+    lines = K.report_lines(spark, rows.select("num", "pred", "true"), metrics,
+                           {"n_shots": 0, "batch_size": 8, "data_name": "kbase", "num_classes": 4},
+                           task_prompt="(zero-shot)",
+                           originals=rows.select("num", F.concat(F.lit("user_"), F.col("id")).alias("entity"),
+                                                 "pred", "true"))
+    K.write_report(lines, path)
+    return S.read_report(spark, path, cols=3).select("num", "pred", "true")
+
+
+@register("report_roundtrip4", f"""WITH {SOURCE_PAIRS}
+SELECT num, src, pred, "true" FROM spairs WHERE model = 'm0'""")
+def report_roundtrip4(spark, sf):
+    """K4 + S6: four-column report whose source holds ', ', parsed back."""
+    rows = fx.source_pairs(spark, sf).where(F.col("model") == "m0")
+    metrics = M.compute_metrics(rows)
+    path = scratch_path(spark, "report4")
+    lines = K.report_lines(spark, rows.select("num", "src", "pred", "true"), metrics,
+                           {"n_shots": 0, "batch_size": 8, "data_name": "string"}, with_src=True)
+    K.write_report(lines, path)
+    return S.read_report(spark, path, cols=4).select("num", "src", "pred", "true")
+
+
+LOOSE = f"""{SOURCE_PAIRS},
+ll AS (SELECT CASE WHEN (num - 1) % 11 = 0 THEN split_part(src, ', ', 1) || ',' || split_part(src, ', ', 2) || ',' || pred || ',' || "true"
+                   WHEN (num - 1) % 7 = 0 THEN split_part(src, ', ', 1) || ',,' || pred || ',' || "true"
+                   ELSE split_part(src, ', ', 1) || ',' || pred || ',' || "true" END AS line
+       FROM spairs WHERE model = 'm1'),
+lp AS (SELECT line, string_split(replace(line, ',,', ','), ',') AS parts FROM ll)"""
+
+
+def _loose_lines(spark, sf):
+    r = fx.source_pairs(spark, sf).where(F.col("model") == "m1")
+    name = F.substring_index("src", ", ", 1)
+    brand = F.substring_index("src", ", ", -1)
+    k = F.col("num") - 1
+    line = (F.when(k % 11 == 0, F.concat_ws(",", name, brand, "pred", "true"))
+            .when(k % 7 == 0, F.concat(name, F.lit(",,"), F.concat_ws(",", "pred", "true")))
+            .otherwise(F.concat_ws(",", name, "pred", "true")))
+    head = spark.createDataFrame([(0, "Src, Pred, True:"), (1, REPORT_ROWS_START)], "o long, value string")
+    body = r.select((F.col("num") + 1).alias("o"), line.alias("value"))
+    return head.unionByName(body)
+
+
+@register("report_loose", f"""WITH {LOOSE}
+SELECT line, len(parts) = 3 AS ok,
+       CASE WHEN len(parts) = 3 THEN trim(parts[1]) END AS src,
+       CASE WHEN len(parts) = 3 THEN trim(parts[2]) END AS pred,
+       CASE WHEN len(parts) = 3 THEN trim(parts[3]) END AS "true" FROM lp""")
+def report_loose(spark, sf):
+    """Loose comma report with ',,' noise and wrong field counts kept
+    as quarantined rows."""
+    path = scratch_path(spark, "loose")
+    _loose_lines(spark, sf).orderBy("o").select("value").write.mode("overwrite").text(path)
+    return S.read_report_loose(spark, path, 3).select("line", "ok", "src", "pred", "true")
+
+
+@register("generations_roundtrip", f"""WITH {LINES}
+SELECT g.uid, CAST(count(*) AS BIGINT) AS n_annotations, md5(min(g.pred)) AS pred_md5
+FROM gens g JOIN glines l ON l.uid = g.uid GROUP BY g.uid""")
+def generations_roundtrip(spark, sf):
+    """K1 + S4: generations dumped as JSON in two files (by order parity),
+    read back as one union."""
+    g = fx.generations(spark, sf).withColumnRenamed("uid", "doi").withColumn("text", F.lit(None).cast("string"))
+    key = F.substring_index("doi", "-", -1).cast("long") % 2
+    p0, p1 = scratch_path(spark, "gen0"), scratch_path(spark, "gen1")
+    K.write_generations(g.where(key == 0), p0)
+    K.write_generations(g.where(key == 1), p1)
+    back = S.read_generations(spark, p0, p1)
+    return back.select(F.col("doi").alias("uid"), F.size("annotations").cast("long").alias("n_annotations"),
+                       F.md5("pred").alias("pred_md5"))
+
+
+_sc, _ss = metrics_sql("p1")
+
+
+@register("stream_scores", f"""WITH {PAIRS},
+p1 AS (SELECT * FROM pairs WHERE model = 'm1'),
+{_sc}
+{_ss}""")
+def stream_scores(spark, sf):
+    """ST1: running confusion over a file stream of pairs (complete mode,
+    foreachBatch snapshots); final scores equal the batch scores."""
+    pairs = fx.model_pairs(spark, sf).where(F.col("model") == "m1").select("id", "true", "pred")
+    src = scratch_path(spark, "stream-src")
+    pairs.repartition(4, "id").write.mode("overwrite").parquet(src)
+    return _stream_scores(spark, src, "id long, true string, pred string", scratch_path(spark, "stream-snap"),
+                          scratch_path(spark, "stream-ckpt"))
+
+
+_ec, _ = metrics_sql("e", ["epoch"])
+
+
+@register("metric_log", f"""WITH {PAIRS},
+e AS (SELECT *, id % 5 AS epoch FROM pairs WHERE model = 'm1'),
+{_ec}
+SELECT CAST(epoch AS BIGINT) AS epoch, CAST((epoch + 1) * 100 AS BIGINT) AS step,
+  round(coalesce(2.0 * sum(tp) / nullif(sum(n_pred) + sum(support), 0), 0), 6) AS micro_f1,
+  round(avg(f1), 6) AS macro_f1
+FROM cls GROUP BY epoch""")
+def metric_log(spark, sf):
+    """K8: per-epoch validation scores appended to a log table, read back."""
+    pairs = fx.model_pairs(spark, sf).where(F.col("model") == "m1").withColumn("epoch", F.col("id") % 5)
+    m = M.compute_metrics(pairs, keys=["epoch"])
+    rows = m.select(F.col("epoch").cast("long"), ((F.col("epoch") + 1) * 100).cast("long").alias("step"),
+                    F.col("micro_f").alias("micro_f1"), F.col("macro_f").alias("macro_f1"))
+    path = scratch_path(spark, "metric-log")
+    K.append_metric_log(rows.where(F.col("epoch") < 2), path)
+    K.append_metric_log(rows.where(F.col("epoch") >= 2), path)
+    return spark.read.parquet(path)
+
+
+@register("run_layout", f"""WITH {PAIRS}
+SELECT model, model || '-chat' AS variant, 'kbase' AS dataset, 'entity_type' AS task, CAST(count(*) AS BIGINT) AS n
+FROM pairs GROUP BY model""")
+def run_layout(spark, sf):
+    """K9: results laid out by model / variant / dataset / task, read back."""
+    pairs = fx.model_pairs(spark, sf)
+    tagged = K.with_run_columns(pairs, F.col("model"), F.concat(F.lit("org/"), F.col("model"), F.lit("-chat")),
+                                "kbase", "entity_type", "2024-01-01 00:00:00")
+    path = scratch_path(spark, "layout")
+    K.write_run_layout(tagged, path)
+    back = spark.read.parquet(path)
+    return back.groupBy("model", "variant", "dataset", "task").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("extraction_csv", ORACLE.get("extraction_table"))
+def extraction_csv(spark, sf):
+    """K2: extraction table written as CSV and read back."""
+    path = scratch_path(spark, "extraction-csv")
+    K.write_extraction_csv(_extraction_table(spark, sf), path)
+    back = (spark.read.schema("Title string, UID string, Annotation string, `Model Prediction` string, True string")
+            .option("header", True).option("escape", '"').option("multiLine", True).csv(path))
+    return back.select(F.col("Title").alias("title"), F.col("UID").alias("uid"), F.col("Annotation").alias("annotation"),
+                       F.col("Model Prediction").alias("prediction"), F.col("True").alias("true"))
+
+
+@register("host_index_json", f"SELECT species, type, name, title, uid FROM ({ORACLE['host_index']}) z")
+def host_index_json(spark, sf):
+    """K3: nested host index written as JSON and flattened back."""
+    from ..operators.curation import host_index
+    rows = _host_index_rows(spark, sf)
+    path = scratch_path(spark, "host-index")
+    K.write_host_index(host_index(rows), path)
+    back = spark.read.schema(
+        "species string, part long, tools array<struct<type:string,name:string,references:array<string>>>").json(path)
+    t = back.select("species", F.explode("tools").alias("t"))
+    return t.select("species", F.col("t.type").alias("type"), F.col("t.name").alias("name"),
+                    F.element_at("t.references", 1).alias("title"), F.element_at("t.references", 2).alias("uid"))
