@@ -85,3 +85,25 @@ def initial_upper(c) -> Column:
     """First character upper case, the rest lower case."""
     col = _c(c)
     return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substring(col, 2, 1 << 30)))
+
+
+def literal_table(spark, rows, ddl: str):
+    """A small fixed table built JVM-side (inline of struct literals over a
+    one-row range), so scanning it starts no Python worker."""
+    from pyspark.sql import types as T
+    schema = T._parse_datatype_string(ddl)
+    fields = schema.fields
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields)]) for r in rows]
+    if not structs:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it in ``body(v)`` as a lambda variable.
+
+    Filter pushdown and project collapsing inline derived columns into their
+    consumers; for chains of regex steps that multiplies the work per row.
+    A lambda variable is evaluated once however often ``body`` refers to it,
+    so the expression tree stays linear after inlining."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import HOST_LABEL, NONE_LABEL, NOT_RELEVANT, SPECIES_SYNONYMS
-from ..functions.text import rstrip_chars, strip
+from ..functions.text import literal_table, rstrip_chars, strip
 from . import metrics as M
 
 ENTITY_MAP = "map<string,array<string>>"
@@ -68,7 +68,7 @@ def synonym_table(spark: SparkSession, entries=SPECIES_SYNONYMS) -> DataFrame:
     for prio, (canonical, variants, sentences) in enumerate(entries):
         rows += [("ci", v.lower(), canonical, prio) for v in variants]
         rows += [("exact", s, canonical, prio) for s in sentences]
-    return spark.createDataFrame(rows, "kind string, variant string, canonical string, prio int")
+    return literal_table(spark, rows, "kind string, variant string, canonical string, prio int")
 
 
 def apply_synonyms(items: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def host_index(rows: DataFrame, max_tools: int = 10000) -> DataFrame:
     tagged = rows.join(counts, "species").withColumn(
         "part", F.pmod(F.xxhash64("uid", "type", "name"), parts))
     tool = F.struct(F.col("type"), F.col("name"), F.array(F.col("title"), F.col("uid")).alias("references"))
-    return tagged.groupBy("species", "part").agg(F.array_sort(F.collect_list(tool)).alias("tools"))
+    return tagged.groupBy("species", "part").agg(F.sort_array(F.collect_list(tool)).alias("tools"))
 
 
 def curated_scores(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

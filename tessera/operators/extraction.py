@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.fixed import LABEL_ALIASES, NOT_RELEVANT, PLURAL_EXEMPT, REFUSAL_PREFIXES
-from ..functions.text import WS_CLASS, map_values, split_lines, starts_with_any, str_array, strip
+from ..functions.text import WS_CLASS, let, map_values, split_lines, starts_with_any, str_array, strip
 from .responses import vocab_column
 
 QGRAM = 4
@@ -65,6 +65,34 @@ def canonical_label(c: Column, aliases: Mapping[str, str] = LABEL_ALIASES,
     return map_values(singular, aliases)
 
 
+def classify_line(line: Column, vocab, aliases: Mapping[str, str] = LABEL_ALIASES,
+                  refusals: Sequence[str] = REFUSAL_PREFIXES) -> Column:
+    """G2-G7 for one line as a struct (label, value, status); every
+    intermediate value is bound once (see ``let``)."""
+    voc = vocab_column(vocab)
+
+    def after_clean(c: Column) -> Column:
+        def after_colon(colon: Column) -> Column:
+            sep = F.contains(c, F.lit(": "))
+
+            def after_value(value: Column) -> Column:
+                def after_label(label: Column) -> Column:
+                    is_label = F.exists(voc, lambda lab: F.startswith(F.lower(c), lab))
+                    status = (F.when(~is_label, F.lit("no_label"))
+                              .when(~sep, F.lit("no_separator"))
+                              .when(~F.array_contains(voc, label), F.lit("unknown_label"))
+                              .when(starts_with_any(F.lower(value), refusals), F.lit("refusal"))
+                              .otherwise(F.lit("ok")))
+                    return F.struct(F.when(sep, label).alias("label"), F.when(sep, value).alias("value"),
+                                    status.alias("status"))
+                raw = strip(c.substr(F.lit(1), colon - 1))
+                return let(canonical_label(raw, aliases), after_label)
+            return let(strip(c.substr(colon + 1, F.length(c) + 1)), after_value)
+        return let(F.instr(c, ":"), after_colon)
+
+    return let(clean_line(line), after_clean)
+
+
 def classify_lines(gens: DataFrame, vocab, aliases: Mapping[str, str] = LABEL_ALIASES,
                    refusals: Sequence[str] = REFUSAL_PREFIXES, text: str = "pred",
                    keys: Sequence[str] = ("uid",)) -> DataFrame:
@@ -72,19 +100,9 @@ def classify_lines(gens: DataFrame, vocab, aliases: Mapping[str, str] = LABEL_AL
     status ok / no_label / no_separator / unknown_label / refusal."""
     carry = [vocab] if isinstance(vocab, str) else []
     lines = response_lines(gens, text, keys, carry)
-    c = clean_line(F.col("line"))
-    lines = lines.withColumn("_c", c)
-    has_sep, raw_label, value = split_label_entity(F.col("_c"))
-    label = canonical_label(raw_label, aliases)
-    voc = vocab_column(vocab)
-    status = (F.when(~is_label_line(F.col("_c"), vocab), F.lit("no_label"))
-              .when(~has_sep, F.lit("no_separator"))
-              .when(~F.array_contains(voc, label), F.lit("unknown_label"))
-              .when(starts_with_any(F.lower(value), refusals), F.lit("refusal"))
-              .otherwise(F.lit("ok")))
-    return lines.select(*keys, "pos", "line",
-                        F.when(has_sep, label).alias("label"),
-                        F.when(has_sep, value).alias("value"), status.alias("status"))
+    x = lines.withColumn("_p", classify_line(F.col("line"), vocab, aliases, refusals))
+    return x.select(*keys, "pos", "line", F.col("_p.label").alias("label"), F.col("_p.value").alias("value"),
+                    F.col("_p.status").alias("status"))
 
 
 def parse_extractions(gens: DataFrame, vocab, aliases: Mapping[str, str] = LABEL_ALIASES,
@@ -150,20 +168,34 @@ def _qgrams(text: Column, q: int = QGRAM) -> Column:
                               lambda k: text.substr(i, k))))
 
 
-def match_contained(gold: DataFrame, parsed: DataFrame, keys: Sequence[str] = ("uid",)) -> DataFrame:
+HOT_PAIRS = 1_000_000
+
+
+def match_contained(gold: DataFrame, parsed: DataFrame, keys: Sequence[str] = ("uid",),
+                    hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """A3: (keys, label, entity, value) for every predicted value of the same
     paper and label that contains the gold entity (case-sensitive); a gold
     entity repeats once per containing value (quirk Q4).
 
-    Candidates meet on (keys, label, q-gram): the needle's first q-gram
-    (or all of it when shorter) against every q-gram of the value."""
-    g = gold.select(*keys, "label", "entity",
-                    F.substring(F.col("entity"), 1, QGRAM).alias("g"))
-    v = parsed.select(*keys, "label", "value").distinct()
-    vg = v.select(*keys, "label", "value", F.explode(F.array_distinct(_qgrams(F.col("value")))).alias("g"))
-    cand = g.join(vg, [*keys, "label", "g"], "inner")
-    return (cand.where(F.contains(F.col("value"), F.col("entity")))
-            .select(*keys, "label", "entity", "value"))
+    Ordinary (paper, label) groups join on that key and test ``contains``.
+    Groups whose gold x value product exceeds ``hot_pairs`` (found from
+    partial-aggregated counts) instead meet on (key, q-gram): the entity's
+    first q-gram against every q-gram of the value, so a hot group costs its
+    near-matches, not all of its pairs."""
+    k = [*keys, "label"]
+    g = gold.select(*k, "entity")
+    v = parsed.select(*k, "value").distinct()
+    stats = (g.groupBy(*k).agg(F.count(F.lit(1)).alias("_ng"))
+             .join(v.groupBy(*k).agg(F.count(F.lit(1)).alias("_nv")), k, "inner"))
+    hot = stats.where(F.col("_ng") * F.col("_nv") > F.lit(hot_pairs)).select(*k)
+    g_cold, v_cold = g.join(hot, k, "left_anti"), v.join(hot, k, "left_anti")
+    cold = g_cold.join(v_cold, k, "inner").where(F.contains(F.col("value"), F.col("entity")))
+    g_hot = g.join(hot, k, "left_semi").withColumn("g", F.substring(F.col("entity"), 1, QGRAM))
+    v_hot = v.join(hot, k, "left_semi")
+    vg = v_hot.select(*k, "value", F.explode(F.array_distinct(_qgrams(F.col("value")))).alias("g"))
+    hot_hits = (g_hot.join(vg, [*k, "g"], "inner")
+                .where(F.contains(F.col("value"), F.col("entity"))).select(*k, "entity", "value"))
+    return cold.select(*k, "entity", "value").unionByName(hot_hits)
 
 
 def _json_map(entries: Column) -> Column:
@@ -176,14 +208,14 @@ def extraction_table(papers: DataFrame, gold: DataFrame, parsed: DataFrame,
     """A4: one row per relevant paper: annotation / prediction / true maps as
     JSON text with sorted keys; prediction values keep first-seen order,
     matched lists are sorted and keep multiplicity."""
-    anno = (gold.groupBy(*keys, "label").agg(F.array_sort(F.collect_list("entity")).alias("v"))
+    anno = (gold.groupBy(*keys, "label").agg(F.sort_array(F.collect_list("entity")).alias("v"))
             .groupBy(*keys).agg(_json_map(F.collect_list(F.struct(F.col("label").alias("k"), "v"))).alias("annotation")))
     pred_lists = (parsed.groupBy(*keys, "label")
-                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("first_pos", "value"))),
+                  .agg(F.transform(F.sort_array(F.collect_list(F.struct("first_pos", "value"))),
                                    lambda s: s["value"]).alias("v")))
     pred = pred_lists.groupBy(*keys).agg(
         _json_map(F.collect_list(F.struct(F.col("label").alias("k"), "v"))).alias("prediction"))
-    m = matches.groupBy(*keys, "label").agg(F.array_sort(F.collect_list("entity")).alias("m"))
+    m = matches.groupBy(*keys, "label").agg(F.sort_array(F.collect_list("entity")).alias("m"))
     true_lists = pred_lists.select(*keys, "label").join(m, [*keys, "label"], "left") \
         .select(*keys, "label", F.coalesce(F.col("m"), F.array().cast("array<string>")).alias("v"))
     true = true_lists.groupBy(*keys).agg(

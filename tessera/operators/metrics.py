@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import str_array
+from ..functions.text import literal_table, str_array
 
 ROUND = 6
 
@@ -40,16 +40,14 @@ def class_counts(conf: DataFrame, keys: Sequence[str] = (),
     With ``labels`` the classes are exactly that list (absent ones score 0)
     and counts of other labels are ignored, as for a restricted label list.
     """
-    true_side = conf.select(*keys, F.col("true").alias("label"),
-                            F.col("n").alias("support"),
-                            F.when(F.col("true") == F.col("pred"), F.col("n"))
-                            .otherwise(F.lit(0)).cast("long").alias("tp"),
-                            F.lit(0).cast("long").alias("n_pred"))
-    pred_side = conf.select(*keys, F.col("pred").alias("label"),
-                            F.lit(0).cast("long").alias("support"),
-                            F.lit(0).cast("long").alias("tp"),
-                            F.col("n").alias("n_pred"))
-    both = true_side.unionByName(pred_side)
+    # one pass: every confusion cell credits its true label and its pred label
+    n = F.col("n").cast("long")
+    zero = F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("true").alias("label"), n.alias("support"),
+                 F.when(F.col("true") == F.col("pred"), n).otherwise(zero).alias("tp"), zero.alias("n_pred")),
+        F.struct(F.col("pred").alias("label"), zero.alias("support"), zero.alias("tp"), n.alias("n_pred")))
+    both = conf.select(*keys, F.inline(sides))
     if labels is not None:
         both = both.where(F.col("label").isin(list(labels)))
         if keys:
@@ -57,7 +55,7 @@ def class_counts(conf: DataFrame, keys: Sequence[str] = (),
         else:
             key_rows = conf.sparkSession.range(1).select()
         grid = key_rows.crossJoin(  # |keys| x |labels|: labels is a fixed small list
-            conf.sparkSession.createDataFrame([(x,) for x in labels], "label string"))
+            literal_table(conf.sparkSession, [(x,) for x in labels], "label string"))
         zeros = grid.select(*keys, "label", F.lit(0).cast("long").alias("support"),
                             F.lit(0).cast("long").alias("tp"),
                             F.lit(0).cast("long").alias("n_pred"))
@@ -184,7 +182,7 @@ def confusion(pairs: DataFrame, labels: Sequence[str], keys: Sequence[str] = (),
             .groupBy(*keys, F.col(true).alias("true"), F.col(pred).alias("pred"))
             .agg(F.count(F.lit(1)).alias("n")))
     spark = pairs.sparkSession
-    lab = spark.createDataFrame([(x, i) for i, x in enumerate(labels)], "label string, idx int")
+    lab = literal_table(spark, [(x, i) for i, x in enumerate(labels)], "label string, idx int")
     grid = lab.select(F.col("label").alias("true"), F.col("idx").alias("true_idx")).crossJoin(
         lab.select(F.col("label").alias("pred"), F.col("idx").alias("pred_idx")))
     if keys:

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import literal_table, strip
 
 FAMILIES = ["llama2", "llama3", "mistral", "solar", "falcon", "mpt"]
 PLACEHOLDER = "\\{([a-z0-9_]+)\\}"
@@ -95,7 +95,7 @@ def template(family: str, dataset: str, slot: str) -> str:
 
 def template_catalogue(spark: SparkSession) -> DataFrame:
     """P4 dimension: (family, dataset, slot, template) - a fixed, small table."""
-    return spark.createDataFrame(catalogue_rows(), "family string, dataset string, slot string, template string")
+    return literal_table(spark, catalogue_rows(), "family string, dataset string, slot string, template string")
 
 
 def fill(tmpl: Column, values: Mapping[str, Column]) -> Column:
@@ -138,7 +138,7 @@ def compose_text(df: DataFrame, title: str = "title", full_text: str = "full_tex
 def choices_string(vocab: DataFrame, n: int | None = None) -> DataFrame:
     """One row with '"a", "b", ...' in vocabulary order (first ``n``)."""
     v = vocab if n is None else vocab.where(F.col("id") < n)
-    return v.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "label"))),
+    return v.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "label"))),
                                           lambda s: F.concat(F.lit('"'), s["label"], F.lit('"'))), ", ")
                  .alias("choices"))
 

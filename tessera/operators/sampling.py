@@ -85,7 +85,7 @@ def shot_prefix(shots: DataFrame, text: Column, seed: int = DEFAULT_SEED, key: s
     order = F.md5(F.concat(F.lit(f"{seed}:shot:"), F.col(key).cast("string")))
     parts = shots.select(*group, F.struct(order.alias("o"), F.col(key).alias("k"), text.alias("t")).alias("s"))
     return parts.groupBy(*group).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "").alias("prefix"),
+        F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["t"]), "").alias("prefix"),
         F.count(F.lit(1)).alias("n_shots"))
 
 

@@ -87,7 +87,7 @@ def pack_sequences(df: DataFrame, ids: str, order_by: Sequence[str], seq_len: in
     pos = F.col("_s") + F.col("p")
     tok = tok.select(*group, (pos / F.lit(seq_len)).cast("long").alias("seq"), (pos % F.lit(seq_len)).alias("q"),
                      F.col("t.i").alias("i"), F.col("t.l").alias("l"))
-    seqs = tok.groupBy(*group, "seq").agg(F.array_sort(F.collect_list(F.struct("q", "i", "l"))).alias("_t"))
+    seqs = tok.groupBy(*group, "seq").agg(F.sort_array(F.collect_list(F.struct("q", "i", "l"))).alias("_t"))
     out = seqs.where(F.size("_t") == seq_len).select(
         *group, "seq", F.transform("_t", lambda s: s["i"]).alias("input_ids"),
         F.transform("_t", lambda s: s["l"]).alias("labels"))

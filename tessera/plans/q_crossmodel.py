@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import crossmodel as XM
 from . import fixtures as fx
+from .fixtures import memo
 from .oracle import SOURCE_PAIRS, TEN_PAIRS
 from .registry import register
 
@@ -58,10 +59,12 @@ top AS (SELECT * FROM (SELECT summ.*, CAST(row_number() OVER (PARTITION BY datas
 textr AS (SELECT e.*, t.rank FROM ext e JOIN top t ON t.dataset = e.dataset AND t.model = e.model)"""
 
 
+@memo
 def _ten(spark, sf):
     return fx.ten_row_pairs(spark, sf)
 
 
+@memo
 def _top(spark, sf):
     df = _ten(spark, sf)
     summ = XM.model_summary(df)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import curation as C
 from ..operators.responses import align_lists as _align
 from . import fixtures as fx
+from .fixtures import memo
 from .oracle import metrics_sql, strip_sql
 from .registry import register
 
 
+@memo
 def _items(spark, sf):
     review = C.parse_review(fx.review_rows(spark, sf))
     items = C.curated_items(review, fx.part_synonyms(spark, sf))

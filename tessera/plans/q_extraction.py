@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import LABEL_ALIASES, REFUSAL_PREFIXES
 from ..operators import extraction as X
 from . import fixtures as fx
+from .fixtures import memo
 from .oracle import LINES, WS, str_list, strip_sql
 from .registry import register
 
@@ -14,12 +15,14 @@ ALIASES = {**LABEL_ALIASES, **fx.FIXTURE_ALIASES}
 LB = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
 
 
+@memo
 def _inputs(spark, sf):
     gens = fx.generations(spark, sf)
     vocab = fx.vocab_array(fx.paper_vocab(spark, sf))
     return gens, vocab
 
 
+@memo
 def _classified(spark, sf, relevant_only=True):
     gens, vocab = _inputs(spark, sf)
     if relevant_only:
@@ -27,11 +30,13 @@ def _classified(spark, sf, relevant_only=True):
     return X.classify_lines(gens.crossJoin(vocab), "vocab", ALIASES, REFUSAL_PREFIXES)
 
 
+@memo
 def _parsed(spark, sf):
     ok = _classified(spark, sf).where(F.col("status") == "ok")
     return ok.groupBy("uid", "label", "value").agg(F.min("pos").alias("first_pos"))
 
 
+@memo
 def _gold(spark, sf, relevant_only=True):
     gens, _ = _inputs(spark, sf)
     gold = X.group_annotations(gens)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fixed import REPORT_ROWS_START
+from ..functions.text import literal_table
 from ..operators import metrics as M
 from ..operators import sampling as D
 from ..sources import readers as S
@@ -13,12 +14,14 @@ from ..sources import sinks as K
 from ..session import scratch_path
 from ..streaming.scores import stream_scores as _stream_scores
 from . import fixtures as fx
+from .fixtures import memo
 from .oracle import LINES, PAIRS, SOURCE_PAIRS, metrics_sql
 from .q_curation import host_index as _host_index_rows
 from .q_extraction import extraction_table as _extraction_table
 from .registry import ORACLE, register
 
 
+@memo
 def _m1_rows(spark, sf):
     pairs = fx.model_pairs(spark, sf).where(F.col("model") == "m1")
     return D.global_rank(pairs, ["id"], bucket=F.floor(F.col("id") / F.lit(4096)), name="num")
@@ -69,7 +72,7 @@ def _loose_lines(spark, sf):
     line = (F.when(k % 11 == 0, F.concat_ws(",", name, brand, "pred", "true"))
             .when(k % 7 == 0, F.concat(name, F.lit(",,"), F.concat_ws(",", "pred", "true")))
             .otherwise(F.concat_ws(",", name, "pred", "true")))
-    head = spark.createDataFrame([(0, "Src, Pred, True:"), (1, REPORT_ROWS_START)], "o long, value string")
+    head = literal_table(spark, [(0, "Src, Pred, True:"), (1, REPORT_ROWS_START)], "o long, value string")
     body = r.select((F.col("num") + 1).alias("o"), line.alias("value"))
     return head.unionByName(body)
 

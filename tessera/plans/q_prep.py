@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fixed import MAX_NEW_TOKENS
+from ..functions.text import literal_table
 from ..operators import prompts as P
 from ..operators import sampling as D
 from ..operators import tokens as T
 from . import fixtures as fx
+from .fixtures import memo
 from .oracle import MENTIONS, VOCAB, strip_sql, values
 from .registry import register
 
@@ -45,11 +47,13 @@ def _a_sql(prefix: str = "") -> str:
     return f"replace(t.a_tmpl, '{{label}}', {prefix}label)"
 
 
+@memo
 def _mentions(spark, sf):
     m = fx.mentions_raw(spark, sf)
     return m.where(F.col("label") != fx.FIXTURE_NOT_RELEVANT)
 
 
+@memo
 def _split(spark, sf):
     return D.split_dataset(_mentions(spark, sf), "id")
 
@@ -91,11 +95,12 @@ def few_shot_rows(spark, sf):
     return shots.select("label", "id", F.col("shot_rank").cast("long").alias("shot_rank"))
 
 
+@memo
 def _shots_rendered(spark, sf):
     s = _split(spark, sf).where(F.col("split") == "train")
     shots = D.few_shot(s, fx.mention_vocab(spark, sf), SHOTS)
     choices = P.choices_string(fx.mention_vocab(spark, sf))
-    fams = spark.createDataFrame([(f,) for f in P.FAMILIES], "family string")  # fixed family list
+    fams = literal_table(spark, [(f,) for f in P.FAMILIES], "family string")  # fixed family list
     x = shots.crossJoin(choices).crossJoin(F.broadcast(fams))
     cat = P.template_catalogue(spark)
     x = P.render_prompt(x, cat, "kbase", "entity_type_q",
@@ -175,6 +180,7 @@ comp AS (SELECT doc_id, source,
   FROM pp)"""
 
 
+@memo
 def _composed(spark, sf):
     p = fx.papers(spark, sf)
     return p.select("doc_id", "source", P.compose_text(p).alias("text"))
@@ -215,6 +221,7 @@ tp2 AS (SELECT doc_id, batch, ids, m,
 tp3 AS (SELECT *, list_transform(padded, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS masked FROM tp2)"""
 
 
+@memo
 def _padded(spark, sf):
     docs = fx.load(spark, sf, "documents").select("doc_id", "text")
     t = T.tokenize(docs, "text")

@@ -8,6 +8,7 @@ from ..operators import prompts as P
 from ..operators import responses as R
 from ..operators.inference import choice_channel_factory, generate
 from . import fixtures as fx
+from .fixtures import memo
 from .oracle import RESPONSES, strip_sql
 from .q_prep import SPLITS, _split
 from .registry import register
@@ -21,6 +22,7 @@ cl AS (SELECT *, CASE WHEN len(hits) = 1 THEN hits[1]
                       ELSE 'None' END AS cleaned FROM cr)"""
 
 
+@memo
 def _responses(spark, sf):
     return fx.mention_responses(spark, sf).crossJoin(fx.vocab_array(fx.mention_vocab(spark, sf)))
 

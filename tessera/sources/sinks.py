@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import REPORT_METRICS_END, REPORT_ROWS_END, REPORT_ROWS_START, REPORT_RULE
+from ..functions.text import literal_table
 from ..operators.metrics import METRIC_NAMES
 
 
@@ -59,8 +60,8 @@ def report_lines(spark: SparkSession, rows: DataFrame, metrics: DataFrame, info:
         head.append(f">> Number of KBase classes: {info.get('num_classes', 14)}")
     head += [f">> Execution time: {info.get('exec_time', '')}", ">> Task prompt:"]
     head += task_prompt.split("\n") + [REPORT_RULE]
-    header = spark.createDataFrame([(0, i, 0, s) for i, s in enumerate(head)],
-                                   "section int, num long, sub int, line string")
+    header = literal_table(spark, [(0, i, 0, s) for i, s in enumerate(head)],
+                           "section int, num long, sub int, line string")
     base = len(head)
     m = metrics.select(
         F.concat(F.lit(">>             Accuracy: "), _fmt4("accuracy")).alias("l0"),
@@ -85,8 +86,8 @@ def report_lines(spark: SparkSession, rows: DataFrame, metrics: DataFrame, info:
     data = rows.select(F.lit(1).alias("section"), F.col("num").cast("long"), F.lit(0).alias("sub"), body.alias("line"))
     out = header.unionByName(mlines).unionByName(data)
     if originals is not None:
-        marks = spark.createDataFrame([(2, 0, 0, REPORT_ROWS_END), (2, 0, 1, "<< Original texts >>")],
-                                      "section int, num long, sub int, line string")
+        marks = literal_table(spark, [(2, 0, 0, REPORT_ROWS_END), (2, 0, 1, "<< Original texts >>")],
+                              "section int, num long, sub int, line string")
         o = originals.select(F.col("num").cast("long"), F.explode(F.array(
             F.struct(F.lit(0).alias("sub"), F.concat(F.lit(">> No: "), F.col("num").cast("string")).alias("line")),
             F.struct(F.lit(1).alias("sub"), F.concat(F.lit(">> Entity: "), F.col("entity")).alias("line")),
@@ -118,7 +119,7 @@ def leaderboard_json(board: DataFrame) -> DataFrame:
     """K6: one JSON object {model: {metric: value}} (4 decimals); the fold
     is over one small row per model."""
     entry = F.struct(F.col("model"), F.struct(*[F.round(c, 4).alias(c) for c in METRIC_NAMES]))
-    return board.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+    return board.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value"))
 
 
 def write_pairs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
