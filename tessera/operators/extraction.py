@@ -65,32 +65,20 @@ def canonical_label(c: Column, aliases: Mapping[str, str] = LABEL_ALIASES,
     return map_values(singular, aliases)
 
 
-def classify_line(line: Column, vocab, aliases: Mapping[str, str] = LABEL_ALIASES,
-                  refusals: Sequence[str] = REFUSAL_PREFIXES) -> Column:
-    """G2-G7 for one line as a struct (label, value, status); every
-    intermediate value is bound once (see ``let``)."""
-    voc = vocab_column(vocab)
-
-    def after_clean(c: Column) -> Column:
-        def after_colon(colon: Column) -> Column:
-            sep = F.contains(c, F.lit(": "))
-
-            def after_value(value: Column) -> Column:
-                def after_label(label: Column) -> Column:
-                    is_label = F.exists(voc, lambda lab: F.startswith(F.lower(c), lab))
-                    status = (F.when(~is_label, F.lit("no_label"))
-                              .when(~sep, F.lit("no_separator"))
-                              .when(~F.array_contains(voc, label), F.lit("unknown_label"))
-                              .when(starts_with_any(F.lower(value), refusals), F.lit("refusal"))
-                              .otherwise(F.lit("ok")))
-                    return F.struct(F.when(sep, label).alias("label"), F.when(sep, value).alias("value"),
-                                    status.alias("status"))
-                raw = strip(c.substr(F.lit(1), colon - 1))
-                return let(canonical_label(raw, aliases), after_label)
-            return let(strip(c.substr(colon + 1, F.length(c) + 1)), after_value)
-        return let(F.instr(c, ":"), after_colon)
-
-    return let(clean_line(line), after_clean)
+def _starts_with_vocab(low: Column, vocab) -> Column:
+    if isinstance(vocab, (list, tuple)):
+        out = F.lit(False)
+        for lab in vocab:
+            out = out | F.startswith(low, F.lit(lab.lower()))
+        return out
+    return F.exists(vocab_column(vocab), lambda lab: F.startswith(low, lab))
+
+
+def _bind(df: DataFrame, keep: Sequence[str], **cols: Column) -> DataFrame:
+    """Materialise ``cols`` as outputs of a Generate (inline of a one-element
+    array). Catalyst cannot inline Generate outputs into later filters or
+    projections, so each expression is evaluated once per row."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
 def classify_lines(gens: DataFrame, vocab, aliases: Mapping[str, str] = LABEL_ALIASES,
@@ -100,9 +88,29 @@ def classify_lines(gens: DataFrame, vocab, aliases: Mapping[str, str] = LABEL_AL
     status ok / no_label / no_separator / unknown_label / refusal."""
     carry = [vocab] if isinstance(vocab, str) else []
     lines = response_lines(gens, text, keys, carry)
-    x = lines.withColumn("_p", classify_line(F.col("line"), vocab, aliases, refusals))
-    return x.select(*keys, "pos", "line", F.col("_p.label").alias("label"), F.col("_p.value").alias("value"),
-                    F.col("_p.status").alias("status"))
+    base = [*keys, "pos", "line", *carry]
+    x = _bind(lines, base, _c=clean_line(F.col("line")))
+    c = F.col("_c")
+    colon = F.instr(c, ":")
+    x = _bind(x, [*base, "_c"],
+              _is_label=_starts_with_vocab(F.lower(c), vocab),
+              _sep=F.contains(c, F.lit(": ")),
+              _raw=strip(c.substr(F.lit(1), colon - 1)),
+              _value=strip(c.substr(colon + 1, F.length(c) + 1)))
+    x = _bind(x, [*base, "_is_label", "_sep", "_value"], _label=canonical_label(F.col("_raw"), aliases))
+    in_vocab = (F.col("_label").isin([v.lower() for v in vocab]) if isinstance(vocab, (list, tuple))
+                else F.array_contains(vocab_column(vocab), F.col("_label")))
+    low_value = F.lower(F.col("_value"))
+    refusal = F.lit(False)
+    for r in refusals:
+        refusal = refusal | F.startswith(low_value, F.lit(r))
+    status = (F.when(~F.col("_is_label"), F.lit("no_label"))
+              .when(~F.col("_sep"), F.lit("no_separator"))
+              .when(~in_vocab, F.lit("unknown_label"))
+              .when(refusal, F.lit("refusal"))
+              .otherwise(F.lit("ok")))
+    return x.select(*keys, "pos", "line", F.when(F.col("_sep"), F.col("_label")).alias("label"),
+                    F.when(F.col("_sep"), F.col("_value")).alias("value"), status.alias("status"))
 
 
 def parse_extractions(gens: DataFrame, vocab, aliases: Mapping[str, str] = LABEL_ALIASES,
@@ -183,8 +191,10 @@ def match_contained(gold: DataFrame, parsed: DataFrame, keys: Sequence[str] = ("
     first q-gram against every q-gram of the value, so a hot group costs its
     near-matches, not all of its pairs."""
     k = [*keys, "label"]
+    # gold (A1) and parsed (G8) are distinct by construction; a further
+    # distinct() would re-plan the parse and defeat exchange reuse
     g = gold.select(*k, "entity")
-    v = parsed.select(*k, "value").distinct()
+    v = parsed.select(*k, "value")
     stats = (g.groupBy(*k).agg(F.count(F.lit(1)).alias("_ng"))
              .join(v.groupBy(*k).agg(F.count(F.lit(1)).alias("_nv")), k, "inner"))
     hot = stats.where(F.col("_ng") * F.col("_nv") > F.lit(hot_pairs)).select(*k)
