@@ -90,11 +90,18 @@ def apply_synonyms(items: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def curated_items(review: DataFrame, synonyms: DataFrame, keys: Sequence[str] = ("uid",)) -> DataFrame:
-    """C1-C3 for the three sides (gold, pred, wrong) of parsed review rows."""
-    parts = [explode_entities(review, "anno_map", "gold", keys),
-             explode_entities(review, "pred_map", "pred", keys),
-             explode_entities(review, "wrong_map", "wrong", keys)]
-    items = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """C1-C3 for the three sides (gold, pred, wrong) of parsed review rows,
+    exploded in one pass over the rows."""
+    sides = F.array(F.struct(F.lit("gold").alias("side"), F.col("anno_map").alias("m")),
+                    F.struct(F.lit("pred").alias("side"), F.col("pred_map").alias("m")),
+                    F.struct(F.lit("wrong").alias("side"), F.col("wrong_map").alias("m")))
+    s = review.select(*keys, F.inline(sides))
+    m = s.select(*keys, "side", F.explode("m").alias("label", "vals")).where(F.col("label") != NOT_RELEVANT)
+    v = m.select(*keys, "side", "label", F.posexplode("vals").alias("vpos", "value"))
+    n = v.select(*keys, "side", "label", "vpos", F.posexplode(F.split("value", ",")).alias("npos", "raw"))
+    items = n.select(*keys, "side", "label", F.col("vpos").cast("int").alias("vpos"),
+                     F.col("npos").cast("int").alias("npos"), strip(F.col("raw")).alias("entity")) \
+        .where(F.length("entity") > 0)
     return apply_synonyms(items, synonyms)
 
 

@@ -44,7 +44,8 @@ def clean_line(c: Column) -> Column:
 def is_label_line(c: Column, vocab) -> Column:
     """The lower-cased line starts with a vocabulary label."""
     low = F.lower(c)
-    return F.exists(vocab_column(vocab), lambda lab: F.startswith(low, lab))
+    voc = vocab if isinstance(vocab, Column) else vocab_column(vocab)
+    return F.exists(voc, lambda lab: F.startswith(low, lab))
 
 
 def split_label_entity(c: Column):
@@ -71,7 +72,8 @@ def _starts_with_vocab(low: Column, vocab) -> Column:
         for lab in vocab:
             out = out | F.startswith(low, F.lit(lab.lower()))
         return out
-    return F.exists(vocab_column(vocab), lambda lab: F.startswith(low, lab))
+    voc = vocab if isinstance(vocab, Column) else vocab_column(vocab)
+    return F.exists(voc, lambda lab: F.startswith(low, lab))
 
 
 def _bind(df: DataFrame, keep: Sequence[str], **cols: Column) -> DataFrame:
@@ -87,19 +89,21 @@ def classify_lines(gens: DataFrame, vocab, aliases: Mapping[str, str] = LABEL_AL
     """G1-G7 on every line: (keys, pos, line, label, value, status) with
     status ok / no_label / no_separator / unknown_label / refusal."""
     carry = [vocab] if isinstance(vocab, str) else []
+    if carry:  # lower-case the vocabulary once per document, not per line
+        gens = gens.withColumn(vocab, F.transform(F.col(vocab), lambda lab: F.lower(lab)))
     lines = response_lines(gens, text, keys, carry)
     base = [*keys, "pos", "line", *carry]
     x = _bind(lines, base, _c=clean_line(F.col("line")))
     c = F.col("_c")
     colon = F.instr(c, ":")
-    x = _bind(x, [*base, "_c"],
-              _is_label=_starts_with_vocab(F.lower(c), vocab),
+    low_vocab = vocab if not carry else F.col(vocab)
+    x = _bind(x, [*base],
+              _is_label=_starts_with_vocab(F.lower(c), low_vocab),
               _sep=F.contains(c, F.lit(": ")),
-              _raw=strip(c.substr(F.lit(1), colon - 1)),
+              _label=canonical_label(strip(c.substr(F.lit(1), colon - 1)), aliases),
               _value=strip(c.substr(colon + 1, F.length(c) + 1)))
-    x = _bind(x, [*base, "_is_label", "_sep", "_value"], _label=canonical_label(F.col("_raw"), aliases))
     in_vocab = (F.col("_label").isin([v.lower() for v in vocab]) if isinstance(vocab, (list, tuple))
-                else F.array_contains(vocab_column(vocab), F.col("_label")))
+                else F.array_contains(F.col(vocab), F.col("_label")))
     low_value = F.lower(F.col("_value"))
     refusal = F.lit(False)
     for r in refusals:
@@ -196,13 +200,16 @@ def match_contained(gold: DataFrame, parsed: DataFrame, keys: Sequence[str] = ("
     g = gold.select(*k, "entity")
     v = parsed.select(*k, "value")
     stats = (g.groupBy(*k).agg(F.count(F.lit(1)).alias("_ng"))
-             .join(v.groupBy(*k).agg(F.count(F.lit(1)).alias("_nv")), k, "inner"))
-    hot = stats.where(F.col("_ng") * F.col("_nv") > F.lit(hot_pairs)).select(*k)
-    g_cold, v_cold = g.join(hot, k, "left_anti"), v.join(hot, k, "left_anti")
-    cold = g_cold.join(v_cold, k, "inner").where(F.contains(F.col("value"), F.col("entity")))
-    g_hot = g.join(hot, k, "left_semi").withColumn("g", F.substring(F.col("entity"), 1, QGRAM))
-    v_hot = v.join(hot, k, "left_semi")
-    vg = v_hot.select(*k, "value", F.explode(F.array_distinct(_qgrams(F.col("value")))).alias("g"))
+             .join(v.groupBy(*k).agg(F.count(F.lit(1)).alias("_nv")), k, "inner")
+             .select(*k, (F.col("_ng") * F.col("_nv") > F.lit(hot_pairs)).alias("_hot")))
+    # outer joins (not semi/anti) so Catalyst cannot push them below the
+    # parse aggregate: both sides keep one shared, reusable sub-plan
+    gf = g.join(stats, k, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    vf = v.join(stats, k, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    cold = (gf.where(~F.col("_hot")).drop("_hot").join(vf.where(~F.col("_hot")).drop("_hot"), k, "inner")
+            .where(F.contains(F.col("value"), F.col("entity"))))
+    g_hot = gf.where(F.col("_hot")).withColumn("g", F.substring(F.col("entity"), 1, QGRAM))
+    vg = vf.where(F.col("_hot")).select(*k, "value", F.explode(F.array_distinct(_qgrams(F.col("value")))).alias("g"))
     hot_hits = (g_hot.join(vg, [*k, "g"], "inner")
                 .where(F.contains(F.col("value"), F.col("entity"))).select(*k, "entity", "value"))
     return cold.select(*k, "entity", "value").unionByName(hot_hits)
