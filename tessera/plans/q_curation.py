@@ -15,7 +15,8 @@ from .registry import register
 @memo
 def _items(spark, sf):
     review = C.parse_review(fx.review_rows(spark, sf))
-    items = C.curated_items(review, fx.part_synonyms(spark, sf))
+    # pipeline boundary: curated items feed pairs, scores, hosts and lists
+    items = C.curated_items(review, fx.part_synonyms(spark, sf)).checkpoint()
     return review, items
 
 

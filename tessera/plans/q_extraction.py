@@ -32,8 +32,11 @@ def _classified(spark, sf, relevant_only=True):
 
 @memo
 def _parsed(spark, sf):
+    # pipeline boundary: the parsed extractions feed several reports, so the
+    # table is checkpointed (shared checkpoint dir) instead of being
+    # re-derived in every branch of a plan
     ok = _classified(spark, sf).where(F.col("status") == "ok")
-    return ok.groupBy("uid", "label", "value").agg(F.min("pos").alias("first_pos"))
+    return ok.groupBy("uid", "label", "value").agg(F.min("pos").alias("first_pos")).checkpoint()
 
 
 @memo
@@ -42,7 +45,7 @@ def _gold(spark, sf, relevant_only=True):
     gold = X.group_annotations(gens)
     if relevant_only:
         gold = gold.join(X.relevant_papers(gens), "uid", "left_semi")
-    return gold
+    return gold.checkpoint()
 
 
 _alias_case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items())
