@@ -46,6 +46,8 @@ def memo(fn):
 
     @functools.wraps(fn)
     def wrapper(spark, sf_dir, *args):
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)  # checkpoints / scratch tables need it
         key = (spark.sparkContext.applicationId, id(spark), sf_dir, args)
         if key not in cache:
             cache[key] = fn(spark, sf_dir, *args)
