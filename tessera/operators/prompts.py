@@ -148,6 +148,40 @@ def choice_letters(vocab: DataFrame) -> DataFrame:
     return vocab.withColumn("letter", F.expr("chr(65 + id)"))
 
 
+def context_limit(family: Column, variant: Column) -> Column:
+    """Context limit (input + output tokens) from the fixed family / variant
+    table; a variant entry wins over its family. Null when unknown (Q16)."""
+    from ..functions.fixed import CONTEXT_LIMITS
+    out = F.lit(None).cast("int")
+    for kind, name, limit in CONTEXT_LIMITS:
+        if kind == "family":
+            out = F.when(family == F.lit(name), F.lit(limit)).otherwise(out)
+    for kind, name, limit in CONTEXT_LIMITS:
+        if kind == "variant":
+            out = F.when(variant == F.lit(name), F.lit(limit)).otherwise(out)
+    return out
+
+
+def format_examples(df: DataFrame, templates: DataFrame, family: str, split: str, choices: Column,
+                    prefix: Column | None = None, task: str = "entity_type") -> DataFrame:
+    """P5: training rows (text = answer = question + answer) or evaluation
+    rows (text = few-shot prefix + question, answer = label). Few-shot
+    needs gold labels, which the paper task lacks (Q11)."""
+    if task != "entity_type" and prefix is not None:
+        raise ValueError("few-shot prompts need labelled records; the paper task has none")
+    q = render_prompt(df, templates, "kbase", "entity_type_q",
+                      {"entity": F.col("entity"), "text": F.col("text"), "choices": choices},
+                      family=family, name="_q")
+    if split == "train":
+        qa = render_prompt(q, templates, "kbase", "entity_type_a", {"label": F.col("label")},
+                           family=family, name="_a")
+        text = F.concat("_q", "_a")
+        return qa.select("*", text.alias("prompt_text"), text.alias("answer")).drop("_q", "_a")
+    pre = F.coalesce(prefix, F.lit("")) if prefix is not None else F.lit("")
+    return q.select("*", F.concat(pre, F.col("_q")).alias("prompt_text"),
+                    F.col("label").alias("answer")).drop("_q")
+
+
 def token_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "[ \\n]+"), lambda t: t != ""))
 

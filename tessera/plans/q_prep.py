@@ -136,8 +136,11 @@ def eval_prompts(spark, sf):
     """P4+P5+P7: evaluation prompts (few-shot prefix + question) per family."""
     ev = P.eval_rows(_split(spark, sf), None).where(F.col("split").isin("validation", "test"))
     choices = P.choices_string(fx.mention_vocab(spark, sf))
-    prefix = _shots_rendered(spark, sf).select("family", "prefix")
-    x = ev.crossJoin(choices).join(F.broadcast(prefix), how="cross")  # prefix: one row per family
+    fams = literal_table(spark, [(f,) for f in P.FAMILIES], "family string")
+    # zero shots (the launcher default) leave no prefix row: empty prefix
+    prefix = fams.join(_shots_rendered(spark, sf), "family", "left").select(
+        "family", F.coalesce("prefix", F.lit("")).alias("prefix"))
+    x = ev.crossJoin(choices).crossJoin(F.broadcast(prefix))  # prefix: one row per family
     x = P.render_prompt(x, P.template_catalogue(spark), "kbase", "entity_type_q",
                         {"entity": F.col("entity"), "text": F.col("text"), "choices": F.col("choices")}, name="q")
     prompt = F.concat("prefix", "q")

@@ -59,3 +59,25 @@ def test_pad_mask_pack_against_loop(spark):
         for s in range(len(stream) // seq_len):
             expect[(g, s)] = stream[s * seq_len:(s + 1) * seq_len]
     assert {(r.grp, r.seq): list(r.input_ids) for r in packed} == expect
+
+
+def test_few_shot_plans_group_limit(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 3).cast("string").alias("label"),
+                                  F.md5(F.col("id").cast("string")).alias("ord"))
+    vocab = spark.createDataFrame([("0", 0), ("1", 1)], "label string, id int")
+    plan = D.few_shot(df, vocab, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # partial top-n before the shuffle
+
+
+def test_context_limits_and_zero_shot(spark):
+    from tessera.operators import prompts as P
+    rows = [("Falcon", "falcon-7b"), ("MPT", "mpt-7b-chat"), ("MPT", "mpt-30b-chat"), ("LLaMA-3", "x"),
+            ("Mistral", "Mixtral-8x7B-Instruct-v0.1"), ("Other", "y")]
+    df = spark.createDataFrame(rows, "family string, variant string")
+    got = [r[0] for r in df.select(P.context_limit(F.col("family"), F.col("variant"))).collect()]
+    assert got == [2048, 2048, 8192, 8192, 32768, None]
+    recs = spark.createDataFrame([(1, "u1", "t", "click")], "id long, entity string, text string, label string")
+    ev = P.format_examples(recs, P.template_catalogue(spark), "llama3", "test", F.lit('"click"')).first()
+    assert ev.answer == "click" and ev.prompt_text.startswith("Question:")
+    tr = P.format_examples(recs, P.template_catalogue(spark), "llama3", "train", F.lit('"click"')).first()
+    assert tr.prompt_text == tr.answer and tr.answer.endswith(" click\n\n")
