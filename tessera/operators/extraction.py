@@ -300,15 +300,11 @@ def _qgram_mentions(d: DataFrame, short: DataFrame) -> DataFrame:
     return found.unionByName(tiny_hits)
 
 
-def vocab_labels(vocab) -> Column:
-    return vocab_column(vocab)
-
-
 __all__ = ["response_lines", "clean_line", "is_label_line", "split_label_entity",
            "canonical_label", "classify_lines", "parse_extractions", "unparsed_lines",
            "empty_papers", "annotation_rows", "group_annotations", "relevant_papers",
            "multi_label_entities", "match_contained", "extraction_table", "find_mentions",
-           "str_array"]
+           "extraction_scores", "classify_lines"]
 
 
 def extraction_scores(gold: DataFrame, parsed: DataFrame, vocab_row: DataFrame,

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import ALIGN_CAP, ALIGN_PAD, NONE_LABEL
+from ..functions.fixed import ALIGN_CAP, ALIGN_PAD
 from ..functions.text import normalise, str_array, strip
 
 
@@ -89,9 +89,5 @@ def split_in_vocab(pairs: DataFrame, labels, pred: str = "pred"):
     return pairs.where(inside), pairs.where(~inside | F.col(pred).isNull())
 
 
-def none_to_label(c: Column) -> Column:
-    return F.when(F.lower(c) == "none", F.lit(NONE_LABEL)).otherwise(c)
-
-
 __all__ = ["vocab_column", "vocab_hits", "choose_label", "clean_response", "score_pairs",
            "align_lists", "strip_prompt", "split_in_vocab", "normalise"]
