@@ -45,10 +45,47 @@ def md5_bucket(ord_col: str = "ord", digits: int = BUCKET_HEX_DIGITS) -> Column:
     return F.substring(F.col(ord_col), 1, digits)
 
 
+HOT_FRACTION = 0.001
+HOT_SAMPLE_ROWS = 1000
+HOT_SPLITS = 64
+
+
+def skew_safe_bucket(df: DataFrame, key: str, tie: str, digits: int = BUCKET_HEX_DIGITS,
+                     sample_fraction: float = HOT_FRACTION, hot_sample_rows: int = HOT_SAMPLE_ROWS,
+                     splits: int = HOT_SPLITS) -> DataFrame:
+    """Add ``_b``: a bucket monotone in (key, tie) that also splits hot keys.
+
+    Hot keys are found on a seeded sample (a key holding a large share of
+    the rows cannot be missed; a false positive only makes buckets finer).
+    A hot key's rows are split at approximate quantiles of ``tie``; normal
+    rows sharing the key prefix are slotted between the hot keys, so the
+    bucket order is the row order. ``key`` is a string (an md5 order key)."""
+    pre = F.substring(F.col(key), 1, digits)
+    sample = df.select(key).sample(fraction=sample_fraction, seed=17)
+    hot_keys = sample.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= hot_sample_rows) \
+        .select(key)
+    probs = [i / splits for i in range(1, splits)]
+    hot = (df.join(hot_keys, key, "left_semi").groupBy(key)
+           .agg(F.percentile_approx(tie, probs).alias("_q")))                     # one row per hot key
+    per_prefix = hot.groupBy(pre.alias("_pre")).agg(F.sort_array(F.collect_list(key)).alias("_hk"))
+    x = df.withColumn("_pre", pre).join(hot, key, "left").join(per_prefix, "_pre", "left")
+    below = F.size(F.filter(F.coalesce("_hk", F.array().cast("array<string>")), lambda h: h < F.col(key)))
+    is_hot = F.col("_q").isNotNull()
+    b2 = 2 * below + F.when(is_hot, F.lit(1)).otherwise(F.lit(0))
+    b3 = F.when(is_hot, F.size(F.filter("_q", lambda q: q < F.col(tie)))).otherwise(F.lit(0))
+    return x.withColumn("_b", F.struct(F.col("_pre"), b2.alias("b2"), b3.alias("b3"))).drop("_pre", "_q", "_hk")
+
+
 def global_rank(df: DataFrame, order_by: Sequence[str], bucket: Column | None = None,
                 name: str = "rn") -> DataFrame:
     """1-based row number over a total order (distributed, see module doc).
-    Default bucket: md5 prefix of the first order column."""
+
+    Default bucket: md5 prefix of the first (string) order column, with hot
+    keys split by the second order column (``skew_safe_bucket``). Callers
+    with a cheap monotone bucket over unique keys (``id div C``) pass it."""
+    if bucket is None and len(order_by) >= 2:
+        b = skew_safe_bucket(df, order_by[0], order_by[1])
+        return prefix_sum(b, F.lit(1).cast("long"), list(order_by), F.col("_b"), (), name).drop("_b")
     bucket = md5_bucket(order_by[0]) if bucket is None else bucket
     return prefix_sum(df, F.lit(1).cast("long"), list(order_by), bucket, (), name)
 

@@ -81,3 +81,16 @@ def test_context_limits_and_zero_shot(spark):
     assert ev.answer == "click" and ev.prompt_text.startswith("Question:")
     tr = P.format_examples(recs, P.template_catalogue(spark), "llama3", "train", F.lit('"click"')).first()
     assert tr.prompt_text == tr.answer and tr.answer.endswith(" click\n\n")
+
+
+def test_global_rank_with_a_hot_key(spark):
+    # a third of the rows share one order key: ranks must follow (key, id)
+    # and the hot key must be split over several buckets
+    n = 30000
+    rows = [(i, "8888" if i % 3 == 0 else f"{(i * 7919) % 65536:04x}{i:08d}") for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, k string")
+    b = D.skew_safe_bucket(df, "k", "id", sample_fraction=0.1, hot_sample_rows=100)
+    assert b.where("k = '8888'").select("_b").distinct().count() > 8
+    got = {r.id: r.rn for r in D.global_rank(df, ["k", "id"]).collect()}
+    order = sorted(range(n), key=lambda i: (rows[i][1], i))
+    assert got == {i: r + 1 for r, i in enumerate(order)}
