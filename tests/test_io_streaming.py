@@ -78,3 +78,16 @@ def test_stream_equals_batch(spark, tmp_dir):
                       os.path.join(tmp_dir, "ckpt")).first().asDict()
     b = M.compute_metrics(df).first().asDict()
     assert s == b
+
+
+def test_type_table_and_confusion_sink(spark, tmp_dir):
+    pairs = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b")], "true string, pred string")
+    rep = M.restricted_metrics(pairs, ["a", "b"])
+    lines = {r.type: r.line for r in M.format_type_report(rep).collect()}
+    assert lines["a"].split() == ["a", "100.00", "50.00", "66.67", "2"]
+    assert lines["micro"].split()[1:] == ["75.00", "75.00", "75.00", "4"]
+    path = os.path.join(tmp_dir, "conf")
+    K.write_confusion(M.confusion(pairs, ["a", "b"]), ["a", "b"], path)
+    wide = {r["true"]: (r["a"], r["b"]) for r in spark.read.parquet(f"{path}/wide").collect()}
+    assert wide == {"a": (1, 1), "b": (0, 2)}
+    assert spark.read.parquet(f"{path}/long").count() == 4
