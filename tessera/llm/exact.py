@@ -60,7 +60,8 @@ def _level(rows: DataFrame, counted: DataFrame, level: int, width: int) -> DataF
     groups = counted.groupBy("part", "digit").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).where("n > 1")
     groups = written(groups.withColumn("next", F.monotonically_increasing_id()), f"digits{level}")
     rows = rows.withColumn("digit", F.substring("body", 1, width)).withColumn("rest", F.expr(f"substring(body, {width + 1})"))
-    met = rows.join(groups, ["part", "digit"], "left")
+    # groups grow with the data: always a sorted join, never a broadcast one
+    met = rows.join(groups.hint("merge"), ["part", "digit"], "left")
     done = F.col("n").isNull() | (F.octet_length("digit") < width)
     return written(
         met.select(
