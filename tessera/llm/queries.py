@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, mixing, packing, simhash, token_counts, toxicity
+from . import decontaminate, exact, language, mixing, packing, simhash, token_counts, toxicity
 from .common import crc_mod, table
 
 
@@ -21,6 +21,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, names=("slot", "place", "block", "shares"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull()))
+    found = language.languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(crc_mod("doc_id", 3) != 1))
@@ -48,6 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact": op1_exact,
     "op2_mixing": op2_mixing,
+    "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_decontaminate": op6_decontaminate,
