@@ -77,6 +77,7 @@ def test_held_out_accuracy_and_code_switching(spark):
 
 def test_odd_rows(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (2, "der hund und die katze", "de"), (3, None, "de"), (4, "", None), (None, "the end", "en"), (6, "12 !! \n", "en"), (7, "the " * 60000, "en")]
+    rows += [(10 + i, ["the cat and the dog and", "der hund und die katze und"][i % 2] + " x" * (i // 2 % 3), ["en", "de"][i % 2]) for i in range(40)]
     docs = spark.createDataFrame([(i, t, x, 1, "s") for i, t, x in rows], "doc_id long, text string, lang string, score int, words string")
     model = language.train(docs)
     out = language.languages(docs, model).collect()
