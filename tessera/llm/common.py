@@ -55,7 +55,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b or b"" for b in pc.cast(column, pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces of about ``most_bytes`` of text (one row at
     least), so that a worker's memory does not follow the row count of a batch."""
     for batch in batches:

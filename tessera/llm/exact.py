@@ -20,38 +20,24 @@ texts are different rows; extra columns are ignored; an empty table gives none.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, written
+from .common import written
 
 #: Digit widths in bytes by level; the last one holds for all further levels.
 WIDTHS = (64, 2048, 65536, 1 << 20)
-_ROW = "doc_id long, text_sha256 string, body binary"
 
 
-def _heads(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            digit = [t[:width].lower() for t in text_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digit, pa.binary())], names=["doc_id", "digit"])
-
-    return docs.mapInArrow(run, "doc_id long, digit binary")
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            texts = [t.lower() for t in text_bytes(b.column("text"))]  # of bytes: A-Z alone
-            digests = [hashlib.sha256(t).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests), pa.array(texts, pa.binary())], names=["doc_id", "text_sha256", "body"])
-
-    return docs.mapInArrow(run, _ROW)
+def _normal(text: Column) -> Column:
+    """The text as bytes with A-Z lower-cased. Where all characters are ASCII,
+    ``lower`` does just that; elsewhere it would change other letters too."""
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase)).cast("binary")
 
 
 def _level(rows: DataFrame, counted: DataFrame, level: int, width: int) -> DataFrame:
@@ -77,9 +63,11 @@ def _level(rows: DataFrame, counted: DataFrame, level: int, width: int) -> DataF
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256): a row for each row of
     ``docs``; keep_id is the largest doc_id of the rows with an equal text."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = F.lit(0).cast("long").alias("part")
-    levels = [_level(_rows(docs).select("*", first), _heads(docs, widths[0]).select("*", first), 0, widths[0])]
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("part"), _normal(text).alias("body"))
+    # a text's first bytes are among the first bytes of as many characters
+    heads = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("part"), F.substring(_normal(F.substring(text, 1, widths[0])), 1, widths[0]).alias("digit"))
+    levels = [_level(rows.withColumn("text_sha256", F.sha2("body", 256)), heads, 0, widths[0])]
     while not (active := levels[-1].where("not done")).isEmpty():
         k = len(levels)
         width = widths[min(k, len(widths) - 1)]
