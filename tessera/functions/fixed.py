@@ -100,6 +100,16 @@ REPORT_ROWS_START = "*" * 68
 REPORT_ROWS_END = "#" * 68
 REPORT_RULE = "-" * 68
 REPORT_METRICS_END = "=" * 68
+# Header line by dataset, and configuration blocks.
+REPORT_DATASET_LINES = {
+    "kegg": ">> KEGG data type: {}",
+    "indra": ">> Number of INDRA classes: {}",
+    "kbase": ">> Number of KBase classes: {}",
+}
+REPORT_CONFIG_BLOCKS = [
+    (">> Model configuration:", "model_config"),
+    (">> Generation configuration:", "generation_config"),
+]
 
 # Shuffle seed and split fraction.
 DEFAULT_SEED = 42

@@ -11,8 +11,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode White_Space, as Python's str.strip() sees it (minus the C0 separators).
-WS_CLASS = "[\\t\\n\\x0B\\f\\r\\x{85}\\p{Z}]"
+# What Python's str.strip() removes: Unicode White_Space and the separators U+001C..U+001F.
+WS_CLASS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F\\x{85}\\p{Z}]"
 # Python str.splitlines() boundaries.
 LINE_BREAKS = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
 
@@ -52,11 +52,6 @@ def starts_with_any(c, prefixes: Iterable[str]) -> Column:
     return F.exists(str_array(prefixes), lambda p: F.startswith(col, p))
 
 
-def contains_any(c, needles: Iterable[str]) -> Column:
-    col = _c(c)
-    return F.exists(str_array(needles), lambda p: F.contains(col, p))
-
-
 def map_values(c, mapping: Mapping[str, str]) -> Column:
     """Replace whole values found in ``mapping``; keep others."""
     col = _c(c)
@@ -71,16 +66,6 @@ def hex_digit(c, pos: int = 1) -> Column:
     return F.substring(F.md5(_c(c)), pos, 1)
 
 
-def hex_value(c, pos: int = 1) -> Column:
-    """Numeric value 0..15 of the ``pos``-th md5 hex digit."""
-    return F.instr(F.lit("0123456789abcdef"), hex_digit(c, pos)) - 1
-
-
-def md5_int(c, digits: int = 6) -> Column:
-    """Integer from the leading ``digits`` hex digits of md5(c)."""
-    return F.conv(F.substring(F.md5(_c(c)), 1, digits), 16, 10).cast("long")
-
-
 def initial_upper(c) -> Column:
     """First character upper case, the rest lower case."""
     col = _c(c)
@@ -97,13 +82,3 @@ def literal_table(spark, rows, ddl: str):
     if not structs:
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
     return spark.range(1).select(F.inline(F.array(*structs)))
-
-
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once and use it in ``body(v)`` as a lambda variable.
-
-    Filter pushdown and project collapsing inline derived columns into their
-    consumers; for chains of regex steps that multiplies the work per row.
-    A lambda variable is evaluated once however often ``body`` refers to it,
-    so the expression tree stays linear after inlining."""
-    return F.element_at(F.transform(F.array(value), body), 1)

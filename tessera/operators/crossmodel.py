@@ -7,7 +7,7 @@ partial aggregation, never per-model driver loops or list intersections.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +16,16 @@ from pyspark.sql.window import Window
 from . import metrics as M
 
 
-def tag_union(reports: Sequence[DataFrame]) -> DataFrame:
-    """UNION ALL of per-model result frames (each already carries ``model``)."""
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.unionByName(r)
-    return out
+def tag_union(rows: DataFrame, models: Mapping[str, str], file: str = "file") -> DataFrame:
+    """Report rows (of ``read_report`` over all reports) with ``model`` and
+    ``model_rank`` from a mapping of model to report path, in its order. A report
+    that no path ends is an error."""
+    name, rank = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for i, (model, path) in enumerate(models.items()):
+        mine = F.col(file).endswith(path.rstrip("/"))
+        name, rank = F.when(mine, F.lit(model)).otherwise(name), F.when(mine, F.lit(i)).otherwise(rank)
+    known = F.coalesce(name, F.raise_error(F.concat(F.lit("no model for report "), F.col(file))).cast("string"))
+    return rows.select("*", known.alias("model"), rank.alias("model_rank")).drop(file)
 
 
 def source_groups(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

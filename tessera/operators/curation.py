@@ -29,22 +29,49 @@ ENTITY_MAP = "map<string,array<string>>"
 
 # ------------------------------------------------------------------ S8 / S9
 def parse_json_fragment(c: Column) -> Column:
-    """Strip, drop trailing commas, wrap in braces, parse; null -> empty map."""
+    """Strip, drop trailing commas, wrap in braces, parse; a null cell is an
+    empty map, a broken fragment is null. Of a repeated key the last value stays."""
     body = rstrip_chars(strip(c), ",")
-    parsed = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), ENTITY_MAP)
-    return F.coalesce(parsed, F.create_map().cast(ENTITY_MAP))
+    return F.when(c.isNull(), _EMPTY()).otherwise(_last_values(F.from_json(F.concat(F.lit("{"), body, F.lit("}")), ENTITY_MAP)))
+
+
+def _EMPTY() -> Column:
+    return F.create_map().cast(ENTITY_MAP)
+
+
+def _last_values(m: Column) -> Column:
+    """A parsed JSON map with one entry for each key: the last one written."""
+    entries = F.map_entries(m)
+    keys = F.reverse(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_entries(F.filter(entries, lambda e, i: i == F.size(entries) - F.array_position(keys, e["key"])))
 
 
 def parse_review(df: DataFrame) -> DataFrame:
     """S8 cells -> typed columns: annotation / prediction maps, wrong map,
-    rejected flag. The 'true' cell is read but unused (as in the reference)."""
-    return df.select(
+    rejected flag, and ``status``: ok, or the first cell that cannot be parsed
+    ('annotation', 'prediction', 'wrong'). Rows that are not ok have a null map
+    there and belong in quarantine (``reviewed`` / ``review_quarantine``), not in
+    the scores. The 'true' cell is read but unused."""
+    rejected = F.coalesce(F.col("rejected").cast("boolean"), F.lit(False))
+    parsed = df.select(
         "title", "uid",
-        F.coalesce(F.from_json("annotation", ENTITY_MAP), F.create_map().cast(ENTITY_MAP)).alias("anno_map"),
-        F.coalesce(F.from_json("prediction", ENTITY_MAP), F.create_map().cast(ENTITY_MAP)).alias("pred_map"),
-        F.when(F.col("rejected"), F.create_map().cast(ENTITY_MAP))
-        .otherwise(parse_json_fragment(F.col("wrong"))).alias("wrong_map"),
-        F.col("rejected").cast("boolean").alias("rejected"))
+        _last_values(F.from_json("annotation", ENTITY_MAP)).alias("anno_map"),
+        _last_values(F.from_json("prediction", ENTITY_MAP)).alias("pred_map"),
+        F.when(rejected, _EMPTY()).otherwise(parse_json_fragment(F.col("wrong"))).alias("wrong_map"),
+        rejected.alias("rejected"))
+    status = (F.when(F.col("anno_map").isNull(), F.lit("annotation")).when(F.col("pred_map").isNull(), F.lit("prediction"))
+              .when(F.col("wrong_map").isNull(), F.lit("wrong")).otherwise(F.lit("ok")))
+    return parsed.withColumn("status", status)
+
+
+def reviewed(parsed: DataFrame) -> DataFrame:
+    """The parsed review rows that can be scored."""
+    return parsed.where(F.col("status") == "ok")
+
+
+def review_quarantine(parsed: DataFrame) -> DataFrame:
+    """(title, uid, status): rows with a cell that cannot be parsed."""
+    return parsed.where(F.col("status") != "ok").select("title", "uid", "status")
 
 
 # ------------------------------------------------------------------ C1 - C3
@@ -89,9 +116,8 @@ def apply_synonyms(items: DataFrame, synonyms: DataFrame) -> DataFrame:
             .groupBy(*cols, "entity").agg(F.min("npos").alias("npos")))
 
 
-def curated_items(review: DataFrame, synonyms: DataFrame, keys: Sequence[str] = ("uid",)) -> DataFrame:
-    """C1-C3 for the three sides (gold, pred, wrong) of parsed review rows,
-    exploded in one pass over the rows."""
+def explode_sides(review: DataFrame, keys: Sequence[str] = ("uid",)) -> DataFrame:
+    """C1 for the three sides (gold, pred, wrong) in one pass over the rows."""
     sides = F.array(F.struct(F.lit("gold").alias("side"), F.col("anno_map").alias("m")),
                     F.struct(F.lit("pred").alias("side"), F.col("pred_map").alias("m")),
                     F.struct(F.lit("wrong").alias("side"), F.col("wrong_map").alias("m")))
@@ -99,10 +125,14 @@ def curated_items(review: DataFrame, synonyms: DataFrame, keys: Sequence[str] =
     m = s.select(*keys, "side", F.explode("m").alias("label", "vals")).where(F.col("label") != NOT_RELEVANT)
     v = m.select(*keys, "side", "label", F.posexplode("vals").alias("vpos", "value"))
     n = v.select(*keys, "side", "label", "vpos", F.posexplode(F.split("value", ",")).alias("npos", "raw"))
-    items = n.select(*keys, "side", "label", F.col("vpos").cast("int").alias("vpos"),
-                     F.col("npos").cast("int").alias("npos"), strip(F.col("raw")).alias("entity")) \
+    return n.select(*keys, "side", "label", F.col("vpos").cast("int").alias("vpos"),
+                    F.col("npos").cast("int").alias("npos"), strip(F.col("raw")).alias("entity")) \
         .where(F.length("entity") > 0)
-    return apply_synonyms(items, synonyms)
+
+
+def curated_items(review: DataFrame, synonyms: DataFrame, keys: Sequence[str] = ("uid",)) -> DataFrame:
+    """C1-C3 for the three sides of parsed review rows."""
+    return apply_synonyms(explode_sides(review, keys), synonyms)
 
 
 # ------------------------------------------------------------------ C4
@@ -195,17 +225,15 @@ def host_index_rows(items: DataFrame, flags: DataFrame, titles: DataFrame, host_
     return rows.join(titles, list(keys), "left").select("species", "type", "name", "title", *keys, "side")
 
 
-def host_index(rows: DataFrame, max_tools: int = 10000) -> DataFrame:
+def host_index(rows: DataFrame, parts: int = 1) -> DataFrame:
     """C8 nested form for the K3 sink: (species, part, tools) with a sorted
     tools array of {type, name, references[title, uid]}.
 
-    A species is split into ceil(n / max_tools) hash parts (sized from a
-    partial-aggregated count), so no record or task gathers an unbounded
-    species; small species keep a single record (part 0)."""
-    counts = rows.groupBy("species").agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / F.lit(max_tools)).cast("long")
-    tagged = rows.join(counts, "species").withColumn(
-        "part", F.pmod(F.xxhash64("uid", "type", "name"), parts))
+    The caller gives the number of hash parts that every species has, so the
+    shape of the records does not depend on the data: 1 is the original's file
+    (one record a species), more keep a record small where a species is large.
+    The long form (``host_index_rows``) is the primary, unfolded output."""
+    tagged = rows.withColumn("part", F.pmod(F.xxhash64("uid", "type", "name"), F.lit(parts).cast("long")))
     tool = F.struct(F.col("type"), F.col("name"), F.array(F.col("title"), F.col("uid")).alias("references"))
     return tagged.groupBy("species", "part").agg(F.sort_array(F.collect_list(tool)).alias("tools"))
 

@@ -7,8 +7,6 @@ prompts, so no positional gather is needed.
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -34,22 +32,3 @@ def generate(df: DataFrame, predictor_factory: Callable[[], Predictor], prompt:
             yield pdf
 
     return df.mapInPandas(run, schema)
-
-
-_OPTIONS = re.compile(r'"([^"]*)"')
-
-
-def choice_channel_factory() -> Predictor:
-    """Deterministic test predictor: picks one of the quoted options of the
-    last 'Options:' list in the prompt by the first md5 hex digit of the
-    prompt, and echoes the prompt before it (full-text output)."""
-    def predict(prompts: list[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            seg = p[p.rfind("Options: ") + len("Options: "):]
-            seg = seg[:seg.find(". Text: ")] if ". Text: " in seg else seg
-            opts = _OPTIONS.findall(seg) or [""]
-            k = int(hashlib.md5(p.encode("utf-8")).hexdigest()[0], 16) % len(opts)
-            out.append(p + " " + opts[k])
-        return out
-    return predict

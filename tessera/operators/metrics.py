@@ -185,8 +185,8 @@ def confusion(pairs: DataFrame, labels: Sequence[str], keys: Sequence[str] = (),
     lab = literal_table(spark, [(x, i) for i, x in enumerate(labels)], "label string, idx int")
     grid = lab.select(F.col("label").alias("true"), F.col("idx").alias("true_idx")).crossJoin(
         lab.select(F.col("label").alias("pred"), F.col("idx").alias("pred_idx")))
-    if keys:
-        grid = conf.select(*keys).distinct().crossJoin(grid)
+    if keys:  # a key whose answers are all outside the list still has its zeros
+        grid = pairs.select(*keys).distinct().crossJoin(grid)
     # grid is |keys| x |labels|^2 rows, independent of the input size.
     out = (grid.join(conf, [*keys, "true", "pred"], "left")
            .select(*keys, "true", "pred", "true_idx", "pred_idx",

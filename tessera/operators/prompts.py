@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import literal_table, strip
+from ..sources.readers import first_labels
 
 FAMILIES = ["llama2", "llama3", "mistral", "solar", "falcon", "mpt"]
 PLACEHOLDER = "\\{([a-z0-9_]+)\\}"
@@ -137,15 +138,15 @@ def compose_text(df: DataFrame, title: str = "title", full_text: str = "full_tex
 
 def choices_string(vocab: DataFrame, n: int | None = None) -> DataFrame:
     """One row with '"a", "b", ...' in vocabulary order (first ``n``)."""
-    v = vocab if n is None else vocab.where(F.col("id") < n)
+    v = first_labels(vocab, n)
     return v.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "label"))),
                                           lambda s: F.concat(F.lit('"'), s["label"], F.lit('"'))), ", ")
                  .alias("choices"))
 
 
 def choice_letters(vocab: DataFrame) -> DataFrame:
-    """Option letter A..Z by vocabulary id (at most 26 labels)."""
-    return vocab.withColumn("letter", F.expr("chr(65 + id)"))
+    """Option letter A..Z by vocabulary id; an id past Z is an error."""
+    return vocab.withColumn("letter", F.expr("if(id between 0 and 25, chr(65 + id), raise_error(concat('no option letter for id ', id)))"))
 
 
 def context_limit(family: Column, variant: Column) -> Column:
@@ -165,10 +166,16 @@ def context_limit(family: Column, variant: Column) -> Column:
 def format_examples(df: DataFrame, templates: DataFrame, family: str, split: str, choices: Column,
                     prefix: Column | None = None, task: str = "entity_type") -> DataFrame:
     """P5: training rows (text = answer = question + answer) or evaluation
-    rows (text = few-shot prefix + question, answer = label). Few-shot
-    needs gold labels, which the paper task lacks (Q11)."""
+    rows (text = few-shot prefix + question, answer = label). The paper task
+    ``entity_and_entity_type`` has whole papers and no gold labels: its rows are
+    questions without an answer, and a few-shot prefix is an error (Q11)."""
     if task != "entity_type" and prefix is not None:
         raise ValueError("few-shot prompts need labelled records; the paper task has none")
+    if task == "entity_and_entity_type":  # paper task: no gold answer, the prompt is the question
+        q = render_prompt(df, templates, "kbase", "paper_q", {"text": F.col("text"), "choices": choices}, family=family, name="_q")
+        return q.select("*", F.col("_q").alias("prompt_text")).drop("_q")
+    if task != "entity_type":
+        raise ValueError(f"unknown task {task!r}")
     q = render_prompt(df, templates, "kbase", "entity_type_q",
                       {"entity": F.col("entity"), "text": F.col("text"), "choices": choices},
                       family=family, name="_q")
@@ -196,10 +203,12 @@ def check_length(df: DataFrame, limits: DataFrame, text: str, on: str, new_token
     return j.withColumn("status", status)
 
 
-def eval_rows(df: DataFrame, split: str | None, sample_size: int = -1, order: Sequence[str] = ("rn",)) -> DataFrame:
+def eval_rows(df: DataFrame, split: str | None, sample_size: int = -1) -> DataFrame:
     """The validation or test rows (``split=None`` = whole corpus), at most
-    ``sample_size`` of them in order (-1 = all)."""
+    ``sample_size`` of them in order (-1 = all). The rows of a split have
+    consecutive ranks ``rn``, so a filter on the rank takes the first ones."""
     out = df if split is None else df.where(F.col("split") == split)
-    if sample_size >= 0:
-        out = out.orderBy(*order).limit(sample_size)
-    return out
+    if sample_size < 0:
+        return out
+    first = out.agg(F.min("rn").alias("_first"))
+    return out.crossJoin(first).where(F.col("rn") < F.col("_first") + sample_size).drop("_first")

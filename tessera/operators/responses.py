@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import ALIGN_CAP, ALIGN_PAD
+from ..functions.fixed import ALIGN_PAD
 from ..functions.text import normalise, str_array, strip
 
 
@@ -67,12 +67,15 @@ def score_pairs(df: DataFrame, vocab, response: str = "response", entity: str =
     return cleaned.select(*cols, F.lower("cleaned").alias("pred"), F.lower("_true").alias("true"))
 
 
-def align_lists(pred: Column, true: Column, cap: int = ALIGN_CAP, pad: str = ALIGN_PAD):
-    """Common items first, then the rest (each part sorted), cut at ``cap``;
-    predictions are padded with ``pad`` up to the gold length."""
+def align_lists(pred: Column, true: Column, cap: int | None = None, pad: str = ALIGN_PAD):
+    """Common items first, then the rest (each part sorted); predictions are
+    padded with ``pad`` up to the gold length. ``cap`` (``fixed.ALIGN_CAP`` for the
+    original's lists of ten) cuts both lists; by default nothing is cut."""
     common = F.array_sort(F.array_intersect(pred, true))
-    new_pred = F.slice(F.concat(common, F.array_sort(F.array_except(pred, common))), 1, cap)
-    new_true = F.slice(F.concat(common, F.array_sort(F.array_except(true, common))), 1, cap)
+    new_pred = F.concat(common, F.array_sort(F.array_except(pred, common)))
+    new_true = F.concat(common, F.array_sort(F.array_except(true, common)))
+    if cap is not None:
+        new_pred, new_true = F.slice(new_pred, 1, cap), F.slice(new_true, 1, cap)
     padded = F.concat(new_pred, F.array_repeat(F.lit(pad), F.greatest(F.size(new_true) - F.size(new_pred), F.lit(0))))
     return padded, new_true
 

@@ -1,11 +1,15 @@
 """Seeded order, exact splits, few-shot sampling, batches.
 
-A global row number over a total order is computed without a
-single-partition window: rows are bucketed by a monotone function of the
-sort key (a prefix of the md5 order key, 16^k buckets), counted per bucket
-with partial aggregation, and each row adds its in-bucket number to the
-running total of the buckets before it. Only the per-bucket count table
-(at most 16^k rows) sees an unpartitioned window.
+A global row number never needs the rows in one task. Two ways, both over the
+order columns alone (the other columns are joined once, at the end):
+
+* an md5 order key is uniform, so its first four hex digits are 65,536 even
+  buckets, whatever the input; rows are numbered within a bucket and the counts
+  of the buckets (a table of fixed size) give the offsets;
+* any other order is cut into range partitions by Spark's own sampling (of the
+  whole order, so ties of a hot first column are cut by the next column) and
+  written, as range bounds differ from run to run; the totals of the partitions,
+  as many rows as there are partitions, give the offsets.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.fixed import DEFAULT_SEED, TEST_FRACTION
+from ..session import stored
 
 BUCKET_HEX_DIGITS = 4
 
@@ -26,83 +31,59 @@ def seeded_order(df: DataFrame, key: str, seed: int = DEFAULT_SEED, name: str =
     return df.withColumn(name, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
 
 
-def prefix_sum(df: DataFrame, value: Column, order_by: Sequence, bucket: Column,
-               partition_by: Sequence[str] = (), name: str = "cum") -> DataFrame:
+def running_total(df: DataFrame, value: Column, order_by: Sequence[str], partition_by: Sequence[str] = (),
+                  name: str = "cum") -> DataFrame:
     """Inclusive running sum of ``value`` in ``order_by`` order within
-    ``partition_by`` groups. ``bucket`` must be monotone in the order (rows of
-    a lower bucket come first); it splits each group into many window
-    partitions so no task holds a whole group."""
-    b = df.withColumn("_b", bucket).withColumn("_v", value)
-    totals = b.groupBy(*partition_by, "_b").agg(F.sum("_v").alias("_t"))
-    before = Window.partitionBy(*partition_by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*partition_by, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    within = Window.partitionBy(*partition_by, "_b").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.withColumn("_in", F.sum("_v").over(within)).join(offsets, [*partition_by, "_b"], "inner")
-    return out.withColumn(name, (F.col("_off") + F.col("_in")).cast("long")).drop("_b", "_v", "_in", "_off")
-
-
-def md5_bucket(ord_col: str = "ord", digits: int = BUCKET_HEX_DIGITS) -> Column:
-    return F.substring(F.col(ord_col), 1, digits)
-
-
-HOT_FRACTION = 0.001
-HOT_SAMPLE_ROWS = 1000
-HOT_SPLITS = 64
-
-
-def skew_safe_bucket(df: DataFrame, key: str, tie: str, digits: int = BUCKET_HEX_DIGITS,
-                     sample_fraction: float = HOT_FRACTION, hot_sample_rows: int = HOT_SAMPLE_ROWS,
-                     splits: int = HOT_SPLITS) -> DataFrame:
-    """Add ``_b``: a bucket monotone in (key, tie) that also splits hot keys.
-
-    Hot keys are found on a seeded sample (a key holding a large share of
-    the rows cannot be missed; a false positive only makes buckets finer).
-    A hot key's rows are split at approximate quantiles of ``tie``; normal
-    rows sharing the key prefix are slotted between the hot keys, so the
-    bucket order is the row order. ``key`` is a string (an md5 order key)."""
-    pre = F.substring(F.col(key), 1, digits)
-    sample = df.select(key).sample(fraction=sample_fraction, seed=17)
-    hot_keys = sample.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= hot_sample_rows) \
-        .select(key)
-    probs = [i / splits for i in range(1, splits)]
-    hot = (df.join(hot_keys, key, "left_semi").groupBy(key)
-           .agg(F.percentile_approx(tie, probs).alias("_q")))                     # one row per hot key
-    per_prefix = hot.groupBy(pre.alias("_pre")).agg(F.sort_array(F.collect_list(key)).alias("_hk"))
-    x = df.withColumn("_pre", pre).join(hot, key, "left").join(per_prefix, "_pre", "left")
-    below = F.size(F.filter(F.coalesce("_hk", F.array().cast("array<string>")), lambda h: h < F.col(key)))
-    is_hot = F.col("_q").isNotNull()
-    b2 = 2 * below + F.when(is_hot, F.lit(1)).otherwise(F.lit(0))
-    b3 = F.when(is_hot, F.size(F.filter("_q", lambda q: q < F.col(tie)))).otherwise(F.lit(0))
-    return x.withColumn("_b", F.struct(F.col("_pre"), b2.alias("b2"), b3.alias("b3"))).drop("_pre", "_q", "_hk")
-
-
-def global_rank(df: DataFrame, order_by: Sequence[str], bucket: Column | None = None,
-                name: str = "rn") -> DataFrame:
-    """1-based row number over a total order (distributed, see module doc).
-
-    Default bucket: md5 prefix of the first (string) order column, with hot
-    keys split by the second order column (``skew_safe_bucket``). Callers
-    with a cheap monotone bucket over unique keys (``id div C``) pass it."""
-    if bucket is None and len(order_by) >= 2:
-        b = skew_safe_bucket(df, order_by[0], order_by[1])
-        return prefix_sum(b, F.lit(1).cast("long"), list(order_by), F.col("_b"), (), name).drop("_b")
-    bucket = md5_bucket(order_by[0]) if bucket is None else bucket
-    return prefix_sum(df, F.lit(1).cast("long"), list(order_by), bucket, (), name)
+    ``partition_by`` groups; the columns together identify a row and are of any
+    sortable type, none null."""
+    spark = df.sparkSession
+    cols = [*partition_by, *order_by]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(*cols, value.cast("long").alias("_v")).repartitionByRange(parts, *cols)
+    keys = stored(keys.withColumn("_p", F.spark_partition_id()), "ranges")
+    totals = keys.groupBy("_p", *partition_by).agg(F.sum("_v").alias("_t"))
+    before = Window.partitionBy(*partition_by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_p", *partition_by, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    within = Window.partitionBy("_p", *partition_by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    done = keys.withColumn("_in", F.sum("_v").over(within)).join(offsets, ["_p", *partition_by])
+    return df.join(done.select(*cols, (F.col("_off") + F.col("_in")).cast("long").alias(name)), cols)
+
+
+def global_rank(df: DataFrame, order_by: Sequence[str], name: str = "rn") -> DataFrame:
+    """1-based row number over a total order (see the module)."""
+    return running_total(df, F.lit(1), order_by, (), name)
+
+
+def hashed_rank(df: DataFrame, ord_col: str, key: str, name: str = "rn", total: str | None = None) -> DataFrame:
+    """``global_rank`` over (``ord_col``, ``key``) where ``ord_col`` is an md5 order
+    key of the unique ``key``: even buckets without a look at the data. The
+    numbers within buckets are written once. ``total`` names a column for the
+    number of rows."""
+    bucket = Window.partitionBy("_b")
+    keys = df.select(ord_col, key).withColumn("_b", F.substring(F.col(ord_col), 1, BUCKET_HEX_DIGITS))
+    keys = keys.withColumn("_in", F.row_number().over(bucket.orderBy(ord_col, key))).withColumn("_n", F.count(F.lit(1)).over(bucket))
+    keys = stored(keys, "ranks")
+    sizes = keys.where(F.col("_in") == 1).select("_b", "_n")  # 16^4 rows at most
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(every).alias("_total"))
+    done = keys.join(F.broadcast(offsets), "_b")
+    extra = [F.col("_total").alias(total)] if total else []
+    return df.join(done.select(ord_col, key, (F.col("_off") + F.col("_in")).cast("long").alias(name), *extra), [ord_col, key])
 
 
 def split_dataset(df: DataFrame, key: str, seed: int = DEFAULT_SEED,
                   test_frac: float = TEST_FRACTION) -> DataFrame:
-    """Ordered split by the seeded order: test = last ceil(frac * n) rows,
-    validation = the same number right before it, train = the rest.
-    Adds ``ord``, ``rn`` and ``split``."""
+    """Ordered split by the seeded order of the unique ``key``: test = last
+    ceil(frac * n) rows, validation = the same number right before it, train = the
+    rest. Adds ``ord``, ``rn`` and ``split``."""
     o = seeded_order(df, key)
-    ranked = global_rank(o, ["ord", key])
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    ranked = hashed_rank(o, "ord", key, total="_n")
     n_test = F.ceil(F.lit(test_frac) * F.col("_n"))
     split = (F.when(F.col("rn") > F.col("_n") - n_test, F.lit("test"))
              .when(F.col("rn") > F.col("_n") - 2 * n_test, F.lit("validation"))
              .otherwise(F.lit("train")))
-    return ranked.crossJoin(n).withColumn("split", split).drop("_n")
+    return ranked.withColumn("split", split).drop("_n")
 
 
 def few_shot(train: DataFrame, vocab: DataFrame, n: int, label: str = "label",
@@ -126,8 +107,9 @@ def shot_prefix(shots: DataFrame, text: Column, seed: int = DEFAULT_SEED, key: s
         F.count(F.lit(1)).alias("n_shots"))
 
 
-def assign_batches(df: DataFrame, order_by: Sequence[str], size: int, bucket: Column | None = None) -> DataFrame:
-    """T4: consecutive batches of ``size`` rows in ``order_by`` order (last
-    batch short). Adds ``rn`` and ``batch``."""
-    ranked = global_rank(df, order_by, bucket)
+def assign_batches(df: DataFrame, order_by: Sequence[str], size: int, hashed: bool = False) -> DataFrame:
+    """T4: consecutive batches of ``size`` rows in ``order_by`` order (last batch
+    short). ``hashed``: the order is an md5 key and its unique source column.
+    Adds ``rn`` and ``batch``."""
+    ranked = hashed_rank(df, *order_by) if hashed else global_rank(df, order_by)
     return ranked.withColumn("batch", F.floor((F.col("rn") - 1) / F.lit(size)).cast("long"))

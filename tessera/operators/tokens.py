@@ -2,8 +2,9 @@
 
 The default tokenizer is JVM-side (whitespace split, md5-derived ids) so the
 hot path stays in codegen; a Python tokenizer can be plugged in as an Arrow
-batch UDF. Packing is a distributed prefix sum + explode + bounded regroup:
-each output sequence gathers at most ``seq_len`` tokens.
+batch UDF. Batches and offsets are worked out on (id, length) alone. Packing cuts
+each example at sequence bounds and regroups the pieces: a sequence gathers at
+most ``seq_len`` tokens in as many rows as examples meet in it.
 """
 
 from __future__ import annotations
@@ -15,16 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.fixed import LOSS_IGNORE_ID, PAD_ID
-from .sampling import prefix_sum
+from .sampling import running_total
 
 TOKEN_SPLIT = "[ \\n]+"
 EOS_ID = 1
 
 
 def hash_token_ids(text: Column) -> Column:
-    """Whitespace tokens -> ids (first 6 md5 hex digits + 2; 0 = pad, 1 = eos)."""
+    """Whitespace tokens -> 60-bit ids (first 15 md5 hex digits + 2; 0 = pad, 1 = eos)."""
     toks = F.filter(F.split(text, TOKEN_SPLIT), lambda t: t != "")
-    return F.transform(toks, lambda t: (F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long") + 2))
+    return F.transform(toks, lambda t: (F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long") + 2))
 
 
 def python_tokenizer(fn: Callable[[list[str]], list[list[int]]]):
@@ -43,22 +44,27 @@ def tokenize(df: DataFrame, text: str, tokenizer=None, name: str = "ids") -> Dat
     return df.withColumn(name, ids)
 
 
-def tokenize_pad(df: DataFrame, ids: str, batch: str, side: str = "left", pad_id: int = PAD_ID) -> DataFrame:
-    """Pad every sequence to the longest of its batch; adds ``padded``
-    and ``attention`` (0/1). Batches are bounded, so the window is too."""
-    w = Window.partitionBy(batch)
-    n_pad = F.col("_max") - F.size(ids)
-    pad = F.array_repeat(F.lit(pad_id).cast("long"), n_pad)
+def batch_lengths(lengths: DataFrame, batch: str, n: str = "n", name: str = "longest") -> DataFrame:
+    """The longest ``n`` of each batch. Batches are bounded, so the window is too."""
+    return lengths.withColumn(name, F.max(n).over(Window.partitionBy(batch)))
+
+
+def pad(df: DataFrame, ids: str, longest: str, side: str = "left", pad_id: int = PAD_ID) -> DataFrame:
+    """Pad every sequence to ``longest``; adds ``padded`` and ``attention`` (0/1)."""
+    n_pad = F.col(longest) - F.size(ids)
+    pads = F.array_repeat(F.lit(pad_id).cast("long"), n_pad.cast("int"))
     ones = F.array_repeat(F.lit(1), F.size(ids))
-    zeros = F.array_repeat(F.lit(0), n_pad)
-    out = df.withColumn("_max", F.max(F.size(ids)).over(w))
+    zeros = F.array_repeat(F.lit(0), n_pad.cast("int"))
     if side == "left":
-        out = out.withColumn("padded", F.concat(pad, F.col(ids))).withColumn("attention", F.concat(zeros, ones))
-    elif side == "right":
-        out = out.withColumn("padded", F.concat(F.col(ids), pad)).withColumn("attention", F.concat(ones, zeros))
-    else:
-        raise ValueError(side)
-    return out.drop("_max")
+        return df.withColumn("padded", F.concat(pads, F.col(ids))).withColumn("attention", F.concat(zeros, ones))
+    if side == "right":
+        return df.withColumn("padded", F.concat(F.col(ids), pads)).withColumn("attention", F.concat(ones, zeros))
+    raise ValueError(side)
+
+
+def tokenize_pad(df: DataFrame, ids: str, batch: str, side: str = "left", pad_id: int = PAD_ID) -> DataFrame:
+    """T1 on rows that have their batch: ``batch_lengths`` and ``pad``."""
+    return pad(batch_lengths(df.withColumn("_n", F.size(ids)), batch, "_n", "_max"), ids, "_max", side, pad_id).drop("_n", "_max")
 
 
 def mask_labels(col: Column, pad_id: int = PAD_ID) -> Column:
@@ -67,28 +73,23 @@ def mask_labels(col: Column, pad_id: int = PAD_ID) -> Column:
 
 
 def pack_sequences(df: DataFrame, ids: str, order_by: Sequence[str], seq_len: int, eos: int = EOS_ID,
-                   group: Sequence[str] = (), bucket: Column | None = None,
-                   labels: str | None = None) -> DataFrame:
+                   group: Sequence[str] = (), labels: str | None = None, length: Column | None = None) -> DataFrame:
     """Append eos to every example, concatenate in ``order_by`` order
     within ``group``, cut into ``seq_len`` pieces and drop each group's short
-    tail. Returns (group, seq, input_ids[, labels]).
-
-    ``bucket`` (monotone in the order) splits the running offsets over many
-    window partitions; default: the first order column divided by 4096."""
-    if bucket is None:
-        bucket = F.floor(F.col(order_by[0]) / F.lit(4096))
-    lab = labels or ids
-    ex = df.select(*group, *order_by, F.concat(F.col(ids), F.array(F.lit(eos).cast("long"))).alias("_i"),
-                   F.concat(F.col(lab), F.array(F.lit(eos).cast("long"))).alias("_l"))
-    ex = prefix_sum(ex, F.size("_i").cast("long"), list(order_by), bucket, list(group), "_end")
-    start = F.col("_end") - F.size("_i")
-    tok = ex.select(*group, F.posexplode(F.arrays_zip(F.col("_i").alias("i"), F.col("_l").alias("l"))).alias("p", "t"),
-                    start.alias("_s"))
-    pos = F.col("_s") + F.col("p")
-    tok = tok.select(*group, (pos / F.lit(seq_len)).cast("long").alias("seq"), (pos % F.lit(seq_len)).alias("q"),
-                     F.col("t.i").alias("i"), F.col("t.l").alias("l"))
-    seqs = tok.groupBy(*group, "seq").agg(F.sort_array(F.collect_list(F.struct("q", "i", "l"))).alias("_t"))
-    out = seqs.where(F.size("_t") == seq_len).select(
-        *group, "seq", F.transform("_t", lambda s: s["i"]).alias("input_ids"),
-        F.transform("_t", lambda s: s["l"]).alias("labels"))
-    return out
+    tail. Returns (group, seq, input_ids, labels). ``length`` is the length of
+    ``ids`` where a cheaper expression than its size gives it."""
+    end = F.array(F.lit(eos).cast("long"))
+    n = (F.size(ids) if length is None else length).cast("long") + 1
+    ex = running_total(df, n, order_by, group, "_end")
+    ex = ex.select(*group, F.concat(F.col(ids), end).alias("_i"), F.concat(F.col(labels or ids), end).alias("_l"),
+                   (F.col("_end") - n).alias("_s"), "_end")
+    # an example that ends in sequence k has a piece in each sequence from its first to k
+    seqs = F.sequence(F.floor(F.col("_s") / seq_len), F.floor((F.col("_end") - 1) / seq_len))
+    ex = ex.withColumn("seq", F.explode(seqs))
+    at = F.greatest(F.col("_s"), F.col("seq") * seq_len)
+    n_piece = F.least(F.col("_end"), (F.col("seq") + 1) * seq_len) - at
+    cut = lambda c: F.slice(c, (at - F.col("_s") + 1).cast("int"), n_piece.cast("int"))
+    pieces = ex.select(*group, F.col("seq").cast("long").alias("seq"), F.struct(at.alias("at"), cut("_i").alias("i"), cut("_l").alias("l")).alias("piece"))
+    rows = pieces.groupBy(*group, "seq").agg(F.sort_array(F.collect_list("piece")).alias("_t"))
+    flat = lambda f: F.flatten(F.transform("_t", lambda p: p[f]))
+    return rows.select(*group, "seq", flat("i").alias("input_ids"), flat("l").alias("labels")).where(F.size("input_ids") == seq_len)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curation as C
 from ..operators.responses import align_lists as _align
+from ..session import stored
 from . import fixtures as fx
 from .fixtures import memo
 from .oracle import metrics_sql, strip_sql
@@ -14,9 +15,9 @@ from .registry import register
 
 @memo
 def _items(spark, sf):
-    review = C.parse_review(fx.review_rows(spark, sf))
+    review = C.reviewed(C.parse_review(fx.review_rows(spark, sf)))
     # pipeline boundary: curated items feed pairs, scores, hosts and lists
-    items = C.curated_items(review, fx.part_synonyms(spark, sf)).checkpoint()
+    items = stored(C.curated_items(review, fx.part_synonyms(spark, sf)), "items")
     return review, items
 
 
@@ -80,10 +81,7 @@ cpairs AS (SELECT uid, side, label, entity, vpos, npos, lower(pred) AS pred, low
 @register("explode_entities", f"WITH {BASE}\nSELECT uid, side, label, vpos, npos, entity FROM c1")
 def explode_entities(spark, sf):
     """Review cells parsed and split into entity rows."""
-    review = C.parse_review(fx.review_rows(spark, sf))
-    return (C.explode_entities(review, "anno_map", "gold")
-            .unionByName(C.explode_entities(review, "pred_map", "pred"))
-            .unionByName(C.explode_entities(review, "wrong_map", "wrong")))
+    return C.explode_sides(C.reviewed(C.parse_review(fx.review_rows(spark, sf))))
 
 
 @register("synonyms", f"WITH {BASE}\nSELECT uid, side, label, vpos, npos, entity FROM items")
@@ -138,8 +136,8 @@ j AS (SELECT coalesce(pl.uid, tl.uid) AS uid, coalesce(pl.label, tl.label) AS la
       FROM pl FULL JOIN tl ON pl.uid = tl.uid AND pl.label = tl.label),
 c AS (SELECT *, list_sort(list_distinct(list_intersect(p, t))) AS common FROM j),
 n AS (SELECT uid, label,
-        list_slice(list_concat(common, list_sort(list_distinct(list_filter(p, lambda x: NOT list_contains(common, x))))), 1, 10) AS np,
-        list_slice(list_concat(common, list_sort(list_distinct(list_filter(t, lambda x: NOT list_contains(common, x))))), 1, 10) AS nt
+        list_concat(common, list_sort(list_distinct(list_filter(p, lambda x: NOT list_contains(common, x))))) AS np,
+        list_concat(common, list_sort(list_distinct(list_filter(t, lambda x: NOT list_contains(common, x))))) AS nt
       FROM c)
 SELECT uid, label,
   array_to_string(list_concat(np, list_transform(range(greatest(len(nt) - len(np), 0)), lambda x: 'NONE')), '|') AS pred_list,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import LABEL_ALIASES, REFUSAL_PREFIXES
 from ..operators import extraction as X
+from ..session import stored
 from . import fixtures as fx
 from .fixtures import memo
 from .oracle import LINES, WS, str_list, strip_sql
@@ -33,10 +34,10 @@ def _classified(spark, sf, relevant_only=True):
 @memo
 def _parsed(spark, sf):
     # pipeline boundary: the parsed extractions feed several reports, so the
-    # table is checkpointed (shared checkpoint dir) instead of being
+    # table is written (shared checkpoint dir) instead of being
     # re-derived in every branch of a plan
     ok = _classified(spark, sf).where(F.col("status") == "ok")
-    return ok.groupBy("uid", "label", "value").agg(F.min("pos").alias("first_pos")).checkpoint()
+    return stored(ok.groupBy("uid", "label", "value").agg(F.min("pos").alias("first_pos")), "parsed")
 
 
 @memo
@@ -45,7 +46,7 @@ def _gold(spark, sf, relevant_only=True):
     gold = X.group_annotations(gens)
     if relevant_only:
         gold = gold.join(X.relevant_papers(gens), "uid", "left_semi")
-    return gold.checkpoint()
+    return stored(gold, "gold")
 
 
 _alias_case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items())

@@ -3,91 +3,279 @@ S2-S8, ST1. Each writes to a fresh directory under the checkpoint dir."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import REPORT_ROWS_START
 from ..functions.text import literal_table
+from ..operators import crossmodel as XM
+from ..operators import curation as C
 from ..operators import metrics as M
 from ..operators import sampling as D
 from ..sources import readers as S
 from ..sources import sinks as K
-from ..session import scratch_path
+from ..session import scratch_path, stored
+from ..streaming.scores import cleaned_pairs
 from ..streaming.scores import stream_scores as _stream_scores
 from . import fixtures as fx
 from .fixtures import memo
-from .oracle import LINES, PAIRS, SOURCE_PAIRS, metrics_sql
+from .oracle import LINES, MENTIONS, PAIRS, SOURCE_PAIRS, VOCAB, metrics_sql
+from .q_crossmodel import GROUPS
+from .q_curation import BASE as CURATION
 from .q_curation import host_index as _host_index_rows
 from .q_extraction import extraction_table as _extraction_table
+from .q_metrics import CONF_LABELS, confusion_long
+from .q_text import CLEANED
 from .registry import ORACLE, register
 
 
 @memo
-def _m1_rows(spark, sf):
-    pairs = fx.model_pairs(spark, sf).where(F.col("model") == "m1")
-    return D.global_rank(pairs, ["id"], bucket=F.floor(F.col("id") / F.lit(4096)), name="num")
+def _numbered(spark, sf):
+    """The pairs of all models, numbered by id within each model."""
+    return stored(D.running_total(fx.model_pairs(spark, sf), F.lit(1), ["id"], ["model"], "num"), "numbered")
+
+
+@memo
+def _reports3(spark, sf):
+    """A folder with a three-column report for each model (a handful)."""
+    base, rows = scratch_path(spark, "reports3"), _numbered(spark, sf)
+    models = {m: f"{base}/{m}" for m, _ in fx.PAIR_MODELS}
+    for m, path in models.items():
+        mine = rows.where(F.col("model") == m)
+        lines = K.report_lines(spark, mine.select("num", "pred", "true"), M.compute_metrics(mine),
+                               {"n_shots": 0, "batch_size": 8, "data_name": "kbase", "num_classes": 4,
+                                "generation_config": {"max_new_tokens": 10}}, task_prompt="(zero-shot)",
+                               originals=mine.select("num", F.concat(F.lit("user_"), F.col("id")).alias("entity"), "pred", "true"))
+        K.write_report(lines, path)
+    return models
+
+
+def _read_reports3(spark, sf):
+    models = _reports3(spark, sf)
+    return XM.tag_union(S.read_report(spark, list(models.values()), cols=3), models)
 
 
 @register("report_roundtrip3", f"""WITH {PAIRS}
-SELECT row_number() OVER (ORDER BY id) AS num, lower(pred) AS pred, lower("true") AS "true" FROM pairs WHERE model = 'm1'""")
+SELECT model, row_number() OVER (PARTITION BY model ORDER BY id) AS num, lower(pred) AS pred, lower("true") AS "true" FROM pairs""")
 def report_roundtrip3(spark, sf):
-    """K4 + S5: three-column run report written as text and parsed back."""
-    rows = _m1_rows(spark, sf)
-    metrics = M.compute_metrics(rows)
-    path = scratch_path(spark, "report3")
-    lines = K.report_lines(spark, rows.select("num", "pred", "true"), metrics,
-                           {"n_shots": 0, "batch_size": 8, "data_name": "kbase", "num_classes": 4},
-                           task_prompt="(zero-shot)",
-                           originals=rows.select("num", F.concat(F.lit("user_"), F.col("id")).alias("entity"),
-                                                 "pred", "true"))
-    K.write_report(lines, path)
-    return S.read_report(spark, path, cols=3).select("num", "pred", "true")
+    """K4 + S5 + X1: a three-column run report for each model, parsed back as one table."""
+    return _read_reports3(spark, sf).select("model", "num", "pred", "true")
+
+
+_rc, _rs = metrics_sql("lowered", ["model"])
+_BOARD_SQL = _rs.replace(", 6)", ", 4)").replace(
+    "SELECT model, CAST(sum(support) AS BIGINT) AS n, CAST(sum(tp) AS BIGINT) AS correct,\n  CAST(count(*) AS BIGINT) AS n_classes,",
+    "SELECT model,")
+
+
+@register("leaderboard_from_reports", f"""WITH {PAIRS},
+lowered AS (SELECT model, lower(pred) AS pred, lower("true") AS "true" FROM pairs),
+{_rc}
+{_BOARD_SQL}""")
+def leaderboard_from_reports(spark, sf):
+    """X1 -> E10 -> K6: a folder of reports scored by model, written as one JSON
+    object and read back."""
+    board = M.compute_metrics(_read_reports3(spark, sf), keys=["model"], digits=None)
+    path = scratch_path(spark, "leaderboard")
+    K.write_leaderboard(board, path)
+    back = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,map<string,double>>")).alias("model", "m"))
+    return back.select("model", *[F.col("m")[c].alias(c) for c in M.METRIC_NAMES])
+
+
+@register("report_header", f"""WITH {PAIRS},
+{_rc.replace("FROM lowered", "FROM pairs")},
+sc AS ({_rs}),
+h AS (SELECT * FROM (VALUES (0, '>> N-shots: 0'), (1, '>> Number of processes: 1'),
+  (2, '>> Batch size per process: 8, Total batch size: 8'), (3, '>> Test sample size: -1'),
+  (4, '>> Number of KBase classes: 4'), (5, '>> Execution time: '), (6, '>> Generation configuration:'),
+  (7, '{{''max_new_tokens'': 10}}'), (8, '>> Task prompt:'), (9, '(zero-shot)'), (10, '{"-" * 68}')) t(i, line)),
+f AS (SELECT model, unnest([11, 12, 13, 14, 15, 16, 17]) AS i, unnest([
+  format('>>             Accuracy: {{:.4f}}', accuracy),
+  format('>> (macro)    Precision: {{:.4f}}, Recall: {{:.4f}}, F1: {{:.4f}}', macro_p, macro_r, macro_f),
+  format('>> (micro)    Precision: {{:.4f}}, Recall: {{:.4f}}, F1: {{:.4f}}', micro_p, micro_r, micro_f),
+  format('>> (weighted) Precision: {{:.4f}}, Recall: {{:.4f}}, F1: {{:.4f}}', weighted_p, weighted_r, weighted_f),
+  '{"=" * 68}', 'Num, Pred, True:', '{"*" * 68}']) AS line FROM sc)
+SELECT model, CAST(i AS BIGINT) AS i, line FROM (SELECT DISTINCT model FROM pairs) CROSS JOIN h
+UNION ALL SELECT model, CAST(i AS BIGINT), line FROM f""")
+def report_header(spark, sf):
+    """K4: header, configuration and metric block of each written report."""
+    models = _reports3(spark, sf)
+    lines = XM.tag_union(S.report_text(spark, list(models.values())), models, "report")
+    at = F.struct("part", "block", "mid")
+    end = lines.where(F.col("line") == REPORT_ROWS_START).groupBy("model").agg(F.min(at).alias("end"))
+    head = lines.join(end, "model").where(at <= F.col("end"))  # a fixed number of lines for each model
+    i = F.row_number().over(Window.partitionBy("model").orderBy("part", "block", "mid")) - 1
+    return head.select("model", i.cast("long").alias("i"), "line")
 
 
 @register("report_roundtrip4", f"""WITH {SOURCE_PAIRS}
-SELECT num, src, pred, "true" FROM spairs WHERE model = 'm0'""")
+SELECT model, num, src, pred, "true" FROM spairs""")
 def report_roundtrip4(spark, sf):
-    """K4 + S6: four-column report whose source holds ', ', parsed back."""
-    rows = fx.source_pairs(spark, sf).where(F.col("model") == "m0")
-    metrics = M.compute_metrics(rows)
-    path = scratch_path(spark, "report4")
-    lines = K.report_lines(spark, rows.select("num", "src", "pred", "true"), metrics,
-                           {"n_shots": 0, "batch_size": 8, "data_name": "string"}, with_src=True)
-    K.write_report(lines, path)
-    return S.read_report(spark, path, cols=4).select("num", "src", "pred", "true")
+    """K4 + S6 + X1: four-column reports whose source holds ', ', parsed back."""
+    base = scratch_path(spark, "reports4")
+    models = {m: f"{base}/{m}" for m, _ in fx.SOURCE_MODELS}
+    for m, path in models.items():
+        rows = fx.source_pairs(spark, sf).where(F.col("model") == m)
+        lines = K.report_lines(spark, rows.select("num", "src", "pred", "true"), M.compute_metrics(rows),
+                               {"n_shots": 0, "batch_size": 8, "data_name": "string"}, with_src=True)
+        K.write_report(lines, path)
+    return XM.tag_union(S.read_report(spark, list(models.values()), cols=4), models).select("model", "num", "src", "pred", "true")
 
 
 LOOSE = f"""{SOURCE_PAIRS},
-ll AS (SELECT CASE WHEN (num - 1) % 11 = 0 THEN split_part(src, ', ', 1) || ',' || split_part(src, ', ', 2) || ',' || pred || ',' || "true"
+ll AS (SELECT model, num, CASE WHEN (num - 1) % 11 = 0 THEN split_part(src, ', ', 1) || ',' || split_part(src, ', ', 2) || ',' || pred || ',' || "true"
                    WHEN (num - 1) % 7 = 0 THEN split_part(src, ', ', 1) || ',,' || pred || ',' || "true"
                    ELSE split_part(src, ', ', 1) || ',' || pred || ',' || "true" END AS line
-       FROM spairs WHERE model = 'm1'),
-lp AS (SELECT line, string_split(replace(line, ',,', ','), ',') AS parts FROM ll)"""
+       FROM spairs),
+lp AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY num) AS pos, line,
+              string_split(replace(line, ',,', ','), ',') AS parts FROM ll)"""
+
+
+def _write_loose(spark, rows, body, path, two_fields=False):
+    head = literal_table(spark, [(0, "Pred, True:" if two_fields else "Src, Pred, True:"), (1, REPORT_ROWS_START)], "o long, value string")
+    lines = head.unionByName(rows.select((F.col("num") + 1).alias("o"), body.alias("value")))
+    lines.orderBy("o").select("value").write.mode("overwrite").text(path)
 
 
-def _loose_lines(spark, sf):
-    r = fx.source_pairs(spark, sf).where(F.col("model") == "m1")
-    name = F.substring_index("src", ", ", 1)
-    brand = F.substring_index("src", ", ", -1)
-    k = F.col("num") - 1
+@memo
+def _loose3(spark, sf):
+    """A loose three-field report for each of the five models."""
+    base = scratch_path(spark, "loose")
+    models = {m: f"{base}/{m}" for m, _ in fx.SOURCE_MODELS}
+    name, brand, k = F.substring_index("src", ", ", 1), F.substring_index("src", ", ", -1), F.col("num") - 1
     line = (F.when(k % 11 == 0, F.concat_ws(",", name, brand, "pred", "true"))
             .when(k % 7 == 0, F.concat(name, F.lit(",,"), F.concat_ws(",", "pred", "true")))
             .otherwise(F.concat_ws(",", name, "pred", "true")))
-    head = literal_table(spark, [(0, "Src, Pred, True:"), (1, REPORT_ROWS_START)], "o long, value string")
-    body = r.select((F.col("num") + 1).alias("o"), line.alias("value"))
-    return head.unionByName(body)
+    for m, path in models.items():
+        _write_loose(spark, fx.source_pairs(spark, sf).where(F.col("model") == m), line, path)
+    return XM.tag_union(S.read_report_loose(spark, list(models.values()), 3), models)
 
 
 @register("report_loose", f"""WITH {LOOSE}
-SELECT line, len(parts) = 3 AS ok,
+SELECT model, pos, line, len(parts) = 3 AS ok,
        CASE WHEN len(parts) = 3 THEN trim(parts[1]) END AS src,
        CASE WHEN len(parts) = 3 THEN trim(parts[2]) END AS pred,
        CASE WHEN len(parts) = 3 THEN trim(parts[3]) END AS "true" FROM lp""")
 def report_loose(spark, sf):
-    """Loose comma report with ',,' noise and wrong field counts kept
-    as quarantined rows."""
-    path = scratch_path(spark, "loose")
-    _loose_lines(spark, sf).orderBy("o").select("value").write.mode("overwrite").text(path)
-    return S.read_report_loose(spark, path, 3).select("line", "ok", "src", "pred", "true")
+    """Loose comma reports with ',,' noise; wrong field counts are kept as
+    quarantined rows, each with its line number."""
+    return _loose3(spark, sf).select("model", "pos", "line", "ok", "src", "pred", "true")
+
+
+@register("agreement_from_reports", f"""WITH {LOOSE},
+ta AS (SELECT pos, len(parts) = 3 AS good, trim(parts[-2]) = trim(parts[-1]) AS ok FROM lp WHERE model = 'm0'),
+tb AS (SELECT row_number() OVER (ORDER BY num) AS pos, pred = "true" AS ok FROM spairs WHERE model = 'm1'),
+j AS (SELECT ta.ok AS a, tb.ok AS b FROM ta JOIN tb USING (pos) WHERE good)
+SELECT 'all' AS rows, CAST(count(*) AS BIGINT) AS n, CAST(sum((a = b)::INT) AS BIGINT) AS agree, round(avg((a = b)::INT), 6) AS rate FROM j
+UNION ALL SELECT 'first right', CAST(count(*) AS BIGINT), CAST(sum((a = b)::INT) AS BIGINT), round(avg((a = b)::INT), 6) FROM j WHERE a
+UNION ALL SELECT 'unmatched', CAST(count(*) AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM ta WHERE NOT good""")
+def agreement_from_reports(spark, sf):
+    """S7 -> E11 / E12: two tasks' reports (three and two fields) joined on the
+    original line, so a quarantined line of one does not shift the other."""
+    a = _loose3(spark, sf).where(F.col("model") == "m0")
+    path = scratch_path(spark, "loose2")
+    _write_loose(spark, fx.source_pairs(spark, sf).where(F.col("model") == "m1"), F.concat_ws(",", "pred", "true"), path, True)
+    b = S.read_report_loose(spark, path, 2)
+    ok = (F.col("pred") == F.col("true")).alias("ok")
+    ta, tb = a.where("ok").select("pos", ok), b.where("ok").select("pos", ok)
+    lost = a.where("not ok").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("agree"), F.lit(0.0).alias("rate"))
+    parts = [("all", M.agreement(ta, tb, ["pos"])), ("first right", M.conditional_agreement(ta, tb, ["pos"])), ("unmatched", lost)]
+    return reduce(DataFrame.unionByName, [x.select(F.lit(n).alias("rows"), "n", "agree", "rate") for n, x in parts])
+
+
+@register("pairs_files", f"""WITH {GROUPS}
+SELECT CASE WHEN pred = "true" THEN 'right' ELSE 'wrong' END AS kind, src || ', ' || pred AS line FROM complete WHERE n_preds = 1""")
+def pairs_files(spark, sf):
+    """X3 -> K7: the two lists of unanimous answers written and read back."""
+    right, wrong = XM.unanimous(fx.source_pairs(spark, sf))
+    out = []
+    for kind, rows in (("right", right), ("wrong", wrong)):
+        path = scratch_path(spark, f"pairs-{kind}")
+        K.write_pairs(rows, path)
+        out.append(spark.read.text(path).select(F.lit(kind).alias("kind"), F.col("value").alias("line")))
+    return out[0].unionByName(out[1])
+
+
+@register("confusion_files", ORACLE.get("confusion_long"))
+def confusion_files(spark, sf):
+    """E8 -> K5: confusion tables written (long and wide) and the long one read back."""
+    path = scratch_path(spark, "confusion")
+    K.write_confusion(confusion_long(spark, sf), CONF_LABELS, path)
+    return spark.read.parquet(f"{path}/long")
+
+
+@register("mentions_file", f"""WITH {MENTIONS}
+SELECT id, text, entity, CASE WHEN id % 10 = 3 THEN NULL ELSE label END AS label FROM mentions
+WHERE id % 10 = 3 OR label <> '{fx.FIXTURE_NOT_RELEVANT}'""")
+def mentions_file(spark, sf):
+    """Mention records written as JSON lines (some without a label) and read
+    without the not-relevant ones."""
+    path = scratch_path(spark, "mentions")
+    m = fx.mentions_raw(spark, sf).withColumn("label", F.when(F.col("id") % 10 != 3, F.col("label")))
+    m.write.json(path)
+    return S.read_mentions(spark, path, exclude=[fx.FIXTURE_NOT_RELEVANT], multiline=False)
+
+
+@register("corpus_file", f"""WITH {LINES}
+SELECT g.title, g.uid, g.uid AS doi, md5(min(g.pred)) AS text_md5, CAST(count(*) AS BIGINT) AS n_annotations,
+       md5(string_agg(l.anno_label || ':' || l.anno_entity, '|' ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice,
+           l.line, l.anno_label, l.anno_entity)) AS annotations_md5
+FROM gens g JOIN glines l ON l.uid = g.uid GROUP BY g.title, g.uid""")
+def corpus_file(spark, sf):
+    """Papers with nested annotations written as Parquet and read back."""
+    path = scratch_path(spark, "corpus")
+    fx.generations(spark, sf).select("title", "uid", F.col("pred").alias("full_text"), "annotations").write.parquet(path)
+    p = S.read_corpus(spark, path)
+    listed = F.array_join(F.transform("annotations", lambda a: F.concat(a["label"], F.lit(":"), a["entity"])), "|")
+    return p.select("title", "uid", "doi", F.md5("full_text").alias("text_md5"), F.size("annotations").cast("long").alias("n_annotations"),
+                    F.md5(listed).alias("annotations_md5"))
+
+
+@register("label_vocab_file", f"""WITH {VOCAB}
+SELECT label, CAST(id * 10 + 10 AS INTEGER) AS id, id < 2 AS among_first FROM vocab""")
+def label_vocab_file(spark, sf):
+    """S3: the vocabulary as one JSON object with sparse ids, read whole and cut to
+    the first two labels by rank."""
+    path = scratch_path(spark, "vocab")
+    v = fx.mention_vocab(spark, sf).select("label", (F.col("id") * 10 + 10).alias("id"))
+    entry = F.struct("label", F.struct("id").alias("v"))
+    v.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).coalesce(1).write.text(path)
+    first = S.read_label_vocab(spark, path, 2).select("label", F.lit(True).alias("among_first"))
+    return S.read_label_vocab(spark, path).join(first, "label", "left").select("label", "id", F.coalesce("among_first", F.lit(False)).alias("among_first"))
+
+
+def _review_file(spark, sf):
+    """Review rows as CSV; by order number some cells are broken off."""
+    n = F.substring_index("uid", "-", -1).cast("long") % 20
+    cut = lambda c: F.expr(f"substring({c}, 1, length({c}) - 1)")
+    r = fx.review_rows(spark, sf)
+    r = r.select("title", "uid", F.when(n == 1, cut("annotation")).otherwise(F.col("annotation")).alias("annotation"),
+                 F.when(n == 2, cut("prediction")).otherwise(F.col("prediction")).alias("prediction"), "true",
+                 F.when(n == 3, F.lit('"x": [')).otherwise(F.col("wrong")).alias("wrong"), "rejected")
+    path = scratch_path(spark, "review")
+    r.write.option("header", True).option("escape", '"').csv(path)
+    return C.parse_review(S.read_review(spark, path))
+
+
+_BROKEN = """SELECT uid, title, rejected, CASE CAST(split_part(uid, '-', 2) AS BIGINT) % 20
+  WHEN 1 THEN 'annotation' WHEN 2 THEN 'prediction' WHEN 3 THEN CASE WHEN rejected THEN 'ok' ELSE 'wrong' END ELSE 'ok' END AS status FROM flags"""
+
+
+@register("review_quarantine", f"""WITH {CURATION},
+b AS ({_BROKEN}) SELECT title, uid, status FROM b WHERE status <> 'ok'""")
+def review_quarantine(spark, sf):
+    """Review rows with a broken cell, by the cell that is broken."""
+    return C.review_quarantine(_review_file(spark, sf))
+
+
+@register("review_file", f"""WITH {CURATION},
+b AS ({_BROKEN})
+SELECT c1.uid, side, label, vpos, npos, entity FROM c1 JOIN b ON b.uid = c1.uid WHERE b.status = 'ok'""")
+def review_file(spark, sf):
+    """S8 + S9 + C1: the review sheet read from CSV; whole rows become entity rows."""
+    return C.explode_sides(C.reviewed(_review_file(spark, sf)))
 
 
 @register("generations_roundtrip", f"""WITH {LINES}
@@ -106,38 +294,40 @@ def generations_roundtrip(spark, sf):
                        F.md5("pred").alias("pred_md5"))
 
 
-_sc, _ss = metrics_sql("p1")
+_sc, _ss = metrics_sql("sp", ["shape"])
 
 
-@register("stream_scores", f"""WITH {PAIRS},
-p1 AS (SELECT * FROM pairs WHERE model = 'm1'),
+@register("stream_scores", f"""WITH {CLEANED},
+sp AS (SELECT CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS shape, pred, "true" FROM cpairs),
 {_sc}
 {_ss}""")
 def stream_scores(spark, sf):
-    """ST1: running confusion over a file stream of pairs (complete mode,
-    foreachBatch snapshots); final scores equal the batch scores."""
-    pairs = fx.model_pairs(spark, sf).where(F.col("model") == "m1").select("id", "true", "pred")
+    """ST1: a file stream of raw responses, cleaned batch by batch, with a running
+    confusion by key; the last scores equal the batch scores."""
     src = scratch_path(spark, "stream-src")
-    pairs.repartition(4, "id").write.mode("overwrite").parquet(src)
-    return _stream_scores(spark, src, "id long, true string, pred string", scratch_path(spark, "stream-snap"),
-                          scratch_path(spark, "stream-ckpt"))
+    r = fx.mention_responses(spark, sf).withColumn("shape", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+    r.select("shape", "id", "entity", "label", "response").write.parquet(src)
+    vocab = [x.label for x in fx.mention_vocab(spark, sf).orderBy("id").collect()]  # a handful of labels
+    stream = spark.readStream.schema("shape string, id long, entity string, label string, response string").option("maxBytesPerTrigger", str(64 << 20)).parquet(src)
+    return _stream_scores(spark, cleaned_pairs(stream, vocab, ["shape"]), scratch_path(spark, "stream-snap"),
+                          scratch_path(spark, "stream-ckpt"), keys=["shape"])
 
 
-_ec, _ = metrics_sql("e", ["epoch"])
+_ec, _ = metrics_sql("e", ["model", "epoch"])
 
 
 @register("metric_log", f"""WITH {PAIRS},
-e AS (SELECT *, id % 5 AS epoch FROM pairs WHERE model = 'm1'),
+e AS (SELECT *, id % 5 AS epoch FROM pairs),
 {_ec}
-SELECT CAST(epoch AS BIGINT) AS epoch, CAST((epoch + 1) * 100 AS BIGINT) AS step,
+SELECT model, CAST(epoch AS BIGINT) AS epoch, CAST((epoch + 1) * 100 AS BIGINT) AS step,
   round(coalesce(2.0 * sum(tp) / nullif(sum(n_pred) + sum(support), 0), 0), 6) AS micro_f1,
   round(avg(f1), 6) AS macro_f1
-FROM cls GROUP BY epoch""")
+FROM cls GROUP BY model, epoch""")
 def metric_log(spark, sf):
-    """K8: per-epoch validation scores appended to a log table, read back."""
-    pairs = fx.model_pairs(spark, sf).where(F.col("model") == "m1").withColumn("epoch", F.col("id") % 5)
-    m = M.compute_metrics(pairs, keys=["epoch"])
-    rows = m.select(F.col("epoch").cast("long"), ((F.col("epoch") + 1) * 100).cast("long").alias("step"),
+    """K8: per-epoch validation scores of each model appended to a log table, read back."""
+    pairs = fx.model_pairs(spark, sf).withColumn("epoch", F.col("id") % 5)
+    m = M.compute_metrics(pairs, keys=["model", "epoch"])
+    rows = m.select("model", F.col("epoch").cast("long"), ((F.col("epoch") + 1) * 100).cast("long").alias("step"),
                     F.col("micro_f").alias("micro_f1"), F.col("macro_f").alias("macro_f1"))
     path = scratch_path(spark, "metric-log")
     K.append_metric_log(rows.where(F.col("epoch") < 2), path)

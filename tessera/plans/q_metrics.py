@@ -73,18 +73,20 @@ _conf = str_list(CONF_LABELS)
 
 
 @register("confusion_long", f"""WITH {PAIRS},
-lab AS (SELECT label, CAST(generate_subscripts({_conf}, 1) - 1 AS INTEGER) AS idx
-        FROM (SELECT unnest({_conf}) AS label)),
+heard AS (SELECT model, "true", pred FROM pairs UNION ALL SELECT 'silent', "true", 'none' FROM pairs),
 lab2 AS (SELECT unnest({_conf}) AS label, CAST(generate_subscripts({_conf}, 1) - 1 AS INTEGER) AS idx),
-c AS (SELECT model, "true" AS t, pred AS p, count(*) AS n FROM pairs
+c AS (SELECT model, "true" AS t, pred AS p, count(*) AS n FROM heard
       WHERE pred IN (SELECT label FROM lab2) AND "true" IN (SELECT label FROM lab2) GROUP BY ALL)
 SELECT m.model, a.label AS "true", b.label AS pred, a.idx AS true_idx, b.idx AS pred_idx,
        CAST(coalesce(c.n, 0) AS BIGINT) AS n
-FROM (SELECT DISTINCT model FROM c) m CROSS JOIN lab2 a CROSS JOIN lab2 b
+FROM (SELECT DISTINCT model FROM heard) m CROSS JOIN lab2 a CROSS JOIN lab2 b
 LEFT JOIN c ON c.model = m.model AND c.t = a.label AND c.p = b.label""")
 def confusion_long(spark, sf):
-    """Confusion over a fixed label grid, zero cells included."""
-    return M.confusion(fx.model_pairs(spark, sf), CONF_LABELS, keys=["model"])
+    """Confusion over a fixed label grid, zero cells included; the model that
+    never gives a label of the list keeps its row of zeros."""
+    pairs = fx.model_pairs(spark, sf).select("model", "true", "pred")
+    silent = pairs.select(F.lit("silent").alias("model"), "true", F.lit("none").alias("pred"))
+    return M.confusion(pairs.unionByName(silent), CONF_LABELS, keys=["model"])
 
 
 @register("confusion_t", f"""WITH {PAIRS},
@@ -93,7 +95,7 @@ c AS (SELECT model, pred AS t, "true" AS p, count(*) AS n FROM pairs
       WHERE pred IN (SELECT label FROM lab2) AND "true" IN (SELECT label FROM lab2) GROUP BY ALL)
 SELECT m.model, a.label AS "true", b.label AS pred, a.idx AS true_idx, b.idx AS pred_idx,
        CAST(coalesce(c.n, 0) AS BIGINT) AS n
-FROM (SELECT DISTINCT model FROM c) m CROSS JOIN lab2 a CROSS JOIN lab2 b
+FROM (SELECT DISTINCT model FROM pairs) m CROSS JOIN lab2 a CROSS JOIN lab2 b
 LEFT JOIN c ON c.model = m.model AND c.t = a.label AND c.p = b.label""")
 def confusion_t(spark, sf):
     """Transposed confusion (predictions on rows)."""

@@ -12,6 +12,8 @@ from ..operators import tokens as T
 from . import fixtures as fx
 from .fixtures import memo
 from .oracle import MENTIONS, VOCAB, strip_sql, values
+from ..session import stored
+from ..sources.readers import first_labels
 from .registry import register
 
 SHOTS = 1
@@ -71,7 +73,7 @@ SELECT label, id, chr(65 + id) AS letter, (SELECT string_agg('"' || label || '"'
 FROM v""")
 def label_vocab_topn(spark, sf):
     """S3+P2+P3: first N vocabulary labels, option letters, choices string."""
-    v = fx.mention_vocab(spark, sf).where(F.col("id") < 3)
+    v = first_labels(fx.mention_vocab(spark, sf), 3)
     return P.choice_letters(v).crossJoin(P.choices_string(v)).select("label", "id", "letter", "choices")
 
 
@@ -150,17 +152,42 @@ def eval_prompts(spark, sf):
 
 @register("train_prompts", f"""WITH {SPLITS},
 tmpl AS {_tmpl_table()}
-SELECT s.id, md5({_q_sql("s.")} || {_a_sql("s.")}) AS text_md5, s.label AS answer
-FROM splits s CROSS JOIN choices c JOIN tmpl t ON t.family = 'llama3' WHERE s.split = 'train'""")
+SELECT t.family, s.id, md5({_q_sql("s.")} || {_a_sql("s.")}) AS text_md5
+FROM splits s CROSS JOIN choices c CROSS JOIN tmpl t WHERE s.split = 'train'""")
 def train_prompts(spark, sf):
-    """P5: training rows (question + answer, no few-shot prefix)."""
+    """P5: training rows (question + answer, no few-shot prefix) of every family."""
+    fams = literal_table(spark, [(f,) for f in P.FAMILIES], "family string")
     tr = _split(spark, sf).where(F.col("split") == "train").crossJoin(P.choices_string(fx.mention_vocab(spark, sf)))
-    cat = P.template_catalogue(spark)
-    x = P.render_prompt(tr, cat, "kbase", "entity_type_q",
-                        {"entity": F.col("entity"), "text": F.col("text"), "choices": F.col("choices")},
-                        family="llama3", name="q")
-    x = P.render_prompt(x, cat, "kbase", "entity_type_a", {"label": F.col("label")}, family="llama3", name="a")
-    return x.select("id", F.md5(F.concat("q", "a")).alias("text_md5"), F.col("label").alias("answer"))
+    x = P.format_examples(tr.crossJoin(F.broadcast(fams)), P.template_catalogue(spark), "family", "train", F.col("choices"))
+    return x.select("family", "id", F.md5("prompt_text").alias("text_md5"))
+
+
+@register("eval_sample", f"""WITH {SPLITS}
+SELECT id, split, rn FROM (SELECT *, row_number() OVER (ORDER BY rn) AS i FROM splits WHERE split = 'test') t WHERE i <= 50""")
+def eval_sample(spark, sf):
+    """The first fifty test rows in split order (the sample size is the feature)."""
+    return P.eval_rows(_split(spark, sf), "test", 50).select("id", "split", "rn")
+
+
+_SLOT_VALUES = {"entity": "n_name", "text": "n_comment", "choices": "'\"a\", \"b\"'", "label": "n_name", "answer": "n_name", "e1": "n_name",
+                "e2": "n_comment", "pathway": "n_name", "gene": "n_comment", "num": "CAST(n_nationkey AS VARCHAR)"}
+
+
+def _slots_sql(x):
+    for k, v in _SLOT_VALUES.items():
+        x = f"replace({x}, '{{{k}}}', {v})"
+    return x
+
+
+@register("all_slots", f"""WITH cat AS {values(P.catalogue_rows(), "family, dataset, slot, template")},
+n AS (SELECT n_nationkey, n_name, n_name || ' text' AS n_comment FROM nation)
+SELECT n_nationkey, family, dataset, slot, md5({_slots_sql("template")}) AS prompt_md5 FROM cat CROSS JOIN n""")
+def all_slots(spark, sf):
+    """Every slot of every family and dataset rendered."""
+    n = fx.load(spark, sf, "nation").select("n_nationkey", "n_name", F.concat("n_name", F.lit(" text")).alias("n_comment"))
+    vals = {k: F.expr(v.replace("VARCHAR", "STRING")) for k, v in _SLOT_VALUES.items()}
+    x = n.crossJoin(F.broadcast(P.template_catalogue(spark)))  # the catalogue is fixed
+    return x.select("n_nationkey", "family", "dataset", "slot", F.md5(P.fill(F.col("template"), vals)).alias("prompt_md5"))
 
 
 @register("batches", f"""WITH {SPLITS},
@@ -169,7 +196,7 @@ SELECT id, CAST((r - 1) // {BATCH} AS BIGINT) AS batch FROM ev""")
 def batches(spark, sf):
     """T4: evaluation rows cut into batches of eight in split order."""
     ev = _split(spark, sf).where(F.col("split").isin("validation", "test")).drop("rn")
-    return D.assign_batches(ev, ["ord", "id"], BATCH).select("id", "batch")
+    return D.assign_batches(ev, ["ord", "id"], BATCH, hashed=True).select("id", "batch")
 
 
 PAPERS = f"""pp AS (SELECT doc_id, source,
@@ -197,6 +224,19 @@ def compose_text(spark, sf):
     return c.select("doc_id", F.md5("text").alias("text_md5"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
+@register("paper_prompts", f"""WITH {PAPERS},
+pv AS (SELECT string_agg('"' || l || '"', ', ' ORDER BY l) AS choices FROM (SELECT DISTINCT lower(p_type) AS l FROM part)),
+tmpl AS {values([(f, P.template(f, "kbase", "paper_q")) for f in P.FAMILIES], "family, q_tmpl")}
+SELECT t.family, c.doc_id, md5(replace(replace(t.q_tmpl, '{{choices}}', pv.choices), '{{text}}', c.text)) AS prompt_md5
+FROM comp c CROSS JOIN pv CROSS JOIN tmpl t""")
+def paper_prompts(spark, sf):
+    """P1 + P2 + P5: the paper task's prompts of every family."""
+    fams = literal_table(spark, [(f,) for f in P.FAMILIES], "family string")
+    x = _composed(spark, sf).crossJoin(P.choices_string(fx.paper_vocab(spark, sf))).crossJoin(F.broadcast(fams))
+    x = P.format_examples(x, P.template_catalogue(spark), "family", "test", F.col("choices"), task="entity_and_entity_type")
+    return x.select("family", "doc_id", F.md5("prompt_text").alias("prompt_md5"))
+
+
 @register("length_guard", f"""WITH {PAPERS},
 lim AS (SELECT source, CASE WHEN k % 5 = 4 THEN NULL ELSE CAST(2048 * pow(2, k % 4) AS INTEGER) END AS "limit"
         FROM (SELECT DISTINCT source, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS k FROM documents) s),
@@ -214,7 +254,7 @@ def length_guard(spark, sf):
 
 
 TOKENS = f"""d AS (SELECT doc_id, list_transform(list_filter(string_split_regex(text, '[ \\n]+'), lambda t: t <> ''),
-                   lambda t: CAST(('0x' || substr(md5(t), 1, 6))::INTEGER AS BIGINT) + 2) AS ids FROM documents),
+                   lambda t: ('0x' || substr(md5(t), 1, 15))::BIGINT + 2) AS ids FROM documents),
 b AS (SELECT d.*, CAST((row_number() OVER (ORDER BY doc_id) - 1) // {BATCH} AS BIGINT) AS batch FROM d),
 tp AS (SELECT b.*, max(len(ids)) OVER (PARTITION BY batch) AS m FROM b),
 tp2 AS (SELECT doc_id, batch, ids, m,
@@ -228,8 +268,10 @@ tp3 AS (SELECT *, list_transform(padded, lambda x: CASE WHEN x = 0 THEN -100 ELS
 def _padded(spark, sf):
     docs = fx.load(spark, sf, "documents").select("doc_id", "text")
     t = T.tokenize(docs, "text")
-    b = D.assign_batches(t, ["doc_id"], BATCH, bucket=F.floor(F.col("doc_id") / F.lit(4096)))
-    p = T.tokenize_pad(b, "ids", "batch", side="left")
+    # batches and their longest sequence from (id, length); the ids join last
+    b = D.assign_batches(t.select("doc_id", F.size("ids").alias("n")), ["doc_id"], BATCH)
+    b = stored(T.batch_lengths(b, "batch"), "batches")
+    p = T.pad(t.join(b, "doc_id"), "ids", "longest", side="left")
     return p.withColumn("masked", T.mask_labels(F.col("padded")))
 
 
@@ -271,6 +313,6 @@ def packed_sequences(spark, sf):
     """Padded inputs and masked labels packed into 128-token sequences
     within 16 hash groups (each group drops its own short tail)."""
     p = _padded(spark, sf).withColumn("grp", F.col("doc_id") % PACK_GROUPS)
-    packed = T.pack_sequences(p, "padded", ["doc_id"], SEQ_LEN, group=["grp"], labels="masked")
+    packed = T.pack_sequences(p, "padded", ["doc_id"], SEQ_LEN, group=["grp"], labels="masked", length=F.col("longest"))
     return packed.select("grp", "seq", _md5_ids(F.col("input_ids")).alias("ids_md5"),
                          _md5_ids(F.col("labels")).alias("labels_md5"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import literal_table
 from ..operators import prompts as P
 from ..operators import responses as R
-from ..operators.inference import choice_channel_factory, generate
+from ..operators.inference import generate
 from . import fixtures as fx
 from .fixtures import memo
 from .oracle import RESPONSES, strip_sql
-from .q_prep import SPLITS, _split
+from .q_prep import SPLITS, _split, _tmpl_table
 from .registry import register
 
 CLEAN = f"""{RESPONSES},
@@ -36,14 +37,17 @@ def clean_response(spark, sf):
     return c.select("id", F.array_join("hits", "|").alias("hits"), "cleaned")
 
 
-@register("scored_pairs", f"""WITH {RESPONSES},
+CLEANED = f"""{RESPONSES},
 st AS (SELECT r.*, v.vocab, {strip_sql("r.response")} AS resp, {strip_sql("r.label")} AS gold
        FROM responses r CROSS JOIN vocab_arr v),
-cr AS (SELECT *, list_filter(list_transform(vocab, lambda l: lower(l)),
-                             lambda l: contains(replace(lower(resp), lower(entity), ''), l)) AS hits FROM st)
-SELECT id, lower(CASE WHEN len(hits) = 1 THEN hits[1]
+crs AS (SELECT *, list_filter(list_transform(vocab, lambda l: lower(l)),
+                             lambda l: contains(replace(lower(resp), lower(entity), ''), l)) AS hits FROM st),
+cpairs AS (SELECT id, lower(CASE WHEN len(hits) = 1 THEN hits[1]
                       WHEN len(hits) > 1 AND list_contains(hits, lower(gold)) THEN lower(gold)
-                      ELSE 'None' END) AS pred, lower(gold) AS "true" FROM cr""")
+                      ELSE 'None' END) AS pred, lower(gold) AS "true" FROM crs)"""
+
+
+@register("scored_pairs", f"WITH {CLEANED}\nSELECT id, pred, \"true\" FROM cpairs")
 def scored_pairs(spark, sf):
     """R2: stripped, cleaned, lower-cased (pred, true) pairs."""
     r = _responses(spark, sf)
@@ -64,30 +68,27 @@ def strip_prompt(spark, sf):
                     (s == R.strip(F.col("completion"))).alias("same"))
 
 
-_Q = P.template("llama3", "kbase", "entity_type_q").replace("'", "''")
-
-
 @register("generated_pairs", f"""WITH {SPLITS},
-ts AS (SELECT s.*, replace(replace(replace('{_Q}', '{{entity}}', s.entity), '{{text}}', s.text), '{{choices}}', c.choices)
-              AS prompt FROM splits s CROSS JOIN choices c WHERE s.split = 'test'),
+tmpl AS {_tmpl_table()},
+ts AS (SELECT s.*, t.family, replace(replace(replace(t.q_tmpl, '{{entity}}', s.entity), '{{text}}', s.text), '{{choices}}', c.choices)
+              AS prompt FROM splits s CROSS JOIN choices c CROSS JOIN tmpl t WHERE s.split = 'test'),
 g AS (SELECT ts.*, v.vocab AS vocab, v.vocab[(instr('0123456789abcdef', substr(md5(prompt), 1, 1)) - 1) % len(v.vocab) + 1] AS choice
       FROM ts CROSS JOIN vocab_arr v),
 h AS (SELECT g.*, list_filter(list_transform(vocab, lambda l: lower(l)),
                               lambda l: contains(replace(lower(choice), lower(entity), ''), l)) AS hits FROM g)
-SELECT id, lower(CASE WHEN len(hits) = 1 THEN hits[1]
+SELECT family, id, lower(CASE WHEN len(hits) = 1 THEN hits[1]
                       WHEN len(hits) > 1 AND list_contains(hits, lower(label)) THEN lower(label)
                       ELSE 'None' END) AS pred, lower(label) AS "true" FROM h""")
 def generated_pairs(spark, sf):
-    """M1 + P9 + R2: test prompts through the batch predictor (Arrow,
-    mapInPandas), echo removed, response cleaned to a label."""
+    """P5 + M1 + P9 + R2: test prompts of every family through the batch predictor
+    (Arrow, mapInPandas), echo removed, response cleaned to a label."""
     test = _split(spark, sf).where(F.col("split") == "test")
     choices = P.choices_string(fx.mention_vocab(spark, sf))
-    x = P.render_prompt(test.crossJoin(choices), P.template_catalogue(spark), "kbase", "entity_type_q",
-                        {"entity": F.col("entity"), "text": F.col("text"), "choices": F.col("choices")},
-                        family="llama3", name="prompt")
-    x = x.select("id", "entity", "label", "prompt")
-    out = generate(x, choice_channel_factory, "prompt", "generated", batch_size=8)
+    fams = literal_table(spark, [(f,) for f in P.FAMILIES], "family string")
+    x = P.format_examples(test.crossJoin(choices).crossJoin(F.broadcast(fams)), P.template_catalogue(spark), "family", "test", F.col("choices"))
+    x = x.select("family", "id", "entity", "label", F.col("prompt_text").alias("prompt"))
+    out = generate(x, fx.choice_channel_factory, "prompt", "generated", batch_size=8)
     out = out.withColumn("response", R.strip_prompt(F.col("generated"), F.col("prompt")))
     va = fx.vocab_array(fx.mention_vocab(spark, sf))
     return R.score_pairs(out.crossJoin(va), "vocab", response="response", entity="entity", true="label",
-                         keys=["id"])
+                         keys=["family", "id"])

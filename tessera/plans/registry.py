@@ -7,13 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fixtures import fresh
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with fresh():
+                return fn(spark, sf_dir)
+        query.__name__, query.__doc__ = name, fn.__doc__
+        QUERIES[name] = query
         if sql is not None:
             ORACLE[name] = sql.strip()
         return fn

@@ -7,11 +7,13 @@ session has none configured, which is the case for local tests.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -38,7 +40,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint directory, creating a local one only if unset."""
+    """The shared checkpoint directory. Only a local master may go without a
+    configured one; executors elsewhere would each write to their own disk."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -47,12 +50,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    local = tempfile.mkdtemp(prefix="tessera-ckpt-")
-    sc.setCheckpointDir(local)
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-ckpt-"))
     return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh directory name under the checkpoint dir for one written table."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/tessera/{name}-{uuid.uuid4().hex}"
+    """A fresh directory name under the checkpoint dir for one written table; it
+    is deleted when the driver's Python ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write as Parquet to a scratch path and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

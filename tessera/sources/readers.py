@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import NOT_RELEVANT, REPORT_ROWS_END, REPORT_ROWS_START
 from ..functions.text import strip
+from ..operators.sampling import running_total
+from ..session import stored
 
 MENTION_SCHEMA = "id bigint, text string, entity string, label string"
 ANNOTATION = ("array<struct<id:bigint,label:string,start_offset:int,end_offset:int,entity:string,"
@@ -26,10 +28,11 @@ REVIEW_SCHEMA = ("title string, uid string, annotation string, prediction string
 
 def read_mentions(spark: SparkSession, path: str, exclude: Sequence[str] = (NOT_RELEVANT,),
                   multiline: bool = True) -> DataFrame:
-    """Mention records (JSON array, or JSON lines with ``multiline=False``),
-    excluded labels dropped (exact, case-sensitive)."""
+    """Mention records (JSON array, or JSON lines with ``multiline=False``,
+    which Spark can split), excluded labels dropped (exact, case-sensitive);
+    records without a label are kept."""
     df = spark.read.schema(MENTION_SCHEMA).option("multiLine", multiline).json(path)
-    return df.where(~F.col("label").isin(list(exclude)))
+    return df.where(F.col("label").isNull() | ~F.col("label").isin(list(exclude)))
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -40,12 +43,21 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return df.withColumn("doi", F.col("uid"))
 
 
-def read_label_vocab(spark: SparkSession, path: str, n_classes: int | None = 14) -> DataFrame:
-    """S3: ordered label vocabulary {label: {id}} -> (label, id), first N by id."""
+def first_labels(vocab: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` labels of a vocabulary (label, id) by rank of id (all
+    by default). A vocabulary is a small table, so one sort ranks it."""
+    if n is None:
+        return vocab
+    return vocab.orderBy("id", "label").limit(n)
+
+
+def read_label_vocab(spark: SparkSession, path: str, n_classes: int | None = None) -> DataFrame:
+    """S3: ordered label vocabulary {label: {id}} -> (label, id), all labels or the
+    first ``n_classes`` by id."""
     raw = spark.read.text(path, wholetext=True)
     m = F.from_json(F.col("value"), "map<string,struct<id:int>>")
     v = raw.select(F.explode(m).alias("label", "s")).select("label", F.col("s.id").alias("id"))
-    return v.where(F.col("id") < n_classes) if n_classes is not None else v
+    return first_labels(v, n_classes)
 
 
 def read_generations(spark: SparkSession, *paths: str) -> DataFrame:
@@ -53,30 +65,43 @@ def read_generations(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(GENERATION_SCHEMA).json(list(paths))
 
 
-def _report_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """Data lines of run reports: after the first row delimiter and before
-    the originals delimiter. Each file is read whole (line order kept); a
-    continuation part file without a start delimiter contributes its lines
-    when it begins with a numbered row."""
-    raw = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("lines"))
-    s = F.array_position("lines", REPORT_ROWS_START)
-    e = F.array_position("lines", REPORT_ROWS_END)
-    cont = F.coalesce(F.element_at("lines", 1).rlike("^[0-9]+, "), F.lit(False))
-    lo = F.when(s > 0, s + 1).when(cont, F.lit(1)).otherwise(F.lit(0))
-    hi = F.when(e > 0, e - 1).otherwise(F.size("lines"))
-    data = raw.select("file", F.when(lo > 0, F.slice("lines", F.greatest(lo, F.lit(1)),
-                                                    F.greatest(hi - lo + 1, F.lit(0))))
-                      .otherwise(F.array().cast("array<string>")).alias("rows"))
-    return data.select("file", F.explode("rows").alias("line")).where(F.col("line") != "")
+def report_text(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """(report, part, block, mid, line): every line of the reports with its place.
+
+    A report is a file, or a folder of part files (``part-NNNNN...``), whose number
+    orders them. Files are read in splits: the split's first byte and the line's
+    number in its scan task order the lines of a file. The lines are written
+    once, so that all uses see the same numbers."""
+    raw = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    file = F.col("_metadata.file_path")
+    part = F.regexp_extract(file, "/part-([0-9]+)[^/]*$", 1)
+    report = F.when(part != "", F.regexp_extract(file, "^(.*)/[^/]*$", 1)).otherwise(file)
+    lines = raw.select(report.alias("report"), F.coalesce(part.try_cast("long"), F.lit(0).cast("long")).alias("part"),
+                       F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"),
+                       F.col("value").alias("line"))
+    return stored(lines, "report")
+
+
+def _rows_after_mark(spark: SparkSession, paths: Sequence[str] | str, to_end: bool) -> DataFrame:
+    """The lines after a report's row mark (and before the mark of the original
+    texts, unless ``to_end``). A report without a row mark is an error."""
+    lines = report_text(spark, paths).withColumn("at", F.struct("part", "block", "mid"))
+    mark = lambda m: F.min(F.when(F.col("line") == m, F.col("at")))
+    marks = lines.groupBy("report").agg(mark(REPORT_ROWS_START).alias("begin"), mark(REPORT_ROWS_END).alias("end"))
+    begin = F.when(F.col("begin").isNotNull(), F.col("begin")).otherwise(
+        F.raise_error(F.concat(F.lit("no row mark in "), F.col("report"))).cast("struct<part:bigint,block:bigint,mid:bigint>"))
+    rows = lines.join(marks, "report").where(F.col("at") > begin)
+    if not to_end:
+        rows = rows.where(F.col("end").isNull() | (F.col("at") < F.col("end")))
+    return rows.select(F.col("report").alias("file"), "part", "block", "mid", "line")
 
 
 def read_report(spark: SparkSession, paths, cols: int = 3) -> DataFrame:
     """S5 (cols=3): (file, num, pred, true), values stripped and lower-cased;
     the third field keeps any further ', '.
     S6 (cols=4): (file, num, src, pred, true), src may hold ', '; stripped,
-    not lower-cased."""
-    lines = _report_lines(spark, paths)
+    not lower-cased. ``file`` is the report: a file or a folder of part files."""
+    lines = _rows_after_mark(spark, paths, to_end=False).where(F.col("line") != "")
     if cols == 3:
         parts = F.split(F.col("line"), ", ", 3)
         return lines.select("file", strip(F.element_at(parts, 1)).cast("long").alias("num"),
@@ -91,20 +116,17 @@ def read_report(spark: SparkSession, paths, cols: int = 3) -> DataFrame:
 
 
 def read_report_loose(spark: SparkSession, paths, n_fields: int = 3) -> DataFrame:
-    """Comma report with noise: ',,' collapsed, then split on ','. Rows
-    with the wrong field count are kept with ``ok = false`` (quarantine) and
-    null fields. Reads every line after the start delimiter."""
-    raw = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
-    lines = F.split("value", "\n")
-    s = F.array_position(lines, REPORT_ROWS_START)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"),
-                      F.when(s > 0, F.slice(lines, s + 1, F.size(lines))).otherwise(F.array().cast("array<string>")).alias("rows"))
-    ln = rows.select("file", F.explode("rows").alias("line")).where(F.col("line") != "")
+    """(file, pos, line, ok, [src], pred, true): a comma report with noise:
+    ',,' collapsed, then split on ','. ``pos`` is the line's number after the row
+    mark, counting every line, so two reports can be joined line by line. Rows with
+    the wrong field count are kept with ``ok = false`` (quarantine) and null fields.
+    Reads every line after the row mark."""
+    lines = running_total(_rows_after_mark(spark, paths, to_end=True), F.lit(1), ["part", "block", "mid"], ["file"], "pos")
     parts = F.split(F.replace(F.col("line"), F.lit(",,"), F.lit(",")), ",")
     ok = F.size(parts) == n_fields
     names = ["src", "pred", "true"][-n_fields:]
     cols = [F.when(ok, strip(F.element_at(parts, i + 1))).alias(n) for i, n in enumerate(names)]
-    return ln.select("file", "line", ok.alias("ok"), *cols)
+    return lines.where(F.col("line") != "").select("file", "pos", "line", ok.alias("ok"), *cols)
 
 
 def read_review(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:

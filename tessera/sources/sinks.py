@@ -8,12 +8,14 @@ rows through one task.
 
 from __future__ import annotations
 
+import pprint
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import REPORT_METRICS_END, REPORT_ROWS_END, REPORT_ROWS_START, REPORT_RULE
+from ..functions.fixed import (REPORT_CONFIG_BLOCKS, REPORT_DATASET_LINES, REPORT_METRICS_END, REPORT_ROWS_END,
+                               REPORT_ROWS_START, REPORT_RULE)
 from ..functions.text import literal_table
 from ..operators.metrics import METRIC_NAMES
 
@@ -56,9 +58,14 @@ def report_lines(spark: SparkSession, rows: DataFrame, metrics: DataFrame, info:
             f">> Batch size per process: {info.get('batch_size', 1)}, Total batch size: "
             f"{int(info.get('batch_size', 1)) * int(info.get('num_processes', 1))}",
             f">> Test sample size: {info.get('test_sample_size', -1)}"]
-    if info.get("data_name") == "kbase":
-        head.append(f">> Number of KBase classes: {info.get('num_classes', 14)}")
-    head += [f">> Execution time: {info.get('exec_time', '')}", ">> Task prompt:"]
+    kind = REPORT_DATASET_LINES.get(str(info.get("data_name")))
+    if kind is not None:
+        head.append(kind.format(info.get("kegg_data_type", "") if info.get("data_name") == "kegg" else info.get("num_classes", 14)))
+    head.append(f">> Execution time: {info.get('exec_time', '')}")
+    for title, key in REPORT_CONFIG_BLOCKS:
+        if info.get(key):
+            head += [title, *pprint.pformat(info[key]).split("\n")]
+    head.append(">> Task prompt:")
     head += task_prompt.split("\n") + [REPORT_RULE]
     header = literal_table(spark, [(0, i, 0, s) for i, s in enumerate(head)],
                            "section int, num long, sub int, line string")
@@ -122,6 +129,11 @@ def leaderboard_json(board: DataFrame) -> DataFrame:
     return board.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value"))
 
 
+def write_leaderboard(board: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K6 write: the one JSON object as a text file."""
+    leaderboard_json(board).coalesce(1).write.mode(mode).text(path)
+
+
 def write_pairs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K7: 'src, pred' lines, sorted by source."""
     df.orderBy("src").select(F.concat_ws(", ", "src", "pred").alias("value")).write.mode(mode).text(path)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators.responses import score_pairs
 
 
 def running_confusion(stream: DataFrame, keys: Sequence[str] = (), true: str = "true", pred: str = "pred") -> DataFrame:
@@ -30,18 +31,26 @@ def metrics_from_confusion(conf: DataFrame, keys: Sequence[str] = (), digits: in
     return out
 
 
-def stream_scores(spark: SparkSession, source_dir: str, schema: str, snapshot_dir: str, checkpoint_dir: str,
-                  keys: Sequence[str] = (), max_files_per_trigger: int = 1) -> DataFrame:
-    """Run the stream over all files available now, then return the scores
-    of the final confusion snapshot."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir))
-    conf = running_confusion(stream, keys)
+def cleaned_pairs(stream: DataFrame, vocab: Sequence[str], keys: Sequence[str] = (), **options) -> DataFrame:
+    """R2 on a stream of responses (keys, entity, label, response): each micro-batch
+    is stripped and cleaned to (keys, pred, true) before it is counted."""
+    return score_pairs(stream, list(vocab), keys=list(keys), **options)
+
+
+def stream_scores(spark: SparkSession, pairs: DataFrame, snapshot_dir: str, checkpoint_dir: str,
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """Run the stream of pairs over all files available now, then return the scores
+    of the last confusion snapshot. Every epoch has a folder of its own, so a
+    reader never meets one that is being replaced, and an epoch that runs again
+    after a failure writes the same rows to the same place."""
+    conf = running_confusion(pairs, keys)
 
     def write_snapshot(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(snapshot_dir)
+        batch.write.mode("overwrite").parquet(f"{snapshot_dir}/epoch={epoch_id:08d}")
 
     q = (conf.writeStream.outputMode("complete").foreachBatch(write_snapshot)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
-    return metrics_from_confusion(spark.read.parquet(snapshot_dir), keys)
+    snapshots = spark.read.parquet(snapshot_dir)
+    last = snapshots.agg(F.max("epoch").alias("epoch"))
+    return metrics_from_confusion(snapshots.join(F.broadcast(last), "epoch").drop("epoch"), keys)  # last: one row

@@ -111,8 +111,10 @@ def test_curated_pairs_match_sequential_semantics(spark):
     idx = C.host_index_rows(items, C.review_flags(review), review.select("uid", "title"), "host")
     rows = idx.collect()
     assert not [r for r in rows if r.uid == "u2"]  # rejected row: its predictions never enter
-    nested = C.host_index(idx, max_tools=2).collect()
-    assert sum(len(r.tools) for r in nested) == len(rows) and all(len(r.tools) <= 4 for r in nested)
+    nested = C.host_index(idx, parts=3).collect()
+    assert sum(len(r.tools) for r in nested) == len(rows) and all(0 <= r.part < 3 for r in nested)
+    whole = C.host_index(idx).collect()
+    assert len(whole) == len({r.species for r in rows}) and sum(len(r.tools) for r in whole) == len(rows)
 
 
 def test_fragment_and_exact_synonym(spark):

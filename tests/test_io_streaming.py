@@ -44,10 +44,44 @@ def test_four_column_and_loose(spark, tmp_dir):
     lpath = os.path.join(tmp_dir, "loose.txt")
     with open(lpath, "w") as f:
         f.write("Src, Pred, True:\n" + "*" * 68 + "\n" + "a,,b, c\nd,e,f,g\nh, i ,j\n")
-    got = {r.line: (r.ok, r.src, r.pred, r.true) for r in S.read_report_loose(spark, lpath).collect()}
+    loose = S.read_report_loose(spark, lpath).collect()
+    assert sorted((r.pos, r.line) for r in loose) == [(1, "a,,b, c"), (2, "d,e,f,g"), (3, "h, i ,j")]
+    got = {r.line: (r.ok, r.src, r.pred, r.true) for r in loose}
     assert got["a,,b, c"] == (True, "a", "b", "c") and got["d,e,f,g"][0] is False
 
 
+def test_reports_are_split_and_need_their_mark(spark, tmp_dir):
+    import pytest
+    from pyspark.errors import PySparkException
+    path = os.path.join(tmp_dir, "big.txt")
+    with open(path, "w") as f:
+        f.write("1, header, line\n" + "*" * 68 + "\n" + "".join(f"{i}, p{i}, t{i}\n" for i in range(1, 20001)) + "#" * 68 + "\n9, no, no\n")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        got = S.read_report(spark, path, 3).collect()
+        assert sorted(r.num for r in got) == list(range(1, 20001))
+        loose = S.read_report_loose(spark, path, 3).orderBy("pos").collect()
+        assert [r.pos for r in loose] == list(range(1, 20003)) and loose[123].line == "124, p124, t124"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    bad = os.path.join(tmp_dir, "bad.txt")
+    with open(bad, "w") as f:
+        f.write("1, a, b\n2, c, d\n")
+    with pytest.raises(PySparkException):
+        S.read_report(spark, bad, 3).collect()
+
+
+def test_report_headers(spark):
+    rows = spark.createDataFrame([(1, "a", "a")], "num long, pred string, true string")
+    m = M.compute_metrics(rows)
+    head = lambda info: [r.line for r in K.report_lines(spark, rows, m, info).where("section = 0").orderBy("num").collect()]
+    assert ">> KEGG data type: pathway" in head({"data_name": "kegg", "kegg_data_type": "pathway"})
+    assert ">> Number of INDRA classes: 6" in head({"data_name": "indra", "num_classes": 6})
+    lines = head({"model_config": {"a": 1}, "generation_config": {"b": 2}})
+    assert lines[lines.index(">> Model configuration:") + 1] == "{'a': 1}" and lines[lines.index(">> Generation configuration:") + 1] == "{'b': 2}"
+
+
 def test_label_vocab_source(spark, tmp_dir):
     p = os.path.join(tmp_dir, "types.json")
     with open(p, "w") as f:
@@ -74,8 +108,9 @@ def test_stream_equals_batch(spark, tmp_dir):
     df = spark.createDataFrame(rows, "id long, true string, pred string")
     src = os.path.join(tmp_dir, "src")
     df.repartition(5).write.parquet(src)
-    s = stream_scores(spark, src, "id long, true string, pred string", os.path.join(tmp_dir, "snap"),
-                      os.path.join(tmp_dir, "ckpt")).first().asDict()
+    stream = spark.readStream.schema("id long, true string, pred string").option("maxFilesPerTrigger", 2).parquet(src)
+    s = stream_scores(spark, stream, os.path.join(tmp_dir, "snap"), os.path.join(tmp_dir, "ckpt")).first().asDict()
+    assert len(glob.glob(os.path.join(tmp_dir, "snap", "epoch=*"))) > 1  # a folder for each epoch
     b = M.compute_metrics(df).first().asDict()
     assert s == b
 

@@ -118,3 +118,9 @@ def test_agreement_family(spark):
     yn = {(r.true, r.pred): r.n for r in M.yes_no_confusion(a, b, ["pos"]).collect()}
     assert yn[("no", "no")] == 0 and yn[("no", "yes")] == 0  # true-'no' row empty by construction
     assert yn[("yes", "yes")] + yn[("yes", "no")] == 5
+
+
+def test_confusion_keeps_keys_without_a_listed_answer(spark):
+    pairs = spark.createDataFrame([("m1", "a", "a"), ("m2", "a", "zzz")], "model string, true string, pred string")
+    got = {(r.model, r.true, r.pred): r.n for r in M.confusion(pairs, ["a", "b"], keys=["model"]).collect()}
+    assert len(got) == 8 and sum(n for (m, *_), n in got.items() if m == "m2") == 0 and got["m1", "a", "a"] == 1

@@ -4,7 +4,8 @@ inference surface (M1)."""
 from pyspark.sql import functions as F
 
 from tessera.operators import responses as R
-from tessera.operators.inference import choice_channel_factory, generate
+from tessera.operators.inference import generate
+from tessera.plans.fixtures import choice_channel_factory
 
 VOCAB = ["plasmid", "organism host", "promoter", "RBS", "DNA transfer"]
 
@@ -36,7 +37,10 @@ def test_align_lists_idempotent(spark):
     p, t = R.align_lists(F.col("p"), F.col("t"))
     rows = df.select(p.alias("p"), t.alias("t")).collect()
     assert rows[0].p == ["a", "b", "x", "NONE"] and rows[0].t == ["a", "b", "c", "d"]
-    assert len(rows[1].t) == 10 and rows[1].p == ["z"] + ["NONE"] * 9
+    assert len(rows[1].t) == 12 and rows[1].p == ["z"] + ["NONE"] * 11  # nothing is cut by default
+    p10, t10 = R.align_lists(F.col("p"), F.col("t"), cap=10)
+    cut = df.select(p10.alias("p"), t10.alias("t")).collect()[1]
+    assert len(cut.t) == 10 and cut.p == ["z"] + ["NONE"] * 9
     again = spark.createDataFrame([(rows[0].p, rows[0].t)], "p array<string>, t array<string>")
     p2, t2 = R.align_lists(F.col("p"), F.col("t"))
     r2 = again.select(p2.alias("p"), t2.alias("t")).first()

@@ -53,3 +53,30 @@ def test_read_review_csv_with_multiline_cells(spark, tmp_dir):
     assert ("gold", "pA", "plasmid") in pairs and ("gold", "pB", "none") in pairs
     assert ("pred", "GFP", "none") in pairs  # listed wrong (case-insensitive)
     assert ("gold", "pLac", "none") in pairs  # not predicted
+
+
+def test_null_labels_stay_and_first_labels_go_by_rank(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "m.jsonl")
+    with open(p, "w") as f:
+        f.write('{"id": 1, "label": null}\n{"id": 2, "label": "not relevant"}\n{"id": 3}\n')
+    assert sorted(r.id for r in S.read_mentions(spark, p, multiline=False).collect()) == [1, 3]
+    v = os.path.join(tmp_dir, "v.json")
+    with open(v, "w") as f:
+        json.dump({"b": {"id": 20}, "a": {"id": 10}, "c": {"id": 30}}, f)
+    assert [r.label for r in S.read_label_vocab(spark, v, 2).orderBy("id").collect()] == ["a", "b"]
+    assert S.read_label_vocab(spark, v).count() == 3
+
+
+def test_broken_review_cells_go_to_quarantine(spark):
+    rows = [("t", "u1", '{"a": ["x"]}', "{}", "{}", '"a": ["x"], "a": ["y"],', False), ("t", "u2", '{"a": [', "{}", "{}", None, False),
+            ("t", "u3", "{}", None, "{}", None, False), ("t", "u4", "{}", "{}", "{}", '"a": [', None), ("t", "u5", "{}", "{}", "{}", '"a": [', True)]
+    parsed = C.parse_review(spark.createDataFrame(rows, S.REVIEW_SCHEMA))
+    assert {r.uid: r.status for r in C.review_quarantine(parsed).collect()} == {"u2": "annotation", "u3": "prediction", "u4": "wrong"}
+    kept = {r.uid: r for r in C.reviewed(parsed).collect()}
+    assert set(kept) == {"u1", "u5"} and kept["u1"].wrong_map == {"a": ["y"]}  # the last of equal keys
+
+
+def test_strip_removes_separators(spark):
+    from tessera.functions.text import strip
+    df = spark.createDataFrame([("\x1c a\x1fb \x1d\x1e\x1f",)], "s string")
+    assert df.select(strip("s")).first()[0] == "a\x1fb"
