@@ -3,7 +3,7 @@
 Parsing is a chain of row-local expressions over exploded lines; the only
 shuffles are the (uid, label, value) de-duplication and the matching joins.
 Containment joins never compare all pairs of a group: both sides meet on an
-equi-key (a character q-gram of the needle, or its rarest inner token) and
+equi-key (the rarest character gram of the needle, or its rarest inner token) and
 ``contains`` then verifies each candidate, so a hot paper or a hot label
 only costs its genuine near-matches.
 """
@@ -14,10 +14,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.fixed import LABEL_ALIASES, NOT_RELEVANT, PLURAL_EXEMPT, REFUSAL_PREFIXES
-from ..functions.text import WS_CLASS, map_values, split_lines, starts_with_any, str_array, strip
+from ..functions.text import WS_CLASS, map_values, split_lines, strip
 from .responses import vocab_column
 
 QGRAM = 4
@@ -41,21 +40,6 @@ def clean_line(c: Column) -> Column:
     return F.replace(x, F.lit('"'), F.lit(""))
 
 
-def is_label_line(c: Column, vocab) -> Column:
-    """The lower-cased line starts with a vocabulary label."""
-    low = F.lower(c)
-    voc = vocab if isinstance(vocab, Column) else vocab_column(vocab)
-    return F.exists(voc, lambda lab: F.startswith(low, lab))
-
-
-def split_label_entity(c: Column):
-    """When the line holds ': ', split once at the first ':' and strip."""
-    has_sep = F.contains(c, F.lit(": "))
-    label = strip(F.substring_index(c, ":", 1))
-    value = strip(c.substr(F.instr(c, ":") + 1, F.length(c) + 1))
-    return has_sep, label, value
-
-
 def canonical_label(c: Column, aliases: Mapping[str, str] = LABEL_ALIASES,
                     plural_exempt: Sequence[str] = PLURAL_EXEMPT) -> Column:
     """Lower case, drop one trailing 's' (not for exempt labels), then
@@ -171,48 +155,48 @@ def multi_label_entities(gens: DataFrame, keys: Sequence[str] = ("uid",)) -> Dat
 
 
 # ------------------------------------------------------------------ A3, A4
-def _qgrams(text: Column, q: int = QGRAM) -> Column:
-    """All substrings of length 1..q at every position: array<string>."""
-    n = F.length(text)
-    return F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.transform(F.sequence(F.lit(1), F.lit(q)),
-                              lambda k: text.substr(i, k))))
+def _grams(text: Column, sizes: Column) -> Column:
+    """Distinct substrings of ``text`` of each length in the array ``sizes``. The
+    text is cut into characters once, so the cost is linear in its length."""
+    def of(chars: Column) -> Column:
+        one = lambda q: F.transform(F.sequence(F.lit(1), F.size(chars) - q + 1), lambda i: F.array_join(F.slice(chars, i, q), ""))
+        none = F.array().cast("array<string>")
+        return F.flatten(F.transform(sizes, lambda q: F.when(F.size(chars) >= q, one(q)).otherwise(none)))
+    return F.array_distinct(F.element_at(F.transform(F.array(F.split(text, "")), of), 1))
+
 
+def _own_grams(needles: DataFrame, text: str) -> DataFrame:
+    """(text, g): the grams a needle can be found by: those of QGRAM characters, or
+    the needle itself where it is shorter. Empty needles have none."""
+    d = needles.select(text).where(F.length(text) > 0).distinct()
+    return d.select(text, F.explode(_grams(F.col(text), F.array(F.least(F.lit(QGRAM), F.length(text))))).alias("g"))
 
-HOT_PAIRS = 1_000_000
 
+def _rarest(grams: DataFrame, counts: DataFrame, text: str) -> DataFrame:
+    """(text, g): each needle's gram with the smallest count (then the first)."""
+    best = grams.join(counts, "g").groupBy(text).agg(F.min(F.struct("n", "g")).alias("b"))
+    return best.select(text, F.col("b.g").alias("g"))
 
-def match_contained(gold: DataFrame, parsed: DataFrame, keys: Sequence[str] = ("uid",),
-                    hot_pairs: int = HOT_PAIRS) -> DataFrame:
+
+def match_contained(gold: DataFrame, parsed: DataFrame, keys: Sequence[str] = ("uid",)) -> DataFrame:
     """A3: (keys, label, entity, value) for every predicted value of the same
     paper and label that contains the gold entity (case-sensitive); a gold
     entity repeats once per containing value (quirk Q4).
 
-    Ordinary (paper, label) groups join on that key and test ``contains``.
-    Groups whose gold x value product exceeds ``hot_pairs`` (found from
-    partial-aggregated counts) instead meet on (key, q-gram): the entity's
-    first q-gram against every q-gram of the value, so a hot group costs its
-    near-matches, not all of its pairs."""
+    All groups go one way: an entity is looked for by its rarest gram (counted
+    over the gold entities), a value by those of its grams that some entity is
+    looked for by, and both meet on (paper, label, gram). A group costs its
+    near-matches, not its pairs, however large it is."""
     k = [*keys, "label"]
-    # gold (A1) and parsed (G8) are distinct by construction; a further
-    # distinct() would re-plan the parse and defeat exchange reuse
-    g = gold.select(*k, "entity")
-    v = parsed.select(*k, "value")
-    stats = (g.groupBy(*k).agg(F.count(F.lit(1)).alias("_ng"))
-             .join(v.groupBy(*k).agg(F.count(F.lit(1)).alias("_nv")), k, "inner")
-             .select(*k, (F.col("_ng") * F.col("_nv") > F.lit(hot_pairs)).alias("_hot")))
-    # outer joins (not semi/anti) so Catalyst cannot push them below the
-    # parse aggregate: both sides keep one shared, reusable sub-plan
-    gf = g.join(stats, k, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    vf = v.join(stats, k, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    cold = (gf.where(~F.col("_hot")).drop("_hot").join(vf.where(~F.col("_hot")).drop("_hot"), k, "inner")
-            .where(F.contains(F.col("value"), F.col("entity"))))
-    g_hot = gf.where(F.col("_hot")).withColumn("g", F.substring(F.col("entity"), 1, QGRAM))
-    vg = vf.where(F.col("_hot")).select(*k, "value", F.explode(F.array_distinct(_qgrams(F.col("value")))).alias("g"))
-    hot_hits = (g_hot.join(vg, [*k, "g"], "inner")
-                .where(F.contains(F.col("value"), F.col("entity"))).select(*k, "entity", "value"))
-    return cold.select(*k, "entity", "value").unionByName(hot_hits)
+    own = _own_grams(gold, "entity")
+    keyed = gold.select(*k, "entity").join(_rarest(own, own.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "entity"), "entity")
+    wanted = keyed.select("g").distinct()
+    sizes = F.array(*[F.lit(q) for q in range(1, QGRAM + 1)])
+    # equal values are cut into grams once
+    cut = parsed.select("value").distinct().select("value", F.explode(_grams(F.col("value"), sizes)).alias("g")).join(wanted, "g", "left_semi")
+    vg = parsed.select(*k, "value").join(cut, "value")
+    hits = keyed.join(vg, [*k, "g"]).where(F.contains(F.col("value"), F.col("entity")))
+    return hits.select(*k, "entity", "value")
 
 
 def _json_map(entries: Column) -> Column:
@@ -248,60 +232,36 @@ def extraction_table(papers: DataFrame, gold: DataFrame, parsed: DataFrame,
 # ------------------------------------------------------------------ A5
 def find_mentions(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text",
                   item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A5: (doc_key, item_key) for every item text contained in a document.
-
-    Items of 3+ tokens join on their rarest *inner* token (an inner token of
-    a contained passage is a whole token of the document, so the join is
-    exact); shorter items join on their rarest character q-gram against the
-    documents' q-grams, an index built only when such items exist. Every
-    candidate is verified with ``contains``."""
+    """A5: (doc_key, item_key) for every item text contained in a document (an empty
+    item is in none).
+
+    Items of 3+ tokens are looked for by their rarest *inner* token (an inner token
+    of a contained passage is a whole token of the document, so the join is exact),
+    shorter items by their rarest gram of up to QGRAM characters. Of a document's
+    tokens and grams only those that items have go on to be counted and joined, and
+    grams are cut only in the lengths that short items need (none without such
+    items). Every candidate is verified with ``contains``."""
     d = docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("_dt"))
     it = items.select(F.col(item_key).alias("_i"), F.col(item_text).alias("_it"))
     splitter = "[ \\t\\n\\r\\f\\x0B]+"
-    doc_tok = d.select("_d", F.explode(F.array_distinct(F.split("_dt", splitter))).alias("tok")) \
-        .where(F.length("tok") > 0)
-    df_tok = doc_tok.groupBy("tok").agg(F.count(F.lit(1)).alias("dfreq"))
-    toks = it.select("_i", "_it", F.filter(F.split("_it", splitter), lambda t: F.length(t) > 0).alias("ts"))
-    long_items = toks.where(F.size("ts") >= 3)
-    inner = long_items.select("_i", F.explode(F.array_distinct(
-        F.slice("ts", 2, F.size("ts") - 2))).alias("tok"))
-    ranked = inner.join(df_tok, "tok", "inner")
-    w = Window.partitionBy("_i").orderBy("dfreq", "tok")
-    key_tok = ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("_i", "tok")
-    cand = key_tok.join(doc_tok, "tok", "inner").select("_d", "_i")
-    out = (cand.join(d, "_d").join(it, "_i")
-           .where(F.contains(F.col("_dt"), F.col("_it"))).select("_d", "_i"))
-    short = toks.where(F.size("ts") < 3).select("_i", "_it")
-    if short.limit(1).count() > 0:  # planning check on the item side only
-        out = out.unionByName(_qgram_mentions(d, short))
-    return out.distinct().select(F.col("_d").alias(doc_key), F.col("_i").alias(item_key))
-
-
-def _qgram_mentions(d: DataFrame, short: DataFrame) -> DataFrame:
-    q = QGRAM
-    tiny = short.where(F.length("_it") < q)
-    norm = short.where(F.length("_it") >= q)
-    grams = norm.select("_i", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("_it") - q + 1), lambda i: F.col("_it").substr(i, F.lit(q))))).alias("g"))
-    doc_g = d.select("_d", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_dt") - q + 1, F.lit(1))),
-        lambda i: F.col("_dt").substr(i, F.lit(q))))).alias("g"))
-    gfreq = doc_g.groupBy("g").agg(F.count(F.lit(1)).alias("dfreq"))
-    w = Window.partitionBy("_i").orderBy("dfreq", "g")
-    key = grams.join(gfreq, "g").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("_i", "g")
-    cand = key.join(doc_g, "g").select("_d", "_i")
-    found = (cand.join(d, "_d").join(short.select("_i", "_it"), "_i")
-             .where(F.contains(F.col("_dt"), F.col("_it"))).select("_d", "_i"))
-    # Items shorter than q characters: distinct texts of < q characters form a
-    # set bounded by the alphabet, so they are broadcast to the documents.
-    tiny_d = tiny.select("_it").distinct()
-    tiny_hits = (d.join(F.broadcast(tiny_d), F.contains(F.col("_dt"), F.col("_it")))
-                 .join(tiny.select("_i", "_it"), "_it").select("_d", "_i"))
-    return found.unionByName(tiny_hits)
-
-
-__all__ = ["response_lines", "clean_line", "is_label_line", "split_label_entity",
-           "canonical_label", "classify_lines", "parse_extractions", "unparsed_lines",
+    toks = it.where(F.length("_it") > 0).select("_it").distinct().withColumn(
+        "ts", F.filter(F.split("_it", splitter), lambda t: F.length(t) > 0))
+    inner = toks.where(F.size("ts") >= 3).select("_it", F.explode(F.array_distinct(F.slice("ts", 2, F.size("ts") - 2))).alias("g"))
+    short = _own_grams(toks.where(F.size("ts") < 3), "_it")
+    doc_toks = d.select("_d", F.explode(F.array_distinct(F.split("_dt", splitter))).alias("g"))
+    lengths = short.agg(F.array_sort(F.collect_set(F.length("g"))).alias("_q"))  # one row, QGRAM numbers at most
+    doc_grams = d.crossJoin(F.broadcast(lengths)).where(F.size("_q") > 0).select("_d", F.explode(_grams(F.col("_dt"), F.col("_q"))).alias("g"))
+    cand = None
+    for parts, held in ((inner, doc_toks), (short, doc_grams)):
+        seen = held.join(parts.select("g").distinct(), "g", "left_semi")
+        key = _rarest(parts, seen.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "_it")
+        found = key.join(seen, "g").select("_d", "_it")
+        cand = found if cand is None else cand.unionByName(found)
+    hits = cand.distinct().join(d, "_d").where(F.contains(F.col("_dt"), F.col("_it"))).select("_d", "_it")
+    return hits.join(it, "_it").select(F.col("_d").alias(doc_key), F.col("_i").alias(item_key)).distinct()
+
+
+__all__ = ["response_lines", "clean_line", "canonical_label", "classify_lines", "parse_extractions", "unparsed_lines",
            "empty_papers", "annotation_rows", "group_annotations", "relevant_papers",
            "multi_label_entities", "match_contained", "extraction_table", "find_mentions",
            "extraction_scores", "classify_lines"]

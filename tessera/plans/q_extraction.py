@@ -187,3 +187,17 @@ def mention_search(spark, sf):
     docs = fx.load(spark, sf, "documents").select("doc_id", "text")
     items = fx.load(spark, sf, "benchmark").select("item_id", "text")
     return X.find_mentions(docs, items)
+
+
+@register("mention_search_short", """WITH items AS (
+  SELECT item_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS text FROM benchmark
+  UNION ALL SELECT 1000 + item_id, substr(text, 1, 3) FROM benchmark)
+SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN items b ON contains(d.text, b.text)""")
+def mention_search_short(spark, sf):
+    """A5: items of two words and of three characters."""
+    docs = fx.load(spark, sf, "documents").select("doc_id", "text")
+    b = fx.load(spark, sf, "benchmark")
+    word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
+    items = b.select("item_id", F.concat(word(1), F.lit(" "), word(2)).alias("text")).unionByName(
+        b.select((F.col("item_id") + 1000).alias("item_id"), F.substring("text", 1, 3).alias("text")))
+    return X.find_mentions(docs, items)
