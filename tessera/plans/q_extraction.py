@@ -17,18 +17,18 @@ LB = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
 
 
 @memo
-def _inputs(spark, sf):
-    gens = fx.generations(spark, sf)
-    vocab = fx.vocab_array(fx.paper_vocab(spark, sf))
-    return gens, vocab
+def _gens(spark, sf):
+    return fx.generations(spark, sf)
 
 
 @memo
 def _classified(spark, sf, relevant_only=True):
-    gens, vocab = _inputs(spark, sf)
+    gens = _gens(spark, sf)
     if relevant_only:
         gens = gens.join(X.relevant_papers(gens), "uid", "left_semi")
-    return X.classify_lines(gens.crossJoin(vocab), "vocab", ALIASES, REFUSAL_PREFIXES)
+    # a label vocabulary is a handful of rows: as literals it compiles into the scan
+    vocab = [r.label for r in fx.paper_vocab(spark, sf).orderBy("id").collect()]
+    return X.classify_lines(gens, vocab, ALIASES, REFUSAL_PREFIXES)
 
 
 @memo
@@ -42,7 +42,7 @@ def _parsed(spark, sf):
 
 @memo
 def _gold(spark, sf, relevant_only=True):
-    gens, _ = _inputs(spark, sf)
+    gens = _gens(spark, sf)
     gold = X.group_annotations(gens)
     if relevant_only:
         gold = gold.join(X.relevant_papers(gens), "uid", "left_semi")
@@ -83,7 +83,7 @@ matches AS (SELECT g.uid, g.label, g.entity, p.value FROM rgold g JOIN parsed p
 @register("response_lines", f"WITH {PARSE}\nSELECT uid, pos, line FROM lines")
 def response_lines(spark, sf):
     """G1: stripped non-empty response lines with their position."""
-    gens, _ = _inputs(spark, sf)
+    gens = _gens(spark, sf)
     return X.response_lines(gens)
 
 
@@ -103,21 +103,21 @@ def unparsed_lines(spark, sf):
 SELECT uid FROM relevant WHERE uid NOT IN (SELECT uid FROM parsed)""")
 def empty_papers(spark, sf):
     """Relevant papers without any extraction."""
-    gens, _ = _inputs(spark, sf)
+    gens = _gens(spark, sf)
     return X.empty_papers(X.relevant_papers(gens), _parsed(spark, sf))
 
 
 @register("relevant_papers", f"WITH {LINES}\nSELECT uid FROM relevant")
 def relevant_papers(spark, sf):
     """Papers with a usable annotation other than 'not relevant'."""
-    gens, _ = _inputs(spark, sf)
+    gens = _gens(spark, sf)
     return X.relevant_papers(gens)
 
 
 @register("grouped_annotations", f"WITH {LINES}\nSELECT DISTINCT uid, label, entity FROM anno_rows")
 def grouped_annotations(spark, sf):
     """A1: distinct stripped entities per paper and label."""
-    gens, _ = _inputs(spark, sf)
+    gens = _gens(spark, sf)
     return X.group_annotations(gens)
 
 
@@ -127,7 +127,7 @@ SELECT uid, entity, CAST(count(DISTINCT label) AS BIGINT) AS n_labels,
 FROM anno_rows GROUP BY uid, entity HAVING count(DISTINCT label) > 1""")
 def multi_label_entities(spark, sf):
     """A2: entities carrying more than one label in a paper."""
-    gens, _ = _inputs(spark, sf)
+    gens = _gens(spark, sf)
     return X.multi_label_entities(gens)
 
 
@@ -154,7 +154,7 @@ FROM relevant r JOIN (SELECT DISTINCT uid, title FROM gens) g USING (uid)
 LEFT JOIN a USING (uid) LEFT JOIN p USING (uid) LEFT JOIN t USING (uid)""")
 def extraction_table(spark, sf):
     """A4/K2: per relevant paper, annotation / prediction / true maps as JSON."""
-    gens, _ = _inputs(spark, sf)
+    gens = _gens(spark, sf)
     rel = X.relevant_papers(gens)
     papers = gens.select("uid", "title").join(rel, "uid", "left_semi")
     gold = _gold(spark, sf)
