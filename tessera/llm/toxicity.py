@@ -58,8 +58,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 DROP_SECOND, DROP_MORE, DROP_LEET, DROP_EDGE, SUBSTITUTE = -2.5, -0.5, -9.0, -3.0, -1.0
 #: Single characters in a row that may be one word.
 SPACED = 3
-#: Labelled rows of each class; lengths of beginnings; most beginnings; least likelihood ratio; least documents and contexts.
-SAMPLE, LENGTHS, LEXICON, RATIO, LEAST = 4_000, range(3, 13), 400, 20.0, 5
+#: Labelled rows of each class; lengths of beginnings; most beginnings; least likelihood ratio; least documents
+#: and contexts; least share of the toxic rows (millions of beginnings are tried, some are frequent by chance).
+SAMPLE, LENGTHS, LEXICON, RATIO, LEAST, SUPPORT = 4_000, range(3, 13), 400, 30.0, 5, 0.01
 #: Evidence (natural logarithm) that a beginning needs before it counts, and the most that counts.
 CHANCE, MOST = 3.0, 8.0
 THRESHOLD = 0.7
@@ -209,10 +210,14 @@ def _words_of(lm: np.ndarray, token: str) -> set[str]:
     return {*_word.findall(token), *decode(lm, token).split()}
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): one row for each labelled doc_id, the largest label."""
+    return labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def _sampled(labels: DataFrame, sample: int) -> DataFrame:
     """(doc_id, toxic) of at most ``sample`` labelled rows of each class."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id")]
+    known, order = _known(labels), [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id")]
     return known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
 
 
@@ -222,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lm = language_model(trigram_counts(docs))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    chosen = _sampled(docs, labels, sample)
+    chosen = _sampled(labels, sample)
     shared = docs.sparkSession.sparkContext.broadcast(lm)
 
     # at most 2 x sample ids: a table of proven size
@@ -233,17 +238,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     if len(totals) < 2:
         return model
     pos, neg = totals[1].docs, totals[0].docs
-    model["base"] = base = pos / (pos + neg)
+    base = pos / (pos + neg)
+    here = _known(labels).join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = {r.toxic: r.n for r in here.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    model["base"] = known[1] / (known[0] + known[1])
     parts = rows.mapInArrow(_count_starts, "start string, p long, n long, kn long, contexts array<long>")
     counted = parts.groupBy("start").agg(*[F.sum(c).alias(c) for c in ("p", "n", "kn")], F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"))
     expected, rest = F.col("n") * base, F.col("n") - F.col("p")
     gain = 2 * (F.col("p") * F.log(F.col("p") / expected) + F.when(rest > 0, rest * F.log(rest / (F.col("n") - expected))).otherwise(0.0))
-    counted = counted.where((F.col("p") >= LEAST) & (F.col("contexts") >= LEAST) & (F.col("p") > 3 * expected)).withColumn("gain", gain).where(F.col("gain") > RATIO)
+    # three times as often in toxic rows as in clean ones, whatever the sample's shares are
+    often = F.col("p") / pos > 3 * rest / neg
+    counted = counted.where((F.col("p") >= max(LEAST, SUPPORT * pos)) & (F.col("contexts") >= LEAST) & often).withColumn("gain", gain).where(F.col("gain") > RATIO)
     for r in counted.orderBy(F.desc("gain"), F.desc(F.length("start")), "start").limit(20 * LEXICON).collect():
         if len(model["starts"]) < LEXICON and not any(s.startswith(r.start) or r.start.startswith(s) for s in model["starts"]):
             model["starts"][r.start] = (r.kn + 0.5) / (totals[0].words + 1)
     seen = [(r.toxic, evidence(model["starts"], r.n, r.words)) for r in rows.select("toxic", "n", _only(model["starts"]).alias("words")).collect()]
-    model["slope"], model["middle"] = _curve(seen)
+    # the sample holds up to as many rows of either class; the curve is for all labelled rows
+    model["slope"], model["middle"] = _curve(seen, {0: known[0] / neg, 1: known[1] / pos})
     return model
 
 
@@ -354,16 +365,18 @@ def _surprise(k: int, mean: float) -> float:
     return max(0.0, mean - k * math.log(mean) + math.lgamma(k + 1) - math.log(total))
 
 
-def _curve(seen: list[tuple[int, float]]) -> tuple[float, float]:
-    """Slope and middle of a logistic curve over the evidence, by Newton steps;
-    the slope is held within bounds, as a sample may be separable."""
+def _curve(seen: list[tuple[int, float]], weight: dict[int, float]) -> tuple[float, float]:
+    """Slope and middle of a logistic curve over the evidence, by Newton steps on
+    rows weighted by class; the slope is held within bounds, as a sample may be
+    separable."""
     y = np.array([a for a, _ in seen], dtype=float)
+    w = np.array([weight[a] for a, _ in seen], dtype=float)
     x = np.column_stack([np.ones(len(seen)), [b for _, b in seen]])
     theta = np.array([-2.0, 0.5])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2)
-        theta += np.clip(np.linalg.solve(h, x.T @ (y - p) - 1e-3 * theta), -1, 1)
+        h = (x * (w * p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2)
+        theta += np.clip(np.linalg.solve(h, x.T @ (w * (y - p)) - 1e-3 * theta), -1, 1)
         theta[1] = min(max(theta[1], 0.05), 3.0)
     return float(theta[1]), float(-theta[0] / theta[1])
 
