@@ -42,11 +42,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write as Parquet to the shared folder and read again."""
+def written(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """Cut the lineage: write as Parquet to the shared folder and read again.
+    Spark deletes a shuffle's files when the driver collects the plan that made
+    them; ``release`` asks it to do so now, after a step that shuffled much."""
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

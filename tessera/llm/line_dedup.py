@@ -18,8 +18,9 @@ that one stays itself. Lines without words match nothing and stay.
    sets differ in at most as many bits as words) are part of the join on words.
 4. Remaining pairs are verified on the words themselves.
 
-The only broadcast tables are the counters (fixed size) and, if there are at most
-``SMALL`` of them, the ids of classes to verify; more of them take a sorted join.
+The counters (a fixed number of bytes) are a literal of the plan; the only broadcast
+table is, if there are at most ``SMALL`` of them, the ids of classes to verify; more
+of them take a sorted join.
 
 Defined cases: a null text has no lines, an empty one has one line without words;
 null doc_ids come first; lines of rows that share a doc_id share places, and of equal
@@ -29,6 +30,8 @@ ignored by ``lines`` and kept by ``dedup``; an empty table gives an empty result
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +41,20 @@ THRESHOLD = 0.8
 COUNTERS = 1 << 16
 #: Ids that may be broadcast (8 bytes each).
 SMALL = 2_000_000
+#: Pairs are verified in so many passes: a pair carries a line through a shuffle, and
+#: only one pass's shuffle files are on the disks at a time.
+PASSES = 4
+
+
+def _split(line: Column) -> Column:
+    """The words between white space, with repeats and empty ones. Most lines have
+    no white space but spaces, which are split without a pattern."""
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\f"))
+    return F.when(other, F.split(line, r"\s+")).otherwise(F.split(line, " "))
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(line, r"\s+")), "")
+    return F.array_remove(F.array_distinct(_split(line)), "")
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,58 +71,77 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, line, n_lines, first): a row for each different line."""
     lines = _occurrences(docs, id_col, text_col).groupBy("line")
     found = lines.agg(F.count(F.lit(1)).alias("n_lines"), F.min(F.struct("doc_id", "line_no")).alias("first"))
-    return written(found.withColumn("id", F.monotonically_increasing_id()), "lines")
+    return written(found.withColumn("id", F.monotonically_increasing_id()), "lines", release=True)
 
 
-def _counters(found: DataFrame) -> DataFrame:
-    """One row: an array with each counter's rank (0 to 63)."""
-    slot = F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).cast("int")
-    counts = found.select(F.explode(words(F.col("line"))).alias("word")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.least(F.lit(63), F.floor(F.log2("n") * 2)).cast("long")
-    listed = counts.agg(F.map_from_entries(F.collect_list(F.struct("slot", rank.alias("rank")))).alias("m"))
-    return listed.select(F.transform(F.sequence(F.lit(0), F.lit(COUNTERS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("ranks"))
+def _ranks(found: DataFrame) -> Column:
+    """The counters' ranks (0 to 63) as one binary literal, a byte for each. The
+    driver gets ``COUNTERS`` numbers, whatever the input; as a literal they are
+    not copied from row to row, as a joined array would be."""
+    slot = F.xxhash64("word").bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+    counts = found.select(F.explode(_split(F.col("line"))).alias("word")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    ranks = bytearray(COUNTERS)
+    for r in counts.select("slot", F.least(F.lit(63), F.floor(F.log2("n") * 2)).cast("int").alias("rank")).collect():
+        ranks[r.slot] = r.rank
+    return F.lit(bytes(ranks))
 
 
 def _entries(found: DataFrame, threshold: float) -> DataFrame:
-    """(key, id, n, place, sign): the prefix of each class."""
-    counters = written(_counters(found), "counters")
-    low = (1 << 57) - 1
-    ordered = f"""sort_array(transform(words, w -> shiftleft(ranks[pmod(xxhash64(w), {COUNTERS})], 57) | (xxhash64(w) & {low}L)))"""
-    rows = found.select("id", words(F.col("line")).alias("words")).where("size(words) > 0")
-    rows = rows.crossJoin(F.broadcast(counters)).select("id", F.expr(ordered).alias("keys"))  # one row of fixed size
+    """(key, id, size, sign): the prefix of each class. A word's key is its rank and
+    57 bits of its hash; ``size`` holds the number of words and the entry's place."""
+    ranks, low = _ranks(found), F.lit((1 << 57) - 1)
+    hashes = F.array_distinct(F.array_remove(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    def key(h: Column) -> Column:
+        rank = F.ascii(F.substring(ranks, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), 57).bitwiseOR(h.bitwiseAND(low))
+
+    # bound by a generator, the keys are worked out once and not again in every use
+    bound = F.inline(F.array(F.struct(F.sort_array(F.transform(hashes, key)).alias("keys"))))
+    rows = found.select("id", bound).where("size(keys) > 0")
     rows = rows.withColumn("n", F.size("keys")).withColumn("sign", F.expr("aggregate(keys, 0L, (a, k) -> a ^ shiftleft(1L, cast(k & 63 as int)))"))
     # a whole small set is one key, below all keys of words
     small = F.array(-F.abs(F.xxhash64("keys") / 2).cast("long") - 1)
     prefix = F.expr(f"slice(keys, 1, n - cast(ceil({threshold}D * n - 1e-9D) as int) + 1)")
     whole = 1 / (1 - threshold) - 1 - 1e-9  # below this size one word more or less is too much
     keys = F.when(F.col("n") < whole, small).otherwise(prefix)
-    return rows.select("id", "n", "sign", F.posexplode(keys).alias("place", "key"))
+    rows = rows.select("id", "n", "sign", F.posexplode(keys).alias("place", "key"))
+    return rows.select("key", "id", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("size"), "sign")
 
 
 def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs that pass all filters."""
-    a = entries.select("key", F.struct("id", "n", "place", "sign").alias("a"))
-    b = entries.select("key", F.struct("id", "n", "place", "sign").alias("b"))
-    need = f"ceil({threshold / (1 + threshold)}D * (l.a.n + r.b.n) - 1e-9D)"
-    left, right = a.alias("l"), b.alias("r")
-    passes = f"""l.key = r.key and l.a.id < r.b.id
-        and least(l.a.n, r.b.n) >= {threshold}D * greatest(l.a.n, r.b.n) - 1e-9D
-        and (l.key < 0 or 1 + least(l.a.n - l.a.place - 1, r.b.n - r.b.place - 1) >= {need})
-        and bit_count(l.a.sign ^ r.b.sign) <= l.a.n + r.b.n - 2 * {need}"""
-    return left.join(right, F.expr(passes)).select(F.col("l.a.id").alias("a"), F.col("r.b.id").alias("b")).distinct()
+    """(a, b): pairs that pass all filters, a the one with fewer words (then the
+    smaller id). The smaller set of a matching pair shares a word with the other
+    within its first n - ceil(2t/(1+t) n) + 1 words, so its later entries need no
+    partner."""
+    n = lambda x: f"shiftright({x}.size, 32)"
+    place = lambda x: f"({x}.size & 4294967295L)"
+    need = f"ceil({threshold / (1 + threshold)}D * ({n('l')} + {n('r')}) - 1e-9D)"
+    fewer = f"least({n('l')}, {n('r')})"  # of both sides, so that both read one shuffle
+    passes = f"""l.key = r.key and l.id != r.id and ({n('l')} < {n('r')} or {n('l')} = {n('r')} and l.id < r.id)
+        and {n('l')} >= {threshold}D * {n('r')} - 1e-9D
+        and bit_count(l.sign ^ r.sign) <= {n('l')} + {n('r')} - 2 * {need}
+        and (l.key < 0 or {place('l')} <= {fewer} - ceil({2 * threshold / (1 + threshold)}D * {fewer} - 1e-9D)
+             and 1 + least({n('l')} - {place('l')} - 1, {n('r')} - {place('r')} - 1) >= {need})"""
+    return entries.alias("l").join(entries.alias("r"), F.expr(passes)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
 def matches(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard): the ids of all matching pairs of different classes."""
-    pairs = written(_candidates(_entries(found, threshold), threshold), "pairs")
+    pairs = written(_candidates(_entries(found, threshold), threshold), "pairs", release=True)
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     few = ids.limit(SMALL + 1).count() <= SMALL
-    texts = found.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi").select("id", words(F.col("line")).alias("words"))
+    texts = found.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi").select("id", "line")
     texts = written(texts, "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    both = both.withColumn("jaccard", common / (F.size("x") + F.size("y") - common))
-    return both.where(F.col("jaccard") >= threshold - 1e-9).select("a", "b", "jaccard")
+    verified = []
+    for i in range(PASSES):
+        # lines are shorter than their arrays of words in a shuffle; words are cut after it
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(PASSES)) == i)
+        both = some.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+        both = both.select("a", "b", words(F.col("x")).alias("x"), words(F.col("y")).alias("y"))
+        common = F.size(F.array_intersect("x", "y"))
+        both = both.withColumn("jaccard", common / (F.size("x") + F.size("y") - common))
+        verified.append(written(both.where(F.col("jaccard") >= threshold - 1e-9).select("a", "b", "jaccard"), f"matches{i}", release=True))
+    return reduce(DataFrame.unionByName, verified)
 
 
 def lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
