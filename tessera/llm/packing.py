@@ -20,9 +20,13 @@ word is encoded once while a bounded table holds it; ids equal those of the
 tokenizer library.
 
 Scan tasks tokenize and pack by themselves: nothing is shuffled, a task holds one
-shard and one text, and the order of the input (a mixture's order, for one) is
-kept from shard to shard. Shards follow the scan's partitions, so the input
-should be a table as read, which a lost task reads again in the same order.
+shard and one text. The order of a table as read is that of its files (numbers in
+their names count as numbers) and of the rows in a file, whatever files or splits
+the scan puts in a task, and in which order: a shard is numbered by the place of its
+first row, and ends where the task goes on with a split that does not follow. So the
+order of shards is the order of the table (a mixture's order, for one); files with
+fewer pieces than a shard make smaller shards. Any other input is taken in the order
+of its partitions; a lost task must get its rows again in the same order.
 
 Defined cases: null and empty texts are one end id; null and repeated ids are
 kept as they are; extra columns are ignored; an empty table gives no rows.
@@ -51,6 +55,8 @@ SHARD = 4096
 _CACHE = 150_000
 _mixed = re.compile(r"\s (?=\s|\Z)")
 _ROWS = 256
+#: Bits of a shard's number that hold the place of its first row in its file.
+_PLACE = 40
 
 SCHEMA = "shard long, row int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, offsets array<int>"
 _arrow = pa.schema([
@@ -169,34 +175,76 @@ def _row(shard: int, number: int, pieces: list[tuple[int | None, int, bytes]], l
             "cu_seqlens": bounds, "doc_ids": [p[0] for p in pieces], "offsets": [p[1] for p in pieces]}
 
 
+def _as_read(docs: DataFrame) -> bool:
+    """Whether the rows of ``docs`` come straight from the files of a table."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "_metadata" in [a.name() for a in _items(plan.metadataOutput())]
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _natural(path: str) -> list:
+    return [int(x) if i % 2 else x for i, x in enumerate(re.split(r"([0-9]+)", path))]
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, dict[str | None, int]]:
+    """The rows (doc_id, text) with their file, the bounds of their split in it and
+    their place in the file, and the files' numbers in order (as many as the scan's
+    listing holds on the driver anyway)."""
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if not _as_read(docs):
+        part = F.spark_partition_id().cast("long")
+        return docs.select(*columns, F.lit(None).cast("string").alias("file"), part.alias("begin"), part.alias("end"), F.monotonically_increasing_id().alias("at")), {None: 0}
+    at = F.col("_metadata")
+    files = [r.file for r in docs.select(at["file_path"].alias("file")).distinct().collect()]
+    begin = at["file_block_start"]
+    rows = docs.select(*columns, at["file_path"].alias("file"), begin.alias("begin"), (begin + at["file_block_length"]).alias("end"), at["row_index"].alias("at"))
+    return rows, {f: i for i, f in enumerate(sorted(files, key=_natural))}
+
+
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """Packed rows (``SCHEMA``) of ``docs`` (doc_id, text)."""
     if not 1 <= length <= 0xFFFF:
         raise ValueError("length must fit 16 bits")
     # the vocabulary file is read once on the driver: 65,535 entries at most
-    shared = docs.sparkSession.sparkContext.broadcast(ranks_of(vocabulary))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("part", F.spark_partition_id())
+    rows, files = _placed(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks_of(vocabulary), files))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        ranks, numbers = shared.value
+        encoder = Encoder(ranks)
         full = 2 * length
-        part = done = 0
         waiting: list[tuple[int | None, int, bytes]] = []
         out: list[dict] = []
-        number = 0
+        first, number = None, 0  # the shard, and its rows so far
+        split = None
 
         def flush() -> Iterator[dict]:
             for i, chosen in enumerate(best_fit([len(p[2]) // 2 for p in waiting], length)):
-                yield _row((part << 32) + done, number + i, [waiting[j] for j in chosen], length, encoder.end)
+                yield _row(first, number + i, [waiting[j] for j in chosen], length, encoder.end)
 
         for b in slices(batches, "text"):
-            part = b.column("part")[0].as_py()
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for doc_id, text, file, begin, end, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "file", "begin", "end", "at"))):
+                if split != (file, begin, end):
+                    follows = split is not None and split[0] == file and split[2] == begin
+                    split = file, begin, end
+                    if first is not None and not follows:
+                        for row in flush():
+                            out.append(row)
+                            if len(out) >= _ROWS:
+                                yield pa.RecordBatch.from_pylist(out, schema=_arrow)
+                                out = []
+                        waiting, number, first = [], 0, None
+                if first is None:
+                    first = (numbers[file] << _PLACE) + at
                 ids = encoder(text)
                 whole = len(ids) // full * full
-                for at in range(0, whole, full):
-                    out.append(_row((part << 32) + done, number, [(doc_id, at // 2, ids[at : at + full])], length, encoder.end))
+                for offset in range(0, whole, full):
+                    out.append(_row(first, number, [(doc_id, offset // 2, ids[offset : offset + full])], length, encoder.end))
                     number += 1
                     if len(out) >= _ROWS:
                         yield pa.RecordBatch.from_pylist(out, schema=_arrow)
@@ -209,7 +257,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, sh
                         if len(out) >= _ROWS:
                             yield pa.RecordBatch.from_pylist(out, schema=_arrow)
                             out = []
-                    waiting, number, done = [], 0, done + 1
+                    waiting, number, first = [], 0, None
         out += flush()
         for at in range(0, len(out), _ROWS):
             yield pa.RecordBatch.from_pylist(out[at : at + _ROWS], schema=_arrow)

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import packing
 
@@ -81,3 +82,36 @@ def test_ids_may_be_null_or_repeated_and_tables_empty(spark):
     rows = packing.pack(docs).collect()
     assert len(rows) == 1 and sorted(map(str, rows[0].doc_ids)) == ["1", "1", "None"]
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+@needs
+def test_shards_follow_the_files_however_they_are_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    # later files are larger, and one is cut into several splits
+    rows = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.md5(F.concat("id", F.lit(f" {i}"))) for i in range(4)]).alias("text"))
+    sizes = [10, 40, 150, 600, 1200, 2000]
+    bounds = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        (rows.where(f"doc_id >= {a} and doc_id < {b}").coalesce(1).write.option("parquet.block.size", 40_000)
+             .option("parquet.page.size.row.check.min", 10).option("parquet.block.size.row.check.min", 10).parquet(f"{path}/{i}"))
+    os.makedirs(f"{path}/all")
+    for i in range(len(sizes)):
+        (part,) = [f for f in os.listdir(f"{path}/{i}") if f.endswith(".parquet")]
+        # the names' numbers have a digit more at the end
+        os.link(f"{path}/{i}/{part}", f"{path}/all/part-{99996 + i}.parquet")
+    conf = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for most in ("16k", "100k", "400k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            spark.conf.set("spark.sql.files.minPartitionNum", "1")
+            held = defaultdict(list)
+            for r in packing.pack(spark.read.parquet(f"{path}/all"), shard=100).collect():
+                held[r.shard] += r.doc_ids
+            order = [i for s in sorted(held) for i in sorted(held[s])]
+            assert order == list(range(4000)), most
+            assert max(map(len, held.values())) <= 100
+    finally:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
