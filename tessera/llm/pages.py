@@ -2,7 +2,9 @@
 leaf blocks of the DOM.
 
 A page is read with the standard parser (character references decoded; scripts,
-styles, heads and the like left out). A leaf block is a run of text between the
+styles, titles and the like left out). A head has no text of its own but that of
+such elements, so it needs no end tag; formulas and the text inside objects, audio,
+video and canvas are text like any other. A leaf block is a run of text between the
 bounds of block elements, its white space turned into single spaces. Its features
 are the tags and the words of class, id and role of its ancestors, its own tag and
 neighbours' tags, and of its text the length, share of link text, punctuation,
@@ -41,7 +43,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html ins legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose text is never main text.
-SILENT = frozenset("script style head title noscript template textarea select option button svg math iframe object embed canvas audio video map datalist".split())
+SILENT = frozenset("script style title noscript template textarea select option button svg iframe embed map datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open element of these, up to the bound.
 CLOSES = {"p": ({"p"}, BLOCK - {"p"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}

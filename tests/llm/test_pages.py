@@ -34,6 +34,24 @@ def test_blocks():
     assert [[t for t, _ in b.path] for b in inner] == [["article", "p"], ["article", "p"], ["p"]]
 
 
+def test_end_tags_of_head_and_body_may_be_left_out(model):
+    prose = "Long ago the river ran through the valley, and people lived there. They had many goats, and they sang."
+    for head in ("<head><meta charset=utf-8><title>no</title><style>p{}</style><script>var x;</script>", "<head><title>no</title><link rel=x>", "<title>no</title>", "<head>"):
+        for body in ("<body>", ""):
+            page = f"<!DOCTYPE html><html>{head}{body}<article><h1>The river</h1><p>{prose}<p>{prose}</article>"
+            assert texts(page) == ["The river", prose, prose]
+            assert pages.main_text(model, page) == f"The river\n{prose}\n{prose}"
+    assert texts("<head><title>no</title><body>plain") == ["plain"]
+
+
+def test_formulas_and_inner_text_of_media_are_kept(model):
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    for tag in ("object", "audio", "video", "canvas"):
+        assert texts(f"<p>see <{tag}>the <b>other</b> text</{tag}> here</p>") == ["see the other text here"]
+    prose = "Long ago the river ran through the valley, and people lived there. They had many goats, and they sang."
+    assert pages.main_text(model, f"<body><article><p>{prose} <math><mi>x</mi></math></p><object><p>{prose}</p></object></article>") == f"{prose} x\n{prose}"
+
+
 def test_held_out_pages(model):
     right = total = 0
     for seed in range(PAGES + 1000, PAGES + 1100):
