@@ -6,9 +6,9 @@ styles, titles and the like left out). A head has no text of its own but that of
 such elements, so it needs no end tag; formulas and the text inside objects, audio,
 video and canvas are text like any other. A leaf block is a run of text between the
 bounds of block elements, its white space turned into single spaces. Its features
-are the tags and the words of class, id and role of its ancestors, its own tag and
-neighbours' tags, and of its text the length, share of link text, punctuation,
-capitals, digits, and for short texts the words. Viterbi decoding labels the
+are the tags and the words of class, id and role of all its ancestors, its own tag
+and neighbours' tags, and of its whole text the length, share of link text,
+punctuation, capitals, digits, and for short texts all longer words. Viterbi decoding labels the
 blocks of a page as main text or not.
 
 The field is trained on a fixed number of labelled pages made by rule
@@ -53,6 +53,8 @@ ROUNDS = 4
 _split = re.compile(r"[^a-z0-9]+")
 #: Words that may tell a notice; short ones also stand in any prose.
 _word = re.compile(r"\w{5,}|©")
+_wide = re.compile(r"[^\x00-\x7f]+")
+_CAPITALS = bytes(range(65, 91))
 
 
 class Block:
@@ -155,7 +157,7 @@ def _hash(x: str) -> int:
 @lru_cache(maxsize=20_000)
 def _path_features(path: tuple[tuple[str, str], ...]) -> tuple[int, ...]:
     out = [_hash(f"tag {path[-1][0] if path else ''}"), _hash(f"depth {min(len(path), 8)}")]
-    for tag, names in path[-12:] if len(path) > 12 else path:
+    for tag, names in dict.fromkeys(path):  # all ancestors, equal ones once
         out.append(_hash(f"in {tag}"))
         out += [_hash(f"name {w}") for w in _split.split(names) if w]
     if len(path) > 1:
@@ -163,6 +165,14 @@ def _path_features(path: tuple[tuple[str, str], ...]) -> tuple[int, ...]:
     return tuple(dict.fromkeys(out))
 
 
+def _counts(text: str) -> tuple[int, int, int]:
+    """Punctuation marks, capitals and digits of the whole text."""
+    plain = text.encode("ascii", "ignore")
+    wide = "" if len(plain) == len(text) else "".join(_wide.findall(text))
+    marks, capitals, digits = (len(plain) - len(plain.translate(None, kind)) for kind in (b".,;:!?", _CAPITALS, b"0123456789"))
+    return marks, capitals + sum(map(str.isupper, wide)), digits + sum(map(str.isdigit, wide))
+
+
 def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features, bounds and real-valued features of a page's blocks."""
     out: list[int] = []
@@ -177,13 +187,12 @@ def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         text = b.text
         n = len(text)
         if n <= 120:
-            out += [_hash(f"word {w}") for w in _word.findall(text.lower())[:12]]
+            out += [_hash(f"word {w}") for w in _word.findall(text.lower())]
         bounds.append(len(out))
-        start = text[:400]
-        m = len(start)
+        marks, capitals, digits = _counts(text)
         real[i] = (
-            1.0, math.log1p(n) / 5, min(b.linked, n) / n, sum(c in ".,;:!?" for c in start) / m * 5, text[-1] in ".!?:",
-            sum(map(str.isupper, start)) / m, sum(map(str.isdigit, start)) / m, min(n, 30) / 30, i / max(1, len(page) - 1))
+            1.0, math.log1p(n) / 5, min(b.linked, n) / n, marks / n * 5, text[-1] in ".!?:",
+            capitals / n, digits / n, min(n, 30) / 30, i / max(1, len(page) - 1))
     return np.array(out, dtype=np.int64), np.array(bounds, dtype=np.int64), real
 
 

@@ -52,6 +52,28 @@ def test_formulas_and_inner_text_of_media_are_kept(model):
     assert pages.main_text(model, f"<body><article><p>{prose} <math><mi>x</mi></math></p><object><p>{prose}</p></object></article>") == f"{prose} x\n{prose}"
 
 
+def test_all_ancestors_and_the_whole_text_count(model):
+    prose = "Long ago the river ran through the valley, and people lived there. They had many goats, and they sang."
+    deep, shut = "<div>" * 20, "</div>" * 20
+    page = f"""<body><main><article>{deep}<h1>The river</h1><p>{prose}</p><p>{prose} {prose}</p>{shut}</article></main>
+      <aside class="sidebar related">{deep}<p>{prose} Aside.</p><p>{prose} {prose}</p>{shut}</aside>
+      <section id="comments"><div class="comment">{deep}<p>{prose} Comment.</p>{shut}</div></section><footer>{deep}<p>{prose} Footer.</p>{shut}</footer></body>"""
+    assert pages.main_text(model, page) == f"The river\n{prose}\n{prose} {prose}"
+    names = {pages._hash(f"name {w}") for w in ("sidebar", "related")} | {pages._hash("in aside")}
+    block = next(b for b in pages.blocks(page) if b.text.endswith("Aside."))
+    assert names <= set(pages._path_features(block.path))
+
+    def real(text):
+        return pages.features([pages.Block(text, 0, (("p", ""),))])[2][0]
+
+    long = "7 " * 300 + "A" * 300 + "ÄÖ٣" + ". Some words; and more, of them. " * 200
+    want = [sum(c in ".,;:!?" for c in long) / len(long) * 5, sum(map(str.isupper, long)) / len(long), sum(map(str.isdigit, long)) / len(long)]
+    assert np.allclose(real(long)[[3, 5, 6]], want)
+    words = [f"w{c}ord" + c * 3 for c in "abcdefghijklm"]
+    found = pages.features([pages.Block(" ".join(words), 0, (("p", ""),))])[0]
+    assert len(" ".join(words)) <= 120 and {pages._hash(f"word {w}") for w in words} <= set(found.tolist())
+
+
 def test_held_out_pages(model):
     right = total = 0
     for seed in range(PAGES + 1000, PAGES + 1100):
