@@ -18,11 +18,16 @@ point within half of it, so each one lists the points around it on the bits that
 its table masks out, and each point links what lists it with its smallest.
 Both ways are exact; no bucket is cut.
 
+Nodes are fingerprints, numbered in a written table in the order of (their smallest
+doc_id, that row's key), so different fingerprints whose smallest doc_ids are equal
+are different nodes, and the smallest node of a component has its smallest doc_id.
+
 Components: large-star and small-star rounds over the links until nothing
 changes, each round written to the shared folder.
 
 Defined cases: null text counts as empty; empty texts have fingerprint zero and
-link like any other; rows that share a doc_id keep a row each; a null doc_id
+link like any other; rows that share a doc_id keep a row each, and each belongs to
+the component of its own fingerprint; a null doc_id
 takes no part in the minimum (its class may have a null id if all are null);
 extra columns are ignored; an empty table gives an empty result.
 """
@@ -37,8 +42,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, text_bytes, written
+from .common import fresh, slices, text_bytes, written
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -154,25 +160,43 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def classes(rows: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """(fp, component_id, stays): for each fingerprint of ``rows`` (doc_id, fp, key;
+    key unique) the smallest doc_id of its component and the smallest key with it."""
+    held = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
+    firsts = rows.groupBy("fp").agg(F.min(held).alias("first")).select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("stays"))
+    ordered = firsts.repartitionByRange("component_id", "stays").sortWithinPartitions("component_id", "stays")
+    points = written(ordered.withColumn("rep", F.monotonically_increasing_id()), "points")
+    # classes without a doc_id take no part in links
+    found = components(links(points.where("component_id is not null").select("rep", "fp"), radius, hot))
+    moved = points.select("rep", "fp").join(found.where("node != component"), F.col("rep") == F.col("node")).select("fp", "component")
+    firsts = points.select("rep", "component_id", "stays")
+    moved = moved.join(firsts, F.col("component") == F.col("rep")).select("fp", "component_id", "stays")
+    return points.join(moved.select("fp"), "fp", "left_anti").select("fp", "component_id", "stays").union(moved)
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, fp, component_id): a row for each row of ``docs``; component_id
     is the smallest doc_id that it reaches over links, its own included."""
-    rows = written(fingerprints(docs, words, id_col, text_col), "fp")
-    # a fingerprint's node is its smallest doc_id; classes without one take no part in links by id, so they get their own negative stand-in
-    points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
-    found = components(links(points.where("rep is not null"), radius, hot))
-    named = points.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    rows = written(fingerprints(docs, words, id_col, text_col).withColumn("key", F.monotonically_increasing_id()), "fp")
+    return rows.join(classes(rows, radius, hot).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without those whose near copy with a smaller doc_id
-    stays: one row of each component, with the columns of ``docs``. Of rows that
-    share the doc_id that stays, one stays; rows without doc_id stay."""
-    lost = near_duplicates(docs, words, radius).where("doc_id != component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    left = docs.join(lost, docs["doc_id"] == F.col("_lost"), "left_anti")
-    again = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")), "again")
-    if again.isEmpty():
-        return left
-    rest = left.join(again, left["doc_id"] == F.col("_again"), "left_anti")
-    return rest.unionByName(left.join(again, left["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+    stays: one row of each component, with the columns of ``docs``. Rows count by
+    themselves, also those that share a doc_id: of those in one component one stays,
+    those in different components do not touch each other. Rows without doc_id stay.
+    The rows are written once more, with a key each."""
+    fp, key, lost = (fresh(docs.columns, x) for x in ("_fp", "_key", "_lost"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            found = pa.array([fingerprint(t, words) for t in text_bytes(b.column("text"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, fp])
+
+    keyed = written(docs.mapInArrow(run, schema).withColumn(key, F.monotonically_increasing_id()), "keyed")
+    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(key).alias("key"))
+    gone = rows.where("doc_id is not null").join(classes(rows, radius).select("fp", "stays"), "fp").where("key != stays").select(F.col("key").alias(lost))
+    return keyed.join(gone, F.col(key) == F.col(lost), "left_anti").select(docs.columns)

@@ -87,6 +87,25 @@ def test_whole_operator(spark):
     assert sorted(i for i in ids if i is not None) == sorted(set(want.values()))
 
 
+def test_rows_that_share_an_id_count_by_their_text(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    a, b, c, d, e = (" ".join(rng.choices(words, k=120)) for _ in range(5))
+    rows = [
+        (5, a, "first"), (5, b, "first"), (5, b, "again"),  # b is a copy of document 3's text, a is not
+        (3, b, "b"), (8, a, "copy"), (9, a, "copy"),
+        (20, c, "c"), (20, d, "d"), (21, c, "copy"), (22, d, "copy"), (20, e, "e"), (20, e, "again"),
+        (None, c, "null"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _fp string")
+    name = {a: "a", b: "b", c: "c", d: "d", e: "e"}
+    got = sorted(((r.doc_id, name[r.text]) for r in simhash.keep_one(docs).collect()), key=str)
+    assert got == sorted([(5, "a"), (3, "b"), (20, "c"), (20, "d"), (20, "e"), (None, "c")], key=str)
+    component = {(r.doc_id, unsigned(r.fp)): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    want = {a: 5, b: 3, c: 20, d: 20, e: 20}
+    assert component == {(i, slow_fingerprint(t)): want[t] for i, t, _ in rows}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
