@@ -19,9 +19,10 @@ likelihood ratio of their presence, and must stand after different words, so tha
 what merely comes along with copies of one text stays out. A text's evidence for
 a beginning is how unlikely its count would be in a clean text of that length
 (Poisson tail at the rate of clean rows); the sum of what exceeds ``CHANCE`` goes
-through a logistic curve fitted on the sample. A single word that clean rows never
-hold is thus evidence in a text of any length, and a beginning that clean rows
-hold now and then only where it crowds. Only labels of the rows passed are seen.
+through a logistic curve fitted on the sample. For a beginning that clean rows never
+hold, a text counts as no longer than the mean clean text: a single such word is thus
+evidence in a text of any length, and a beginning that clean rows hold now and then
+only where it crowds. Only labels of the rows passed are seen.
 
 When scoring, a token is decoded only if some path of its lattice can spell a
 beginning of the classifier, which one regular expression tells (each letter or
@@ -222,7 +223,7 @@ def _sampled(labels: DataFrame, sample: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model: lm, starts (beginning -> rate in clean texts), the curve and the share of label 1. ``labels`` (doc_id, toxic)
+    """The model: lm, starts (beginning -> rate in clean texts), most (beginning that clean texts never hold -> largest mean), the curve and the share of label 1. ``labels`` (doc_id, toxic)
     holds the rows to learn from; the language model is counted over all ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lm = language_model(trigram_counts(docs))
@@ -234,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     rows = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     rows = written(rows.mapInArrow(_reader(shared), "toxic int, n int, words array<string>, after array<long>"), "toxic")
     totals = {r.toxic: r for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words")).collect()}
-    model = {"lm": lm, "starts": {}, "slope": 0.0, "middle": 0.0, "base": float(1 in totals)}
+    model = {"lm": lm, "starts": {}, "most": {}, "slope": 0.0, "middle": 0.0, "base": float(1 in totals)}
     if len(totals) < 2:
         return model
     pos, neg = totals[1].docs, totals[0].docs
@@ -252,7 +253,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     for r in counted.orderBy(F.desc("gain"), F.desc(F.length("start")), "start").limit(20 * LEXICON).collect():
         if len(model["starts"]) < LEXICON and not any(s.startswith(r.start) or r.start.startswith(s) for s in model["starts"]):
             model["starts"][r.start] = (r.kn + 0.5) / (totals[0].words + 1)
-    seen = [(r.toxic, evidence(model["starts"], r.n, r.words)) for r in rows.select("toxic", "n", _only(model["starts"]).alias("words")).collect()]
+            if not r.kn:
+                model["most"][r.start] = max(1.0, totals[0].words / neg) * model["starts"][r.start]
+    seen = [(r.toxic, evidence(model["starts"], r.n, r.words, model["most"])) for r in rows.select("toxic", "n", _only(model["starts"]).alias("words")).collect()]
     # the sample holds up to as many rows of either class; the curve is for all labelled rows
     model["slope"], model["middle"] = _curve(seen, {0: known[0] / neg, 1: known[1] / pos})
     return model
@@ -341,14 +344,15 @@ def _start_of(starts: dict[str, float], word: str) -> str | None:
     return None
 
 
-def evidence(starts: dict[str, float], n: int, words: Iterable[str]) -> float:
-    """What ``words`` of a text of ``n`` words tell (0 to ``MOST``)."""
+def evidence(starts: dict[str, float], n: int, words: Iterable[str], most: dict[str, float]) -> float:
+    """What ``words`` of a text of ``n`` words tell (0 to ``MOST``); ``most`` bounds the
+    means of beginnings that clean texts never hold."""
     counts: dict[str, int] = {}
     for w in words:
         s = _start_of(starts, w)
         if s is not None:
             counts[s] = counts.get(s, 0) + 1
-    total = sum(max(0.0, _surprise(counts[s], n * starts[s]) - CHANCE) for s in sorted(counts))
+    total = sum(max(0.0, _surprise(counts[s], min(n * starts[s], most.get(s, math.inf))) - CHANCE) for s in sorted(counts))
     return min(total, MOST)
 
 
@@ -410,7 +414,7 @@ def scorer(model: dict) -> Callable[[str], float]:
         for run in _spaced_runs(tokens):
             for m in can_be.finditer(run):
                 found += decode(lm, m.group()).split()
-        z = model["slope"] * (evidence(starts, len(tokens), found) - model["middle"])
+        z = model["slope"] * (evidence(starts, len(tokens), found, model["most"]) - model["middle"])
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
     return score
