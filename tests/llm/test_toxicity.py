@@ -119,18 +119,3 @@ def test_a_balanced_sample_learns_the_same_words(spark):
     rows = tox.scored(docs, small).join(labels, "doc_id").collect()
     assert sum(r.score >= tox.THRESHOLD for r in rows if r.toxic) > 0.8 * toxic
     assert sum(r.score >= tox.THRESHOLD for r in rows if not r.toxic) < 0.01 * len(rows)
-
-
-def test_one_word_that_clean_rows_never_hold_counts_in_a_text_of_any_length(spark):
-    rng = random.Random(5)
-    words = ["".join(rng.choices("bdfgklmnprst", k=1) + rng.choices("aeiou", k=1) + rng.choices("bdfgklmnprst", k=3)) for _ in range(300)]
-    texts = [" ".join(rng.choices(words, k=50)) for _ in range(2100)]
-    texts = [t if i < 2000 else t + " vuxhoq " + rng.choice(words) for i, t in enumerate(texts)]
-    labels = spark.createDataFrame([(i, int(i >= 2000)) for i in range(2100)], "doc_id long, toxic int")
-    model = tox.train(docs_of(spark, texts), labels)
-    assert any("vuxhoq".startswith(s) for s in model["starts"])
-    score = tox.scorer(model)
-    for n in (10, 1_000, 1_000_000):
-        prose = " ".join(rng.choices(words, k=n // 2))
-        assert score(f"{prose} vuxhoq {prose}") >= tox.THRESHOLD, n
-        assert score(f"{prose} {prose}") < tox.THRESHOLD, n
