@@ -17,12 +17,17 @@ a-z. Counts are per language. A phrase of up to ``LONGEST`` words is frequent wi
   ``LONGEST`` passes, and the frequent phrases are then complete and exact whatever the
   sample was.
 
+A pass sums counts by 64-bit hashes of the phrases, eight bytes in place of text: sums
+that are never too small, so what stays below the support is settled. A last pass counts
+by text whatever reached it, and those counts are exact.
+
 Tasks hold the proposed phrases as one Bloom filter of ``bits`` bits, whose size does
-not follow the data. A false positive admits a phrase that need not be counted; it is
-counted whole, so results stay exact, and a filter that fills up costs time only.
+not follow the data. A false positive, or two phrases of one hash, admits a phrase that
+need not be counted: that costs time only, also when the filter fills up.
 Words are numbered and phrases grouped in numpy, a few megabytes of text at a time
-(a longer text is cut between words, with the words before the cut as context); the
-counts meet in one aggregation with map-side sums.
+(a longer text is cut between words, with the words before the cut as context). That
+grouping is the combining before the shuffle; most phrases of a border are too rare
+for another one in the same task.
 
 Defined cases: null text counts as empty, null ``lang`` as ``und``; a language without
 a phrase of the support has no rows; repeated rows count each time; an empty table
@@ -47,9 +52,9 @@ LONGEST = 4
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes(32 if b == 9 else 10 if b in BREAKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of text looked at together.
-PORTION = 8 << 20
+PORTION = 4 << 20
 PROBES = 3
-COUNTS = "lang string, k int, phrase string, n long"
+EXACT = "lang string, k int, phrase string, n long"
 
 
 # -- hashes and the filter -------------------------------------------------------
@@ -68,13 +73,9 @@ def joined(left: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(left * np.uint64(0xC2B2AE3D27D4EB4F) + word)
 
 
-def phrase_hashes(lang: str, phrases: list[str]) -> np.ndarray:
-    words = [p.split(" ") for p in phrases]
-    h = word_hashes(lang, [w[0] for w in words])
-    for i in range(1, max(map(len, words), default=0)):
-        at = np.array([j for j, w in enumerate(words) if len(w) > i], dtype=np.int64)
-        h[at] = joined(h[at], word_hashes(lang, [words[j][i] for j in at]))
-    return h
+def marked(h: np.ndarray, k: int) -> np.ndarray:
+    """A phrase's hash with its length in the last two bits."""
+    return (h & ~np.uint64(3)) | np.uint64(k - 1)
 
 
 def _places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -100,40 +101,35 @@ class Filter:
             found &= (self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
         return found
 
-    def with_phrases(self, phrases: DataFrame) -> Filter:
-        """This filter with the phrases of a table (lang, phrase) added. The driver
-        gets at most one row for each 64 bits."""
+    def with_hashes(self, hashes: DataFrame) -> Filter:
+        """This filter with the hashes of column h added. The driver gets at most one row
+        for each 64 bits."""
         bits = 64 * len(self.words)
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for h, _ in _hashed(batch):
-                    p = np.concatenate(list(_places(h, bits)))
-                    mask = (np.uint64(1) << (p & np.uint64(63))).view(np.int64)
-                    yield pa.record_batch([pa.array((p >> np.uint64(6)).astype(np.int64)), pa.array(mask)], names=["w", "mask"])
+                p = np.concatenate(list(_places(_unsigned(batch.column("h")), bits)))
+                mask = (np.uint64(1) << (p & np.uint64(63))).view(np.int64)
+                yield pa.record_batch([pa.array((p >> np.uint64(6)).astype(np.int64)), pa.array(mask)], names=["w", "mask"])
 
-        rows = phrases.select("lang", "phrase").mapInArrow(places, "w long, mask long").groupBy("w").agg(F.bit_or("mask").alias("mask")).toArrow()
+        rows = hashes.select("h").mapInArrow(places, "w long, mask long").groupBy("w").agg(F.bit_or("mask").alias("mask")).toArrow()
         words = self.words.copy()
         words[rows["w"].to_numpy()] |= rows["mask"].to_numpy().view(np.uint64)
         return Filter(words)
 
-    def missing(self, phrases: DataFrame) -> DataFrame:
-        """The rows of (lang, k, phrase, n) that this filter does not hold."""
-        shared = phrases.sparkSession.sparkContext.broadcast(self.words)
+    def missing(self, hashes: DataFrame) -> DataFrame:
+        """The hashes of column h that this filter does not hold."""
+        shared = hashes.sparkSession.sparkContext.broadcast(self.words)
 
         def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for h, rows in _hashed(batch):
-                    yield rows.filter(pa.array(~Filter(shared.value).holds(h)))
+                yield batch.filter(pa.array(~Filter(shared.value).holds(_unsigned(batch.column("h")))))
 
-        return phrases.mapInArrow(lacking, phrases.schema)
+        return hashes.select("h").mapInArrow(lacking, "h long")
 
 
-def _hashed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
-    """Hashes and rows of each language of a batch with columns lang and phrase."""
-    for lang in pc.unique(batch.column("lang")).to_pylist():
-        rows = batch.filter(pc.equal(batch.column("lang"), lang))
-        yield phrase_hashes(lang, rows.column("phrase").to_pylist()), rows
+def _unsigned(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
 
 
 # -- counting ---------------------------------------------------------------------
@@ -180,60 +176,92 @@ def numbered(folded: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(np.flatnonzero(data == 10), starts)
 
 
-def phrase_counts(lang: str, folded: bytes, skip: int, old: Filter | None, new: Filter | None, lengths: tuple[int, ...]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(length, phrases, counts) of a portion. Single words are all counted; a longer
-    phrase if ``new`` holds all its parts and ``old`` does not."""
+class Grams:
+    """Phrases of one length in a portion: hash (with length), count, whether earlier
+    passes admitted them, and their words' numbers in the vocabulary."""
+
+    def __init__(self, vocab: pa.Array, words: list[np.ndarray], hashes: np.ndarray, counts: np.ndarray, was: np.ndarray):
+        self.vocab, self.words, self.hashes, self.counts, self.was = vocab, words, hashes, counts, was
+
+    def text(self, chosen: np.ndarray) -> pa.Array:
+        columns = [self.vocab.take(pa.array(w[chosen])) for w in self.words]
+        return pc.binary_join_element_wise(*columns, " ") if len(columns) > 1 else columns[0]
+
+
+def grams(lang: str, folded: bytes, skip: int, old: Filter | None, new: Filter | None, longest: int = LONGEST) -> Iterator[Grams]:
+    """The words of a portion, then the phrases of two words, and so on: those whose
+    parts all are in ``new``. Occurrences inside the first ``skip`` words don't count."""
     vocab, code, piece = numbered(folded)
     n, size = len(code), max(1, len(vocab))
-    if 1 in lengths and n > skip:
-        yield 0, pa.array([""]), np.array([n - skip])
-        counts = np.bincount(code[skip:], minlength=size)
-        yield 1, vocab.filter(pa.array(counts > 0)), counts[counts > 0]
-    if new is None or not n:
+    if not n:
         return
     word = word_hashes(lang, vocab.to_pylist())
-    # of the phrases one word shorter: number at each position (-1: not admitted), hash, words
-    ids, hashes, spelled = code, word, [np.arange(size)]
-    was = np.ones(size, dtype=bool)  # admitted by the passes before
-    for k in range(2, max(lengths) + 1):
-        known = new.holds(hashes)
+    at = Grams(vocab, [np.arange(len(vocab))], marked(word, 1), np.bincount(code[skip:], minlength=len(vocab)), np.ones(len(vocab), dtype=bool))
+    yield at
+    ids = code  # number of the phrase at each position, -1: not admitted
+    for k in range(2, longest + 1):
+        known = new.holds(at.hashes)
         kept = known[ids] & (ids >= 0)
-        at = np.flatnonzero(kept[:-1] & kept[1:] & (piece[: len(kept) - 1] == piece[k - 1 :]))
-        if not len(at):
+        spots = np.flatnonzero(kept[:-1] & kept[1:] & (piece[: len(kept) - 1] == piece[k - 1 :]))
+        if not len(spots):
             return
-        key, inverse = np.unique(ids[at] * size + code[at + k - 1], return_inverse=True)
+        key, inverse = np.unique(ids[spots] * size + code[spots + k - 1], return_inverse=True)
         left, last = key // size, key % size
+        was = np.zeros(len(key), dtype=bool)
         if old is not None:
-            before = was & old.holds(hashes)
-            first = np.zeros(len(key), dtype=np.int64)
-            first[inverse] = ids[at + 1]  # of equal phrases, equal
-            was = before[left] & before[first]
-        counts = np.bincount(inverse[at + k - 1 >= skip], minlength=len(key))
-        if k in lengths:
-            out = counts > 0 if old is None else (counts > 0) & ~was
-            if out.any():
-                columns = [vocab.take(pa.array(s[left[out]])) for s in spelled] + [vocab.take(pa.array(last[out]))]
-                yield k, pc.binary_join_element_wise(*columns, " "), counts[out]
+            before = at.was & old.holds(at.hashes)
+            rest = np.zeros(len(key), dtype=np.int64)
+            rest[inverse] = ids[spots + 1]  # of equal phrases, equal
+            was = before[left] & before[rest]
+        counts = np.bincount(inverse[spots + k - 1 >= skip], minlength=len(key))
         ids = np.full(n - k + 1, -1, dtype=np.int64)
-        ids[at] = inverse
-        hashes, spelled = joined(hashes[left], word[last]), [s[left] for s in spelled] + [last]
+        ids[spots] = inverse
+        at = Grams(vocab, [w[left] for w in at.words] + [last], marked(joined(at.hashes[left], word[last]), k), counts, was)
+        yield at
 
 
-def count_pass(docs: DataFrame, lengths: tuple[int, ...], new: Filter | None = None, old: Filter | None = None) -> DataFrame:
-    """(lang, k, phrase, n) over the rows of (lang, text): exact counts of what is
-    admitted (see ``phrase_counts``); k = 0 has the number of words."""
-    shared = docs.sparkSession.sparkContext.broadcast((None if old is None else old.words, None if new is None else new.words))
+def _parts(docs: DataFrame, schema: str, filters: tuple[Filter | None, ...], each: Callable) -> DataFrame:
+    """``each`` makes Arrow batches of every portion of the rows of (lang, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(None if f is None else f.words for f in filters))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [None if x is None else Filter(x) for x in shared.value]
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [None if x is None else Filter(x) for x in shared.value]
         for batch in slices(batches, "text", 2 * PORTION):
             for lang in pc.unique(batch.column("lang")).to_pylist():
                 texts = pc.cast(batch.filter(pc.equal(batch.column("lang"), lang)).column("text"), pa.binary())
                 for folded, skip in portions(x.as_py() for x in texts):
-                    for k, phrases, n in phrase_counts(lang, folded, skip, *filters, lengths):
-                        yield pa.record_batch([pa.repeat(lang, len(n)), pa.array(np.full(len(n), k, dtype=np.int32)), phrases, pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
+                    yield from each(lang, folded, skip, *held)
+
+    return docs.mapInArrow(parts, schema)
+
+
+def hashed_counts(docs: DataFrame, lengths: tuple[int, ...], support: int, new: Filter | None = None, old: Filter | None = None) -> DataFrame:
+    """Hashes h with at least ``support`` occurrences, among single words and the longer
+    phrases of ``lengths`` whose parts are all in ``new`` and not all in ``old``."""
+
+    def each(lang, folded, skip, new, old):
+        for k, g in enumerate(grams(lang, folded, skip, old, new, max(lengths)), 1):
+            if k in lengths:
+                out = (g.counts > 0) & ~g.was if k > 1 else g.counts > 0
+                yield pa.record_batch([pa.array(g.hashes[out].view(np.int64)), pa.array(g.counts[out].astype(np.int64))], names=["h", "n"])
+
+    # dealt out by hash first, so that no second combining runs before the shuffle
+    rows = _parts(docs, "h long, n long", (new, old), each).repartition("h")
+    return rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("h")
+
+
+def exact_counts(docs: DataFrame, held: Filter, support: int) -> DataFrame:
+    """(lang, k, phrase, n) of the phrases in ``held`` with the support, and with k = 0
+    the number of words of each language."""
+
+    def each(lang, folded, skip, held):
+        for k, g in enumerate(grams(lang, folded, skip, None, held), 1):
+            found = [(k, g.text(out), g.counts[out]) for out in [(g.counts > 0) & held.holds(g.hashes)]]
+            for k, phrase, n in ([(0, pa.array([""]), g.counts.sum(keepdims=True))] if k == 1 else []) + found:
+                yield pa.record_batch([pa.repeat(lang, len(n)), pa.array(np.full(len(n), k, dtype=np.int32)), phrase, pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
 
-    return docs.mapInArrow(count, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    counts = _parts(docs, EXACT, (held,), each).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    return counts.where((F.col("n") >= support) | ((F.col("k") == 0) & (F.col("n") > 0)))
 
 
 def sampled(docs: DataFrame, share: float) -> DataFrame:
@@ -251,21 +279,19 @@ def frequent(docs: DataFrame, support: int = 30, share: float = 0.1, slack: floa
     rows, least = rows.select("lang", "text"), max(2, int(slack * support * share))
     old, new = None, Filter.empty(bits)
     for k in range(1, LONGEST):
-        proposed = count_pass(sample, (k,), None if k == 1 else new).where((F.col("n") >= least) & (F.col("k") == k))
-        new = new.with_phrases(proposed)
-    found, number = None, 0
+        new = new.with_hashes(hashed_counts(sample, (k,), least, new))
+    held, number = Filter.empty(bits), 0
     while True:
         number += 1
-        lengths = tuple(range(1 if old is None else 2, LONGEST + 1))
-        counted = written(count_pass(rows, lengths, new, old).where((F.col("n") >= support) | (F.col("k") == 0)), "phrase-counts")
-        found = counted if found is None else found.unionByName(counted)
-        failures = written(new.missing(counted.where(F.col("k").between(1, LONGEST - 1))), "phrase-failures")
+        found = written(hashed_counts(rows, tuple(range(1 if old is None else 2, LONGEST + 1)), support, new, old), "phrase-hashes")
+        held = held.with_hashes(found)
+        failures = written(new.missing(found.where(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1)), "phrase-failures")
         lost = failures.count()
         if note:
             note(number, lost)
         if not lost:
-            return found
-        old, new = new, new.with_phrases(failures)
+            return written(exact_counts(rows, held, support), "phrases")
+        old, new = new, new.with_hashes(failures)
 
 
 # -- scores ------------------------------------------------------------------------

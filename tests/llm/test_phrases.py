@@ -91,8 +91,9 @@ def test_long_texts_are_cut_without_losing_or_doubling_phrases():
         texts = [text, "", "a b", text[: rng.randint(0, 40)]]
         got = Counter()
         for folded, skip in phrases.portions((t.encode() for t in texts), most=40):
-            for k, p, n in phrases.phrase_counts("en", folded, skip, None, every, (1, 2, 3, 4)):
-                got.update(dict(zip(p.to_pylist(), n.tolist())) if k else {})
+            for g in phrases.grams("en", folded, skip, None, every):
+                some = g.counts > 0
+                got.update(dict(zip(g.text(some).to_pylist(), g.counts[some].tolist())))
         want = Counter()
         for t in texts:
             for w in pieces(t):
@@ -102,6 +103,6 @@ def test_long_texts_are_cut_without_losing_or_doubling_phrases():
 
 def test_scores_are_exact_past_64_bits(spark):
     big = 9_000_000_000_000_000_000
-    found = spark.createDataFrame([("en", 0, "", big), ("en", 1, "a", big), ("en", 1, "b", big - 1), ("en", 2, "a b", big - 2)], phrases.COUNTS)
+    found = spark.createDataFrame([("en", 0, "", big), ("en", 1, "a", big), ("en", 1, "b", big - 1), ("en", 2, "a b", big - 2)], phrases.EXACT)
     row = phrases.collocations(found).collect()[0]
     assert row.score == 2_000_000 * (big - 2) // (big + big - 1)
