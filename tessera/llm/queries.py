@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, language, line_dedup, mixing, packing, pages, phrases, quality, simhash, token_counts, toxicity
+from . import decontaminate, exact, language, line_dedup, mixing, packing, pages, phrases, quality, simhash, token_counts, toxicity, turns
 from .common import crc_mod, table
 
 
@@ -60,6 +60,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return turns.audits(turns.damaged(given), given)
+
+
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judged(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op11_conversations": op11_conversations,
     "op12_quality": op12_quality,
     "op13_phrases": op13_phrases,
 }
