@@ -2,10 +2,8 @@
 
 Parsing is a chain of row-local expressions over exploded lines; the only
 shuffles are the (uid, label, value) de-duplication and the matching joins.
-Containment joins never compare all pairs of a group: both sides meet on an
-equi-key (the rarest character gram of the needle, or its rarest inner token) and
-``contains`` then verifies each candidate, so a hot paper or a hot label
-only costs its genuine near-matches.
+Containment is a dictionary search (``operators.search``), never a comparison of all
+pairs of a group.
 """
 
 from __future__ import annotations
@@ -18,8 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import LABEL_ALIASES, NOT_RELEVANT, PLURAL_EXEMPT, REFUSAL_PREFIXES
 from ..functions.text import WS_CLASS, map_values, split_lines, strip
 from .responses import vocab_column
-
-QGRAM = 4
+from .search import contained
 
 
 # ------------------------------------------------------------------ G1-G5
@@ -155,48 +152,16 @@ def multi_label_entities(gens: DataFrame, keys: Sequence[str] = ("uid",)) -> Dat
 
 
 # ------------------------------------------------------------------ A3, A4
-def _grams(text: Column, sizes: Column) -> Column:
-    """Distinct substrings of ``text`` of each length in the array ``sizes``. The
-    text is cut into characters once, so the cost is linear in its length."""
-    def of(chars: Column) -> Column:
-        one = lambda q: F.transform(F.sequence(F.lit(1), F.size(chars) - q + 1), lambda i: F.array_join(F.slice(chars, i, q), ""))
-        none = F.array().cast("array<string>")
-        return F.flatten(F.transform(sizes, lambda q: F.when(F.size(chars) >= q, one(q)).otherwise(none)))
-    return F.array_distinct(F.element_at(F.transform(F.array(F.split(text, "")), of), 1))
-
-
-def _own_grams(needles: DataFrame, text: str) -> DataFrame:
-    """(text, g): the grams a needle can be found by: those of QGRAM characters, or
-    the needle itself where it is shorter. Empty needles have none."""
-    d = needles.select(text).where(F.length(text) > 0).distinct()
-    return d.select(text, F.explode(_grams(F.col(text), F.array(F.least(F.lit(QGRAM), F.length(text))))).alias("g"))
-
-
-def _rarest(grams: DataFrame, counts: DataFrame, text: str) -> DataFrame:
-    """(text, g): each needle's gram with the smallest count (then the first)."""
-    best = grams.join(counts, "g").groupBy(text).agg(F.min(F.struct("n", "g")).alias("b"))
-    return best.select(text, F.col("b.g").alias("g"))
-
-
 def match_contained(gold: DataFrame, parsed: DataFrame, keys: Sequence[str] = ("uid",)) -> DataFrame:
     """A3: (keys, label, entity, value) for every predicted value of the same
     paper and label that contains the gold entity (case-sensitive); a gold
     entity repeats once per containing value (quirk Q4).
 
-    All groups go one way: an entity is looked for by its rarest gram (counted
-    over the gold entities), a value by those of its grams that some entity is
-    looked for by, and both meet on (paper, label, gram). A group costs its
-    near-matches, not its pairs, however large it is."""
+    Entities and values of a (paper, label) meet in one sorted stream; groups of any
+    size are dealt out by ``search.contained``."""
     k = [*keys, "label"]
-    own = _own_grams(gold, "entity")
-    keyed = gold.select(*k, "entity").join(_rarest(own, own.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "entity"), "entity")
-    wanted = keyed.select("g").distinct()
-    sizes = F.array(*[F.lit(q) for q in range(1, QGRAM + 1)])
-    # equal values are cut into grams once
-    cut = parsed.select("value").distinct().select("value", F.explode(_grams(F.col("value"), sizes)).alias("g")).join(wanted, "g", "left_semi")
-    vg = parsed.select(*k, "value").join(cut, "value")
-    hits = keyed.join(vg, [*k, "g"]).where(F.contains(F.col("value"), F.col("entity")))
-    return hits.select(*k, "entity", "value")
+    found = contained(gold.select(*k, F.col("entity").alias("term")), parsed.select(*k, F.col("value").alias("text")), k)
+    return found.select(*k, F.col("term").alias("entity"), F.col("text").alias("value"))
 
 
 def _json_map(entries: Column) -> Column:
@@ -233,32 +198,11 @@ def extraction_table(papers: DataFrame, gold: DataFrame, parsed: DataFrame,
 def find_mentions(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text",
                   item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """A5: (doc_key, item_key) for every item text contained in a document (an empty
-    item is in none).
-
-    Items of 3+ tokens are looked for by their rarest *inner* token (an inner token
-    of a contained passage is a whole token of the document, so the join is exact),
-    shorter items by their rarest gram of up to QGRAM characters. Of a document's
-    tokens and grams only those that items have go on to be counted and joined, and
-    grams are cut only in the lengths that short items need (none without such
-    items). Every candidate is verified with ``contains``."""
-    d = docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("_dt"))
-    it = items.select(F.col(item_key).alias("_i"), F.col(item_text).alias("_it"))
-    splitter = "[ \\t\\n\\r\\f\\x0B]+"
-    toks = it.where(F.length("_it") > 0).select("_it").distinct().withColumn(
-        "ts", F.filter(F.split("_it", splitter), lambda t: F.length(t) > 0))
-    inner = toks.where(F.size("ts") >= 3).select("_it", F.explode(F.array_distinct(F.slice("ts", 2, F.size("ts") - 2))).alias("g"))
-    short = _own_grams(toks.where(F.size("ts") < 3), "_it")
-    doc_toks = d.select("_d", F.explode(F.array_distinct(F.split("_dt", splitter))).alias("g"))
-    lengths = short.agg(F.array_sort(F.collect_set(F.length("g"))).alias("_q"))  # one row, QGRAM numbers at most
-    doc_grams = d.crossJoin(F.broadcast(lengths)).where(F.size("_q") > 0).select("_d", F.explode(_grams(F.col("_dt"), F.col("_q"))).alias("g"))
-    cand = None
-    for parts, held in ((inner, doc_toks), (short, doc_grams)):
-        seen = held.join(parts.select("g").distinct(), "g", "left_semi")
-        key = _rarest(parts, seen.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "_it")
-        found = key.join(seen, "g").select("_d", "_it")
-        cand = found if cand is None else cand.unionByName(found)
-    hits = cand.distinct().join(d, "_d").where(F.contains(F.col("_dt"), F.col("_it"))).select("_d", "_it")
-    return hits.join(it, "_it").select(F.col("_d").alias(doc_key), F.col("_i").alias(item_key)).distinct()
+    item is in none). Documents are searched for all item texts at a time."""
+    d = docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("text"))
+    it = items.select(F.col(item_key).alias("_i"), F.col(item_text).alias("term"))
+    hits = contained(it.select("term"), d, keep=["_d"])
+    return hits.join(it, "term").select(F.col("_d").alias(doc_key), F.col("_i").alias(item_key)).distinct()
 
 
 __all__ = ["response_lines", "clean_line", "canonical_label", "classify_lines", "parse_extractions", "unparsed_lines",
