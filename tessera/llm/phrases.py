@@ -17,9 +17,10 @@ a-z. Counts are per language. A phrase of up to ``LONGEST`` words is frequent wi
   ``LONGEST`` passes, and the frequent phrases are then complete and exact whatever the
   sample was.
 
-A pass sums counts by 64-bit hashes of the phrases, eight bytes in place of text: sums
-that are never too small, so what stays below the support is settled. A last pass counts
-by text whatever reached it, and those counts are exact.
+The first pass, by far the largest, sums counts by 64-bit hashes of the phrases, eight
+bytes in place of text: sums that are never too small, so what stays below the support
+is settled. The second pass counts by text what reached it, together with what the
+failures admit; the passes after it count the few further phrases by text at once.
 
 Tasks hold the proposed phrases as one Bloom filter of ``bits`` bits, whose size does
 not follow the data. A false positive, or two phrases of one hash, admits a phrase that
@@ -54,7 +55,9 @@ _FOLD = bytes(32 if b == 9 else 10 if b in BREAKS else b + 32 if 65 <= b <= 90 e
 #: Bytes of text looked at together.
 PORTION = 4 << 20
 PROBES = 3
-EXACT = "lang string, k int, phrase string, n long"
+#: Pairs of hash and count that a task holds before it gives them on.
+HELD = 1 << 21
+EXACT = "lang string, k int, phrase string, h long, n long"
 
 
 # -- hashes and the filter -------------------------------------------------------
@@ -63,9 +66,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(lang: str, words: Iterable[str]) -> np.ndarray:
-    seed = xxhash.xxh32_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode(), seed) for w in words), np.uint64)
+def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+    """Hashes of an array of words, from their bytes times the powers of an odd number."""
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    if not len(words):
+        return np.zeros(0, dtype=np.uint64)
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    size = np.diff(offsets)
+    power = np.cumprod(np.full(int(size.max()), 0x9FB21C651E98DF25, dtype=np.uint64))
+    at = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], size)
+    part = (data.astype(np.uint64) + np.uint64(1)) * power[at]
+    return _mix(np.add.reduceat(part, offsets[:-1] - offsets[0]) ^ np.uint64(xxhash.xxh64_intdigest(lang.encode())))
 
 
 def joined(left: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -188,14 +199,38 @@ class Grams:
         return pc.binary_join_element_wise(*columns, " ") if len(columns) > 1 else columns[0]
 
 
-def grams(lang: str, folded: bytes, skip: int, old: Filter | None, new: Filter | None, longest: int = LONGEST) -> Iterator[Grams]:
+def _near(code: np.ndarray, piece: np.ndarray, skip: int, word: np.ndarray, fresh: Filter, longest: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The words that may be in one phrase with a phrase of ``fresh``; runs of them are
+    pieces of their own."""
+    n = len(code)
+    near, h, own = np.zeros(n + 1, dtype=np.int32), marked(word, 1)[code], word[code]
+    for k in range(1, longest):
+        if k > 1:
+            h = marked(joined(h[:-1], own[k - 1 :]), k)
+        at = np.flatnonzero(fresh.holds(h))
+        reach = longest - k
+        np.add.at(near, np.maximum(at - reach, 0), 1)
+        np.add.at(near, np.minimum(at + k + reach, n), -1)
+    kept = np.flatnonzero(np.cumsum(near[:n]) > 0)
+    run = np.cumsum(np.diff(kept, prepend=-1) > 1)
+    same = piece[kept]
+    return code[kept], run + np.cumsum(np.diff(same, prepend=0) > 0), int(np.searchsorted(kept, skip))
+
+
+def grams(lang: str, folded: bytes, skip: int, old: Filter | None, new: Filter | None, longest: int = LONGEST, fresh: Filter | None = None) -> Iterator[Grams]:
     """The words of a portion, then the phrases of two words, and so on: those whose
-    parts all are in ``new``. Occurrences inside the first ``skip`` words don't count."""
+    parts all are in ``new``. Occurrences inside the first ``skip`` words don't count.
+    With ``fresh``, only phrases with a part in it need be right."""
     vocab, code, piece = numbered(folded)
     n, size = len(code), max(1, len(vocab))
     if not n:
         return
-    word = word_hashes(lang, vocab.to_pylist())
+    word = word_hashes(lang, vocab)
+    if fresh is not None:
+        code, piece, skip = _near(code, piece, skip, word, fresh, longest)
+        n = len(code)
+    if not n:
+        return
     at = Grams(vocab, [np.arange(len(vocab))], marked(word, 1), np.bincount(code[skip:], minlength=len(vocab)), np.ones(len(vocab), dtype=bool))
     yield at
     ids = code  # number of the phrase at each position, -1: not admitted
@@ -220,48 +255,88 @@ def grams(lang: str, folded: bytes, skip: int, old: Filter | None, new: Filter |
         yield at
 
 
-def _parts(docs: DataFrame, schema: str, filters: tuple[Filter | None, ...], each: Callable) -> DataFrame:
-    """``each`` makes Arrow batches of every portion of the rows of (lang, text)."""
+def _parts(docs: DataFrame, schema: str, filters: tuple[Filter | None, ...], each: Callable, state: Callable = lambda: None) -> DataFrame:
+    """``each`` makes Arrow batches of every portion of the rows of (lang, text), with a
+    state of the task that may hold back a rest."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(None if f is None else f.words for f in filters))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [None if x is None else Filter(x) for x in shared.value]
+        held, own = [None if x is None else Filter(x) for x in shared.value], state()
         for batch in slices(batches, "text", 2 * PORTION):
             for lang in pc.unique(batch.column("lang")).to_pylist():
                 texts = pc.cast(batch.filter(pc.equal(batch.column("lang"), lang)).column("text"), pa.binary())
                 for folded, skip in portions(x.as_py() for x in texts):
-                    yield from each(lang, folded, skip, *held)
+                    yield from each(own, lang, folded, skip, *held)
+        if own is not None:
+            yield from own.rest()
 
     return docs.mapInArrow(parts, schema)
 
 
-def hashed_counts(docs: DataFrame, lengths: tuple[int, ...], support: int, new: Filter | None = None, old: Filter | None = None) -> DataFrame:
+class Sums:
+    """Counts by hash, summed up before they leave a task."""
+
+    def __init__(self):
+        self.hashes, self.counts, self.size = [], [], 0
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.hashes.append(hashes)
+        self.counts.append(counts)
+        self.size += len(hashes)
+        if self.size > HELD:
+            self._sum()
+            if self.size > HELD // 2:
+                yield from self.rest()
+
+    def _sum(self) -> None:
+        hashes, inverse = np.unique(np.concatenate(self.hashes), return_inverse=True)
+        self.counts = [np.bincount(inverse, weights=np.concatenate(self.counts), minlength=len(hashes)).astype(np.int64)]
+        self.hashes, self.size = [hashes], len(hashes)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self._sum()
+            yield pa.record_batch([pa.array(self.hashes[0].view(np.int64)), pa.array(self.counts[0])], names=["h", "n"])
+        self.__init__()
+
+
+def hashed_counts(docs: DataFrame, lengths: tuple[int, ...], support: int, new: Filter) -> DataFrame:
     """Hashes h with at least ``support`` occurrences, among single words and the longer
-    phrases of ``lengths`` whose parts are all in ``new`` and not all in ``old``."""
+    phrases of ``lengths`` whose parts are all in ``new``."""
 
-    def each(lang, folded, skip, new, old):
-        for k, g in enumerate(grams(lang, folded, skip, old, new, max(lengths)), 1):
+    def each(sums, lang, folded, skip, new):
+        for k, g in enumerate(grams(lang, folded, skip, None, new, max(lengths)), 1):
             if k in lengths:
-                out = (g.counts > 0) & ~g.was if k > 1 else g.counts > 0
-                yield pa.record_batch([pa.array(g.hashes[out].view(np.int64)), pa.array(g.counts[out].astype(np.int64))], names=["h", "n"])
+                yield from sums.add(g.hashes[g.counts > 0], g.counts[g.counts > 0])
 
     # dealt out by hash first, so that no second combining runs before the shuffle
-    rows = _parts(docs, "h long, n long", (new, old), each).repartition("h")
+    rows = _parts(docs, "h long, n long", (new,), each, Sums).repartition("h")
     return rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("h")
 
 
-def exact_counts(docs: DataFrame, held: Filter, support: int) -> DataFrame:
-    """(lang, k, phrase, n) of the phrases in ``held`` with the support, and with k = 0
-    the number of words of each language."""
+def exact_counts(docs: DataFrame, support: int, new: Filter, old: Filter, held: Filter | None = None, fresh: Filter | None = None) -> DataFrame:
+    """(lang, k, phrase, h, n) of the phrases with the support among those whose parts
+    are all in ``new`` and not all in ``old``; with ``held``, also of those that are in
+    it, and with k = 0 the number of words of each language. Without it ``fresh`` has
+    the phrases that are in ``new`` alone."""
+
+    def each(_, lang, folded, skip, new, old, held, fresh):
+        for k, g in enumerate(grams(lang, folded, skip, old, new, LONGEST, fresh), 1):
+            out = ~g.was if k > 1 else np.zeros(len(g.counts), dtype=bool)
+            if held is not None:
+                out |= held.holds(g.hashes)
+            out &= g.counts > 0
+            if k == 1 and held is not None:
+                yield _exact_batch(lang, 0, pa.array([""]), np.zeros(1, dtype=np.int64), g.counts.sum(keepdims=True))
+            if out.any():
+                yield _exact_batch(lang, k, g.text(out), g.hashes[out].view(np.int64), g.counts[out])
+
+    counts = _parts(docs, EXACT, (new, old, held, fresh), each).groupBy("lang", "k", "phrase", "h").agg(F.sum("n").alias("n"))
+    return counts.where((F.col("n") >= support) | ((F.col("k") == 0) & (F.col("n") > 0)))
 
-    def each(lang, folded, skip, held):
-        for k, g in enumerate(grams(lang, folded, skip, None, held), 1):
-            found = [(k, g.text(out), g.counts[out]) for out in [(g.counts > 0) & held.holds(g.hashes)]]
-            for k, phrase, n in ([(0, pa.array([""]), g.counts.sum(keepdims=True))] if k == 1 else []) + found:
-                yield pa.record_batch([pa.repeat(lang, len(n)), pa.array(np.full(len(n), k, dtype=np.int32)), phrase, pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
 
-    counts = _parts(docs, EXACT, (held,), each).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-    return counts.where((F.col("n") >= support) | ((F.col("k") == 0) & (F.col("n") > 0)))
+def _exact_batch(lang: str, k: int, phrase: pa.Array, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.repeat(lang, len(n)), pa.array(np.full(len(n), k, dtype=np.int32)), phrase, pa.array(h), pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "h", "n"])
 
 
 def sampled(docs: DataFrame, share: float) -> DataFrame:
@@ -277,21 +352,23 @@ def frequent(docs: DataFrame, support: int = 30, share: float = 0.1, slack: floa
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), *(["doc_id"] if "doc_id" in docs.columns else []))
     sample = written(sampled(rows, share).select("lang", "text"), "phrase-sample")
     rows, least = rows.select("lang", "text"), max(2, int(slack * support * share))
-    old, new = None, Filter.empty(bits)
+    new = Filter.empty(bits)
     for k in range(1, LONGEST):
         new = new.with_hashes(hashed_counts(sample, (k,), least, new))
-    held, number = Filter.empty(bits), 0
+    counted = written(hashed_counts(rows, tuple(range(1, LONGEST + 1)), support, new), "phrase-hashes")
+    held, fresh, found, number = Filter.empty(bits).with_hashes(counted), None, None, 1
     while True:
-        number += 1
-        found = written(hashed_counts(rows, tuple(range(1 if old is None else 2, LONGEST + 1)), support, new, old), "phrase-hashes")
-        held = held.with_hashes(found)
-        failures = written(new.missing(found.where(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1)), "phrase-failures")
+        failures = written(new.missing(counted.where(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1)), "phrase-failures")
         lost = failures.count()
         if note:
             note(number, lost)
-        if not lost:
-            return written(exact_counts(rows, held, support), "phrases")
+        if not lost and found is not None:
+            return found
         old, new = new, new.with_hashes(failures)
+        if found is not None:
+            held, fresh = None, Filter.empty(1 << 20).with_hashes(failures)
+        exact = written(exact_counts(rows, support, new, old, held, fresh), "phrases")
+        counted, found, number = exact.where("k > 0"), exact if found is None else found.unionByName(exact), number + 1
 
 
 # -- scores ------------------------------------------------------------------------

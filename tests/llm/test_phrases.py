@@ -103,6 +103,6 @@ def test_long_texts_are_cut_without_losing_or_doubling_phrases():
 
 def test_scores_are_exact_past_64_bits(spark):
     big = 9_000_000_000_000_000_000
-    found = spark.createDataFrame([("en", 0, "", big), ("en", 1, "a", big), ("en", 1, "b", big - 1), ("en", 2, "a b", big - 2)], phrases.EXACT)
+    found = spark.createDataFrame([("en", 0, "", 0, big), ("en", 1, "a", 0, big), ("en", 1, "b", 1, big - 1), ("en", 2, "a b", 2, big - 2)], phrases.EXACT)
     row = phrases.collocations(found).collect()[0]
     assert row.score == 2_000_000 * (big - 2) // (big + big - 1)
