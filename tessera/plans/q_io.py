@@ -16,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import sampling as D
 from ..sources import readers as S
 from ..sources import sinks as K
+from ..sources.records import read_csv
 from ..session import scratch_path, stored
 from ..streaming.scores import cleaned_pairs
 from ..streaming.scores import stream_scores as _stream_scores
@@ -218,6 +219,20 @@ def mentions_file(spark, sf):
     return S.read_mentions(spark, path, exclude=[fx.FIXTURE_NOT_RELEVANT], multiline=False)
 
 
+@register("mentions_array", f"""WITH {MENTIONS}
+SELECT id, text, entity, CASE WHEN id % 10 = 3 THEN NULL ELSE label END AS label FROM mentions
+WHERE id % 10 = 3 OR label <> '{fx.FIXTURE_NOT_RELEVANT}'""")
+def mentions_array(spark, sf):
+    """The records as JSON arrays, each on one line, with quotes and brackets inside
+    the texts; read in splits."""
+    path = scratch_path(spark, "mentions-array")
+    odd = F.concat(F.lit('{"['), F.col("text"), F.lit('\\"]}\n'))
+    m = fx.mentions_raw(spark, sf).select("id", odd.alias("text"), "entity", F.when(F.col("id") % 10 != 3, F.col("label")).alias("label"))
+    K.write_json_arrays(m, path, line_sep=" ")
+    back = S.read_mentions(spark, path, exclude=[fx.FIXTURE_NOT_RELEVANT])
+    return back.withColumn("text", F.expr("substring(text, 4, length(text) - 8)"))
+
+
 @register("corpus_file", f"""WITH {LINES}
 SELECT g.title, g.uid, g.uid AS doi, md5(min(g.pred)) AS text_md5, CAST(count(*) AS BIGINT) AS n_annotations,
        md5(string_agg(l.anno_label || ':' || l.anno_entity, '|' ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice,
@@ -226,8 +241,23 @@ FROM gens g JOIN glines l ON l.uid = g.uid GROUP BY g.title, g.uid""")
 def corpus_file(spark, sf):
     """Papers with nested annotations written as Parquet and read back."""
     path = scratch_path(spark, "corpus")
-    fx.generations(spark, sf).select("title", "uid", F.col("pred").alias("full_text"), "annotations").write.parquet(path)
-    p = S.read_corpus(spark, path)
+    _papers(spark, sf).write.parquet(path)
+    return _corpus_digest(S.read_corpus(spark, path))
+
+
+@register("corpus_array", ORACLE["corpus_file"])
+def corpus_array(spark, sf):
+    """The papers as JSON arrays, read in splits."""
+    path = scratch_path(spark, "corpus-array")
+    K.write_json_arrays(_papers(spark, sf), path)
+    return _corpus_digest(S.read_corpus(spark, path, "json"))
+
+
+def _papers(spark, sf):
+    return fx.generations(spark, sf).select("title", "uid", F.col("pred").alias("full_text"), "annotations")
+
+
+def _corpus_digest(p):
     listed = F.array_join(F.transform("annotations", lambda a: F.concat(a["label"], F.lit(":"), a["entity"])), "|")
     return p.select("title", "uid", "doi", F.md5("full_text").alias("text_md5"), F.size("annotations").cast("long").alias("n_annotations"),
                     F.md5(listed).alias("annotations_md5"))
@@ -354,8 +384,7 @@ def extraction_csv(spark, sf):
     """K2: extraction table written as CSV and read back."""
     path = scratch_path(spark, "extraction-csv")
     K.write_extraction_csv(_extraction_table(spark, sf), path)
-    back = (spark.read.schema("Title string, UID string, Annotation string, `Model Prediction` string, True string")
-            .option("header", True).option("escape", '"').option("multiLine", True).csv(path))
+    back = read_csv(spark, path, "Title string, UID string, Annotation string, `Model Prediction` string, True string")
     return back.select(F.col("Title").alias("title"), F.col("UID").alias("uid"), F.col("Annotation").alias("annotation"),
                        F.col("Model Prediction").alias("prediction"), F.col("True").alias("true"))
 

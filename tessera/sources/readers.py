@@ -2,7 +2,8 @@
 reports, loose reports, review sheets (S1-S9).
 
 Reads are declarative (schema given, no inference) so Catalyst prunes
-columns and pushes filters into the scan.
+columns and pushes filters into the scan. JSON arrays and quoted CSV, which Spark reads
+whole-file, are cut into records in parallel (``records``).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from ..functions.fixed import NOT_RELEVANT, REPORT_ROWS_END, REPORT_ROWS_START
 from ..functions.text import strip
 from ..operators.sampling import running_total
 from ..session import stored
+from .records import read_csv, read_json_array
 
 MENTION_SCHEMA = "id bigint, text string, entity string, label string"
 ANNOTATION = ("array<struct<id:bigint,label:string,start_offset:int,end_offset:int,entity:string,"
@@ -28,18 +30,18 @@ REVIEW_SCHEMA = ("title string, uid string, annotation string, prediction string
 
 def read_mentions(spark: SparkSession, path: str, exclude: Sequence[str] = (NOT_RELEVANT,),
                   multiline: bool = True) -> DataFrame:
-    """Mention records (JSON array, or JSON lines with ``multiline=False``,
-    which Spark can split), excluded labels dropped (exact, case-sensitive);
-    records without a label are kept."""
-    df = spark.read.schema(MENTION_SCHEMA).option("multiLine", multiline).json(path)
+    """Mention records (JSON arrays, or JSON lines with ``multiline=False``; both are
+    read in splits), excluded labels dropped (exact, case-sensitive); records without a
+    label are kept."""
+    df = read_json_array(spark, path, MENTION_SCHEMA) if multiline else spark.read.schema(MENTION_SCHEMA).json(path)
     return df.where(F.col("label").isNull() | ~F.col("label").isin(list(exclude)))
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Papers with nested annotations from Parquet or JSON; ``uid`` is
-    also exposed as ``doi`` as in the generation records."""
+    """Papers with nested annotations from Parquet, JSON arrays ("json") or JSON lines
+    ("jsonl"); ``uid`` is also exposed as ``doi`` as in the generation records."""
     reader = spark.read.schema(PAPER_SCHEMA)
-    df = reader.parquet(path) if fmt == "parquet" else reader.option("multiLine", fmt == "json").json(path)
+    df = read_json_array(spark, path, PAPER_SCHEMA) if fmt == "json" else reader.parquet(path) if fmt == "parquet" else reader.json(path)
     return df.withColumn("doi", F.col("uid"))
 
 
@@ -130,9 +132,8 @@ def read_report_loose(spark: SparkSession, paths, n_fields: int = 3) -> DataFram
 
 
 def read_review(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Review rows (JSON-in-cell columns + rejected flag) from CSV
-    (multi-line, quoted) or Parquet; parse with ``curation.parse_review``."""
+    """Review rows (JSON-in-cell columns + rejected flag) from CSV (quoted cells may
+    hold line breaks; read in splits) or Parquet; parse with ``curation.parse_review``."""
     if fmt == "csv":
-        return (spark.read.schema(REVIEW_SCHEMA).option("header", True).option("multiLine", True)
-                .option("escape", '"').csv(path))
+        return read_csv(spark, path, REVIEW_SCHEMA)
     return spark.read.schema(REVIEW_SCHEMA).parquet(path)
