@@ -8,15 +8,16 @@ pairs of a group.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import LABEL_ALIASES, NOT_RELEVANT, PLURAL_EXEMPT, REFUSAL_PREFIXES
 from ..functions.text import WS_CLASS, map_values, split_lines, strip
 from .responses import vocab_column
-from .search import contained
+from .search import Terms, contained
 
 
 # ------------------------------------------------------------------ G1-G5
@@ -164,34 +165,79 @@ def match_contained(gold: DataFrame, parsed: DataFrame, keys: Sequence[str] = ("
     return found.select(*k, F.col("term").alias("entity"), F.col("text").alias("value"))
 
 
-def _json_map(entries: Column) -> Column:
-    """JSON object text from an array<struct<k, v: array<string>>> sorted by key."""
-    return F.to_json(F.map_from_entries(F.array_sort(entries)))
-
-
-def extraction_table(papers: DataFrame, gold: DataFrame, parsed: DataFrame,
-                     matches: DataFrame, keys: Sequence[str] = ("uid",)) -> DataFrame:
-    """A4: one row per relevant paper: annotation / prediction / true maps as
-    JSON text with sorted keys; prediction values keep first-seen order,
-    matched lists are sorted and keep multiplicity."""
-    anno = (gold.groupBy(*keys, "label").agg(F.sort_array(F.collect_list("entity")).alias("v"))
-            .groupBy(*keys).agg(_json_map(F.collect_list(F.struct(F.col("label").alias("k"), "v"))).alias("annotation")))
-    pred_lists = (parsed.groupBy(*keys, "label")
-                  .agg(F.transform(F.sort_array(F.collect_list(F.struct("first_pos", "value"))),
-                                   lambda s: s["value"]).alias("v")))
-    pred = pred_lists.groupBy(*keys).agg(
-        _json_map(F.collect_list(F.struct(F.col("label").alias("k"), "v"))).alias("prediction"))
-    m = matches.groupBy(*keys, "label").agg(F.sort_array(F.collect_list("entity")).alias("m"))
-    true_lists = pred_lists.select(*keys, "label").join(m, [*keys, "label"], "left") \
-        .select(*keys, "label", F.coalesce(F.col("m"), F.array().cast("array<string>")).alias("v"))
-    true = true_lists.groupBy(*keys).agg(
-        _json_map(F.collect_list(F.struct(F.col("label").alias("k"), "v"))).alias("true"))
-    return (papers.join(anno, list(keys), "left").join(pred, list(keys), "left")
-            .join(true, list(keys), "left")
-            .select("title", *keys,
-                    F.coalesce("annotation", F.lit("{}")).alias("annotation"),
-                    F.coalesce("prediction", F.lit("{}")).alias("prediction"),
-                    F.coalesce("true", F.lit("{}")).alias("true")))
+def extraction_table(papers: DataFrame, annotations: DataFrame, extractions: DataFrame,
+                     keys: Sequence[str] = ("uid",), relevant_only: bool = True) -> DataFrame:
+    """A4: one row per paper: annotation / prediction / true maps as JSON text with
+    sorted keys; prediction values keep first-seen order, matched lists are sorted and
+    keep multiplicity (A3).
+
+    ``papers`` (keys, title), ``annotations`` (keys, label, entity; the label as written)
+    and ``extractions`` (keys, label, value, pos), both with repeats, meet in one shuffle
+    by paper and are folded as they pass, sorted; a paper's own row is all that a task
+    holds. With ``relevant_only``, papers without an annotation but 'not relevant' have
+    no row (P11)."""
+    k = list(keys)
+    null = lambda t: F.lit(None).cast(t)
+    rows = papers.select(*k, F.lit(0).alias("kind"), null("string").alias("label"), null("long").alias("pos"), F.col("title").alias("text"))
+    rows = rows.unionByName(annotations.where(F.col("label").isNotNull() & (F.length("entity") > 0)).select(
+        *k, F.when(F.col("label") == NOT_RELEVANT, 1).otherwise(2).alias("kind"), F.lower("label").alias("label"), null("long").alias("pos"), F.col("entity").alias("text")))
+    rows = rows.unionByName(extractions.where(F.col("label").isNotNull()).select(*k, F.lit(3).alias("kind"), "label", F.col("pos").cast("long").alias("pos"), F.col("value").alias("text")))
+    rows = rows.repartition(*k).sortWithinPartitions(*k, "kind", "label", "pos", "text")
+    names = ("annotation", "prediction", "true")
+    entries = pa.list_(pa.struct([("k", pa.string()), ("v", pa.list_(pa.string()))]))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paper, out, schema = None, [], None
+        for batch in batches:
+            schema = pa.schema([*(batch.schema.field(c) for c in k), ("title", pa.string()), *((n, entries) for n in names)])
+            for r in batch.to_pylist():
+                key = tuple(r[c] for c in k)
+                if paper is None or paper.key != key:
+                    out += paper.rows(k, relevant_only) if paper else []
+                    paper = _Paper(key)
+                paper.add(r)
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out = []
+        out += paper.rows(k, relevant_only) if paper else []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in k)
+    found = rows.mapInArrow(fold, f"{kinds}, title string, " + ", ".join(f"{n} array<struct<k:string,v:array<string>>>" for n in names))
+    return found.select("title", *k, *[F.to_json(F.map_from_entries(F.col(n))).alias(n) for n in names])
+
+
+class _Paper:
+    """One paper of the fold in ``extraction_table``; rows come sorted by kind, label,
+    position and text."""
+
+    def __init__(self, key: tuple):
+        self.key, self.titles, self.relevant = key, [], False
+        self.gold: dict[str, dict[str, None]] = {}
+        self.pred: dict[str, dict[str, None]] = {}
+
+    def add(self, r: dict) -> None:
+        if r["kind"] == 0:
+            self.titles.append(r["text"])
+        else:
+            self.relevant |= r["kind"] == 2
+            side = self.pred if r["kind"] == 3 else self.gold
+            side.setdefault(r["label"], {})[r["text"]] = None
+
+    def rows(self, keys: list[str], relevant_only: bool) -> list[dict]:
+        if relevant_only and not self.relevant:
+            return []
+        found = {}
+        for label, values in self.pred.items():
+            terms = Terms(self.gold.get(label, ()))
+            found[label] = sorted(e for v in values for e in terms.found(v))
+        cells = {
+            "annotation": [{"k": label, "v": sorted(v)} for label, v in sorted(self.gold.items())],
+            "prediction": [{"k": label, "v": list(v)} for label, v in sorted(self.pred.items())],
+            "true": [{"k": label, "v": v} for label, v in sorted(found.items())],
+        }
+        return [dict(zip(keys, self.key)) | {"title": t} | cells for t in self.titles]
 
 
 # ------------------------------------------------------------------ A5

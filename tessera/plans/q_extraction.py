@@ -155,11 +155,8 @@ LEFT JOIN a USING (uid) LEFT JOIN p USING (uid) LEFT JOIN t USING (uid)""")
 def extraction_table(spark, sf):
     """A4/K2: per relevant paper, annotation / prediction / true maps as JSON."""
     gens = _gens(spark, sf)
-    rel = X.relevant_papers(gens)
-    papers = gens.select("uid", "title").join(rel, "uid", "left_semi")
-    gold = _gold(spark, sf)
-    parsed = _parsed(spark, sf)
-    return X.extraction_table(papers, gold, parsed, X.match_contained(gold, parsed))
+    lines = _classified(spark, sf, False).where(F.col("status") == "ok")
+    return X.extraction_table(gens.select("uid", "title"), X.annotation_rows(gens, False), lines)
 
 
 @register("extraction_scores", f"""WITH {PARSE},
