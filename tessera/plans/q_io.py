@@ -391,13 +391,19 @@ def extraction_csv(spark, sf):
 
 @register("host_index_json", f"SELECT species, type, name, title, uid FROM ({ORACLE['host_index']}) z")
 def host_index_json(spark, sf):
-    """K3: nested host index written as JSON and flattened back."""
-    from ..operators.curation import host_index
-    rows = _host_index_rows(spark, sf)
+    """K3: the host index written as one JSON array, line by line, and read back."""
     path = scratch_path(spark, "host-index")
-    K.write_host_index(host_index(rows), path)
-    back = spark.read.schema(
-        "species string, part long, tools array<struct<type:string,name:string,references:array<string>>>").json(path)
-    t = back.select("species", F.explode("tools").alias("t"))
-    return t.select("species", F.col("t.type").alias("type"), F.col("t.name").alias("name"),
-                    F.element_at("t.references", 1).alias("title"), F.element_at("t.references", 2).alias("uid"))
+    K.write_host_index(_host_index_rows(spark, sf).drop("side"), path)
+    return S.read_host_index(spark, path)
+
+
+@register("host_index_hot", f"""SELECT 'all' AS species, type, name, CASE WHEN side = 'gold' THEN title ELSE '"' || title || '"' END AS title, uid
+FROM ({ORACLE['host_index']}) z UNION ALL SELECT species, type, name, title, uid FROM ({ORACLE['host_index']}) y""")
+def host_index_hot(spark, sf):
+    """K3 with one species that holds half the rows."""
+    path = scratch_path(spark, "host-index-hot")
+    rows = stored(_host_index_rows(spark, sf), "host-rows")
+    quoted = F.concat(F.lit('"'), F.col("title"), F.lit('"'))
+    hot = rows.withColumns({"species": F.lit("all"), "title": F.when(F.col("side") == "gold", F.col("title")).otherwise(quoted)})
+    K.write_host_index(rows.unionByName(hot).drop("side"), path)
+    return S.read_host_index(spark, path)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import NOT_RELEVANT, REPORT_ROWS_END, REPORT_ROWS_START
@@ -131,6 +131,26 @@ def read_report_loose(spark: SparkSession, paths, n_fields: int = 3) -> DataFram
     return lines.where(F.col("line") != "").select("file", "pos", "line", ok.alias("ok"), *cols)
 
 
+def read_host_index(spark: SparkSession, path: str) -> DataFrame:
+    """(species, type, name, title, uid) from the lines of ``sinks.write_host_index``,
+    read in splits: a line belongs to the last record opened in its split or, before
+    any, in the splits before it (one row each)."""
+    lines = report_text(spark, path).withColumn("body", F.regexp_replace("line", "^(\\[|\\]\\},|,)(?=\\{)", ""))
+    tool = "struct<type:string,name:string,references:array<string>>"
+    opens = F.startswith("body", F.lit('{"species":'))
+    head = F.from_json(F.concat("body", F.lit("]}")), f"species string, tools array<{tool}>")
+    rows = lines.where(F.startswith("body", F.lit("{"))).select("report", "part", "block", "mid", F.when(opens, head).alias("head"), F.when(~opens, F.from_json("body", tool)).alias("tool"))
+    split = ["report", "part", "block"]
+    ends = rows.where("head IS NOT NULL").groupBy(*split).agg(F.max_by("head.species", "mid").alias("ends"))
+    before = Window.partitionBy("report").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.select(*split).distinct().join(ends, split, "left").select(*split, F.last("ends", True).over(before).alias("carried"))
+    inside = Window.partitionBy(*split).orderBy("mid").rowsBetween(Window.unboundedPreceding, 0)
+    named = rows.withColumn("own", F.last("head.species", True).over(inside)).join(carried, split)
+    t = F.coalesce("tool", F.element_at("head.tools", 1))
+    named = named.select(F.coalesce("own", "carried").alias("species"), t.alias("t"))
+    return named.select("species", "t.type", "t.name", F.element_at("t.references", 1).alias("title"), F.element_at("t.references", 2).alias("uid"))
+
+
 def read_review(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Review rows (JSON-in-cell columns + rejected flag) from CSV (quoted cells may
     hold line breaks; read in splits) or Parquet; parse with ``curation.parse_review``."""

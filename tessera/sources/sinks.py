@@ -19,6 +19,7 @@ from ..functions.fixed import (REPORT_CONFIG_BLOCKS, REPORT_DATASET_LINES, REPOR
                                REPORT_ROWS_START, REPORT_RULE)
 from ..functions.text import literal_table
 from ..operators.metrics import METRIC_NAMES
+from ..session import stored
 
 
 def write_generations(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -56,9 +57,33 @@ def write_extraction_csv(df: DataFrame, path: str, mode: str = "overwrite") -> N
      .write.mode(mode).option("header", True).option("escape", '"').csv(path))
 
 
-def write_host_index(nested: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K3: host -> tools index as JSON lines (one record per species part)."""
-    nested.write.mode(mode).json(path)
+def host_index_lines(rows: DataFrame) -> DataFrame:
+    """K3 as text: (last, species, type, name, title, uid, row, value). In that order the
+    values are the lines of one JSON array ``[{species, tools: [{type, name, references}]}]``
+    with one tool a line, so neither a species nor a tool is ever held in a row.
+
+    The first row of a species opens its record (and closes the one before); which row
+    that is comes from a minimum by species, joined back on the row's number."""
+    rows = stored(rows.where(F.col("species").isNotNull()).withColumn("row", F.monotonically_increasing_id()), "host-rows")
+    order = ["type", "name", "title", "uid", "row"]
+    first = rows.groupBy("species").agg(F.min(F.struct(*order)).alias("f"))
+    opening = first.select(F.col("f.row").alias("row"), F.lit(True).alias("opens"))
+    least = rows.agg(F.min("species").alias("least"))  # one row
+    tool = F.to_json(F.struct("type", "name", F.array("title", "uid").alias("references")))
+    species = F.to_json(F.struct("species"))
+    opened = F.concat(F.when(F.col("species") == F.col("least"), "[").otherwise("]},"), species.substr(F.lit(1), F.length(species) - 1), F.lit(',"tools":['), tool)
+    lines = rows.join(opening, "row", "left").crossJoin(F.broadcast(least))
+    lines = lines.select(F.lit(0).alias("last"), "species", *order, F.when(F.col("opens"), opened).otherwise(F.concat(F.lit(","), tool)).alias("value"))
+    end = least.select(F.lit(1).alias("last"), *[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ["species", *order]], F.when(F.col("least").isNull(), "[]").otherwise("]}]").alias("value"))
+    return lines.unionByName(end)
+
+
+def write_host_index(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K3: the host index rows (C8) as one JSON array over ordered part files. The sort
+    cuts its ranges at species, tool and reference, so a species of any size is spread
+    over tasks, which stream their lines."""
+    lines = host_index_lines(rows)
+    lines.orderBy("last", "species", "type", "name", "title", "uid", "row").select("value").write.mode(mode).text(path)
 
 
 def _fmt4(c) -> Column:
