@@ -17,7 +17,7 @@ a-z. Counts are per language. A phrase of up to ``LONGEST`` words is frequent wi
   ``LONGEST`` passes, and the frequent phrases are then complete and exact whatever the
   sample was.
 
-The first pass, by far the largest, sums counts by 64-bit hashes of the phrases, eight
+The first pass, by far the largest, sums counts by 48-bit hashes of the phrases, six
 bytes in place of text: sums that are never too small, so what stays below the support
 is settled. The second pass counts by text what reached it, together with what the
 failures admit; the passes after it count the few further phrases by text at once.
@@ -57,7 +57,7 @@ PORTION = 4 << 20
 PROBES = 3
 #: Pairs of hash and count that a task holds before it gives them on.
 HELD = 1 << 21
-EXACT = "lang string, k int, phrase string, h long, n long"
+EXACT = "lang string, k int, phrase string, n long"
 
 
 # -- hashes and the filter -------------------------------------------------------
@@ -85,8 +85,31 @@ def joined(left: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def marked(h: np.ndarray, k: int) -> np.ndarray:
-    """A phrase's hash with its length in the last two bits."""
-    return (h & ~np.uint64(3)) | np.uint64(k - 1)
+    """A phrase's hash, cut to 48 bits (it is what the first pass shuffles), with its
+    length in the last two."""
+    return ((h >> np.uint64(16)) & ~np.uint64(3)) | np.uint64(k - 1)
+
+
+def phrase_hashes(lang: str, k: int, phrases: pa.Array) -> np.ndarray:
+    """The hashes of phrases of k words."""
+    words = word_hashes(lang, pc.list_flatten(pc.split_pattern(phrases, " "))).reshape(-1, k)
+    h = marked(words[:, 0], 1)
+    for i in range(1, k):
+        h = marked(joined(h, words[:, i]), i + 1)
+    return h
+
+
+def with_hash(counts: DataFrame) -> DataFrame:
+    """The hashes h of the rows of (lang, k, phrase)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang in pc.unique(batch.column("lang")).to_pylist():
+                for k in range(1, LONGEST + 1):
+                    rows = batch.filter(pc.and_(pc.equal(batch.column("lang"), lang), pc.equal(batch.column("k"), k)))
+                    yield pa.record_batch([pa.array(phrase_hashes(lang, k, rows.column("phrase")).view(np.int64))], names=["h"])
+
+    return counts.select("lang", "k", "phrase").mapInArrow(hashed, "h long")
 
 
 def _places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -315,7 +338,7 @@ def hashed_counts(docs: DataFrame, lengths: tuple[int, ...], support: int, new:
 
 
 def exact_counts(docs: DataFrame, support: int, new: Filter, old: Filter, held: Filter | None = None, fresh: Filter | None = None) -> DataFrame:
-    """(lang, k, phrase, h, n) of the phrases with the support among those whose parts
+    """(lang, k, phrase, n) of the phrases with the support among those whose parts
     are all in ``new`` and not all in ``old``; with ``held``, also of those that are in
     it, and with k = 0 the number of words of each language. Without it ``fresh`` has
     the phrases that are in ``new`` alone."""
@@ -327,16 +350,16 @@ def exact_counts(docs: DataFrame, support: int, new: Filter, old: Filter, held:
                 out |= held.holds(g.hashes)
             out &= g.counts > 0
             if k == 1 and held is not None:
-                yield _exact_batch(lang, 0, pa.array([""]), np.zeros(1, dtype=np.int64), g.counts.sum(keepdims=True))
+                yield _exact_batch(lang, 0, pa.array([""]), g.counts.sum(keepdims=True))
             if out.any():
-                yield _exact_batch(lang, k, g.text(out), g.hashes[out].view(np.int64), g.counts[out])
+                yield _exact_batch(lang, k, g.text(out), g.counts[out])
 
-    counts = _parts(docs, EXACT, (new, old, held, fresh), each).groupBy("lang", "k", "phrase", "h").agg(F.sum("n").alias("n"))
+    counts = _parts(docs, EXACT, (new, old, held, fresh), each).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
     return counts.where((F.col("n") >= support) | ((F.col("k") == 0) & (F.col("n") > 0)))
 
 
-def _exact_batch(lang: str, k: int, phrase: pa.Array, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.repeat(lang, len(n)), pa.array(np.full(len(n), k, dtype=np.int32)), phrase, pa.array(h), pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "h", "n"])
+def _exact_batch(lang: str, k: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.repeat(lang, len(n)), pa.array(np.full(len(n), k, dtype=np.int32)), phrase, pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
 
 
 def sampled(docs: DataFrame, share: float) -> DataFrame:
@@ -368,7 +391,7 @@ def frequent(docs: DataFrame, support: int = 30, share: float = 0.1, slack: floa
         if found is not None:
             held, fresh = None, Filter.empty(1 << 20).with_hashes(failures)
         exact = written(exact_counts(rows, support, new, old, held, fresh), "phrases")
-        counted, found, number = exact.where("k > 0"), exact if found is None else found.unionByName(exact), number + 1
+        counted, found, number = with_hash(exact.where("k > 0")), exact if found is None else found.unionByName(exact), number + 1
 
 
 # -- scores ------------------------------------------------------------------------

@@ -101,8 +101,15 @@ def test_long_texts_are_cut_without_losing_or_doubling_phrases():
         assert got == want
 
 
+def test_hashes_of_phrases_are_those_of_portions():
+    every = phrases.Filter(np.full(16, 2**64 - 1, dtype=np.uint64))
+    for k, g in enumerate(phrases.grams("fr", "a bé ccc a bé\nd".encode(), 0, None, every), 1):
+        assert phrases.phrase_hashes("fr", k, g.text(g.counts > 0)).tolist() == g.hashes.tolist()
+        assert (g.hashes & np.uint64(3) == k - 1).all()
+
+
 def test_scores_are_exact_past_64_bits(spark):
     big = 9_000_000_000_000_000_000
-    found = spark.createDataFrame([("en", 0, "", 0, big), ("en", 1, "a", 0, big), ("en", 1, "b", 1, big - 1), ("en", 2, "a b", 2, big - 2)], phrases.EXACT)
+    found = spark.createDataFrame([("en", 0, "", big), ("en", 1, "a", big), ("en", 1, "b", big - 1), ("en", 2, "a b", big - 2)], phrases.EXACT)
     row = phrases.collocations(found).collect()[0]
     assert row.score == 2_000_000 * (big - 2) // (big + big - 1)
