@@ -21,7 +21,7 @@ from ..session import scratch_path, stored
 from ..streaming.scores import cleaned_pairs
 from ..streaming.scores import stream_scores as _stream_scores
 from . import fixtures as fx
-from .fixtures import memo
+from .fixtures import PAIR_MODELS, memo
 from .oracle import LINES, MENTIONS, PAIRS, SOURCE_PAIRS, VOCAB, metrics_sql
 from .q_crossmodel import GROUPS
 from .q_curation import BASE as CURATION
@@ -42,7 +42,7 @@ def _numbered(spark, sf):
 def _reports3(spark, sf):
     """A folder with a three-column report for each model (a handful)."""
     base, rows = scratch_path(spark, "reports3"), _numbered(spark, sf)
-    models = {m: f"{base}/{m}" for m, _ in fx.PAIR_MODELS}
+    models = {m: f"{base}/{m}" for m, _ in PAIR_MODELS}
     for m, path in models.items():
         mine = rows.where(F.col("model") == m)
         lines = K.report_lines(spark, mine.select("num", "pred", "true"), M.compute_metrics(mine),
@@ -343,6 +343,22 @@ def stream_scores(spark, sf):
                           scratch_path(spark, "stream-ckpt"), keys=["shape"])
 
 
+@register("stream_redelivered", ORACLE["stream_scores"])
+def stream_redelivered(spark, sf):
+    """ST1: the same scores over a source that delivers a tenth of the responses again in
+    later files: each id counts once, and epochs write what changed."""
+    src = scratch_path(spark, "stream-src")
+    r = fx.mention_responses(spark, sf).withColumn("shape", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+    r = stored(r.select("shape", "id", "entity", "label", "response"), "responses")
+    r.write.parquet(f"{src}/first")
+    r.where(F.col("id") % 10 == 7).write.parquet(f"{src}/second")
+    vocab = [x.label for x in fx.mention_vocab(spark, sf).orderBy("id").collect()]  # a handful of labels
+    stream = (spark.readStream.schema("shape string, id long, entity string, label string, response string")
+              .option("recursiveFileLookup", True).option("maxFilesPerTrigger", 4).parquet(src))
+    return _stream_scores(spark, cleaned_pairs(stream, vocab, ["shape", "id"]), scratch_path(spark, "stream-snap"),
+                          scratch_path(spark, "stream-ckpt"), keys=["shape"], once=["id"])
+
+
 _ec, _ = metrics_sql("e", ["model", "epoch"])
 
 
@@ -354,27 +370,31 @@ SELECT model, CAST(epoch AS BIGINT) AS epoch, CAST((epoch + 1) * 100 AS BIGINT)
   round(avg(f1), 6) AS macro_f1
 FROM cls GROUP BY model, epoch""")
 def metric_log(spark, sf):
-    """K8: per-epoch validation scores of each model appended to a log table, read back."""
+    """K8: per-epoch validation scores of each model added to a log, two epochs of
+    them twice and one half-written before, read back."""
     pairs = fx.model_pairs(spark, sf).withColumn("epoch", F.col("id") % 5)
     m = M.compute_metrics(pairs, keys=["model", "epoch"])
     rows = m.select("model", F.col("epoch").cast("long"), ((F.col("epoch") + 1) * 100).cast("long").alias("step"),
                     F.col("micro_f").alias("micro_f1"), F.col("macro_f").alias("macro_f1"))
-    path = scratch_path(spark, "metric-log")
-    K.append_metric_log(rows.where(F.col("epoch") < 2), path)
-    K.append_metric_log(rows.where(F.col("epoch") >= 2), path)
-    return spark.read.parquet(path)
+    rows, path = stored(rows, "metrics"), scratch_path(spark, "metric-log")
+    first = (F.col("epoch") == 3) & (F.col("model") == PAIR_MODELS[0][0])
+    for part in (F.col("epoch") < 2, first, F.col("epoch") >= 2, F.col("epoch") == 1):
+        K.append_metric_log(rows.where(part), path, commit=["epoch"])
+    return K.read_metric_log(spark, path, "model string, epoch long, step long, micro_f1 double, macro_f1 double")
 
 
 @register("run_layout", f"""WITH {PAIRS}
 SELECT model, model || '-chat' AS variant, 'kbase' AS dataset, 'entity_type' AS task, CAST(count(*) AS BIGINT) AS n
 FROM pairs GROUP BY model""")
 def run_layout(spark, sf):
-    """K9: results laid out by model / variant / dataset / task, read back."""
+    """K9: results laid out by model / variant / dataset / task / run, one model's
+    written twice, read back."""
     pairs = fx.model_pairs(spark, sf)
     tagged = K.with_run_columns(pairs, F.col("model"), F.concat(F.lit("org/"), F.col("model"), F.lit("-chat")),
                                 "kbase", "entity_type", "2024-01-01 00:00:00")
     path = scratch_path(spark, "layout")
     K.write_run_layout(tagged, path)
+    K.write_run_layout(tagged.where(F.col("model") == PAIR_MODELS[0][0]), path)
     back = spark.read.parquet(path)
     return back.groupBy("model", "variant", "dataset", "task").agg(F.count(F.lit(1)).alias("n"))
 

@@ -183,9 +183,17 @@ def write_pairs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.orderBy("src").select(F.concat_ws(", ", "src", "pred").alias("value")).write.mode(mode).text(path)
 
 
-def append_metric_log(df: DataFrame, path: str) -> None:
-    """K8: append per-epoch validation scores (epoch, step, micro_f1, macro_f1)."""
-    df.write.mode("append").parquet(path)
+def append_metric_log(df: DataFrame, path: str, commit: Sequence[str] = ("run", "epoch")) -> None:
+    """K8: add per-epoch validation scores (run, epoch, step, micro_f1, macro_f1, ...) to a
+    log. A (run, epoch) is a folder, and an append replaces the folders that it brings: a
+    driver that appends an epoch again after a failure, also half of one, leaves it once."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*commit).parquet(path))
+
+
+def read_metric_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The log's rows in the given schema (the commit columns included)."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def with_run_columns(df: DataFrame, model: Column, model_type: Column, dataset: str, task: str,
@@ -199,4 +207,7 @@ def with_run_columns(df: DataFrame, model: Column, model_type: Column, dataset:
 
 
 def write_run_layout(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).partitionBy("model", "variant", "dataset", "task").parquet(path)
+    """K9: results by model / variant / dataset / task / run time. Overwriting replaces
+    the runs that ``df`` brings and leaves the others."""
+    (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy("model", "variant", "dataset", "task", "run_ts").parquet(path))

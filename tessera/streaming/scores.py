@@ -1,10 +1,12 @@
 """Running score over a stream of (true, pred) pairs (ST1).
 
 Structured Streaming keeps the sparse confusion table (at most |L|^2 rows
-per key) as state in complete mode; every micro-batch snapshot is written to
-a table, and the ten scores are computed from the latest snapshot. No event
-time exists in this data, so there is no watermark. The checkpoint lives in
-the shared checkpoint directory, so a restarted query resumes.
+per key) as state; every micro-batch writes the counts that it changed, and the ten
+scores are computed from each count's latest value. A source may deliver a response
+again: with ``once``, the ids seen are keyed state too (on disk, in the RocksDB store,
+as it grows with the ids), and each id counts once, however late it comes again. No
+event time exists in this data, so there is no watermark. The checkpoint lives in the
+shared checkpoint directory, so a restarted query resumes.
 """
 
 from __future__ import annotations
@@ -37,20 +39,33 @@ def cleaned_pairs(stream: DataFrame, vocab: Sequence[str], keys: Sequence[str] =
     return score_pairs(stream, list(vocab), keys=list(keys), **options)
 
 
+def latest_counts(changes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, true, pred, n): the value of the last epoch that changed a count."""
+    return changes.groupBy(*keys, "true", "pred").agg(F.max_by("n", "epoch").alias("n"))
+
+
 def stream_scores(spark: SparkSession, pairs: DataFrame, snapshot_dir: str, checkpoint_dir: str,
-                  keys: Sequence[str] = ()) -> DataFrame:
-    """Run the stream of pairs over all files available now, then return the scores
-    of the last confusion snapshot. Every epoch has a folder of its own, so a
-    reader never meets one that is being replaced, and an epoch that runs again
-    after a failure writes the same rows to the same place."""
-    conf = running_confusion(pairs, keys)
-
-    def write_snapshot(batch: DataFrame, epoch_id: int) -> None:
+                  keys: Sequence[str] = (), once: Sequence[str] = ()) -> DataFrame:
+    """Run the stream of pairs over all files available now, then return the scores.
+    Rows with the same ``once`` columns count as one (the first delivery).
+
+    Every epoch has a folder of its own with the counts that changed, so a reader never
+    meets one that is being replaced, and an epoch that runs again after a failure
+    writes the same rows to the same place."""
+    conf = running_confusion(pairs.dropDuplicates([*keys, *once]) if once else pairs, keys)
+
+    def write_changes(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{snapshot_dir}/epoch={epoch_id:08d}")
 
-    q = (conf.writeStream.outputMode("complete").foreachBatch(write_snapshot)
-         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    if once:
+        spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = (conf.writeStream.outputMode("update").foreachBatch(write_changes)
+             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    finally:
+        if once:
+            spark.conf.set(store, before) if before else spark.conf.unset(store)
     q.awaitTermination()
-    snapshots = spark.read.parquet(snapshot_dir)
-    last = snapshots.agg(F.max("epoch").alias("epoch"))
-    return metrics_from_confusion(snapshots.join(F.broadcast(last), "epoch").drop("epoch"), keys)  # last: one row
+    return metrics_from_confusion(latest_counts(spark.read.parquet(snapshot_dir), keys), keys)
