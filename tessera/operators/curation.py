@@ -98,17 +98,43 @@ def synonym_table(spark: SparkSession, entries=SPECIES_SYNONYMS) -> DataFrame:
     return literal_table(spark, rows, "kind string, variant string, canonical string, prio int")
 
 
-def apply_synonyms(items: DataFrame, synonyms: DataFrame) -> DataFrame:
+#: Variants of a synonym table that may be broadcast.
+SYNONYM_ROWS = 100_000
+#: Names that are looked up apart where the table is larger.
+HOT_NAMES = 100
+
+
+def _hot_names(items: DataFrame, name: Column, most: int) -> list[str]:
+    """The most frequent names, by a heavy-hitter sketch of bounded size."""
+    top = items.select(name.alias("_n")).agg(F.expr(f"approx_top_k(_n, {most}, {100 * most})").alias("top"))
+    return [r["item"] for r in (top.collect()[0].top or []) if r["item"] is not None]
+
+
+def _looked_up(items: DataFrame, name: Column, table: DataFrame, names: Sequence[str], small: bool, hot_names: int) -> DataFrame:
+    """``items`` with the columns ``names`` (canonical, prio) of the variant equal to
+    ``name``. A table that is not small is joined by name; the hottest names, at most
+    ``hot_names`` rows of it, are broadcast, and their items go to that join under
+    salted keys that meet nothing, so they are spread evenly."""
+    canonical, prio = names
+    table = table.select(F.col("variant").alias("_v"), F.col("canonical").alias(canonical), F.col("prio").alias(prio))
+    if small:
+        return items.join(F.broadcast(table), name == F.col("_v"), "left").drop("_v")
+    hot = _hot_names(items, name, hot_names)
+    first = table.where(F.col("_v").isin(hot)).select(F.col("_v").alias("_h"), F.col(canonical).alias("_hc"), F.col(prio).alias("_hp"))
+    salt = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    keyed = items.join(F.broadcast(first), name == F.col("_h"), "left").withColumn("_k", F.when(name.isin(hot), salt).otherwise(name))
+    j = keyed.join(table.hint("merge"), F.col("_k") == F.col("_v"), "left")
+    return j.withColumns({canonical: F.coalesce("_hc", canonical), prio: F.coalesce("_hp", prio)}).drop("_h", "_hc", "_hp", "_k", "_v")
+
+
+def apply_synonyms(items: DataFrame, synonyms: DataFrame, broadcast_rows: int = SYNONYM_ROWS, hot_names: int = HOT_NAMES) -> DataFrame:
     """Canonicalise ``entity`` by the synonym table, then C3: keep one copy
     per source value (distinct within a value, not across values)."""
     syn = synonyms.groupBy("kind", "variant").agg(F.max_by("canonical", "prio").alias("canonical"),
                                                    F.max("prio").alias("prio"))
-    ci = syn.where(F.col("kind") == "ci").select(F.col("variant").alias("_v1"), F.col("canonical").alias("_c1"),
-                                                  F.col("prio").alias("_p1"))
-    ex = syn.where(F.col("kind") == "exact").select(F.col("variant").alias("_v2"), F.col("canonical").alias("_c2"),
-                                                     F.col("prio").alias("_p2"))
-    j = (items.join(ci, F.lower(F.col("entity")) == F.col("_v1"), "left")
-         .join(ex, F.col("entity") == F.col("_v2"), "left"))
+    small = syn.limit(broadcast_rows + 1).count() <= broadcast_rows
+    j = _looked_up(items, F.lower(F.col("entity")), syn.where(F.col("kind") == "ci"), ["_c1", "_p1"], small, hot_names)
+    j = _looked_up(j, F.col("entity"), syn.where(F.col("kind") == "exact"), ["_c2", "_p2"], small, hot_names)
     canon = (F.when(F.col("_c1").isNotNull() & (F.col("_c2").isNull() | (F.col("_p1") >= F.col("_p2"))), F.col("_c1"))
              .when(F.col("_c2").isNotNull(), F.col("_c2")).otherwise(F.col("entity")))
     cols = [c for c in items.columns if c not in ("entity", "npos")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import literal_table
 from ..operators import curation as C
 from ..operators.responses import align_lists as _align
 from ..session import stored
@@ -91,6 +92,32 @@ def synonyms(spark, sf):
     return items.select("uid", "side", "label", "vpos", "npos", "entity")
 
 
+@register("synonyms_hot", f"""WITH {BASE},
+i AS (SELECT uid, side, label, vpos, npos, CASE WHEN substr(md5(uid || ':' || side || ':' || label || ':' || vpos || ':' || npos), 1, 1) < '8'
+             THEN 'Hot Name' ELSE entity END AS entity FROM c1),
+ci AS (SELECT variant, canonical FROM syn UNION ALL SELECT 'hot name', 'hot'),
+ex AS (SELECT DISTINCT upper(p_name) AS variant, CASE WHEN p_name LIKE 'red %' THEN 'exact red' ELSE 'exact blue' END AS canonical,
+              CASE WHEN p_name LIKE 'red %' THEN 1 ELSE -1 END AS prio FROM part WHERE p_name LIKE 'red %' OR p_name LIKE 'blue %')
+SELECT uid, side, label, vpos, min(npos) AS npos, entity FROM (
+  SELECT i.uid, i.side, i.label, i.vpos, i.npos, CASE WHEN ci.canonical IS NOT NULL AND (ex.canonical IS NULL OR 0 >= ex.prio) THEN ci.canonical
+         WHEN ex.canonical IS NOT NULL THEN ex.canonical ELSE i.entity END AS entity
+  FROM i LEFT JOIN ci ON ci.variant = lower(i.entity) LEFT JOIN ex ON ex.variant = i.entity) z GROUP BY ALL""")
+def synonyms_hot(spark, sf):
+    """C2+C3: one name in half the items, exact names with priorities, and a synonym
+    table that is taken as too large to broadcast."""
+    items = C.explode_sides(C.reviewed(C.parse_review(fx.review_rows(spark, sf))))
+    digit = F.substring(F.md5(F.concat_ws(":", "uid", "side", "label", "vpos", "npos")), 1, 1)
+    items = stored(items.withColumn("entity", F.when(digit < "8", "Hot Name").otherwise(F.col("entity"))), "hot-items")
+    ci = fx.part_synonyms(spark, sf)
+    part = fx.load(spark, sf, "part").where("p_name LIKE 'red %' OR p_name LIKE 'blue %'")
+    red = F.startswith(F.col("p_name"), F.lit("red "))
+    exact = part.select(F.lit("exact").alias("kind"), F.upper("p_name").alias("variant"), F.when(red, "exact red").otherwise("exact blue").alias("canonical"),
+                        F.when(red, 1).otherwise(-1).alias("prio")).distinct()
+    hot = literal_table(spark, [("ci", "hot name", "hot", 0)], "kind string, variant string, canonical string, prio int")
+    out = C.apply_synonyms(items, ci.unionByName(exact).unionByName(hot), broadcast_rows=0)
+    return out.select("uid", "side", "label", "vpos", "npos", "entity")
+
+
 @register("single_host", f"WITH {BASE}\nSELECT uid, side, host FROM hosts")
 def single_host(spark, sf):
     """C4: papers whose gold or predicted side names exactly one host."""
