@@ -232,8 +232,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Forest:
     known = docs.where("doc_id IS NOT NULL").select("doc_id").join(labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("label")), "doc_id").distinct()
     known = written(known.withColumn("label", (F.col("label") > 0).cast("int")), "quality-labels")
     sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = written(known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).drop("place"), "quality-sample")
+    # a bound on the hash leaves some rows more than the sample to be ranked
+    known = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    bounds = [min(1 << 40, (1 << 40) * (sample + sample // 4 + 100) // max(1, sizes.get(v, 0))) for v in (0, 1)]
+    near = known.where(F.col("h") <= F.when(F.col("label") == 0, F.lit(bounds[0])).otherwise(F.lit(bounds[1])))
+    order = Window.partitionBy("label").orderBy("h", "doc_id")
+    chosen = written(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("doc_id", "label"), "quality-sample")
     # the sample's ids alone are broadcast; one document for each
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = counted(texts).groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("c")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "c.*").toPandas().sort_values("doc_id")
