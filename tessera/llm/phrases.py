@@ -53,10 +53,10 @@ LONGEST = 4
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes(32 if b == 9 else 10 if b in BREAKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of text looked at together.
-PORTION = 4 << 20
+PORTION = 2 << 20
 PROBES = 3
 #: Pairs of hash and count that a task holds before it gives them on.
-HELD = 1 << 21
+HELD = 1 << 20
 EXACT = "lang string, k int, phrase string, n long"
 
 
@@ -319,7 +319,8 @@ class Sums:
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.size:
             self._sum()
-            yield pa.record_batch([pa.array(self.hashes[0].view(np.int64)), pa.array(self.counts[0])], names=["h", "n"])
+            sums = pa.record_batch([pa.array(self.hashes[0].view(np.int64)), pa.array(self.counts[0])], names=["h", "n"])
+            yield from (sums.slice(i, 1 << 16) for i in range(0, self.size, 1 << 16))
         self.__init__()
 
 
