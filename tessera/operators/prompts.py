@@ -193,10 +193,12 @@ def token_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "[ \\n]+"), lambda t: t != ""))
 
 
-def check_length(df: DataFrame, limits: DataFrame, text: str, on: str, new_tokens: int) -> DataFrame:
+def check_length(df: DataFrame, limits: DataFrame, text: str, on: str, new_tokens: int, count: Column | None = None) -> DataFrame:
     """Flag rows whose input tokens plus new tokens exceed the limit;
-    a missing limit is an error row instead of an abort (Q16)."""
-    j = df.join(limits, on, "left").withColumn("n_tokens", token_count(F.col(text)).cast("long"))
+    a missing limit is an error row instead of an abort (Q16). ``count`` is the number of
+    tokens where it is not that of words (ids of a subword tokenizer, for one)."""
+    n = token_count(F.col(text)) if count is None else count
+    j = df.withColumn("n_tokens", n.cast("long")).join(limits, on, "left")
     total = F.col("n_tokens") + F.lit(new_tokens)
     status = (F.when(F.col("limit").isNull(), F.lit("no_limit"))
               .when(total <= F.col("limit"), F.lit("ok")).otherwise(F.lit("too_long")))

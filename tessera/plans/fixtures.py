@@ -157,12 +157,12 @@ def source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @memo
 def ten_row_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation ('string') and region ('kegg') x k in 0..9 x five models."""
-    nat = load(spark, sf_dir, "nation").select(
-        F.lit("string").alias("dataset"), F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
-    reg = load(spark, sf_dir, "region").select(
-        F.lit("kegg").alias("dataset"), F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
-    ents = nat.unionByName(reg)
+    """Supplier ('string') and customer ('kegg') x k in 0..9 x five models."""
+    sup = load(spark, sf_dir, "supplier").select(
+        F.lit("string").alias("dataset"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    cus = load(spark, sf_dir, "customer").select(
+        F.lit("kegg").alias("dataset"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    ents = sup.unionByName(cus)
     sizes = ents.groupBy("dataset").agg(F.count(F.lit(1)).alias("size"))
     nxt = ents.select("dataset", F.col("key").alias("nkey"), F.col("name").alias("next_name"))
     ents = (ents.join(sizes, "dataset")
@@ -402,3 +402,14 @@ def choice_channel_factory():
             out.append(p + " " + opts[k])
         return out
     return predict
+
+
+def failing_channel_factory():
+    """Test predictor that answers with the prompt's md5 and raises on a batch with a
+    prompt whose md5 begins with ff."""
+    def predict(prompts: list[str]) -> list[str]:
+        digests = [hashlib.md5(p.encode("utf-8")).hexdigest() for p in prompts]
+        if any(d.startswith("ff") for d in digests):
+            raise RuntimeError("no answer")
+        return [f"answer {d}" for d in digests]
+    return predict

@@ -63,8 +63,8 @@ SOURCE_PAIRS = f"""spairs AS (
   FROM part CROSS JOIN {SOURCE_MODELS_SQL} m)"""
 
 TEN_PAIRS = f"""ents AS (
-  SELECT 'string' AS dataset, n_nationkey AS key, n_name AS name FROM nation
-  UNION ALL SELECT 'kegg', r_regionkey, r_name FROM region),
+  SELECT 'string' AS dataset, s_suppkey AS key, s_name AS name FROM supplier
+  UNION ALL SELECT 'kegg', c_custkey, c_name FROM customer),
 ents2 AS (
   SELECT e.*, nx.name AS next_name FROM ents e
   JOIN (SELECT dataset, count(*) AS size FROM ents GROUP BY dataset) s USING (dataset)

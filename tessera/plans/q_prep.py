@@ -9,6 +9,8 @@ from ..functions.text import literal_table
 from ..operators import prompts as P
 from ..operators import sampling as D
 from ..operators import tokens as T
+from ..operators.inference import generate_batches
+from ..operators.subword import decode, subword_tokenizer
 from . import fixtures as fx
 from .fixtures import memo
 from .oracle import MENTIONS, VOCAB, strip_sql, values
@@ -169,8 +171,8 @@ def eval_sample(spark, sf):
     return P.eval_rows(_split(spark, sf), "test", 50).select("id", "split", "rn")
 
 
-_SLOT_VALUES = {"entity": "n_name", "text": "n_comment", "choices": "'\"a\", \"b\"'", "label": "n_name", "answer": "n_name", "e1": "n_name",
-                "e2": "n_comment", "pathway": "n_name", "gene": "n_comment", "num": "CAST(n_nationkey AS VARCHAR)"}
+_SLOT_VALUES = {"entity": "p_name", "text": "p_text", "choices": "'\"a\", \"b\"'", "label": "p_name", "answer": "p_name", "e1": "p_name",
+                "e2": "p_text", "pathway": "p_name", "gene": "p_text", "num": "CAST(p_partkey AS VARCHAR)"}
 
 
 def _slots_sql(x):
@@ -180,14 +182,14 @@ def _slots_sql(x):
 
 
 @register("all_slots", f"""WITH cat AS {values(P.catalogue_rows(), "family, dataset, slot, template")},
-n AS (SELECT n_nationkey, n_name, n_name || ' text' AS n_comment FROM nation)
-SELECT n_nationkey, family, dataset, slot, md5({_slots_sql("template")}) AS prompt_md5 FROM cat CROSS JOIN n""")
+p AS (SELECT p_partkey, p_name, p_name || ' text' AS p_text FROM part)
+SELECT p_partkey, family, dataset, slot, md5({_slots_sql("template")}) AS prompt_md5 FROM cat CROSS JOIN p""")
 def all_slots(spark, sf):
     """Every slot of every family and dataset rendered."""
-    n = fx.load(spark, sf, "nation").select("n_nationkey", "n_name", F.concat("n_name", F.lit(" text")).alias("n_comment"))
+    p = fx.load(spark, sf, "part").select("p_partkey", "p_name", F.concat("p_name", F.lit(" text")).alias("p_text"))
     vals = {k: F.expr(v.replace("VARCHAR", "STRING")) for k, v in _SLOT_VALUES.items()}
-    x = n.crossJoin(F.broadcast(P.template_catalogue(spark)))  # the catalogue is fixed
-    return x.select("n_nationkey", "family", "dataset", "slot", F.md5(P.fill(F.col("template"), vals)).alias("prompt_md5"))
+    x = p.crossJoin(F.broadcast(P.template_catalogue(spark)))  # the catalogue is fixed
+    return x.select("p_partkey", "family", "dataset", "slot", F.md5(P.fill(F.col("template"), vals)).alias("prompt_md5"))
 
 
 @register("batches", f"""WITH {SPLITS},
@@ -267,11 +269,11 @@ tp3 AS (SELECT *, list_transform(padded, lambda x: CASE WHEN x = 0 THEN -100 ELS
 @memo
 def _padded(spark, sf):
     docs = fx.load(spark, sf, "documents").select("doc_id", "text")
-    t = T.tokenize(docs, "text")
-    # batches and their longest sequence from (id, length); the ids join last
-    b = D.assign_batches(t.select("doc_id", F.size("ids").alias("n")), ["doc_id"], BATCH)
+    # batches and their longest sequence from (id, length), counted without ids; these
+    # are made once, where the rows are padded
+    b = D.assign_batches(docs.select("doc_id", P.token_count(F.col("text")).alias("n")), ["doc_id"], BATCH)
     b = stored(T.batch_lengths(b, "batch"), "batches")
-    p = T.pad(t.join(b, "doc_id"), "ids", "longest", side="left")
+    p = T.pad(T.tokenize(docs, "text").join(b, "doc_id"), "ids", "longest", side="left")
     return p.withColumn("masked", T.mask_labels(F.col("padded")))
 
 
@@ -316,3 +318,50 @@ def packed_sequences(spark, sf):
     packed = T.pack_sequences(p, "padded", ["doc_id"], SEQ_LEN, group=["grp"], labels="masked", length=F.col("longest"))
     return packed.select("grp", "seq", _md5_ids(F.col("input_ids")).alias("ids_md5"),
                          _md5_ids(F.col("labels")).alias("labels_md5"))
+
+
+#: A public byte-level vocabulary file; any file of the same form will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _subword(spark, df, text="text"):
+    """``df`` with subword ids, made once and written."""
+    return stored(T.tokenize(df, text, subword_tokenizer(spark, VOCABULARY)), "subword-ids")
+
+
+@register("subword_pad", f"""WITH b AS (SELECT doc_id, text, CAST((row_number() OVER (ORDER BY doc_id) - 1) // {BATCH} AS BIGINT) AS batch FROM documents)
+SELECT doc_id, batch, md5(text) AS text_md5, CAST(strlen(text) AS BIGINT) AS n_bytes, TRUE AS padded_right FROM b""")
+def subword_pad(spark, sf):
+    """T1 with a subword tokenizer: ids padded by batch (right), and the text given back
+    by the ids that are attended to."""
+    t = _subword(spark, fx.load(spark, sf, "documents").select("doc_id", "text"))
+    b = D.assign_batches(t.select("doc_id", F.size("ids").alias("n")), ["doc_id"], BATCH)
+    p = T.pad(t.join(T.batch_lengths(b, "batch"), "doc_id"), "ids", "longest", side="right")
+    ones = F.aggregate("attention", F.lit(0), lambda a, x: a + x)
+    right = (F.size("padded") == F.col("longest")) & (ones == F.size("ids")) & (F.slice("padded", F.lit(1), ones) == F.col("ids"))
+    p = p.select("doc_id", "batch", decode(spark, VOCABULARY, F.slice("padded", F.lit(1), ones)).alias("back"), right.alias("padded_right"))
+    return p.select("doc_id", "batch", F.md5("back").alias("text_md5"), F.octet_length("back").cast("long").alias("n_bytes"), "padded_right")
+
+
+@register("length_guard_subword")
+def length_guard_subword(spark, sf):
+    """P6 on subword ids: every paper against the context limit of each model variant."""
+    models = literal_table(spark, [("Falcon", "falcon-7b"), ("LLaMA-3", "llama-3-8b"), ("MPT", "mpt-30b-chat"), ("Mistral", "Mixtral-8x7B-Instruct-v0.1"), ("Unknown", "other")],
+                           "family string, variant string")
+    limits = models.withColumn("limit", P.context_limit(F.col("family"), F.col("variant")))
+    counted = _subword(spark, _composed(spark, sf).select("doc_id", "text")).select("doc_id", F.size("ids").alias("n"))
+    rows = counted.crossJoin(F.broadcast(models.select("variant")))  # a handful of models
+    g = P.check_length(rows, limits, "text", "variant", MAX_NEW_TOKENS["entity_and_entity_type"], F.col("n"))
+    return g.select("doc_id", "family", "variant", "n_tokens", "limit", "status")
+
+
+@register("generated_batches", """SELECT conv_id, turn, CASE WHEN substr(md5(text), 1, 2) = 'ff' THEN 'failed' ELSE 'ok' END AS status,
+  CASE WHEN substr(md5(text), 1, 2) <> 'ff' THEN 'answer ' || md5(text) END AS response, TRUE AS within_budget
+FROM conversations WHERE role = 'user'""")
+def generated_batches(spark, sf):
+    """M1: user turns answered in batches of similar length under a token budget; prompts
+    that the predictor fails on are set apart, the rest of their batch is answered."""
+    turns = fx.load(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
+    out = generate_batches(turns, fx.failing_channel_factory, budget=1024, most_rows=32)
+    within = (F.col("batch_tokens") <= 1024) | (F.col("batch_rows") == 1)
+    return out.select("conv_id", "turn", "status", "response", within.alias("within_budget"))
