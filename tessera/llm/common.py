@@ -42,18 +42,32 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, label: str, release: bool = False) -> DataFrame:
-    """Cut the lineage: write as Parquet to the shared folder and read again.
-    Spark deletes a shuffle's files when the driver collects the plan that made
-    them; ``release`` asks it to do so now, after a step that shuffled much."""
+#: With this setting Spark deletes an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write as Parquet to the shared folder and read again. Nothing
+    else uses the write's shuffles, so their files go with it and not when the driver
+    collects its garbage."""
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    if release:
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no later plan reads."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            _remove(t.sparkSession, path)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [b or b"" for b in pc.cast(column, pa.binary()).to_pylist()]

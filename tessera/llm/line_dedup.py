@@ -35,10 +35,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 THRESHOLD = 0.8
-COUNTERS = 1 << 16
+COUNTERS = 1 << 20
 #: Ids that may be broadcast (8 bytes each).
 SMALL = 2_000_000
 #: Pairs are verified in so many passes: a pair carries a line through a shuffle, and
@@ -71,19 +71,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, line, n_lines, first): a row for each different line."""
     lines = _occurrences(docs, id_col, text_col).groupBy("line")
     found = lines.agg(F.count(F.lit(1)).alias("n_lines"), F.min(F.struct("doc_id", "line_no")).alias("first"))
-    return written(found.withColumn("id", F.monotonically_increasing_id()), "lines", release=True)
+    return written(found.withColumn("id", F.monotonically_increasing_id()), "lines")
 
 
 def _ranks(found: DataFrame) -> Column:
-    """The counters' ranks (0 to 63) as one binary literal, a byte for each. The
-    driver gets ``COUNTERS`` numbers, whatever the input; as a literal they are
-    not copied from row to row, as a joined array would be."""
+    """The counters' ranks (0: one word in one class, then 1 to 63) as one binary
+    literal, a byte for each. The driver gets ``COUNTERS`` bytes, whatever the input;
+    as a literal they are not copied from row to row, as a joined array would be."""
     slot = F.xxhash64("word").bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
-    counts = found.select(F.explode(_split(F.col("line"))).alias("word")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    ranks = bytearray(COUNTERS)
-    for r in counts.select("slot", F.least(F.lit(63), F.floor(F.log2("n") * 2)).cast("int").alias("rank")).collect():
-        ranks[r.slot] = r.rank
-    return F.lit(bytes(ranks))
+    counts = found.select(F.explode(words(F.col("line"))).alias("word")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    ranks = counts.select("slot", F.when(F.col("n") == 1, 0).otherwise(F.least(F.lit(63), F.floor(F.log2("n") * 2))).cast("int").alias("rank"))
+    every = found.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("slot"))
+    named = every.join(ranks, "slot", "left").select("slot", F.expr("chr(coalesce(rank, 0) + 48)").alias("c"))
+    joined = named.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "c"))), lambda x: x["c"]), "").alias("all"))
+    return F.lit(bytes(ord(c) - 48 for c in joined.collect()[0]["all"]))
 
 
 def _entries(found: DataFrame, threshold: float) -> DataFrame:
@@ -105,6 +106,7 @@ def _entries(found: DataFrame, threshold: float) -> DataFrame:
     whole = 1 / (1 - threshold) - 1 - 1e-9  # below this size one word more or less is too much
     keys = F.when(F.col("n") < whole, small).otherwise(prefix)
     rows = rows.select("id", "n", "sign", F.posexplode(keys).alias("place", "key"))
+    rows = rows.where(F.shiftright("key", 57) != 0)  # no other class has that word
     return rows.select("key", "id", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("size"), "sign")
 
 
@@ -127,7 +129,7 @@ def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
 
 def matches(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard): the ids of all matching pairs of different classes."""
-    pairs = written(_candidates(_entries(found, threshold), threshold), "pairs", release=True)
+    pairs = written(_candidates(_entries(found, threshold), threshold), "pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     few = ids.limit(SMALL + 1).count() <= SMALL
     texts = found.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi").select("id", "line")
@@ -140,7 +142,7 @@ def matches(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         both = both.select("a", "b", words(F.col("x")).alias("x"), words(F.col("y")).alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         both = both.withColumn("jaccard", common / (F.size("x") + F.size("y") - common))
-        verified.append(written(both.where(F.col("jaccard") >= threshold - 1e-9).select("a", "b", "jaccard"), f"matches{i}", release=True))
+        verified.append(written(both.where(F.col("jaccard") >= threshold - 1e-9).select("a", "b", "jaccard"), f"matches{i}"))
     return reduce(DataFrame.unionByName, verified)
 
 
