@@ -17,15 +17,18 @@ hold more often than chance. They are chosen on a bounded sample of labelled row
 (``sample`` rows of each class, those with the smallest hash of doc_id) by
 likelihood ratio of their presence, and must stand after different words, so that
 what merely comes along with copies of one text stays out. A text's evidence for
-a beginning is how unlikely its count would be in a clean text of that length
-(Poisson tail at the rate of clean rows); the sum of what exceeds ``CHANCE`` goes
-through a logistic curve fitted on the sample. A single word that clean rows never
-hold is thus evidence in a text of any length, and a beginning that clean rows
-hold now and then only where it crowds. Only labels of the rows passed are seen.
-
-When scoring, a token is decoded only if some path of its lattice can spell a
-beginning of the classifier, which one regular expression tells (each letter or
-its signs once or more, any signs between); other tokens cannot change the score.
+a beginning is how unlikely its count in a window of ``WINDOW`` words would be in clean
+text (Poisson tail at the rate of clean rows); the sum of what exceeds ``CHANCE``, in the
+strongest window, goes through a logistic curve fitted on the sample, which is read as
+texts are scored. A word that clean rows never hold thus tells the same in a text of any
+length, and a beginning that clean rows hold now and then only where it crowds. Only
+labels of the rows passed are seen.
+
+When scoring, a token or a run of single characters is decoded only if some path of
+its lattice can spell a beginning of the classifier, which one regular expression tells
+(each letter or its signs once or more, any signs between); other tokens cannot change
+the score. The beginning counts if the best path that spells it is at most ``MARGIN``
+worse than the best of all.
 Whole texts are read.
 
 Defined cases: null and empty texts get the score of a text without any word of
@@ -36,6 +39,7 @@ of repeated labels the largest counts; all rows are returned, with repeated ids.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -63,8 +67,14 @@ SPACED = 3
 SAMPLE, LENGTHS, LEXICON, RATIO, LEAST, SUPPORT = 4_000, range(3, 13), 400, 30.0, 5, 0.01
 #: Evidence (natural logarithm) that a beginning needs before it counts, and the most that counts.
 CHANCE, MOST = 3.0, 8.0
+#: Words of a window, in which evidence is counted; windows overlap by half.
+WINDOW = 200
+#: Log probability of a word boundary at a space between single characters; a reading that
+#: spells a beginning counts if it is at most so much worse than the best one.
+SPLIT, MARGIN = -6.0, 6.0
 THRESHOLD = 0.7
-_CACHE = 100_000
+#: Tokens kept in a worker's cache, and the most characters of one.
+_CACHE, _KEEP = 100_000, 64
 
 _ids = np.zeros(1 << 16, dtype=np.int32)
 for _c in range(1 << 16):
@@ -114,17 +124,17 @@ def _id(c: str) -> int:
     return int(_ids[ord(c)]) if ord(c) < 1 << 16 else 0
 
 
-def decode(lm: np.ndarray, token: str) -> str:
-    """The most probable reading of ``token`` (lower case; a space in it may be a
-    word boundary or nothing). States are the last two letters; a state keeps its
-    best path, the first one found on ties."""
+def _viterbi(lm: np.ndarray, token: str, prefix: str = "") -> tuple[float, str]:
+    """Log probability and letters of the best reading of ``token`` that begins with
+    ``prefix`` (minus infinity if none does). States are the last two letters and how
+    much of the prefix is spelled; a state keeps its best path, the first one on ties."""
     inner = [i for i, c in enumerate(token) if c.isalnum()]
     first, last = (inner[0], inner[-1]) if inner else (len(token), -1)
-    states = {(BOUNDARY, BOUNDARY): (0.0, "")}
+    states = {(BOUNDARY, BOUNDARY, 0): (0.0, "")}
     for at, c in enumerate(token):
         options: list[tuple[str, float]] = []
         if c == " ":
-            options = [("", 0.0), (" ", 0.0)]
+            options = [("", 0.0), (" ", SPLIT)]
         elif c in LEET:
             options = [(x, SUBSTITUTE) for x in LEET[c]] + [("", DROP_MORE if at and token[at - 1] == c else DROP_LEET if first <= at <= last else DROP_EDGE)]
         elif c.isalpha():
@@ -133,23 +143,39 @@ def decode(lm: np.ndarray, token: str) -> str:
                 options.append(("", DROP_MORE if at > 1 and token[at - 2] == c else DROP_SECOND))
         else:
             options = [("", 0.0)]
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, path) in states.items():
+        after: dict[tuple[int, int, int], tuple[float, str]] = {}
+        for (a, b, done), (score, path) in states.items():
             for out, cost in options:
                 if not out:
-                    key, value = (a, b), score + cost
+                    key, value = (a, b, done), score + cost
                 else:
                     i = _id(out)
                     if i == BOUNDARY and b == BOUNDARY:
-                        key, value = (a, b), score + cost
+                        key, value = (a, b, done), score + cost
                         out = ""
+                    elif done < len(prefix) and out != prefix[done]:
+                        continue
                     else:
-                        key, value = (b, i), score + cost + float(lm[a, b, i])
+                        key, value = (b, i, min(done + 1, len(prefix))), score + cost + float(lm[a, b, i])
                 if key not in after or value > after[key][0]:
                     after[key] = (value, path + out)
         states = after
-    best = max(((s + (float(lm[a, b, BOUNDARY]) if b else 0.0), p) for (a, b), (s, p) in states.items()), key=lambda x: x[0])
-    return best[1]
+    ends = ((s + (float(lm[a, b, BOUNDARY]) if b else 0.0), p) for (a, b, done), (s, p) in states.items() if done == len(prefix))
+    return max(ends, key=lambda x: x[0], default=(-math.inf, ""))
+
+
+def decode(lm: np.ndarray, token: str) -> str:
+    """The most probable reading of ``token`` (lower case; a space in it may be a
+    word boundary or nothing)."""
+    return _viterbi(lm, token)[1]
+
+
+def spells(lm: np.ndarray, piece: str, start: str) -> bool:
+    """Whether ``piece`` can be read as a word with that beginning about as well as in
+    any other way. It holds a letter, so that numbers are not read as words."""
+    if not any(c.isalpha() for c in piece):
+        return False
+    return _viterbi(lm, piece, start)[0] >= _viterbi(lm, piece)[0] - MARGIN
 
 
 def _plain(token: str) -> bool:
@@ -162,7 +188,8 @@ def _bare(token: str) -> str:
 
 
 def readable(words: Iterable[str]) -> re.Pattern:
-    """Matches what has a lattice path that spells one of ``words``."""
+    """Matches what has a lattice path that spells one of ``words``; the number of the
+    group is that of the word in order."""
     signs: dict[str, str] = {}
     for sign, letters in LEET.items():
         for x in letters:
@@ -170,18 +197,20 @@ def readable(words: Iterable[str]) -> re.Pattern:
     nothing = r"[\W\d_]*"
     parts = []
     for w in sorted(words):
-        once = [c for i, c in enumerate(w) if not i or w[i - 1] != c]
-        parts.append(nothing.join(f"[{re.escape(c + signs.get(c, ''))}]+" for c in once))
+        runs = [(c, len(list(g))) for c, g in itertools.groupby(w)]
+        each = [(f"[{re.escape(c + signs.get(c, ''))}]+", n - 1) for c, n in runs]
+        parts.append("(" + nothing.join(x + (f"(?:{nothing}{x}){{0,{more}}}" if more else "") for x, more in each) + ")")
     return re.compile(f"{nothing}(?:{'|'.join(parts) or '(?!)'}){nothing}")
 
 
-def _spaced_runs(tokens: list[str]) -> Iterator[str]:
-    """Runs of at least ``SPACED`` tokens of one character, joined by spaces."""
+def _spaced_runs(tokens: list[str]) -> Iterator[tuple[int, str]]:
+    """Runs of at least ``SPACED`` tokens of one character, joined by spaces, and where
+    they begin."""
     sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) == 1
     edge = np.flatnonzero(np.diff(np.concatenate(([False], sizes, [False])).astype(np.int8)))
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
         if b - a >= SPACED:
-            yield " ".join(tokens[a:b])
+            yield a, " ".join(tokens[a:b])
 
 
 def restore(lm: np.ndarray, text: str) -> str:
@@ -231,8 +260,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     shared = docs.sparkSession.sparkContext.broadcast(lm)
 
     # at most 2 x sample ids: a table of proven size
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    rows = written(rows.mapInArrow(_reader(shared), "toxic int, n int, words array<string>, after array<long>"), "toxic")
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    rows = written(texts.mapInArrow(_reader(shared), "toxic int, n int, words array<string>, after array<long>"), "toxic")
     totals = {r.toxic: r for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words")).collect()}
     model = {"lm": lm, "starts": {}, "slope": 0.0, "middle": 0.0, "base": float(1 in totals)}
     if len(totals) < 2:
@@ -252,7 +281,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     for r in counted.orderBy(F.desc("gain"), F.desc(F.length("start")), "start").limit(20 * LEXICON).collect():
         if len(model["starts"]) < LEXICON and not any(s.startswith(r.start) or r.start.startswith(s) for s in model["starts"]):
             model["starts"][r.start] = (r.kn + 0.5) / (totals[0].words + 1)
-    seen = [(r.toxic, evidence(model["starts"], r.n, r.words)) for r in rows.select("toxic", "n", _only(model["starts"]).alias("words")).collect()]
+    told = docs.sparkSession.sparkContext.broadcast(model)
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tell = witness(told.value)
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([tell(t) for t in b.column("text").to_pylist()], pa.float64())], names=["toxic", "z"])
+
+    # read as it will be scored
+    seen = [(r.toxic, r.z) for r in texts.mapInArrow(read, "toxic int, z double").collect()]
     # the sample holds up to as many rows of either class; the curve is for all labelled rows
     model["slope"], model["middle"] = _curve(seen, {0: known[0] / neg, 1: known[1] / pos})
     return model
@@ -270,15 +307,17 @@ def _reader(shared):
                 tokens = (text or "").lower().split()
                 before = ""
                 for t in tokens:
-                    if t not in cache:
-                        if len(cache) > _CACHE:
-                            cache.clear()
-                        cache[t] = sorted(_words_of(shared.value, t))
-                    if cache[t]:
-                        words += cache[t]
-                        contexts += [zlib.crc32(before.encode())] * len(cache[t])
+                    more = cache.get(t)
+                    if more is None:
+                        more = sorted(_words_of(shared.value, t))
+                        if len(t) <= _KEEP:
+                            if len(cache) > _CACHE:
+                                cache.clear()
+                            cache[t] = more
+                    words += more
+                    contexts += [zlib.crc32(before.encode())] * len(more)
                     before = t
-                for run in _spaced_runs(tokens):
+                for _, run in _spaced_runs(tokens):
                     more = decode(shared.value, run).split()
                     words += more
                     contexts += [zlib.crc32(run.encode())] * len(more)
@@ -323,15 +362,6 @@ def _count_starts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _only(starts: Iterable[str]):
-    """The words that begin with one of ``starts``."""
-    known = [*starts]
-    if not known:
-        return F.array().cast("array<string>")
-    pattern = "^(" + "|".join(known) + ")"
-    return F.filter("words", lambda w: w.rlike(pattern))
-
-
 def _start_of(starts: dict[str, float], word: str) -> str | None:
     for size in LENGTHS:
         if size > len(word):
@@ -341,15 +371,19 @@ def _start_of(starts: dict[str, float], word: str) -> str | None:
     return None
 
 
-def evidence(starts: dict[str, float], n: int, words: Iterable[str]) -> float:
-    """What ``words`` of a text of ``n`` words tell (0 to ``MOST``)."""
-    counts: dict[str, int] = {}
-    for w in words:
-        s = _start_of(starts, w)
-        if s is not None:
+def evidence(starts: dict[str, float], n: int, hits: Iterable[tuple[int, str]]) -> float:
+    """What the beginnings found at places of a text of ``n`` words tell (0 to ``MOST``):
+    that of its strongest window, so one word tells as much in a long text as in one of
+    a window's size."""
+    windows: dict[int, dict[str, int]] = {}
+    for at, s in hits:
+        k = 0 if n <= WINDOW else at // (WINDOW // 2)
+        for w in (k,) if n <= WINDOW or not k else (k - 1, k):
+            counts = windows.setdefault(w, {})
             counts[s] = counts.get(s, 0) + 1
-    total = sum(max(0.0, _surprise(counts[s], n * starts[s]) - CHANCE) for s in sorted(counts))
-    return min(total, MOST)
+    size = min(n, WINDOW)
+    totals = (sum(max(0.0, _surprise(counts[s], size * starts[s]) - CHANCE) for s in sorted(counts)) for counts in windows.values())
+    return min(max(totals, default=0.0), MOST)
 
 
 def _surprise(k: int, mean: float) -> float:
@@ -381,36 +415,52 @@ def _curve(seen: list[tuple[int, float]], weight: dict[int, float]) -> tuple[flo
     return float(theta[1]), float(-theta[0] / theta[1])
 
 
-def scorer(model: dict) -> Callable[[str], float]:
-    """A function from text to score."""
+def witness(model: dict) -> Callable[[str | None], float]:
+    """A function from text to evidence."""
     lm, starts = model["lm"], model["starts"]
     if not starts:
-        return lambda text: float(model["base"])
-    can_be = readable(starts)
+        return lambda text: 0.0
+    can_be, named = readable(starts), sorted(starts)
 
     class Hits(dict):
+        """The beginnings that a token counts as; long tokens are not kept."""
+
         def __missing__(self, token: str) -> tuple[str, ...]:
-            if len(self) > _CACHE:
-                self.clear()
             bare = _bare(token)
-            if _plain(bare):
-                words = [bare]
-            else:
-                words = _word.findall(bare)
-                if can_be.match(bare):
-                    words = {*words, *decode(lm, bare).split()}
-            found = self[token] = tuple(sorted(w for w in words if _start_of(starts, w)))
-            return found
+            words = [bare] if _plain(bare) else _word.findall(bare)
+            if len(bare) >= 5 and bare[::2].isalpha() and len(set(bare[1::2])) == 1 and not bare[1].isalnum():
+                words = [*words, bare[::2]]  # one sign after every letter
+            found = {s for w in words if (s := _start_of(starts, w))}
+            if not _plain(bare) and (m := can_be.match(bare)) and spells(lm, m.group(), named[m.lastindex - 1]):
+                found.add(named[m.lastindex - 1])
+            if len(token) <= _KEEP:
+                if len(self) > _CACHE:
+                    self.clear()
+                self[token] = tuple(sorted(found))
+            return tuple(sorted(found))
 
     cache = Hits()
 
-    def score(text: str | None) -> float:
+    def tell(text: str | None) -> float:
         tokens = (text or "").lower().split()
-        found = [w for h in map(cache.__getitem__, tokens) if h for w in h]
-        for run in _spaced_runs(tokens):
+        hits = [(i, s) for i, t in enumerate(tokens) for s in cache[t]]
+        for at, run in _spaced_runs(tokens):
             for m in can_be.finditer(run):
-                found += decode(lm, m.group()).split()
-        z = model["slope"] * (evidence(starts, len(tokens), found) - model["middle"])
+                if spells(lm, m.group(), named[m.lastindex - 1]):
+                    hits.append((at + m.start() // 2, named[m.lastindex - 1]))
+        return evidence(starts, len(tokens), hits)
+
+    return tell
+
+
+def scorer(model: dict) -> Callable[[str | None], float]:
+    """A function from text to score."""
+    if not model["starts"]:
+        return lambda text: float(model["base"])
+    tell = witness(model)
+
+    def score(text: str | None) -> float:
+        z = model["slope"] * (tell(text) - model["middle"])
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
     return score

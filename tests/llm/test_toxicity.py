@@ -119,3 +119,52 @@ def test_a_balanced_sample_learns_the_same_words(spark):
     rows = tox.scored(docs, small).join(labels, "doc_id").collect()
     assert sum(r.score >= tox.THRESHOLD for r in rows if r.toxic) > 0.8 * toxic
     assert sum(r.score >= tox.THRESHOLD for r in rows if not r.toxic) < 0.01 * len(rows)
+
+
+@pytest.fixture(scope="module")
+def larger_model(spark):
+    if not os.path.isdir(LARGER):
+        pytest.skip("driver tables not present")
+    return tox.train(table(spark, LARGER, "documents"), table(spark, LARGER, "labels"))
+
+
+def test_one_word_tells_the_same_at_any_length(spark, larger_model):
+    score, rng = tox.scorer(larger_model), random.Random(2)
+    clean = "the day was fine and they went to town".split()
+    for word in ["idiot", "worthless"]:
+        for n in (100, 400, 2_000, 20_000, 1_000_000):
+            words = rng.choices(clean, k=n)
+            assert score(" ".join(words)) < 0.1
+            words[rng.randrange(n)] = word
+            assert score(" ".join(words)) >= tox.THRESHOLD
+
+
+def test_every_obfuscated_form_of_every_learned_word_is_found(spark, larger_model):
+    """Spaced, stretched, leet, and signs between the letters, inside clean prose."""
+    score, prose = tox.scorer(larger_model), "a fine day in the old town " * 6
+    never = min(larger_model["starts"].values())  # beginnings that no clean row holds
+    learned = [w for w, rate in larger_model["starts"].items() if rate == never]
+    assert len(learned) > 8
+    leet = str.maketrans({"o": "0", "e": "3", "a": "@", "s": "$", "i": "1"})
+    for w in learned:
+        forms = [w, " ".join(w), w[0] + 4 * w[1] + w[2:], w[:-1] + 5 * w[-1], w[0] + w[1:-1].translate(leet) + w[-1], ".".join(w), "*".join(w), w.upper() + "!!!"]
+        for form in forms:
+            assert score(prose + form + " " + prose) >= tox.THRESHOLD, form
+
+
+def test_clean_spellings_stay(larger_model):
+    score = tox.scorer(larger_model)
+    for text in ["a b c d e f g h i j k l m n o p", "10107 1010 5011 105 1050", "x * y * z + 3 = 4", "le$$ or m0re $5 (c) [i] 100%", "gooood looong cooool"]:
+        assert score("a fine day in the old town " * 6 + text) < 0.3
+
+
+def test_windows_count_what_stands_close():
+    starts = {"abc": 1e-3, "abcd": 1e-3}
+    one = tox.evidence(starts, 5000, [(10, "abc")])
+    assert one == tox.evidence(starts, 200, [(3, "abc")]) == tox.evidence(starts, 5000, [(10, "abc"), (900, "abc"), (2000, "abcd")])
+    assert tox.evidence(starts, 5000, [(99, "abc"), (101, "abc"), (150, "abcd")]) > 2 * one and tox.evidence(starts, 10, []) == 0
+
+
+def test_a_text_without_spaces(spark, larger_model):
+    score = tox.scorer(larger_model)
+    assert score("x" * 300_000) < 0.3 and score("idiot." * 20_000) >= 0
