@@ -6,7 +6,7 @@ styles, titles and the like left out). A head has no text of its own but that of
 such elements, so it needs no end tag; formulas and the text inside objects, audio,
 video and canvas are text like any other. A leaf block is a run of text between the
 bounds of block elements, its white space turned into single spaces. Its features
-are the tags and the words of class, id and role of all its ancestors, its own tag
+are the tags and the words of class, id and role of all its ancestors (hashed, each once), its own tag
 and neighbours' tags, and of its whole text the length, share of link text,
 punctuation, capitals, digits, and for short texts all longer words. Viterbi decoding labels the
 blocks of a page as main text or not.
@@ -42,8 +42,9 @@ from .page_samples import PAGES, labelled_pages
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html ins legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split())
-#: Elements whose text is never main text.
-SILENT = frozenset("script style title noscript template textarea select option button svg iframe embed map datalist".split())
+#: Elements whose text is never main text: scripts, styles, parts of forms, and an
+#: iframe's, which is markup for readers without frames.
+SILENT = frozenset("script style title template textarea select option button datalist iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open element of these, up to the bound.
 CLOSES = {"p": ({"p"}, BLOCK - {"p"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -58,19 +59,58 @@ _CAPITALS = bytes(range(65, 91))
 
 
 class Block:
-    __slots__ = ("text", "linked", "path")
+    """A run of text, how much of it is linked, its place (own tag, parent's tag, depth up
+    to 8), the hashed features of all its ancestors, and the innermost of these."""
+
+    __slots__ = ("text", "linked", "place", "above", "inner")
 
     def __init__(self, text: str, linked: int, path: tuple[tuple[str, str], ...]) -> None:
-        self.text, self.linked, self.path = text, linked, path
+        self.text, self.linked, self.inner = text, linked, None
+        for tag, names in path:
+            self.inner = (self.inner, tag, names)
+        self.place = path[-1][0] if path else "", path[-2][0] if len(path) > 1 else "", min(len(path), 8)
+        self.above = tuple(dict.fromkeys(f for x in path for f in _element_features(*x)))
+
+    @classmethod
+    def inside(cls, text: str, linked: int, around: list[tuple], above: tuple[int, ...]) -> Block:
+        """The same from the open elements and features that a reader holds."""
+        b = cls(text, linked, ())
+        b.inner, b.above = around[-1] if around else None, above
+        b.place = around[-1][1] if around else "", around[-2][1] if len(around) > 1 else "", min(len(around), 8)
+        return b
+
+    @property
+    def path(self) -> tuple[tuple[str, str], ...]:
+        """(tag, names) of all ancestors from the outermost, followed link by link."""
+        out, at = [], self.inner
+        while at is not None:
+            out.append(at[1:])
+            at = at[0]
+        return tuple(reversed(out))
+
+
+def _hash(x: str) -> int:
+    return zlib.crc32(x.encode("utf-8", "replace")) % HASHED
+
+
+@lru_cache(maxsize=20_000)
+def _element_features(tag: str, names: str) -> tuple[int, ...]:
+    return _hash(f"in {tag}"), *(_hash(f"name {w}") for w in _split.split(names) if w)
 
 
 class _Reader(HTMLParser):
-    """Collects the leaf blocks of a page."""
+    """Collects the leaf blocks of a page. What is open is counted as it opens and
+    closes, so a block costs the different features above it (``HASHED`` at most),
+    however deep it stands."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, str]] = []  # (tag, its names)
+        self.open: list[tuple[str, tuple[int, ...]]] = []  # (tag, its features)
+        self.tags: dict[str, int] = {}  # of what is open
+        self.around: list[tuple] = []  # the open block elements: (the one around it, tag, names)
+        self.features: dict[int, int] = {}  # of these
+        self.above: tuple[int, ...] | None = ()
         self.silent = self.links = self.linked = 0
         self.held: list[str] = []
 
@@ -78,10 +118,24 @@ class _Reader(HTMLParser):
         if self.held:
             text = " ".join("".join(self.held).split())
             if text:
-                self.blocks.append(Block(text, self.linked, tuple(x for x in self.open if x[0] in BLOCK)))
+                if self.above is None:
+                    self.above = tuple(self.features)
+                self.blocks.append(Block.inside(text, self.linked, self.around, self.above))
             self.held = []
         self.linked = 0
 
+    def _push(self, tag: str, names: str) -> None:
+        own = _element_features(tag, names) if tag in BLOCK else ()
+        self.open.append((tag, own))
+        self.tags[tag] = self.tags.get(tag, 0) + 1
+        if tag in BLOCK:
+            self.around.append((self.around[-1] if self.around else None, tag, names))
+        for f in own:
+            n = self.features.get(f, 0)
+            self.features[f] = n + 1
+            if not n:
+                self.above = None
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
             self.held.append(" ")
@@ -94,10 +148,10 @@ class _Reader(HTMLParser):
             self.flush()
             if tag in CLOSES:
                 self._close(*CLOSES[tag])
-            elif any(t == "p" for t, _ in self.open):
+            elif self.tags.get("p"):
                 self._close(*CLOSES["p"])
         names = " ".join(str(v) for k, v in attrs if k in ("class", "id", "role") and v)
-        self.open.append((tag, names.lower()))
+        self._push(tag, names.lower())
         self.silent += tag in SILENT
         self.links += tag == "a"
 
@@ -108,6 +162,8 @@ class _Reader(HTMLParser):
 
     def _close(self, ends: set, bound: set) -> None:
         """End the nearest open element of ``ends`` unless one of ``bound`` is nearer."""
+        if not any(self.tags.get(t) for t in ends):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             tag = self.open[i][0]
             if tag in ends:
@@ -117,9 +173,17 @@ class _Reader(HTMLParser):
                 return
 
     def _pop(self, i: int) -> None:
-        for tag, _ in self.open[i:]:
+        for tag, own in self.open[i:]:
             self.silent -= tag in SILENT
             self.links -= tag == "a"
+            self.tags[tag] -= 1
+            if tag in BLOCK:
+                self.around.pop()
+            for f in own:
+                self.features[f] -= 1
+                if not self.features[f]:
+                    del self.features[f]
+                    self.above = None
         del self.open[i:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -127,6 +191,8 @@ class _Reader(HTMLParser):
             self.flush()
         elif tag == "br":
             self.held.append(" ")
+        if not self.tags.get(tag):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 self._pop(i)
@@ -150,19 +216,16 @@ def blocks(html: str | None) -> list[Block]:
     return reader.blocks
 
 
-def _hash(x: str) -> int:
-    return zlib.crc32(x.encode("utf-8", "replace")) % HASHED
+@lru_cache(maxsize=20_000)
+def _place_features(place: tuple[str, str, int]) -> tuple[int, ...]:
+    tag, parent, depth = place
+    return _hash(f"tag {tag}"), _hash(f"depth {depth}"), *([_hash(f"pair {parent} {tag}")] if depth > 1 else [])
 
 
-@lru_cache(maxsize=20_000)
 def _path_features(path: tuple[tuple[str, str], ...]) -> tuple[int, ...]:
-    out = [_hash(f"tag {path[-1][0] if path else ''}"), _hash(f"depth {min(len(path), 8)}")]
-    for tag, names in dict.fromkeys(path):  # all ancestors, equal ones once
-        out.append(_hash(f"in {tag}"))
-        out += [_hash(f"name {w}") for w in _split.split(names) if w]
-    if len(path) > 1:
-        out.append(_hash(f"pair {path[-2][0]} {path[-1][0]}"))
-    return tuple(dict.fromkeys(out))
+    """The features of a block's path."""
+    b = Block("", 0, path)
+    return tuple(dict.fromkeys(_place_features(b.place) + b.above))
 
 
 def _counts(text: str) -> tuple[int, int, int]:
@@ -179,11 +242,11 @@ def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bounds = [0]
     real = np.empty((len(page), DENSE))
     for i, b in enumerate(page):
-        out += _path_features(b.path)
-        if i and page[i - 1].path:
-            out.append(_hash(f"before {page[i - 1].path[-1][0]}"))
-        if i + 1 < len(page) and page[i + 1].path:
-            out.append(_hash(f"after {page[i + 1].path[-1][0]}"))
+        out += dict.fromkeys(_place_features(b.place) + b.above)
+        if i and page[i - 1].place[2]:
+            out.append(_hash(f"before {page[i - 1].place[0]}"))
+        if i + 1 < len(page) and page[i + 1].place[2]:
+            out.append(_hash(f"after {page[i + 1].place[0]}"))
         text = b.text
         n = len(text)
         if n <= 120:

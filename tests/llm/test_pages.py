@@ -111,3 +111,29 @@ def test_odd_rows(spark, model):
     by = {r.page_id: r.text for r in got}
     assert by[1] == "" and by[3] == "" and by[4].count("\n") == 19999
     assert pages.extract(df.limit(0), model).count() == 0
+
+
+def test_text_of_pictures_maps_and_noscript_stays():
+    html = "<article><p>one</p><svg><text>two</text></svg><map><p>three</p></map><noscript><p>four</p></noscript><embed><p>five</p></article>"
+    assert [b.text for b in pages.blocks(html)] == ["one", "two", "three", "four", "five"]
+
+
+def test_features_kept_up_to_date_are_those_of_the_path():
+    html = "<main id='m'>a<div class='x y'>b<p>c<ul><li class='x'>d<li>e</ul><div class='x'>f</div>g</p></div>h<p>i</main>j"
+    found = pages.blocks(html)
+    assert len(found) == 10
+    for b in found:
+        assert set(pages._path_features(b.path)) == set(pages._place_features(b.place) + b.above)
+
+
+def test_deep_pages_cost_what_they_hold():
+    import time
+
+    began = time.time()
+    deep = "<div><div class='a b'>x" * 25_000
+    found = pages.blocks("<article><p>first</p>" + deep + "</article></section></div>" * 50)
+    assert len(found) == 25_001 and len(found[-1].above) < 10
+    unique = "".join(f"<div id='n{i}'>t" for i in range(3_000))
+    assert len(pages.blocks(unique)[-1].above) <= pages.HASHED
+    pages.features(found[:2000])
+    assert time.time() - began < 20
