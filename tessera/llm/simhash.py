@@ -28,7 +28,8 @@ changes, each round written to the shared folder.
 Defined cases: null text counts as empty; empty texts have fingerprint zero and
 link like any other; rows that share a doc_id keep a row each, and each belongs to
 the component of its own fingerprint; a null doc_id
-takes no part in the minimum (its class may have a null id if all are null);
+takes no part in the minimum but links like any other (a component may have a null id
+if all are null);
 extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -164,11 +165,12 @@ def classes(rows: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """(fp, component_id, stays): for each fingerprint of ``rows`` (doc_id, fp, key;
     key unique) the smallest doc_id of its component and the smallest key with it."""
     held = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
-    firsts = rows.groupBy("fp").agg(F.min(held).alias("first")).select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("stays"))
-    ordered = firsts.repartitionByRange("component_id", "stays").sortWithinPartitions("component_id", "stays")
+    firsts = rows.groupBy("fp").agg(F.min(held).alias("first"), F.min("key").alias("any")).select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("stays"), "any")
+    # classes without a doc_id come last: they link others and name a component only among themselves
+    order = [F.col("component_id").asc_nulls_last(), F.coalesce("stays", "any")]
+    ordered = firsts.repartitionByRange(*order).sortWithinPartitions(*order).drop("any")
     points = written(ordered.withColumn("rep", F.monotonically_increasing_id()), "points")
-    # classes without a doc_id take no part in links
-    found = components(links(points.where("component_id is not null").select("rep", "fp"), radius, hot))
+    found = components(links(points.select("rep", "fp"), radius, hot))
     moved = points.select("rep", "fp").join(found.where("node != component"), F.col("rep") == F.col("node")).select("fp", "component")
     firsts = points.select("rep", "component_id", "stays")
     moved = moved.join(firsts, F.col("component") == F.col("rep")).select("fp", "component_id", "stays")

@@ -110,3 +110,9 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
     assert simhash.keep_one(docs).count() == 0
+
+
+def test_a_row_without_id_links_others(spark):
+    rows = [(7, 0b0, 0), (None, 0b1111, 1), (9, 0b11111111, 2), (None, 63 << 50, 3), (None, (63 << 50) + 1, 4), (12, 0xFFFF << 40, 5)]
+    found = {r.fp: (r.component_id, r.stays) for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, fp long, key long")).collect()}
+    assert found == {0: (7, 0), 0b1111: (7, 0), 0b11111111: (7, 0), 63 << 50: (None, None), (63 << 50) + 1: (None, None), 0xFFFF << 40: (12, 5)}
