@@ -17,13 +17,14 @@ theirs, so all rows are kept and the weights hold as long as all sources last.
 Row numbers within a source never need the source in one task: rows fall into
 hash buckets of about ``BUCKET`` rows, a window numbers the rows of a bucket, and
 counts by bucket, added up in two levels, give the buckets' offsets. All is
-DataFrame and SQL functions. The tables broadcast have at most D rows, as every
-source needs a share.
+DataFrame and SQL functions. D is ``SHARES``, or ``PER_SOURCE`` shares for every source
+if these are more; the tables of sources and slots have at most D rows, and are
+broadcast if D is at most ``SMALL``.
 
 Defined cases: a null source is a source like any other; sources without a given
 weight have none and raise an error, given sources without rows only leave slots
 empty; rows that share a doc_id keep a row each (their order among them is
-arbitrary); more sources than shares raise an error; extra columns are kept; an
+arbitrary); more sources than a given number of shares raise an error; extra columns are kept; an
 empty table gives an empty result.
 """
 
@@ -32,7 +33,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARES = 1000
+from .common import fresh
+
+SHARES, PER_SOURCE = 1000, 4
+#: Shares up to which the tables of sources and slots are broadcast.
+SMALL = 200_000
 BLOCK = 32
 BUCKET = 4096
 SEED = 42
@@ -94,23 +99,28 @@ def schedule(parts: DataFrame, shares: int = SHARES) -> DataFrame:
     return ran.withColumn("k", k.cast("long")).select("key", "w", "k", "place")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, shares: int = SHARES, block: int = BLOCK,
+def mix(docs: DataFrame, weights: DataFrame | None = None, shares: int | None = None, block: int = BLOCK,
         source_col: str = "source", id_col: str = "doc_id", bucket: int = BUCKET, names: tuple[str, ...] = ("_slot", "_place", "_block", "_w")) -> DataFrame:
     """The rows of ``docs`` with the slot of their block, their place in it, the
     block's number in its source and the source's share, in columns ``names``.
     Rows ordered by slot and place are in mixed order."""
     slot, place, number, w = names
     counts = row_counts(docs, source_col)
+    if shares is None:
+        sources = (counts if weights is None else weights).count()
+        shares = max(SHARES, PER_SOURCE * sources)
+    # as many rows as shares at most, which is known here
+    small = F.broadcast if shares <= SMALL else (lambda df: df)
     parts = whole_shares(weights if weights is not None else damped(counts), shares)
     table = schedule(parts, shares)
     # inner columns live in one struct, so that columns of docs cannot clash with them
     rows = docs.select(F.struct("*").alias("row"), _key(source_col).alias("key"), F.xxhash64(F.col(id_col), F.lit(SEED)).alias("h"))
     sized = counts.select("key", F.ceil(F.col("n") / bucket).cast("long").alias("buckets"))
-    rows = rows.join(F.broadcast(sized), "key").withColumn("b", F.pmod("h", "buckets"))  # at most ``shares`` sources
+    rows = rows.join(small(sized), "key").withColumn("b", F.pmod("h", "buckets"))
     within = Window.partitionBy("key", "b").orderBy("h", F.col(f"row.{id_col}"))
     rows = rows.withColumn("rn", F.row_number().over(within) - 1)
     held = docs.select(_key(source_col).alias("key"), F.xxhash64(F.col(id_col), F.lit(SEED)).alias("h"))
-    held = held.join(F.broadcast(sized), "key").groupBy("key", F.pmod("h", "buckets").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    held = held.join(small(sized), "key").groupBy("key", F.pmod("h", "buckets").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     held = held.withColumn("g", F.expr(f"b div {_GROUP}"))
     prior = Window.partitionBy("key", "g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     inner = held.withColumn("o", F.coalesce(F.sum("n").over(prior), F.lit(0)))
@@ -120,15 +130,16 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, shares: int = SHARES,
     rows = rows.join(offsets, ["key", "b"]).withColumn("r", F.col("rn") + F.col("offset"))
     rows = rows.withColumn("block", F.expr(f"r div {block}"))
     shared = parts.select("key", F.col("w").alias("pw"))
-    rows = rows.join(F.broadcast(shared), "key", "left")
+    rows = rows.join(small(shared), "key", "left")
     known = F.when(F.col("pw").isNull(), F.raise_error(F.concat(F.lit("no weight for source "), F.col("key"))).cast("long")).otherwise(F.expr("block % pw"))
-    rows = rows.withColumn("k", known).join(F.broadcast(table.select("key", "k", F.col("place").alias("p"))), ["key", "k"])
+    rows = rows.withColumn("k", known).join(small(table.select("key", "k", F.col("place").alias("p"))), ["key", "k"])
     return rows.select(
         "row.*", F.expr(f"(block div pw) * {shares} + p").alias(slot), F.expr(f"r % {block}").alias(place), F.col("block").alias(number), F.col("pw").alias(w))
 
 
-def mixed(docs: DataFrame, weights: DataFrame | None = None, shares: int = SHARES, block: int = BLOCK) -> DataFrame:
+def mixed(docs: DataFrame, weights: DataFrame | None = None, shares: int | None = None, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` in mixed order: range partitions of slots, each sorted,
     so that files written from it hold the mixture from first to last."""
-    out = mix(docs, weights, shares, block, names=("_slot", "_place", "_block", "_w"))
-    return out.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(docs.columns)
+    names = tuple(fresh(docs.columns, x) for x in ("_slot", "_place", "_block", "_w"))
+    out = mix(docs, weights, shares, block, names=names)
+    return out.repartitionByRange(*names[:2]).sortWithinPartitions(*names[:2]).select(docs.columns)

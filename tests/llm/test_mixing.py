@@ -73,3 +73,37 @@ def test_given_weights_and_odd_tables(spark):
         mixing.mix(docs, mixing.given(spark, {"a": 1, "b": 3})).collect()
     with pytest.raises(PySparkException):
         mixing.mix(docs, shares=2).collect()
+
+
+def test_more_sources_than_a_thousand(spark, monkeypatch):
+    rows = [(i, f"s{i % 1203}") for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(docs, block=2).collect()
+    assert sorted((r.doc_id, r.source) for r in got) == rows
+    assert len({(r["_slot"], r["_place"]) for r in got}) == len(rows)
+    with pytest.raises(PySparkException):
+        mixing.mix(docs, shares=1000).collect()
+    monkeypatch.setattr(mixing, "SMALL", 0)  # joined without a broadcast
+    few = docs.withColumn("source", (docs.doc_id % 7).cast("string"))
+    assert mixing.mix(few).count() == len(rows)
+
+
+def test_distance_from_real_weights(spark):
+    """After t slots a source is within a block of its rounded share, whose distance
+    from the real weight is at most a share in a round."""
+    weights = {"a": 0.5, "b": 1 / 3, "c": 0.1, "d": 1 - 0.5 - 1 / 3 - 0.1}
+    docs = spark.range(6000).selectExpr("id AS doc_id", "element_at(array('a','b','c','d'), cast(id % 4 AS int) + 1) AS source")
+    got = mixing.mix(docs, mixing.given(spark, weights), block=1).collect()
+    ends = {s: max(r["_slot"] for r in got if r.source == s) for s in weights}
+    last = min(ends.values())
+    ran = Counter()
+    slots = {r["_slot"]: r.source for r in got}
+    for t in range(1, last + 1):
+        ran[slots[t - 1]] += 1
+        assert all(abs(ran[s] - t * w) < 1 + t / 1000 for s, w in weights.items())
+
+
+def test_columns_named_like_the_slots(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6), (2, "b", 7, 8), (3, "a", 9, 10)], "doc_id long, source string, _slot int, _Place int")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
