@@ -61,7 +61,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:  # longer ones are rarely seen again
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

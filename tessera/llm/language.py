@@ -7,9 +7,9 @@ each language among its sightings. Forward-backward gives each word's language
 probabilities in its text, so words of code-switched texts get labels of their
 own; a document's language has the largest mean over its words.
 
-Training takes a bounded sample: of each language ``sample`` documents of at most
-``LONGEST`` characters, those with the smallest hash of doc_id, whole. A word's
-label is its document's language. Pieces of some words of different documents are
+Training takes a bounded sample: of each language ``sample`` documents, those with the
+smallest hash of doc_id; of a document longer than ``LONGEST`` characters that many, in
+``PIECES`` pieces spread over all of it. A word's label is its document's language. Pieces of some words of different documents are
 put in a row, so that the transitions learn both to stay and to switch. Half of
 the sampled documents give the lexicon and the other half the weights. Only text
 and language of the rows passed are seen.
@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 from . import crf
 from .common import slices
 
-SAMPLE, LONGEST = 250, 20_000
+#: Sampled documents of each language; characters of one that are learned from, and pieces they come in.
+SAMPLE, LONGEST, PIECES = 250, 20_000, 20
 HASHED = 1 << 16
 #: Words of a training chain, mean words of a piece of one document, chains a step, rounds.
 CHAIN, PIECE, CHAINS, ROUNDS = 48, 16, 64, 2
 LEXICON_LEAST = 2
 UNKNOWN = "und"
-_CACHE = 100_000
+#: Tokens kept in a worker between batches, and their characters.
+_CACHE, _CACHE_CHARS = 100_000, 8 << 20
 _no_letters = re.compile(r"[\W\d_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,12 +86,17 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _sample(docs: DataFrame, sample: int) -> list:
     """The sampled rows (text, lang), at most ``sample`` of each language."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id")
     small = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "lang")
     # ids of the sample alone are broadcast: ``sample`` for each language
     rows = known.join(F.broadcast(small.withColumnRenamed("lang", "_l").distinct()), ["doc_id"]).where("lang = _l")
-    return sorted({(r.doc_id, r.lang, r.text) for r in rows.select("doc_id", "lang", "text").collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+    # of a text longer than LONGEST, as many characters, in pieces spread over all of it
+    size, step = F.length("text"), f"(length(text) - {LONGEST // PIECES}) / {PIECES - 1}"
+    spread = F.expr(f"array_join(transform(sequence(0, {PIECES - 1}), i -> substring(text, 1 + cast(i * {step} AS int), {LONGEST // PIECES})), ' ')")
+    rows = rows.withColumn("text", F.when(size <= LONGEST, F.col("text")).otherwise(spread))
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # one of rows that share an id
+    return sorted(((r.doc_id, r.lang, r.text) for r in rows.collect()), key=lambda r: (r[0], r[1]))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
@@ -156,10 +163,12 @@ class Labeller:
     def _forget(self) -> None:
         #: token -> row of scores; row 0 is for tokens without letters
         self.at: dict[str, int] = {}
+        self.held = 0
         self.scores = np.zeros((1, self.size))
 
     def _rows(self, tokens: list[str]) -> np.ndarray:
         missing = list(dict.fromkeys(t for t in tokens if t not in self.at))
+        self.held += sum(map(len, missing))
         words = [letters(t) for t in missing]
         known = [(t, w) for t, w in zip(missing, words) if w]
         for t, w in zip(missing, words):
@@ -175,7 +184,7 @@ class Labeller:
 
     def words(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of each text, and over all of them: bounds, whether they have letters, probabilities."""
-        if len(self.at) > _CACHE:
+        if len(self.at) > _CACHE or self.held > _CACHE_CHARS:
             self._forget()
         split = [(t or "").lower().split() for t in texts]
         bounds = np.concatenate(([0], np.cumsum([len(x) for x in split])))

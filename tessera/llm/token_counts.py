@@ -38,7 +38,8 @@ from .common import slices
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-_CACHE = 150_000
+#: Pieces kept in a worker, and their characters.
+_CACHE, _CACHE_CHARS = 150_000, 8 << 20
 _segments = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -64,6 +65,7 @@ class Counter:
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
+        self.held = 0
         self.counts: list[int] = []
         self.scores: list[float] = []
 
@@ -95,6 +97,7 @@ class Counter:
         if i is None:
             tokens, score = self.segment(s)
             i = self.at[s] = len(self.counts)
+            self.held += len(s)
             self.counts.append(tokens)
             self.scores.append(score)
         return i
@@ -102,7 +105,7 @@ class Counter:
     def __call__(self, text: str | None) -> tuple[int, float]:
         if not text:
             return 0, 0.0
-        if len(self.at) > _CACHE:
+        if len(self.at) > _CACHE or self.held > _CACHE_CHARS:
             self._forget()
         if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
             parts = _segments.findall(MARK + text.replace(" ", MARK))

@@ -92,3 +92,17 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in language.languages(docs, none).collect()} == {"und"}
     assert language.languages(docs.limit(0), model).count() == 0
     assert language.word_languages(docs, none).count() == len(rows)
+
+
+def test_long_texts_alone_are_learned_from(spark):
+    long = {"en": "the cat and the dog and ", "de": "der hund und die katze und "}
+    rows = [(i, long[x] * 1500, x) for i, x in enumerate(["en", "de"] * 4)] + [(4, long["en"] * 1500 + "x", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(len(t) > language.LONGEST for _, t, _ in rows)
+    sampled = language._sample(docs, 2)
+    assert len(sampled) == 4 and all(0.9 * language.LONGEST < len(t) <= language.LONGEST + language.PIECES for _, _, t in sampled)
+    model = language.train(docs)
+    assert {r.lang_pred for r in language.languages(docs.where("lang = 'de'"), model).collect()} == {"de"}
+    # the pieces reach over the whole text
+    mixed = spark.createDataFrame([(1, "a" * 30_000 + "b" * 30_000 + "c" * 30_000, "en")], docs.schema)
+    assert set(language._sample(mixed, 1)[0][2]) == set("abc ")
