@@ -41,6 +41,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,28 +176,25 @@ def _row(shard: int, number: int, pieces: list[tuple[int | None, int, bytes]], l
             "cu_seqlens": bounds, "doc_ids": [p[0] for p in pieces], "offsets": [p[1] for p in pieces]}
 
 
-def _as_read(docs: DataFrame) -> bool:
-    """Whether the rows of ``docs`` come straight from the files of a table."""
-    plan = docs._jdf.queryExecution().analyzed()
-    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
-        plan = plan.children().head()
-    return plan.nodeName() == "LogicalRelation" and "_metadata" in [a.name() for a in _items(plan.metadataOutput())]
-
-
-def _items(seq) -> list:
-    return [seq.apply(i) for i in range(seq.size())]
+def _from_files(docs: DataFrame) -> bool:
+    """Whether rows of ``docs`` know their place in a file (Parquet tables as read)."""
+    try:
+        docs.select(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.col("_metadata.file_block_length"), F.col("_metadata.row_index")).schema
+    except AnalysisException:
+        return False
+    return True
 
 
 def _natural(path: str) -> list:
     return [int(x) if i % 2 else x for i, x in enumerate(re.split(r"([0-9]+)", path))]
 
 
-def _placed(docs: DataFrame) -> tuple[DataFrame, dict[str | None, int]]:
+def _placed(docs: DataFrame, by_files: bool | None) -> tuple[DataFrame, dict[str | None, int]]:
     """The rows (doc_id, text) with their file, the bounds of their split in it and
     their place in the file, and the files' numbers in order (as many as the scan's
     listing holds on the driver anyway)."""
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    if not _as_read(docs):
+    if not (_from_files(docs) if by_files is None else by_files):
         part = F.spark_partition_id().cast("long")
         return docs.select(*columns, F.lit(None).cast("string").alias("file"), part.alias("begin"), part.alias("end"), F.monotonically_increasing_id().alias("at")), {None: 0}
     at = F.col("_metadata")
@@ -206,12 +204,14 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, dict[str | None, int]]:
     return rows, {f: i for i, f in enumerate(sorted(files, key=_natural))}
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """Packed rows (``SCHEMA``) of ``docs`` (doc_id, text)."""
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD, by_files: bool | None = None) -> DataFrame:
+    """Packed rows (``SCHEMA``) of ``docs`` (doc_id, text). ``by_files`` says whether the
+    order is that of the files; left out, it is if rows know their place in a Parquet
+    file. Say no for a table that was shuffled after reading."""
     if not 1 <= length <= 0xFFFF:
         raise ValueError("length must fit 16 bits")
     # the vocabulary file is read once on the driver: 65,535 entries at most
-    rows, files = _placed(docs)
+    rows, files = _placed(docs, by_files)
     shared = docs.sparkSession.sparkContext.broadcast((ranks_of(vocabulary), files))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,3 +115,16 @@ def test_shards_follow_the_files_however_they_are_read(spark, tmp_path):
         for k, v in conf.items():
             spark.conf.set(k, v)
         spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+@needs
+def test_tables_in_other_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(60)], "doc_id long, text string")
+    for kind in ("json", "orc", "parquet"):
+        path = str(tmp_path / kind)
+        docs.repartition(3).write.format(kind).save(path)
+        back = spark.read.schema(docs.schema).format(kind).load(path)
+        for table in (back, back.where("doc_id >= 0").select("text", "doc_id"), back.repartition(2)):
+            rows = packing.pack(table, length=64, by_files=False if table is not back else None).collect()
+            assert sorted({i for r in rows for i in r.doc_ids}) == list(range(60))
+            assert len({(r.shard, r.row) for r in rows}) == len(rows)
