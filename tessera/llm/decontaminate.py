@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import slices, text_bytes, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -228,8 +228,13 @@ _arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched",
 
 def clean(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` in which no item is found, in the columns of ``docs``:
-    the rows pass through the workers and nothing is joined."""
+    the rows pass through the workers and nothing is joined. Between the passes of a
+    benchmark of several blocks they are written, so a task has one worker and one
+    block."""
+    passes = 0
     for index in _blocks(benchmark, words, block):
+        docs = written(docs, "clean") if passes else docs
+        passes += 1
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
