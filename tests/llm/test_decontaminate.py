@@ -91,6 +91,6 @@ def test_many_blocks_keep_one_worker_a_task(spark):
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(5, 20))) for i in (2, 5, 7, 11)], "item_id long, text string")
-    left = decontaminate.clean(docs, items, block=15)
+    left = dec.clean(docs, items, block=15)
     assert sorted(r.doc_id for r in left.collect()) == [0, 1, 3, 4, 6, 8, 9, 10]
     assert left._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
