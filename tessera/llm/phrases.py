@@ -129,6 +129,18 @@ class Filter:
     def empty(cls, bits: int) -> Filter:
         return cls(np.zeros(-(-bits // 64), dtype=np.uint64))
 
+    def packed(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """What is sent to tasks: words that are not zero, and their places."""
+        at = np.flatnonzero(self.words).astype(np.int32)
+        return len(self.words), at, self.words[at]
+
+    @classmethod
+    def unpacked(cls, packed: tuple[int, np.ndarray, np.ndarray]) -> Filter:
+        size, at, values = packed
+        words = np.zeros(size, dtype=np.uint64)
+        words[at] = values
+        return cls(words)
+
     def holds(self, h: np.ndarray) -> np.ndarray:
         found = np.ones(len(h), dtype=bool)
         for p in _places(h, 64 * len(self.words)):
@@ -152,14 +164,17 @@ class Filter:
         return Filter(words)
 
     def missing(self, hashes: DataFrame) -> DataFrame:
-        """The hashes of column h that this filter does not hold."""
-        shared = hashes.sparkSession.sparkContext.broadcast(self.words)
+        """A table of the hashes of column h that this filter does not hold."""
+        shared = hashes.sparkSession.sparkContext.broadcast(self.packed())
 
         def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Filter.unpacked(shared.value)
             for batch in batches:
-                yield batch.filter(pa.array(~Filter(shared.value).holds(_unsigned(batch.column("h")))))
+                yield batch.filter(pa.array(~own.holds(_unsigned(batch.column("h")))))
 
-        return hashes.select("h").mapInArrow(lacking, "h long")
+        found = written(hashes.select("h").mapInArrow(lacking, "h long"), "phrase-failures")
+        shared.destroy()
+        return found
 
 
 def _unsigned(column: pa.Array) -> np.ndarray:
@@ -278,13 +293,14 @@ def grams(lang: str, folded: bytes, skip: int, old: Filter | None, new: Filter |
         yield at
 
 
-def _parts(docs: DataFrame, schema: str, filters: tuple[Filter | None, ...], each: Callable, state: Callable = lambda: None) -> DataFrame:
+def _parts(docs: DataFrame, schema: str, filters: tuple[Filter | None, ...], each: Callable, counted: Callable, label: str, state: Callable = lambda: None) -> DataFrame:
     """``each`` makes Arrow batches of every portion of the rows of (lang, text), with a
-    state of the task that may hold back a rest."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(None if f is None else f.words for f in filters))
+    state of the task that may hold back a rest. What ``counted`` makes of their table is
+    written, and the filters leave the executors."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(None if f is None else f.packed() for f in filters))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = [None if x is None else Filter(x) for x in shared.value], state()
+        held, own = [None if x is None else Filter.unpacked(x) for x in shared.value], state()
         for batch in slices(batches, "text", 2 * PORTION):
             for lang in pc.unique(batch.column("lang")).to_pylist():
                 texts = pc.cast(batch.filter(pc.equal(batch.column("lang"), lang)).column("text"), pa.binary())
@@ -293,7 +309,9 @@ def _parts(docs: DataFrame, schema: str, filters: tuple[Filter | None, ...], eac
         if own is not None:
             yield from own.rest()
 
-    return docs.mapInArrow(parts, schema)
+    found = written(counted(docs.mapInArrow(parts, schema)), label)
+    shared.destroy()
+    return found
 
 
 class Sums:
@@ -333,9 +351,11 @@ def hashed_counts(docs: DataFrame, lengths: tuple[int, ...], support: int, new:
             if k in lengths:
                 yield from sums.add(g.hashes[g.counts > 0], g.counts[g.counts > 0])
 
-    # dealt out by hash first, so that no second combining runs before the shuffle
-    rows = _parts(docs, "h long, n long", (new,), each, Sums).repartition("h")
-    return rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("h")
+    def counted(rows: DataFrame) -> DataFrame:
+        # dealt out by hash first, so that no second combining runs before the shuffle
+        return rows.repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("h")
+
+    return _parts(docs, "h long, n long", (new,), each, counted, "phrase-hashes", Sums)
 
 
 def exact_counts(docs: DataFrame, support: int, new: Filter, old: Filter, held: Filter | None = None, fresh: Filter | None = None) -> DataFrame:
@@ -355,8 +375,11 @@ def exact_counts(docs: DataFrame, support: int, new: Filter, old: Filter, held:
             if out.any():
                 yield _exact_batch(lang, k, g.text(out), g.counts[out])
 
-    counts = _parts(docs, EXACT, (new, old, held, fresh), each).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-    return counts.where((F.col("n") >= support) | ((F.col("k") == 0) & (F.col("n") > 0)))
+    def counted(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+        return counts.where((F.col("n") >= support) | ((F.col("k") == 0) & (F.col("n") > 0)))
+
+    return _parts(docs, EXACT, (new, old, held, fresh), each, counted, "phrases")
 
 
 def _exact_batch(lang: str, k: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
@@ -379,10 +402,10 @@ def frequent(docs: DataFrame, support: int = 30, share: float = 0.1, slack: floa
     new = Filter.empty(bits)
     for k in range(1, LONGEST):
         new = new.with_hashes(hashed_counts(sample, (k,), least, new))
-    counted = written(hashed_counts(rows, tuple(range(1, LONGEST + 1)), support, new), "phrase-hashes")
+    counted = hashed_counts(rows, tuple(range(1, LONGEST + 1)), support, new)
     held, fresh, found, number = Filter.empty(bits).with_hashes(counted), None, None, 1
     while True:
-        failures = written(new.missing(counted.where(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1)), "phrase-failures")
+        failures = new.missing(counted.where(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1))
         lost = failures.count()
         if note:
             note(number, lost)
@@ -391,7 +414,7 @@ def frequent(docs: DataFrame, support: int = 30, share: float = 0.1, slack: floa
         old, new = new, new.with_hashes(failures)
         if found is not None:
             held, fresh = None, Filter.empty(1 << 20).with_hashes(failures)
-        exact = written(exact_counts(rows, support, new, old, held, fresh), "phrases")
+        exact = exact_counts(rows, support, new, old, held, fresh)
         counted, found, number = with_hash(exact.where("k > 0")), exact if found is None else found.unionByName(exact), number + 1
 
 
