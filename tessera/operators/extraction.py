@@ -104,8 +104,12 @@ def parse_extractions(gens: DataFrame, vocab, aliases: Mapping[str, str] = LABEL
                       keys: Sequence[str] = ("uid",)) -> DataFrame:
     """(keys, label, value, first_pos): distinct values per label,
     case-sensitive, ordered by first occurrence."""
-    ok = classify_lines(gens, vocab, aliases, refusals, text, keys).where(F.col("status") == "ok")
-    return ok.groupBy(*keys, "label", "value").agg(F.min("pos").alias("first_pos"))
+    return distinct_values(classify_lines(gens, vocab, aliases, refusals, text, keys), keys)
+
+
+def distinct_values(classified: DataFrame, keys: Sequence[str] = ("uid",)) -> DataFrame:
+    """The values of the lines that are extractions, once each."""
+    return classified.where(F.col("status") == "ok").groupBy(*keys, "label", "value").agg(F.min("pos").alias("first_pos"))
 
 
 def unparsed_lines(classified: DataFrame) -> DataFrame:

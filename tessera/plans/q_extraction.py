@@ -36,8 +36,7 @@ def _parsed(spark, sf):
     # pipeline boundary: the parsed extractions feed several reports, so the
     # table is written (shared checkpoint dir) instead of being
     # re-derived in every branch of a plan
-    ok = _classified(spark, sf).where(F.col("status") == "ok")
-    return stored(ok.groupBy("uid", "label", "value").agg(F.min("pos").alias("first_pos")), "parsed")
+    return stored(X.distinct_values(_classified(spark, sf)), "parsed")
 
 
 @memo

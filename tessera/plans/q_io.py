@@ -42,15 +42,21 @@ def _numbered(spark, sf):
 def _reports3(spark, sf):
     """A folder with a three-column report for each model (a handful)."""
     base, rows = scratch_path(spark, "reports3"), _numbered(spark, sf)
-    models = {m: f"{base}/{m}" for m, _ in PAIR_MODELS}
-    for m, path in models.items():
+    scores = stored(M.compute_metrics(rows, ["model"]), "scores")
+    info = {"n_shots": 0, "batch_size": 8, "data_name": "kbase", "num_classes": 4, "generation_config": {"max_new_tokens": 10}}
+
+    def lines(m):
         mine = rows.where(F.col("model") == m)
-        lines = K.report_lines(spark, mine.select("num", "pred", "true"), M.compute_metrics(mine),
-                               {"n_shots": 0, "batch_size": 8, "data_name": "kbase", "num_classes": 4,
-                                "generation_config": {"max_new_tokens": 10}}, task_prompt="(zero-shot)",
-                               originals=mine.select("num", F.concat(F.lit("user_"), F.col("id")).alias("entity"), "pred", "true"))
-        K.write_report(lines, path)
-    return models
+        texts = mine.select("num", F.concat(F.lit("user_"), F.col("id")).alias("entity"), "pred", "true")
+        return K.report_lines(spark, mine.select("num", "pred", "true"), scores.where(F.col("model") == m), info, task_prompt="(zero-shot)", originals=texts)
+
+    return _write_all(lines, [m for m, _ in PAIR_MODELS], base)
+
+
+def _write_all(lines, models, base):
+    """The reports of all models (a handful) in one write; model: folder."""
+    K.write_reports(reduce(DataFrame.unionByName, [lines(m).withColumn("model", F.lit(m)) for m in models]), base, "model")
+    return {m: f"{base}/model={m}" for m in models}
 
 
 def _read_reports3(spark, sf):
@@ -115,13 +121,12 @@ def report_header(spark, sf):
 SELECT model, num, src, pred, "true" FROM spairs""")
 def report_roundtrip4(spark, sf):
     """K4 + S6 + X1: four-column reports whose source holds ', ', parsed back."""
-    base = scratch_path(spark, "reports4")
-    models = {m: f"{base}/{m}" for m, _ in fx.SOURCE_MODELS}
-    for m, path in models.items():
-        rows = fx.source_pairs(spark, sf).where(F.col("model") == m)
-        lines = K.report_lines(spark, rows.select("num", "src", "pred", "true"), M.compute_metrics(rows),
-                               {"n_shots": 0, "batch_size": 8, "data_name": "string"}, with_src=True)
-        K.write_report(lines, path)
+    rows = stored(fx.source_pairs(spark, sf), "source-pairs")
+    scores = stored(M.compute_metrics(rows, ["model"]), "scores")
+    info = {"n_shots": 0, "batch_size": 8, "data_name": "string"}
+    of = lambda df, m: df.where(F.col("model") == m)
+    lines = lambda m: K.report_lines(spark, of(rows, m).select("num", "src", "pred", "true"), of(scores, m), info, with_src=True)
+    models = _write_all(lines, [m for m, _ in fx.SOURCE_MODELS], scratch_path(spark, "reports4"))
     return XM.tag_union(S.read_report(spark, list(models.values()), cols=4), models).select("model", "num", "src", "pred", "true")
 
 

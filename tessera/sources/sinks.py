@@ -154,6 +154,13 @@ def write_report(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     lines.orderBy("section", "num", "sub").select("line").write.mode(mode).text(path)
 
 
+def write_reports(lines: DataFrame, path: str, by: str, mode: str = "overwrite") -> None:
+    """K4 write of many reports in one sort: a folder ``by=value`` for each, whose part
+    files are in report order."""
+    order = [c for c in ("section", "num", "sub") if c in lines.columns]
+    lines.orderBy(by, *order).select(by, "line").write.mode(mode).partitionBy(by).text(path)
+
+
 def confusion_tables(long: DataFrame, labels: Sequence[str]):
     """K5: (long, wide) confusion tables from E8's long form."""
     wide = long.groupBy("true", "true_idx").pivot("pred", list(labels)).agg(F.sum("n")).orderBy("true_idx")
