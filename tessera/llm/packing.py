@@ -14,10 +14,8 @@ again at 0 in every segment, and 0 in the padding), the cumulative segment
 lengths, and each segment's doc_id and offset of its first id in the document, so
 every document can be put together again.
 
-Tokens are looked up by the pieces between spaces, which the vocabulary's pattern
-never joins (texts with rare runs of mixed white space are encoded whole), so a
-word is encoded once while a bounded table holds it; ids equal those of the
-tokenizer library.
+Texts are encoded by the tokenizer library; a long one in parts, cut before a single
+space, where the vocabulary's pattern never joins, so its ids are those of the whole.
 
 Scan tasks tokenize and pack by themselves: nothing is shuffled, a task holds one
 shard and one text. The order of a table as read is that of its files (numbers in
@@ -36,6 +34,8 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -53,8 +53,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LENGTH = 2048
 SHARD = 4096
-_CACHE = 150_000
-_mixed = re.compile(r"\s (?=\s|\Z)")
+#: Characters of a text encoded at a time; it is cut before a single space, which the
+#: pattern never joins with what stands before it.
+_PART = 1 << 20
+_single = re.compile(r"\S(?= \S)")
 _ROWS = 256
 #: Bits of a shard's number that hold the place of its first row in its file.
 _PLACE = 40
@@ -74,34 +76,21 @@ class Encoder:
         if self.end > 0xFFFF:
             raise ValueError("ids do not fit 16 bits")
         self._encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._tail = self._pack([self.end])
-        outer = self
 
-        class After(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) > _CACHE:
-                    self.clear()
-                if len(word) > 64:
-                    return outer._whole(" " + word)
-                ids = self[word] = outer._whole(" " + word)
-                return ids
-
-        self._after = After()
-
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u2").tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return self._pack(self._encoding.encode_ordinary(text))
+    def _ids(self, text: str) -> bytes:
+        ids = array("H", self._encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return self._tail
-        if _mixed.search(text):
-            return self._whole(text) + self._tail
-        first, *rest = text.split(" ")
-        return b"".join((self._whole(first), *map(self._after.__getitem__, rest), self._tail))
+        parts, begin = [], 0
+        while text and begin < len(text):
+            cut = _single.search(text, begin + _PART)
+            end = cut.start() + 1 if cut else len(text)
+            parts.append(self._ids(text[begin:end]))
+            begin = end
+        return b"".join([*parts, self.end.to_bytes(2, "little")])
 
 
 def ranks_of(path: str) -> dict[bytes, int]:

@@ -31,6 +31,17 @@ def test_ids_equal_the_library():
         assert got[:-1] == other.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@needs
+def test_parts_of_long_texts_join_to_the_ids_of_the_whole(monkeypatch):
+    encoder = packing.Encoder(packing.ranks_of(VOCABULARY))
+    rng = random.Random(12)
+    texts = ["".join(rng.choices(["a", "b ", " ", "  ", "\n", " \n", "\t", "'s", " 's", "é", "9", ".", " The", "\x1c", "\u3000"], k=rng.randint(1, 90))) for _ in range(500)] + ["x" * 5000]
+    whole = [encoder(t) for t in texts]
+    for size in (0, 1, 7):
+        monkeypatch.setattr(packing, "_PART", size)
+        assert [encoder(t) for t in texts] == whole
+
+
 def test_best_fit_is_best_fit():
     rng = random.Random(1)
     for most in (1, 5, 64, 100):
