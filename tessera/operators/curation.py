@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import HOST_LABEL, NONE_LABEL, NOT_RELEVANT, SPECIES_SYNONYMS
-from ..functions.text import literal_table, rstrip_chars, strip
+from ..functions.text import bind, literal_table, rstrip_chars, strip
 from . import metrics as M
 
 ENTITY_MAP = "map<string,array<string>>"
@@ -41,9 +41,13 @@ def _EMPTY() -> Column:
 
 def _last_values(m: Column) -> Column:
     """A parsed JSON map with one entry for each key: the last one written."""
-    entries = F.map_entries(m)
-    keys = F.reverse(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(F.filter(entries, lambda e, i: i == F.size(entries) - F.array_position(keys, e["key"])))
+    def last(m: Column) -> Column:
+        entries, keys = F.map_entries(m), F.reverse(F.map_keys(m))
+        kept = F.filter(entries, lambda e, i: i == F.size(entries) - F.array_position(keys, e["key"]))
+        return F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.map_from_entries(kept)).otherwise(m)
+
+    # as a lambda's variable the map is parsed once, not again in every use
+    return F.element_at(F.transform(F.array(m), last), 1)
 
 
 def parse_review(df: DataFrame) -> DataFrame:
@@ -53,12 +57,12 @@ def parse_review(df: DataFrame) -> DataFrame:
     there and belong in quarantine (``reviewed`` / ``review_quarantine``), not in
     the scores. The 'true' cell is read but unused."""
     rejected = F.coalesce(F.col("rejected").cast("boolean"), F.lit(False))
-    parsed = df.select(
-        "title", "uid",
-        _last_values(F.from_json("annotation", ENTITY_MAP)).alias("anno_map"),
-        _last_values(F.from_json("prediction", ENTITY_MAP)).alias("pred_map"),
-        F.when(rejected, _EMPTY()).otherwise(parse_json_fragment(F.col("wrong"))).alias("wrong_map"),
-        rejected.alias("rejected"))
+    parsed = bind(
+        df, ["title", "uid"],
+        anno_map=_last_values(F.from_json("annotation", ENTITY_MAP)),
+        pred_map=_last_values(F.from_json("prediction", ENTITY_MAP)),
+        wrong_map=F.when(rejected, _EMPTY()).otherwise(parse_json_fragment(F.col("wrong"))),
+        rejected=rejected)
     status = (F.when(F.col("anno_map").isNull(), F.lit("annotation")).when(F.col("pred_map").isNull(), F.lit("prediction"))
               .when(F.col("wrong_map").isNull(), F.lit("wrong")).otherwise(F.lit("ok")))
     return parsed.withColumn("status", status)
@@ -151,9 +155,8 @@ def explode_sides(review: DataFrame, keys: Sequence[str] = ("uid",)) -> DataFram
     m = s.select(*keys, "side", F.explode("m").alias("label", "vals")).where(F.col("label") != NOT_RELEVANT)
     v = m.select(*keys, "side", "label", F.posexplode("vals").alias("vpos", "value"))
     n = v.select(*keys, "side", "label", "vpos", F.posexplode(F.split("value", ",")).alias("npos", "raw"))
-    return n.select(*keys, "side", "label", F.col("vpos").cast("int").alias("vpos"),
-                    F.col("npos").cast("int").alias("npos"), strip(F.col("raw")).alias("entity")) \
-        .where(F.length("entity") > 0)
+    return bind(n, [*keys, "side", "label"], vpos=F.col("vpos").cast("int"), npos=F.col("npos").cast("int"),
+                entity=strip(F.col("raw"))).where(F.length("entity") > 0)
 
 
 def curated_items(review: DataFrame, synonyms: DataFrame, keys: Sequence[str] = ("uid",)) -> DataFrame:
@@ -171,31 +174,40 @@ def single_host(items: DataFrame, host_label: str = HOST_LABEL, keys: Sequence[s
 
 
 # ------------------------------------------------------------------ C5 - C7
-def _key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.withColumn("lkey", F.lower(F.col("entity")))
+def _scored(items: DataFrame, flags: DataFrame | None, compat: bool, keys: Sequence[str]) -> DataFrame:
+    """The gold items and the predictions that no gold item consumed, scored: (keys, side,
+    label, entity, vpos, npos, pred, true, accepted).
+
+    What the rows of a key (keys, label, lower(entity)) say of each other is one
+    aggregate of all sides, joined back once. Items that have a column ``rejected`` bring
+    their review's flag along; others get it from ``flags``."""
+    k = [*keys, "label", "lkey"]
+    rows = items.withColumn("lkey", F.lower(F.col("entity")))
+    on, pos = (lambda side: F.col("side") == side), F.struct("vpos", "npos")
+    gold, low = on("gold"), F.col("entity") == F.col("lkey")
+    stats = rows.groupBy(*k).agg(
+        F.min(F.when(gold, pos)).alias("first"), F.min(F.when(gold & low, pos)).alias("first_lower"),
+        F.max(on("pred")).alias("_has_pred"), F.max(on("wrong")).alias("_wrong"))
+    j = rows.where(gold & F.col("lkey").isNotNull() | on("pred")).join(stats, k, "left")
+    if "rejected" not in items.columns:
+        j = j.join(flags, list(keys), "left")
+    rejected, is_wrong = (F.coalesce(F.col(c), F.lit(False)) for c in ("rejected", "_wrong"))
+    consumed = F.col("first_lower" if compat else "first").isNotNull()
+    first_ok = (F.col("first_lower").isNull() | (pos <= F.col("first_lower"))) if compat else pos == F.col("first")
+    known = F.col("label").isNotNull()
+    for c in keys:
+        known = known & F.col(c).isNotNull()
+    j = j.where(F.when(gold, known).otherwise(~consumed))
+    right = F.when(gold, F.coalesce(F.col("_has_pred"), F.lit(False)) & first_ok).otherwise(~is_wrong) & ~rejected
+    return j.select(*keys, "side", "label", "entity", "vpos", "npos", F.col("label").alias("pred"),
+                    F.when(right, F.col("label")).otherwise(F.lit(NONE_LABEL)).alias("true"), (~is_wrong & ~rejected).alias("accepted"))
 
 
-def score_gold(items: DataFrame, flags: DataFrame, compat: bool = False,
+def score_gold(items: DataFrame, flags: DataFrame | None, compat: bool = False,
                keys: Sequence[str] = ("uid",)) -> DataFrame:
     """Every gold item scored. pred column = its label; true column = the
     label when matched and the row is accepted, else 'none'."""
-    gold = _key(items.where(F.col("side") == "gold"), keys)
-    k = [*keys, "label", "lkey"]
-    pos = F.struct("vpos", "npos")
-    stats = gold.groupBy(*k).agg(
-        F.min(pos).alias("first"),
-        F.min(F.when(F.col("entity") == F.col("lkey"), pos)).alias("first_lower"))
-    pred_keys = _key(items.where(F.col("side") == "pred"), keys).select(*k).distinct() \
-        .withColumn("_has_pred", F.lit(True))
-    j = gold.join(stats, k, "inner").join(pred_keys, k, "left").join(flags, list(keys), "left")
-    if compat:
-        first_ok = F.col("first_lower").isNull() | (pos <= F.col("first_lower"))
-    else:
-        first_ok = pos == F.col("first")
-    matched = F.coalesce(F.col("_has_pred"), F.lit(False)) & first_ok
-    true = F.when(matched & ~F.coalesce(F.col("rejected"), F.lit(False)), F.col("label")).otherwise(F.lit(NONE_LABEL))
-    return j.select(*keys, "side", "label", "entity", "vpos", "npos",
-                    F.col("label").alias("pred"), true.alias("true"))
+    return _scored(items, flags, compat, keys).where(F.col("side") == "gold").drop("accepted")
 
 
 def remaining_predictions(items: DataFrame, compat: bool = False, keys: Sequence[str] = ("uid",)) -> DataFrame:
@@ -204,51 +216,38 @@ def remaining_predictions(items: DataFrame, compat: bool = False, keys: Sequence
     Default: any gold item with the key consumes it. compat (Q5): only a gold
     item whose entity is already lower case does."""
     k = [*keys, "label", "lkey"]
-    gold = _key(items.where(F.col("side") == "gold"), keys)
+    rows = items.withColumn("lkey", F.lower(F.col("entity")))
+    gold = rows.where(F.col("side") == "gold")
     if compat:
         gold = gold.where(F.col("entity") == F.col("lkey"))
-    pred = _key(items.where(F.col("side") == "pred"), keys)
-    return pred.join(gold.select(*k).distinct(), k, "left_anti")
+    return rows.where(F.col("side") == "pred").join(gold.select(*k).distinct(), k, "left_anti")
 
 
-def score_remaining(items: DataFrame, flags: DataFrame, compat: bool = False,
+def score_remaining(items: DataFrame, flags: DataFrame | None, compat: bool = False,
                     keys: Sequence[str] = ("uid",)) -> DataFrame:
     """Leftover predictions: 'none' if listed wrong or the row is
     rejected, else the label. Adds ``accepted``."""
-    k = [*keys, "label", "lkey"]
-    rem = remaining_predictions(items, compat, keys)
-    wrong = _key(items.where(F.col("side") == "wrong"), keys).select(*k).distinct() \
-        .withColumn("_wrong", F.lit(True))
-    j = rem.join(wrong, k, "left").join(flags, list(keys), "left")
-    is_wrong = F.coalesce(F.col("_wrong"), F.lit(False))
-    rejected = F.coalesce(F.col("rejected"), F.lit(False))
-    true = F.when(is_wrong | rejected, F.lit(NONE_LABEL)).otherwise(F.col("label"))
-    return j.select(*keys, "side", "label", "entity", "vpos", "npos", F.col("label").alias("pred"),
-                    true.alias("true"), (~is_wrong & ~rejected).alias("accepted"))
+    return _scored(items, flags, compat, keys).where(F.col("side") == "pred")
 
 
-def curated_pairs(items: DataFrame, flags: DataFrame, compat: bool = False,
+def curated_pairs(items: DataFrame, flags: DataFrame | None, compat: bool = False,
                   keys: Sequence[str] = ("uid",)) -> DataFrame:
     """C5 + C7 as one long (pred, true) table, lower-cased (C9 input)."""
-    g = score_gold(items, flags, compat, keys)
-    r = score_remaining(items, flags, compat, keys).drop("accepted")
-    return g.unionByName(r).withColumn("pred", F.lower("pred")).withColumn("true", F.lower("true"))
+    pairs = _scored(items, flags, compat, keys).drop("accepted")
+    return pairs.withColumn("pred", F.lower("pred")).withColumn("true", F.lower("true"))
 
 
 # ------------------------------------------------------------------ C8, C9
-def host_index_rows(items: DataFrame, flags: DataFrame, titles: DataFrame, host_label: str = HOST_LABEL,
+def host_index_rows(items: DataFrame, flags: DataFrame | None, titles: DataFrame, host_label: str = HOST_LABEL,
                     compat: bool = False, keys: Sequence[str] = ("uid",)) -> DataFrame:
     """C8 long form (species, type, name, title, keys, side): gold items of
     single-host papers always; leftover predictions only when accepted."""
-    hosts = single_host(items, host_label, keys)
-    gold = items.where(F.col("side") == "gold").join(
-        hosts.where(F.col("side") == "gold").drop("side"), list(keys), "inner")
-    rem = score_remaining(items, flags, compat, keys).where(F.col("accepted")).join(
-        hosts.where(F.col("side") == "pred").drop("side"), list(keys), "inner")
-    cols = [F.col("host").alias("species"), F.col("label").alias("type"), F.col("entity").alias("name"),
-            *keys, "side"]
-    rows = gold.select(*cols).unionByName(rem.select(*cols))
-    return rows.join(titles, list(keys), "left").select("species", "type", "name", "title", *keys, "side")
+    hosts = single_host(items, host_label, keys).join(titles, list(keys), "left")
+    cols = [*keys, "side", "label", "entity"]
+    gold = items.where(F.col("side") == "gold").select(*cols)
+    rem = score_remaining(items, flags, compat, keys).where(F.col("accepted")).select(*cols)
+    rows = gold.unionByName(rem).join(hosts, [*keys, "side"])
+    return rows.select(F.col("host").alias("species"), F.col("label").alias("type"), F.col("entity").alias("name"), "title", *keys, "side")
 
 
 def host_index(rows: DataFrame, parts: int = 1) -> DataFrame:

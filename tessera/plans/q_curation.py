@@ -17,9 +17,9 @@ from .registry import register
 @memo
 def _items(spark, sf):
     review = C.reviewed(C.parse_review(fx.review_rows(spark, sf)))
-    # pipeline boundary: curated items feed pairs, scores, hosts and lists
-    items = stored(C.curated_items(review, fx.part_synonyms(spark, sf)), "items")
-    return review, items
+    # pipeline boundary: curated items feed pairs, scores, hosts and lists; they bring
+    # their review's flag along (the sheet has one row for each uid)
+    return stored(C.curated_items(review, fx.part_synonyms(spark, sf), ["uid", "rejected"]), "items")
 
 
 BASE = f"""base AS (
@@ -88,7 +88,7 @@ def explode_entities(spark, sf):
 @register("synonyms", f"WITH {BASE}\nSELECT uid, side, label, vpos, npos, entity FROM items")
 def synonyms(spark, sf):
     """C2+C3: canonical names, one copy per source value."""
-    _, items = _items(spark, sf)
+    items = _items(spark, sf)
     return items.select("uid", "side", "label", "vpos", "npos", "entity")
 
 
@@ -121,15 +121,15 @@ def synonyms_hot(spark, sf):
 @register("single_host", f"WITH {BASE}\nSELECT uid, side, host FROM hosts")
 def single_host(spark, sf):
     """C4: papers whose gold or predicted side names exactly one host."""
-    _, items = _items(spark, sf)
+    items = _items(spark, sf)
     return C.single_host(items, fx.FIXTURE_HOST)
 
 
 @register("curated_pairs", f"WITH {BASE}\nSELECT * FROM cpairs")
 def curated_pairs(spark, sf):
     """Scored gold items and leftover predictions."""
-    review, items = _items(spark, sf)
-    return C.curated_pairs(items, C.review_flags(review))
+    items = _items(spark, sf)
+    return C.curated_pairs(items, None)
 
 
 _cc, _cs = metrics_sql("cpairs")
@@ -138,8 +138,8 @@ _cc, _cs = metrics_sql("cpairs")
 @register("curated_scores", f"WITH {BASE},\n{_cc}\n{_cs}")
 def curated_scores(spark, sf):
     """Ten scores over the curated pairs."""
-    review, items = _items(spark, sf)
-    return C.curated_scores(C.curated_pairs(items, C.review_flags(review)))
+    items = _items(spark, sf)
+    return C.curated_scores(C.curated_pairs(items, None))
 
 
 @register("host_index", f"""WITH {BASE},
@@ -151,8 +151,8 @@ SELECT x.species, x.type, x.name, f.title, x.uid, x.side
 FROM (SELECT * FROM hg UNION ALL SELECT * FROM hp) x JOIN flags f ON f.uid = x.uid""")
 def host_index(spark, sf):
     """Host -> tools rows (long form of the nested index)."""
-    review, items = _items(spark, sf)
-    return C.host_index_rows(items, C.review_flags(review), review.select("uid", "title"), fx.FIXTURE_HOST)
+    items = _items(spark, sf)
+    return C.host_index_rows(items, None, fx.review_rows(spark, sf).select("uid", "title"), fx.FIXTURE_HOST)
 
 
 @register("align_lists", f"""WITH {BASE},
@@ -172,10 +172,10 @@ SELECT uid, label,
 FROM n""")
 def align_lists(spark, sf):
     """Aligned predicted / gold entity lists per paper and label."""
-    _, items = _items(spark, sf)
-    pl = items.where(F.col("side") == "pred").groupBy("uid", "label").agg(F.collect_list("entity").alias("p"))
-    tl = items.where(F.col("side") == "gold").groupBy("uid", "label").agg(F.collect_list("entity").alias("t"))
-    j = pl.join(tl, ["uid", "label"], "full")
-    empty = F.array().cast("array<string>")
-    p, t = _align(F.coalesce("p", empty), F.coalesce("t", empty))
+    items = _items(spark, sf)
+    # rows without a key stay apart by side
+    apart = F.when(F.col("uid").isNull() | F.col("label").isNull(), F.col("side"))
+    listed = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("entity")))
+    j = items.where(F.col("side").isin("pred", "gold")).groupBy("uid", "label", apart.alias("apart")).agg(listed("pred").alias("p"), listed("gold").alias("t"))
+    p, t = _align(F.col("p"), F.col("t"))
     return j.select("uid", "label", F.array_join(p, "|").alias("pred_list"), F.array_join(t, "|").alias("true_list"))
