@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import LABEL_ALIASES, NOT_RELEVANT, PLURAL_EXEMPT, REFUSAL_PREFIXES
-from ..functions.text import WS_CLASS, map_values, split_lines, strip
+from ..functions.text import WS_CLASS, bind, map_values, split_lines, strip
 from .responses import vocab_column
 from .search import Terms, contained
 
@@ -26,8 +26,8 @@ def response_lines(df: DataFrame, text: str = "pred", keys: Sequence[str] = ("ui
     """G1: (keys, pos, line): stripped non-empty lines, ``pos`` 0-based.
     ``carry`` columns ride along (e.g. a one-row vocabulary array)."""
     ex = df.select(*keys, *carry, F.posexplode(split_lines(F.col(text))).alias("pos", "raw"))
-    return ex.select(*keys, F.col("pos").cast("long").alias("pos"), strip(F.col("raw")).alias("line"),
-                     *carry).where(F.length("line") > 0)
+    lines = bind(ex, [*keys, *carry], pos=F.col("pos").cast("long"), line=strip(F.col("raw")))
+    return lines.select(*keys, "pos", "line", *carry).where(F.length("line") > 0)
 
 
 def clean_line(c: Column) -> Column:
@@ -42,10 +42,11 @@ def canonical_label(c: Column, aliases: Mapping[str, str] = LABEL_ALIASES,
                     plural_exempt: Sequence[str] = PLURAL_EXEMPT) -> Column:
     """Lower case, drop one trailing 's' (not for exempt labels), then
     rewrite aliases. The plural rule runs first."""
-    low = F.lower(c)
-    singular = F.when(low.endswith("s") & ~low.isin(list(plural_exempt)),
-                      low.substr(F.lit(1), F.length(low) - 1)).otherwise(low)
-    return map_values(singular, aliases)
+    return map_values(_singular(F.lower(c), plural_exempt), aliases)
+
+
+def _singular(low: Column, plural_exempt: Sequence[str] = PLURAL_EXEMPT) -> Column:
+    return F.when(low.endswith("s") & ~low.isin(list(plural_exempt)), low.substr(F.lit(1), F.length(low) - 1)).otherwise(low)
 
 
 def _starts_with_vocab(low: Column, vocab) -> Column:
@@ -58,13 +59,6 @@ def _starts_with_vocab(low: Column, vocab) -> Column:
     return F.exists(voc, lambda lab: F.startswith(low, lab))
 
 
-def _bind(df: DataFrame, keep: Sequence[str], **cols: Column) -> DataFrame:
-    """Materialise ``cols`` as outputs of a Generate (inline of a one-element
-    array). Catalyst cannot inline Generate outputs into later filters or
-    projections, so each expression is evaluated once per row."""
-    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
-
-
 def classify_lines(gens: DataFrame, vocab, aliases: Mapping[str, str] = LABEL_ALIASES,
                    refusals: Sequence[str] = REFUSAL_PREFIXES, text: str = "pred",
                    keys: Sequence[str] = ("uid",)) -> DataFrame:
@@ -75,18 +69,19 @@ def classify_lines(gens: DataFrame, vocab, aliases: Mapping[str, str] = LABEL_AL
         gens = gens.withColumn(vocab, F.transform(F.col(vocab), lambda lab: F.lower(lab)))
     lines = response_lines(gens, text, keys, carry)
     base = [*keys, "pos", "line", *carry]
-    x = _bind(lines, base, _c=clean_line(F.col("line")))
+    x = bind(lines, base, _c=clean_line(F.col("line")))
     c = F.col("_c")
     colon = F.instr(c, ":")
     low_vocab = vocab if not carry else F.col(vocab)
-    x = _bind(x, [*base],
-              _is_label=_starts_with_vocab(F.lower(c), low_vocab),
-              _sep=F.contains(c, F.lit(": ")),
-              _label=canonical_label(strip(c.substr(F.lit(1), colon - 1)), aliases),
-              _value=strip(c.substr(colon + 1, F.length(c) + 1)))
+    # what an expression uses often is bound first: the steps of ``canonical_label`` too
+    x = bind(x, [*base, "_c"], _low=F.lower(c), _written=F.lower(strip(c.substr(F.lit(1), colon - 1))),
+             _value=strip(c.substr(colon + 1, F.length(c) + 1)))
+    x = bind(x, [*base, "_value"], _is_label=_starts_with_vocab(F.col("_low"), low_vocab), _sep=F.contains(c, F.lit(": ")),
+             _one=_singular(F.col("_written")), _low_value=F.lower("_value"))
+    x = bind(x, [*base, "_value", "_is_label", "_sep", "_low_value"], _label=map_values("_one", aliases))
     in_vocab = (F.col("_label").isin([v.lower() for v in vocab]) if isinstance(vocab, (list, tuple))
                 else F.array_contains(F.col(vocab), F.col("_label")))
-    low_value = F.lower(F.col("_value"))
+    low_value = F.col("_low_value")
     refusal = F.lit(False)
     for r in refusals:
         refusal = refusal | F.startswith(low_value, F.lit(r))
@@ -127,8 +122,7 @@ def annotation_rows(gens: DataFrame, lower_label: bool = True, keys: Sequence[st
     """Flattened annotations with a stripped entity; empty entities skipped."""
     ex = gens.select(*keys, F.posexplode("annotations").alias("apos", "a"))
     lab = F.lower(F.col("a.label")) if lower_label else F.col("a.label")
-    return ex.select(*keys, "apos", lab.alias("label"), strip(F.col("a.entity")).alias("entity")) \
-        .where(F.length("entity") > 0)
+    return bind(ex, [*keys, "apos"], label=lab, entity=strip(F.col("a.entity"))).where(F.length("entity") > 0)
 
 
 def group_annotations(gens: DataFrame, lower_label: bool = True, keys: Sequence[str] = ("uid",)) -> DataFrame:

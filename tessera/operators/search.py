@@ -7,6 +7,8 @@ its size:
 
 * A dictionary without keys that fits one block is broadcast; that is checked on its
   size, and texts are then searched where they are read, without a shuffle.
+* Keys with ``FEW`` terms at most, and no more than a block of them or a slice of texts,
+  are joined: a text meets the array of its key's terms.
 * Any other dictionary meets the texts in sorted streams: terms and texts of a key go
   to one place, the terms first, and the texts stream past the automaton of their
   block. Keys with more than a block of terms or a slice of texts are dealt out over
@@ -97,6 +99,12 @@ def _search_streams(rows: DataFrame, group: list[str], keep: list[str]) -> DataF
     return rows.mapInArrow(search, f"{_types(rows, keep)}, term string")
 
 
+def _search_joined(terms: DataFrame, texts: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
+    held = terms.groupBy(*keys).agg(F.collect_set("term").alias("_terms"))
+    inside = F.filter("_terms", lambda t: F.contains(F.col("text"), t))
+    return texts.join(held, keys).select(*dict.fromkeys([*keys, *keep]), F.explode(inside).alias("term"))
+
+
 def contained(terms: DataFrame, texts: DataFrame, keys: Sequence[str] = (), keep: Sequence[str] = ("text",),
               block_bytes: int = BLOCK_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(keys, keep, term): a row for each row of ``texts`` (keys, text, keep) and each
@@ -112,8 +120,18 @@ def contained(terms: DataFrame, texts: DataFrame, keys: Sequence[str] = (), keep
         if total <= block_bytes:
             return _search_in_place(texts, [r.term for r in terms.collect()], keep)
     load = terms.select(*keys, size.alias("t"), F.lit(0).alias("x")).unionByName(texts.select(*keys, F.lit(0).alias("t"), F.octet_length("text").alias("x")))
-    load = load.groupBy(*keys).agg(F.ceil(F.sum("t") / block_bytes).cast("int").alias("_blocks"), F.ceil(F.sum("x") / slice_bytes).cast("int").alias("_slices"))
-    hot = stored(load.where((F.col("_blocks") > 1) | (F.col("_slices") > 1)), "hot-keys")
+    load = load.groupBy(*keys).agg(F.ceil(F.sum("t") / block_bytes).cast("int").alias("_blocks"), F.ceil(F.sum("x") / slice_bytes).cast("int").alias("_slices"),
+                                   F.count_if(F.col("t") > 0).alias("_n"))
+    large = (F.col("_blocks") > 1) | (F.col("_slices") > 1)
+    joined = None
+    if keys:  # keys that have both terms and texts, and many of them
+        apart = stored(load.where((F.col("_blocks") > 0) & (F.col("_slices") > 0) & (large | (F.col("_n") > FEW))), "apart-keys")
+        if apart.isEmpty():
+            return _search_joined(terms, texts, keys, keep)
+        those = apart.select(*keys)
+        joined = _search_joined(terms.join(those, keys, "left_anti"), texts.join(those, keys, "left_anti"), keys, keep)
+        terms, texts, load = terms.join(those, keys, "left_semi"), texts.join(those, keys, "left_semi"), apart
+    hot = stored(load.where(large).drop("_n"), "hot-keys")
     one = [F.lit(0).alias("_block"), F.lit(0).alias("_slice")]
     if hot.isEmpty():
         left, right = terms.select("*", *one), texts.select("*", *one)
@@ -131,4 +149,5 @@ def contained(terms: DataFrame, texts: DataFrame, keys: Sequence[str] = (), keep
     left = left.select(*group, F.lit(0).alias("kind"), F.col("term").alias("text"), *[F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in rest])
     rows = left.unionByName(right.select(*group, F.lit(1).alias("kind"), "text", *rest))
     rows = rows.repartition(*group).sortWithinPartitions(*group, "kind")
-    return _search_streams(rows, group, [*keys, *[c for c in keep if c not in keys]])
+    found = _search_streams(rows, group, [*keys, *[c for c in keep if c not in keys]])
+    return found if joined is None else joined.unionByName(found)

@@ -2,6 +2,7 @@
 
 from tessera.functions.text import strip
 from tessera.operators import curation as C
+from tessera.operators import extraction as X
 from tessera.sources import readers as S
 
 
@@ -30,8 +31,26 @@ def test_curated_pairs_scan_their_items_twice(spark, tmp_dir):
     assert found == {("u", "gold", "Z", "a"), ("u", "gold", "z", "none"), ("u", "pred", "w", "a"), (None, "pred", "n", "a"), ("r", "pred", "n", "none")}
 
 
+def test_few_terms_are_found_by_a_join(spark):
+    gold = spark.createDataFrame([("u", "a", e) for e in ("x", "y", "x")] + [(None, "a", "x")], "uid string, label string, entity string")
+    parsed = spark.createDataFrame([("u", "a", "xy"), ("u", "a", "q"), ("u", "b", "x"), (None, "a", "x")], "uid string, label string, value string")
+    found = X.match_contained(gold, parsed)
+    assert "MapInArrow" not in _plan(found)
+    assert sorted(map(tuple, found.collect())) == [("u", "a", "x", "xy"), ("u", "a", "y", "xy")]
+    many = gold.union(spark.createDataFrame([("m", "a", c) for c in "abcdefg"], gold.schema))
+    texts = parsed.union(spark.createDataFrame([("m", "a", "gab")], parsed.schema))
+    assert sorted(map(tuple, X.match_contained(many, texts).collect())) == [("m", "a", c, "gab") for c in "abg"] + [("u", "a", "x", "xy"), ("u", "a", "y", "xy")]
+
+
 def test_strip_without_a_pattern(spark):
     texts = ["\x1c a　b  \x85", "​ x", "\n", "", "\xa0é "]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(strip("t").alias("s"))
     assert "regexp" not in _plan(got)
     assert [r.s for r in got.collect()] == [t.strip() for t in texts]
+
+
+def test_lines_bind_their_labels_once(spark):
+    gens = spark.createDataFrame([("u", '1. Smalls: Ab\n- big: I cannot\nsmall kinds: x')], "uid string, pred string")
+    found = X.classify_lines(gens, ["small", "big"], {"small kind": "small", "large": "big"}, ["i cannot"])
+    assert _plan(found).count("btrim(") + _plan(found).count("trim(") <= 8
+    assert [(r.label, r.value, r.status) for r in found.orderBy("pos").collect()] == [("small", "Ab", "ok"), ("big", "I cannot", "refusal"), ("small", "x", "ok")]
