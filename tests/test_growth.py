@@ -42,6 +42,18 @@ def test_few_terms_are_found_by_a_join(spark):
     assert sorted(map(tuple, X.match_contained(many, texts).collect())) == [("m", "a", c, "gab") for c in "abg"] + [("u", "a", "x", "xy"), ("u", "a", "y", "xy")]
 
 
+def test_report_lines_are_not_gathered_by_report(spark, tmp_dir):
+    spark.createDataFrame([("*" * 68,), ("1, a, b",)], "value string").coalesce(1).write.text(f"{tmp_dir}/r")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = S.read_report(spark, f"{tmp_dir}/r")
+        assert "SortMergeJoin" not in _plan(rows)
+        assert [tuple(r)[1:] for r in rows.collect()] == [(1, "a", "b")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_strip_without_a_pattern(spark):
     texts = ["\x1c a　b  \x85", "​ x", "\n", "", "\xa0é "]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(strip("t").alias("s"))
