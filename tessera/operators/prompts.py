@@ -99,11 +99,19 @@ def template_catalogue(spark: SparkSession) -> DataFrame:
     return literal_table(spark, catalogue_rows(), "family string, dataset string, slot string, template string")
 
 
+def cut_template(tmpl: Column) -> tuple[Column, Column]:
+    """The texts between a template's placeholders, and the placeholders' names."""
+    return F.split(tmpl, PLACEHOLDER), F.regexp_extract_all(tmpl, F.lit(PLACEHOLDER), 1)
+
+
 def fill(tmpl: Column, values: Mapping[str, Column]) -> Column:
     """Single-pass placeholder substitution; unknown placeholders stay as
     written and a null value renders as empty text."""
-    pieces = F.split(tmpl, PLACEHOLDER)
-    names = F.regexp_extract_all(tmpl, F.lit(PLACEHOLDER), 1)
+    return fill_cut(*cut_template(tmpl), values)
+
+
+def fill_cut(pieces: Column, names: Column, values: Mapping[str, Column]) -> Column:
+    """``fill`` of a template that was cut before it met its rows."""
 
     def lookup(n: Column) -> Column:
         out = F.concat(F.lit("{"), n, F.lit("}"))

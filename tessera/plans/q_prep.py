@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fixed import MAX_NEW_TOKENS
-from ..functions.text import literal_table
+from ..functions.text import bind, literal_table
 from ..operators import prompts as P
 from ..operators import sampling as D
 from ..operators import tokens as T
@@ -188,8 +188,10 @@ def all_slots(spark, sf):
     """Every slot of every family and dataset rendered."""
     p = fx.load(spark, sf, "part").select("p_partkey", "p_name", F.concat("p_name", F.lit(" text")).alias("p_text"))
     vals = {k: F.expr(v.replace("VARCHAR", "STRING")) for k, v in _SLOT_VALUES.items()}
-    x = p.crossJoin(F.broadcast(P.template_catalogue(spark)))  # the catalogue is fixed
-    return x.select("p_partkey", "family", "dataset", "slot", F.md5(P.fill(F.col("template"), vals)).alias("prompt_md5"))
+    pieces, names = P.cut_template(F.col("template"))
+    cat = bind(P.template_catalogue(spark), ["family", "dataset", "slot"], pieces=pieces, names=names)
+    x = p.crossJoin(F.broadcast(cat))  # the catalogue is fixed
+    return x.select("p_partkey", "family", "dataset", "slot", F.md5(P.fill_cut(F.col("pieces"), F.col("names"), vals)).alias("prompt_md5"))
 
 
 @register("batches", f"""WITH {SPLITS},

@@ -1,8 +1,11 @@
 """Work that must not be done twice, and joins that must not gather rows."""
 
+from pyspark.sql import functions as F
+
 from tessera.functions.text import strip
 from tessera.operators import curation as C
 from tessera.operators import extraction as X
+from tessera.operators import prompts as P
 from tessera.sources import readers as S
 
 
@@ -66,3 +69,8 @@ def test_lines_bind_their_labels_once(spark):
     found = X.classify_lines(gens, ["small", "big"], {"small kind": "small", "large": "big"}, ["i cannot"])
     assert _plan(found).count("btrim(") + _plan(found).count("trim(") <= 8
     assert [(r.label, r.value, r.status) for r in found.orderBy("pos").collect()] == [("small", "Ab", "ok"), ("big", "I cannot", "refusal"), ("small", "x", "ok")]
+
+
+def test_templates_are_cut_before_they_meet_rows(spark):
+    cut = spark.createDataFrame([("{a}-{b}-{c}",)], "t string").select(*[c.alias(n) for c, n in zip(P.cut_template(F.col("t")), ("p", "n"))])
+    assert cut.select(P.fill_cut(F.col("p"), F.col("n"), {"a": F.lit("1"), "b": F.lit(None)})).first()[0] == "1--{c}"
