@@ -71,26 +71,27 @@ class Counter:
 
     def segment(self, s: str) -> tuple[int, float]:
         """(tokens, score) of the best way to write ``s``."""
-        n = len(s)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(s):
-            ends[end].append(match)
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        for end in range(n):
-            found = ends[end]
-            found.sort(reverse=True)  # the longest piece starts first
-            top, tokens, single = -np.inf, 0, False
-            for size, score in found:
-                single |= size == 1
-                value = best[end + 1 - size] + score
+        ends: list[list[tuple[int, float]] | None] = [None] * len(s)
+        for end, match in self.automaton.iter(s):  # at an end, the longest piece comes first
+            if ends[end] is None:
+                ends[end] = [match]
+            else:
+                ends[end].append(match)
+        best, count, least = [0.0], [0], self.unknown
+        for end, found in enumerate(ends):
+            top, tokens, size = -np.inf, 0, 0
+            if found:
+                for size, score in found:
+                    value = best[-size] + score
+                    if value > top:
+                        top, tokens = value, count[-size] + 1
+            if size != 1:  # the last piece is the shortest one
+                value = best[-1] + least
                 if value > top:
-                    top, tokens = value, count[end + 1 - size] + 1
-            if not single:
-                value = best[end] + self.unknown
-                if value > top:
-                    top, tokens = value, count[end] + len(s[end].encode())
-            best[end + 1], count[end + 1] = top, tokens
-        return count[n], best[n]
+                    top, tokens = value, count[-1] + len(s[end].encode())
+            best.append(top)
+            count.append(tokens)
+        return count[-1], best[-1]
 
     def _index(self, s: str) -> int:
         i = self.at.get(s)
@@ -111,12 +112,10 @@ class Counter:
             parts = _segments.findall(MARK + text.replace(" ", MARK))
         else:
             parts = [MARK + w for w in text.split(" ")]
-        at = [self.at.get(p) for p in parts]
-        missing = [j for j, i in enumerate(at) if i is None]
-        for j in missing:
-            at[j] = self._index(parts[j])
-        counts, scores = self.counts, self.scores
-        return sum(counts[i] for i in at), float(sum(scores[i] for i in at))
+        at = list(map(self.at.get, parts))
+        if None in at:
+            at = [self._index(p) if i is None else i for p, i in zip(parts, at)]
+        return sum(map(self.counts.__getitem__, at)), float(sum(map(self.scores.__getitem__, at)))
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
