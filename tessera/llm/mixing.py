@@ -30,6 +30,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkValueError
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +110,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, shares: int | None =
     if shares is None:
         sources = (counts if weights is None else weights).count()
         shares = max(SHARES, PER_SOURCE * sources)
+    elif (damped(counts) if weights is None else weights).count() > shares:
+        raise PySparkValueError("more sources than shares")
     # as many rows as shares at most, which is known here
     small = F.broadcast if shares <= SMALL else (lambda df: df)
     parts = whole_shares(weights if weights is not None else damped(counts), shares)
