@@ -14,13 +14,16 @@ that one stays itself. Lines without words match nothing and stay.
 3. Prefix filter: of n words in order, the first n - ceil(t n) + 1 are entries; two
    matching lines share one. Sets of three words or less match only equal sets,
    and have one entry for the whole set. Length filter, positional filter (what is
-   left after a shared word must suffice) and a 64-bit parity signature (matching
+   left after a shared word must suffice) and a 128-bit parity signature (matching
    sets differ in at most as many bits as words) are part of the join on words.
-4. Remaining pairs are verified on the words themselves.
+4. Large groups of near copies are not paired: lines that share bands (hashes of three
+   of their rarer words) form families, and pairs that a family's middle proves to match
+   are counted by the distances from it. Any grouping gives the same results.
+5. Remaining pairs are verified on the words themselves.
 
-The counters (a fixed number of bytes) are a literal of the plan; the only broadcast
-table is, if there are at most ``SMALL`` of them, the ids of classes to verify; more
-of them take a sorted join.
+The counters (a fixed number of bytes) are a literal of one plan, that of the written
+sets; the only broadcast table asked for is, if there are at most ``SMALL`` of them, the
+ids of classes to verify; more of them take a sorted join.
 
 Defined cases: a null text has no lines, an empty one has one line without words;
 null doc_ids come first; lines of rows that share a doc_id share places, and of equal
@@ -44,6 +47,9 @@ SMALL = 2_000_000
 #: Pairs are verified in so many passes: a pair carries a line through a shuffle, and
 #: only one pass's shuffle files are on the disks at a time.
 PASSES = 4
+#: Words in a band, and the classes in the smallest group that is a family. Both change
+#: the time alone: whatever is no family is paired.
+BAND, FAMILY = 3, 8
 
 
 def _split(line: Column) -> Column:
@@ -87,9 +93,11 @@ def _ranks(found: DataFrame) -> Column:
     return F.lit(bytes(ord(c) - 48 for c in joined.collect()[0]["all"]))
 
 
-def _entries(found: DataFrame, threshold: float) -> DataFrame:
-    """(key, id, size, sign): the prefix of each class. A word's key is its rank and
-    57 bits of its hash; ``size`` holds the number of words and the entry's place."""
+def _sets(found: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, sign, sign2, prefix, bands) of each class with words, written, so that the
+    plans of joins do not hold the counters. A word's key is its rank and 57 bits of its
+    hash; bands are hashes of the least and largest three of its rarer shared words in
+    two orders, of which near copies share some."""
     ranks, low = _ranks(found), F.lit((1 << 57) - 1)
     hashes = F.array_distinct(F.array_remove(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
     def key(h: Column) -> Column:
@@ -98,21 +106,72 @@ def _entries(found: DataFrame, threshold: float) -> DataFrame:
 
     # bound by a generator, the keys are worked out once and not again in every use
     bound = F.inline(F.array(F.struct(F.sort_array(F.transform(hashes, key)).alias("keys"))))
-    rows = found.select("id", bound).where("size(keys) > 0")
-    rows = rows.withColumn("n", F.size("keys")).withColumn("sign", F.expr("aggregate(keys, 0L, (a, k) -> a ^ shiftleft(1L, cast(k & 63 as int)))"))
+    rows = found.select("id", bound).where("size(keys) > 0").withColumn("n", F.size("keys"))
+    # the parity signature of the words with an even and with an odd hash
+    parity = lambda odd: F.expr(f"aggregate(keys, 0L, (a, k) -> a ^ if(k & 1 = {odd}, shiftleft(1L, cast(shiftright(k, 1) & 63 as int)), 0L))")
     # a whole small set is one key, below all keys of words
     small = F.array(-F.abs(F.xxhash64("keys") / 2).cast("long") - 1)
     prefix = F.expr(f"slice(keys, 1, n - cast(ceil({threshold}D * n - 1e-9D) as int) + 1)")
     whole = 1 / (1 - threshold) - 1 - 1e-9  # below this size one word more or less is too much
-    keys = F.when(F.col("n") < whole, small).otherwise(prefix)
-    rows = rows.select("id", "n", "sign", F.posexplode(keys).alias("place", "key"))
+    shared = F.filter("keys", lambda k: F.shiftright(k, 57) != 0)
+    rare = F.slice(shared, F.lit(1), F.greatest(F.lit(BAND), F.ceil(F.size(shared) / 2).cast("int")))
+    orders = [(shift, up) for shift in (7, 35) for up in (True, False)]
+    bands = [F.xxhash64(F.lit(i), F.slice(F.sort_array(F.transform("rare", lambda k: F.shiftleft(k, shift)), up), 1, BAND)) for i, (shift, up) in enumerate(orders)]
+    rows = rows.select("id", "n", parity(0).alias("sign"), parity(1).alias("sign2"), F.when(F.col("n") < whole, small).otherwise(prefix).alias("prefix"), F.inline(F.array(F.struct(rare.alias("rare")))))
+    rows = rows.select("id", "n", "sign", "sign2", "prefix", F.when(F.size("rare") > 0, F.array(*bands)).alias("bands"))
+    return written(rows, "sets")
+
+
+def _families(found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, fam, slack, first) of classes in groups of ``FAMILY`` or more that share bands.
+    A group's middle is the set of the words that most of its lines have. A line's slack
+    is c n less the number of words in which it differs from the middle, c being
+    (1 - t) / (1 + t): two sets match if they differ in at most c (n + m) words, so two
+    lines of one group whose slacks sum up to 0 or more match, and need not be paired."""
+    bands = sets.select("id", F.explode("bands").alias("band"))
+    wide = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("fam")).where(F.col("n") >= FAMILY)
+    first = written(bands.join(wide, "band").groupBy("id").agg(F.min("fam").alias("fam")), "led")
+    # a line goes to the family that its first line has gone to
+    led = written(first.join(first.select(F.col("id").alias("fam"), F.col("fam").alias("to")), "fam").select("id", F.col("to").alias("fam")), "led")
+    dropped(first)
+    large = led.groupBy("fam").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") >= FAMILY)
+    members = found.join(led.join(large, "fam"), "id").select("id", "fam", "of", "first", words(F.col("line")).alias("words"))
+    members = written(members, "members")
+    dropped(led)
+    most = members.select("fam", "of", F.explode("words").alias("word")).groupBy("fam", "word").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of"))
+    middles = most.where(F.col("n") * 2 > F.col("of")).groupBy("fam").agg(F.collect_list("word").alias("middle"))
+    near = members.join(middles, "fam")  # a group without a middle has no family
+    differ = F.size("words") + F.size("middle") - 2 * F.size(F.array_intersect("words", "middle"))
+    slack = F.lit((1 - threshold) / (1 + threshold)) * F.size("words") - differ
+    out = written(near.select("id", "fam", slack.alias("slack"), "first"), "families")
+    dropped(members)
+    return out
+
+
+def _counted(families: DataFrame) -> DataFrame:
+    """(id, links, late) from the pairs that slacks decide, counted by slack: a family
+    has as few slacks as its lines have numbers of words."""
+    by = families.groupBy("fam", "slack").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least"))
+    both = by.select("fam", "slack").join(by.select("fam", F.col("slack").alias("other"), "n", "least"), "fam").where(F.col("slack") + F.col("other") >= -1e-9)
+    sums = both.groupBy("fam", "slack").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    itself = (F.col("slack") + F.col("slack") >= -1e-9).cast("long")
+    found = families.join(sums, ["fam", "slack"])
+    return found.select("id", (F.col("n") - itself).alias("links"), (F.col("least") < F.col("first")).alias("late"))
+
+
+def _entries(sets: DataFrame, families: DataFrame) -> DataFrame:
+    """(key, id, size, sign, sign2, fam, slack): the prefix of each class; ``size`` holds
+    the number of words and the entry's place."""
+    rows = sets.drop("bands").join(families.select("id", "fam", "slack"), "id", "left")
+    rows = rows.select("id", "n", "sign", "sign2", "fam", "slack", F.posexplode("prefix").alias("place", "key"))
     rows = rows.where(F.shiftright("key", 57) != 0)  # no other class has that word
-    return rows.select("key", "id", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("size"), "sign")
+    rows = rows.select("key", "id", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("size"), "sign", "sign2", "fam", "slack")
+    return written(rows, "entries")
 
 
 def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs that pass all filters, a the one with fewer words (then the
-    smaller id). The smaller set of a matching pair shares a word with the other
+    """(a, b): pairs that pass all filters and that slacks do not decide, a the one with
+    fewer words (then the smaller id). The smaller set of a matching pair shares a word with the other
     within its first n - ceil(2t/(1+t) n) + 1 words, so its later entries need no
     partner."""
     n = lambda x: f"shiftright({x}.size, 32)"
@@ -121,15 +180,17 @@ def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
     fewer = f"least({n('l')}, {n('r')})"  # of both sides, so that both read one shuffle
     passes = f"""l.key = r.key and l.id != r.id and ({n('l')} < {n('r')} or {n('l')} = {n('r')} and l.id < r.id)
         and {n('l')} >= {threshold}D * {n('r')} - 1e-9D
-        and bit_count(l.sign ^ r.sign) <= {n('l')} + {n('r')} - 2 * {need}
+        and bit_count(l.sign ^ r.sign) + bit_count(l.sign2 ^ r.sign2) <= {n('l')} + {n('r')} - 2 * {need}
+        and not coalesce(l.fam = r.fam and l.slack + r.slack >= -1e-9D, false)
         and (l.key < 0 or {place('l')} <= {fewer} - ceil({2 * threshold / (1 + threshold)}D * {fewer} - 1e-9D)
              and 1 + least({n('l')} - {place('l')} - 1, {n('r')} - {place('r')} - 1) >= {need})"""
     return entries.alias("l").join(entries.alias("r"), F.expr(passes)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
-def matches(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, jaccard): the ids of all matching pairs of different classes."""
-    pairs = written(_candidates(_entries(found, threshold), threshold), "pairs")
+def _matches(found: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard): the ids of the matching pairs of different classes that slacks do
+    not decide."""
+    pairs = written(_candidates(entries, threshold), "pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     few = ids.limit(SMALL + 1).count() <= SMALL
     texts = found.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi").select("id", "line")
@@ -143,6 +204,7 @@ def matches(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         common = F.size(F.array_intersect("x", "y"))
         both = both.withColumn("jaccard", common / (F.size("x") + F.size("y") - common))
         verified.append(written(both.where(F.col("jaccard") >= threshold - 1e-9).select("a", "b", "jaccard"), f"matches{i}"))
+    dropped(pairs, ids, texts)
     return reduce(DataFrame.unionByName, verified)
 
 
@@ -151,11 +213,16 @@ def lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     ``docs``; the class is named by its first place, links counts the classes that
     match it, and lines that have a match before them are not kept."""
     found = classes(docs, id_col, text_col)
-    pairs = matches(found, threshold)
+    sets = _sets(found, threshold)
+    families = _families(found, sets, threshold)
+    entries = _entries(sets, families)
+    dropped(sets)
+    pairs = _matches(found, entries, threshold)
+    dropped(entries)
     at = found.select("id", "first")
     placed = pairs.join(at.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(at.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
-    ends = placed.select(F.explode(F.array(F.struct(F.col("a").alias("id"), (F.col("fb") < F.col("fa")).alias("late")), F.struct(F.col("b").alias("id"), (F.col("fa") < F.col("fb")).alias("late")))).alias("e"))
-    state = ends.groupBy("e.id").agg(F.count(F.lit(1)).alias("links"), F.max("e.late").alias("late"))
+    ends = placed.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).cast("long").alias("links"), (F.col("fb") < F.col("fa")).alias("late")), F.struct(F.col("b").alias("id"), F.lit(1).cast("long").alias("links"), (F.col("fa") < F.col("fb")).alias("late")))).alias("e")).select("e.*")
+    state = ends.unionByName(_counted(families)).groupBy("id").agg(F.sum("links").alias("links"), F.max("late").alias("late"))
     has_words = F.size(words(F.col("line"))) > 0
     named = found.select("id", *_digest(F.col("line")), "first", has_words.alias("has")).join(state, "id", "left")
     rows = _occurrences(docs, id_col, text_col).select("doc_id", "line_no", *_digest(F.col("line")))

@@ -68,3 +68,27 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty_table(spark):
     assert ld.lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_large_group_of_near_copies_is_counted_without_its_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(30)]
+    texts = []
+    for i in range(40):
+        line = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            line[rng.randrange(30)] = rng.choice(["x", "y", f"own{i}"])
+        texts.append(" ".join(line) + "\nother words " + " ".join(rng.sample(base, 6)))
+    rows = [*enumerate(texts), (None, texts[7]), (None, None)]
+    left = []
+
+    def seen(entries, threshold, old=ld._candidates):
+        left.append(old(entries, threshold).count())
+        return old(entries, threshold)
+
+    monkeypatch.setattr(ld, "_candidates", seen)
+    got = sorted((tuple(r) for r in ld.lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = brute(rows, 0.8)
+    assert got == want
+    links = sum({r[2:4]: r[4] for r in want}.values()) // 2
+    assert links > 400 and left[0] < links / 3
