@@ -62,3 +62,15 @@ def test_length_guard_on_subword_ids(spark):
         status = "no_limit" if limit is None else "ok" if n + q_prep.MAX_NEW_TOKENS["entity_and_entity_type"] <= limit else "too_long"
         assert (r.n_tokens, r.limit, r.status) == (n, limit, status)
     assert len({r.status for r in rows}) == 3
+
+
+def test_ids_of_a_batch_become_texts_at_once():
+    import pyarrow as pa
+
+    from tessera.operators.subword import texts_of
+
+    known, pieces = pa.array([7, 9, 8], pa.int64()), pa.array([b"\xc3", b"\xa9", b"ab"], pa.large_binary())
+    rows = pa.array([[1], [7, 9], None, [], [8, 5, None, 8], [9, 8]], pa.list_(pa.int64()))
+    want = ["", "é", None, "", "abab", "�ab"]
+    assert texts_of(rows, known, pieces).to_pylist() == want and texts_of(rows.slice(2, 3), known, pieces).to_pylist() == want[2:5]
+    assert texts_of(rows.slice(0, 0), known, pieces).to_pylist() == []
