@@ -63,6 +63,11 @@ def words(line: Column) -> Column:
     return F.array_remove(F.array_distinct(_split(line)), "")
 
 
+def _bound(**columns: Column) -> Column:
+    """Columns behind a generator: worked out once and not again in every use."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -85,7 +90,8 @@ def _ranks(found: DataFrame) -> Column:
     literal, a byte for each. The driver gets ``COUNTERS`` bytes, whatever the input;
     as a literal they are not copied from row to row, as a joined array would be."""
     slot = F.xxhash64("word").bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
-    counts = found.select(F.explode(words(F.col("line"))).alias("word")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    # repeats in a line count too: their removal costs more than all the counting
+    counts = found.select(F.explode(_split(F.col("line"))).alias("word")).where("word != ''").groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     ranks = counts.select("slot", F.when(F.col("n") == 1, 0).otherwise(F.least(F.lit(63), F.floor(F.log2("n") * 2))).cast("int").alias("rank"))
     every = found.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("slot"))
     named = every.join(ranks, "slot", "left").select("slot", F.expr("chr(coalesce(rank, 0) + 48)").alias("c"))
@@ -104,30 +110,51 @@ def _sets(found: DataFrame, threshold: float) -> DataFrame:
         rank = F.ascii(F.substring(ranks, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(rank.cast("long"), 57).bitwiseOR(h.bitwiseAND(low))
 
-    # bound by a generator, the keys are worked out once and not again in every use
-    bound = F.inline(F.array(F.struct(F.sort_array(F.transform(hashes, key)).alias("keys"))))
-    rows = found.select("id", bound).where("size(keys) > 0").withColumn("n", F.size("keys"))
+    rows = found.select("id", _bound(keys=F.sort_array(F.transform(hashes, key)))).where("size(keys) > 0").withColumn("n", F.size("keys"))
     # the parity signature of the words with an even and with an odd hash
-    parity = lambda odd: F.expr(f"aggregate(keys, 0L, (a, k) -> a ^ if(k & 1 = {odd}, shiftleft(1L, cast(shiftright(k, 1) & 63 as int)), 0L))")
+    parity = lambda odd: F.expr(f"aggregate(keys, 0L, (a, k) -> a ^ shiftleft({'' if odd else '~'}k & 1, cast(shiftright(k, 1) & 63 as int)))")
     # a whole small set is one key, below all keys of words
     small = F.array(-F.abs(F.xxhash64("keys") / 2).cast("long") - 1)
     prefix = F.expr(f"slice(keys, 1, n - cast(ceil({threshold}D * n - 1e-9D) as int) + 1)")
     whole = 1 / (1 - threshold) - 1 - 1e-9  # below this size one word more or less is too much
     shared = F.filter("keys", lambda k: F.shiftright(k, 57) != 0)
     rare = F.slice(shared, F.lit(1), F.greatest(F.lit(BAND), F.ceil(F.size(shared) / 2).cast("int")))
-    orders = [(shift, up) for shift in (7, 35) for up in (True, False)]
-    bands = [F.xxhash64(F.lit(i), F.slice(F.sort_array(F.transform("rare", lambda k: F.shiftleft(k, shift)), up), 1, BAND)) for i, (shift, up) in enumerate(orders)]
-    rows = rows.select("id", "n", parity(0).alias("sign"), parity(1).alias("sign2"), F.when(F.col("n") < whole, small).otherwise(prefix).alias("prefix"), F.inline(F.array(F.struct(rare.alias("rare")))))
-    rows = rows.select("id", "n", "sign", "sign2", "prefix", F.when(F.size("rare") > 0, F.array(*bands)).alias("bands"))
+    rows = rows.select("id", "n", parity(0).alias("sign"), parity(1).alias("sign2"), F.when(F.col("n") < whole, small).otherwise(prefix).alias("prefix"), _bound(rare=rare))
+    orders = [F.sort_array(F.transform("rare", by)) for by in (lambda k: F.shiftleft(k, 7), lambda k: F.shiftleft(k, 35))]
+    rows = rows.select("id", "n", "sign", "sign2", "prefix", _bound(o0=orders[0], o1=orders[1]))
+    ends = [F.slice(o, first, F.lit(BAND)) for o in ("o0", "o1") for first in (F.lit(1), F.greatest(F.lit(1), F.size(o) - (BAND - 1)))]
+    bands = F.array(*[F.xxhash64(F.lit(i), e) for i, e in enumerate(ends)])
+    rows = rows.select("id", "n", "sign", "sign2", "prefix", F.when(F.size("o0") > 0, bands).alias("bands"))
     return written(rows, "sets")
 
 
+def _middles(members: DataFrame) -> DataFrame:
+    """(fam, middle): the words that most lines of a group have, if there are any."""
+    of = members.groupBy("fam").agg(F.count(F.lit(1)).alias("of"))
+    most = members.select("fam", F.explode("words").alias("word")).groupBy("fam", "word").agg(F.count(F.lit(1)).alias("n"))
+    return most.join(of, "fam").where(F.col("n") * 2 > F.col("of")).groupBy("fam").agg(F.collect_list("word").alias("middle"))
+
+
+def _united(middles: DataFrame) -> DataFrame:
+    """(fam, to): groups whose middles share bands of their own become one."""
+    rows = middles.select("fam", _bound(o=F.sort_array(F.transform("middle", lambda w: F.xxhash64(w)))))
+    rows = rows.select("fam", "o", _bound(p=F.sort_array(F.transform("o", lambda h: F.shiftleft(h, 29)))))
+    ends = [F.slice(o, first, F.lit(BAND)) for o in ("o", "p") for first in (F.lit(1), F.greatest(F.lit(1), F.size(o) - (BAND - 1)))]
+    bands = rows.select("fam", F.explode(F.array(*[F.xxhash64(F.lit(i), e) for i, e in enumerate(ends)])).alias("band"))
+    least = bands.groupBy("band").agg(F.min("fam").alias("to"))
+    first = written(bands.join(least, "band").groupBy("fam").agg(F.min("to").alias("to")), "united")
+    # a group goes where its first group has gone
+    return first.join(first.select(F.col("fam").alias("to"), F.col("to").alias("last")), "to").select("fam", F.col("last").alias("to"))
+
+
 def _families(found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(id, fam, slack, first) of classes in groups of ``FAMILY`` or more that share bands.
-    A group's middle is the set of the words that most of its lines have. A line's slack
-    is c n less the number of words in which it differs from the middle, c being
-    (1 - t) / (1 + t): two sets match if they differ in at most c (n + m) words, so two
-    lines of one group whose slacks sum up to 0 or more match, and need not be paired."""
+    """(id, fam, slack, first, own) of classes in groups of ``FAMILY`` or more that share
+    bands. A group's middle is the set of the words that most of its lines have; ``own``
+    holds the words (hashes) in which a line differs from it. A line's slack is c n less
+    the number of these, c being (1 - t) / (1 + t): two sets match if they differ in at
+    most c (n + m) words, so two lines of one group match if and only if their slacks and
+    twice the number of words that both ``own`` sum up to 0 or more. If the slacks alone
+    do, the lines need not be paired."""
     bands = sets.select("id", F.explode("bands").alias("band"))
     wide = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("fam")).where(F.col("n") >= FAMILY)
     first = written(bands.join(wide, "band").groupBy("id").agg(F.min("fam").alias("fam")), "led")
@@ -135,16 +162,20 @@ def _families(found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     led = written(first.join(first.select(F.col("id").alias("fam"), F.col("fam").alias("to")), "fam").select("id", F.col("to").alias("fam")), "led")
     dropped(first)
     large = led.groupBy("fam").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") >= FAMILY)
-    members = found.join(led.join(large, "fam"), "id").select("id", "fam", "of", "first", words(F.col("line")).alias("words"))
+    members = found.join(led.join(large, "fam"), "id").select("id", "fam", "first", words(F.col("line")).alias("words"))
     members = written(members, "members")
     dropped(led)
-    most = members.select("fam", "of", F.explode("words").alias("word")).groupBy("fam", "word").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of"))
-    middles = most.where(F.col("n") * 2 > F.col("of")).groupBy("fam").agg(F.collect_list("word").alias("middle"))
-    near = members.join(middles, "fam")  # a group without a middle has no family
-    differ = F.size("words") + F.size("middle") - 2 * F.size(F.array_intersect("words", "middle"))
-    slack = F.lit((1 - threshold) / (1 + threshold)) * F.size("words") - differ
-    out = written(near.select("id", "fam", slack.alias("slack"), "first"), "families")
-    dropped(members)
+    middles = written(_middles(members), "middles")
+    united = written(_united(middles), "united")
+    joined = members.join(united, "fam").select("id", F.col("to").alias("fam"), "first", "words")  # a group without a middle has no family
+    joined = written(joined, "joined")
+    dropped(members, middles, united)
+    near = joined.join(_middles(joined), "fam")
+    own = F.transform(F.concat(F.array_except("words", "middle"), F.array_except("middle", "words")), lambda w: F.xxhash64(w))
+    near = near.select("id", "fam", "first", F.size("words").alias("n"), _bound(own=own))
+    slack = F.lit((1 - threshold) / (1 + threshold)) * F.col("n") - F.size("own")
+    out = written(near.select("id", "fam", slack.alias("slack"), "first", "own"), "families")
+    dropped(joined)
     return out
 
 
@@ -160,12 +191,12 @@ def _counted(families: DataFrame) -> DataFrame:
 
 
 def _entries(sets: DataFrame, families: DataFrame) -> DataFrame:
-    """(key, id, size, sign, sign2, fam, slack): the prefix of each class; ``size`` holds
+    """(key, id, size, sign, sign2, fam, slack, own): the prefix of each class; ``size`` holds
     the number of words and the entry's place."""
-    rows = sets.drop("bands").join(families.select("id", "fam", "slack"), "id", "left")
-    rows = rows.select("id", "n", "sign", "sign2", "fam", "slack", F.posexplode("prefix").alias("place", "key"))
+    rows = sets.drop("bands").join(families.select("id", "fam", "slack", "own"), "id", "left")
+    rows = rows.select("id", "n", "sign", "sign2", "fam", "slack", "own", F.posexplode("prefix").alias("place", "key"))
     rows = rows.where(F.shiftright("key", 57) != 0)  # no other class has that word
-    rows = rows.select("key", "id", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("size"), "sign", "sign2", "fam", "slack")
+    rows = rows.select("key", "id", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("size"), "sign", "sign2", "fam", "slack", "own")
     return written(rows, "entries")
 
 
@@ -181,9 +212,9 @@ def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
     passes = f"""l.key = r.key and l.id != r.id and ({n('l')} < {n('r')} or {n('l')} = {n('r')} and l.id < r.id)
         and {n('l')} >= {threshold}D * {n('r')} - 1e-9D
         and bit_count(l.sign ^ r.sign) + bit_count(l.sign2 ^ r.sign2) <= {n('l')} + {n('r')} - 2 * {need}
-        and not coalesce(l.fam = r.fam and l.slack + r.slack >= -1e-9D, false)
         and (l.key < 0 or {place('l')} <= {fewer} - ceil({2 * threshold / (1 + threshold)}D * {fewer} - 1e-9D)
-             and 1 + least({n('l')} - {place('l')} - 1, {n('r')} - {place('r')} - 1) >= {need})"""
+             and 1 + least({n('l')} - {place('l')} - 1, {n('r')} - {place('r')} - 1) >= {need})
+        and case when l.fam = r.fam then l.slack + r.slack < -1e-9D and l.slack + r.slack + 2 * size(array_intersect(l.own, r.own)) >= -1e-9D else true end"""
     return entries.alias("l").join(entries.alias("r"), F.expr(passes)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
@@ -200,9 +231,9 @@ def _matches(found: DataFrame, entries: DataFrame, threshold: float) -> DataFram
         # lines are shorter than their arrays of words in a shuffle; words are cut after it
         some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(PASSES)) == i)
         both = some.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-        both = both.select("a", "b", words(F.col("x")).alias("x"), words(F.col("y")).alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        both = both.withColumn("jaccard", common / (F.size("x") + F.size("y") - common))
+        both = both.select("a", "b", _bound(x=words(F.col("x")), y=words(F.col("y"))))
+        both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), _bound(common=F.size(F.array_intersect("x", "y"))))
+        both = both.withColumn("jaccard", F.col("common") / (F.col("n") - F.col("common")))
         verified.append(written(both.where(F.col("jaccard") >= threshold - 1e-9).select("a", "b", "jaccard"), f"matches{i}"))
     dropped(pairs, ids, texts)
     return reduce(DataFrame.unionByName, verified)
@@ -223,7 +254,7 @@ def lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     placed = pairs.join(at.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(at.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
     ends = placed.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).cast("long").alias("links"), (F.col("fb") < F.col("fa")).alias("late")), F.struct(F.col("b").alias("id"), F.lit(1).cast("long").alias("links"), (F.col("fa") < F.col("fb")).alias("late")))).alias("e")).select("e.*")
     state = ends.unionByName(_counted(families)).groupBy("id").agg(F.sum("links").alias("links"), F.max("late").alias("late"))
-    has_words = F.size(words(F.col("line"))) > 0
+    has_words = F.trim("line", F.lit(" \t\r\x0b\f")) != ""
     named = found.select("id", *_digest(F.col("line")), "first", has_words.alias("has")).join(state, "id", "left")
     rows = _occurrences(docs, id_col, text_col).select("doc_id", "line_no", *_digest(F.col("line")))
     rows = rows.join(named.hint("merge"), ["h1", "h2"])

@@ -92,3 +92,34 @@ def test_a_large_group_of_near_copies_is_counted_without_its_pairs(spark, monkey
     assert got == want
     links = sum({r[2:4]: r[4] for r in want}.values()) // 2
     assert links > 400 and left[0] < links / 3
+
+
+def test_lines_of_a_family_are_paired_only_if_they_match(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(60):
+        line = [f"b{i}" for i in range(30)]
+        for i in rng.sample(range(30), rng.choice([1, 2, 2, 3])):
+            line[i] = rng.choice(["x", "y", f"own{rng.randrange(40)}"])
+        texts.append(" ".join(line))
+    rows = [*enumerate(texts), (100, "f\n \t\x0b\f\r\nf\n \t\x0b\f\r")]
+    counts = []
+
+    def seen(entries, threshold, old=ld._candidates):
+        counts.append(old(entries, threshold).count())
+        return old(entries, threshold)
+
+    monkeypatch.setattr(ld, "_candidates", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in ld.lines(docs).collect()), key=str) == brute(rows, 0.8)
+    found = ld.classes(docs)
+    sets = ld._sets(found, 0.8)
+    matches = ld._matches(found, ld._entries(sets, ld._families(found, sets, 0.8)), 0.8).count()
+    assert 0 < matches <= counts[0] < 1.05 * matches  # a few are of no family
+
+
+def test_groups_with_like_middles_are_one(spark):
+    base = [f"b{i}" for i in range(40)]
+    rows = [(7, base), (3, base[1:] + ["x"]), (5, base[:-1]), (1, [f"c{i}" for i in range(40)]), (2, ["b1"])]
+    got = ld._united(spark.createDataFrame(rows, "fam long, middle array<string>")).collect()
+    assert {r.fam: r.to for r in got} == {7: 3, 3: 3, 5: 3, 1: 1, 2: 2}
