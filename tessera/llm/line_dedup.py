@@ -14,16 +14,17 @@ that one stays itself. Lines without words match nothing and stay.
 3. Prefix filter: of n words in order, the first n - ceil(t n) + 1 are entries; two
    matching lines share one. Sets of three words or less match only equal sets,
    and have one entry for the whole set. Length filter, positional filter (what is
-   left after a shared word must suffice) and a 128-bit parity signature (matching
-   sets differ in at most as many bits as words) are part of the join on words.
+   left after a shared word must suffice) and a parity signature of 64 bits, 128 for
+   larger sets (matching sets differ in at most as many bits as words), are part of the
+   join on words.
 4. Large groups of near copies are not paired: lines that share bands (hashes of three
    of their rarer words) form families, and pairs that a family's middle proves to match
    are counted by the distances from it. Any grouping gives the same results.
 5. Remaining pairs are verified on the words themselves.
 
 The counters (a fixed number of bytes) are a literal of one plan, that of the written
-sets; the only broadcast table asked for is, if there are at most ``SMALL`` of them, the
-ids of classes to verify; more of them take a sorted join.
+sets; the only broadcast tables asked for are, if there are at most ``SMALL`` of them, the
+ids of classes to verify, and half as many bands of families; more take a sorted join.
 
 Defined cases: a null text has no lines, an empty one has one line without words;
 null doc_ids come first; lines of rows that share a doc_id share places, and of equal
@@ -50,6 +51,8 @@ PASSES = 4
 #: Words in a band, and the classes in the smallest group that is a family. Both change
 #: the time alone: whatever is no family is paired.
 BAND, FAMILY = 3, 8
+#: Sets of more words have 128 bits of parity, others 64: enough to tell them apart.
+ONE_SIGN = 80
 
 
 def _split(line: Column) -> Column:
@@ -100,31 +103,39 @@ def _ranks(found: DataFrame) -> Column:
 
 
 def _sets(found: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, sign, sign2, prefix, bands) of each class with words, written, so that the
-    plans of joins do not hold the counters. A word's key is its rank and 57 bits of its
-    hash; bands are hashes of the least and largest three of its rarer shared words in
-    two orders, of which near copies share some."""
-    ranks, low = _ranks(found), F.lit((1 << 57) - 1)
-    hashes = F.array_distinct(F.array_remove(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    """(id, n, sign, sign2, start, prefix, bands) of each class with words, written, so that
+    the plans of joins do not hold the counters. A word's key is its rank and 57 bits of its
+    hash; ``start`` words in one class only come before the prefix; bands are hashes of the
+    least and largest three of its rarer shared words in two orders, of which near copies
+    share some. Lambdas are evaluated node by node and keep what they are given from being
+    compiled, so they are few, short and in steps of their own."""
+    ranks, low, shared = _ranks(found), F.lit((1 << 57) - 1), F.lit(1 << 57)  # the least key of rank 1
+
     def key(h: Column) -> Column:
         rank = F.ascii(F.substring(ranks, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(rank.cast("long"), 57).bitwiseOR(h.bitwiseAND(low))
 
-    rows = found.select("id", _bound(keys=F.sort_array(F.transform(hashes, key)))).where("size(keys) > 0").withColumn("n", F.size("keys"))
-    # the parity signature of the words with an even and with an odd hash
-    parity = lambda odd: F.expr(f"aggregate(keys, 0L, (a, k) -> a ^ shiftleft({'' if odd else '~'}k & 1, cast(shiftright(k, 1) & 63 as int)))")
+    rows = found.select("id", F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes"))
+    rows = rows.select("id", _bound(hashes=F.array_distinct(F.array_remove("hashes", F.xxhash64(F.lit(""))))))
+    rows = rows.select("id", F.transform("hashes", key).alias("keys"))
+    # one more key stands between the words of one class and the others; parities have it in all sets
+    rows = rows.select("id", _bound(keys=F.sort_array(F.array_append("keys", shared)))).where("size(keys) > 1")
+    rows = rows.select("id", "keys", _bound(n=F.size("keys") - 1, start=(F.array_position("keys", shared) - 1).cast("int")))
     # a whole small set is one key, below all keys of words
     small = F.array(-F.abs(F.xxhash64("keys") / 2).cast("long") - 1)
-    prefix = F.expr(f"slice(keys, 1, n - cast(ceil({threshold}D * n - 1e-9D) as int) + 1)")
     whole = 1 / (1 - threshold) - 1 - 1e-9  # below this size one word more or less is too much
-    shared = F.filter("keys", lambda k: F.shiftright(k, 57) != 0)
-    rare = F.slice(shared, F.lit(1), F.greatest(F.lit(BAND), F.ceil(F.size(shared) / 2).cast("int")))
-    rows = rows.select("id", "n", parity(0).alias("sign"), parity(1).alias("sign2"), F.when(F.col("n") < whole, small).otherwise(prefix).alias("prefix"), _bound(rare=rare))
-    orders = [F.sort_array(F.transform("rare", by)) for by in (lambda k: F.shiftleft(k, 7), lambda k: F.shiftleft(k, 35))]
-    rows = rows.select("id", "n", "sign", "sign2", "prefix", _bound(o0=orders[0], o1=orders[1]))
+    prefix = F.expr(f"slice(keys, start + 2, greatest(0, n - cast(ceil({threshold}D * n - 1e-9D) as int) + 1 - start))")
+    rare = F.expr(f"slice(keys, start + 2, greatest({BAND}, cast(ceil((n - start) / 2) as int)))")
+    is_whole = F.col("n") < whole
+    rows = rows.select("id", "keys", "n", _bound(start=F.when(is_whole, 0).otherwise(F.col("start")), prefix=F.when(is_whole, small).otherwise(prefix), rare=rare))
+    # the parity signature of all words and, of larger sets, that of those with a certain bit
+    parity = lambda bit: F.expr(f"aggregate(keys, 0L, (a, k) -> a ^ shiftleft({bit}, cast(k & 63L as int)))")
+    orders = [F.transform("rare", by) for by in (lambda k: F.shiftleft(k, 7), lambda k: F.shiftleft(k, 35))]
+    rows = rows.select("id", "n", parity("1L").alias("sign"), F.when(F.col("n") > ONE_SIGN, parity("shiftright(k, 6) & 1L")).alias("sign2"), "start", "prefix", orders[0].alias("o0"), orders[1].alias("o1"))
+    rows = rows.select("id", "n", "sign", "sign2", "start", "prefix", _bound(o0=F.sort_array("o0"), o1=F.sort_array("o1")))
     ends = [F.slice(o, first, F.lit(BAND)) for o in ("o0", "o1") for first in (F.lit(1), F.greatest(F.lit(1), F.size(o) - (BAND - 1)))]
     bands = F.array(*[F.xxhash64(F.lit(i), e) for i, e in enumerate(ends)])
-    rows = rows.select("id", "n", "sign", "sign2", "prefix", F.when(F.size("o0") > 0, bands).alias("bands"))
+    rows = rows.select("id", "n", "sign", "sign2", "start", "prefix", F.when(F.size("o0") > 0, bands).alias("bands"))
     return written(rows, "sets")
 
 
@@ -157,7 +168,10 @@ def _families(found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     do, the lines need not be paired."""
     bands = sets.select("id", F.explode("bands").alias("band"))
     wide = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("fam")).where(F.col("n") >= FAMILY)
-    first = written(bands.join(wide, "band").groupBy("id").agg(F.min("fam").alias("fam")), "led")
+    wide = written(wide.select("band", "fam"), "wide")
+    few = wide.limit(SMALL // 2 + 1).count() <= SMALL // 2
+    first = written(bands.join(F.broadcast(wide) if few else wide, "band").groupBy("id").agg(F.min("fam").alias("fam")), "led")
+    dropped(wide)
     # a line goes to the family that its first line has gone to
     led = written(first.join(first.select(F.col("id").alias("fam"), F.col("fam").alias("to")), "fam").select("id", F.col("to").alias("fam")), "led")
     dropped(first)
@@ -191,13 +205,11 @@ def _counted(families: DataFrame) -> DataFrame:
 
 
 def _entries(sets: DataFrame, families: DataFrame) -> DataFrame:
-    """(key, id, size, sign, sign2, fam, slack, own): the prefix of each class; ``size`` holds
-    the number of words and the entry's place."""
-    rows = sets.drop("bands").join(families.select("id", "fam", "slack", "own"), "id", "left")
-    rows = rows.select("id", "n", "sign", "sign2", "fam", "slack", "own", F.posexplode("prefix").alias("place", "key"))
-    rows = rows.where(F.shiftright("key", 57) != 0)  # no other class has that word
-    rows = rows.select("key", "id", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("size"), "sign", "sign2", "fam", "slack", "own")
-    return written(rows, "entries")
+    """(key, id, size, sign, sign2, fam, slack, own): the prefix of each class without words
+    that no other class has; ``size`` holds the number of words and the entry's place."""
+    rows = sets.drop("bands").where("size(prefix) > 0").join(families.select("id", "fam", "slack", "own"), "id", "left")
+    rows = rows.select("id", "n", "sign", "sign2", "start", "fam", "slack", "own", F.posexplode("prefix").alias("place", "key"))
+    return rows.select("key", "id", F.expr("shiftleft(cast(n as bigint), 32) | (start + place)").alias("size"), "sign", "sign2", "fam", "slack", "own")
 
 
 def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
@@ -211,7 +223,8 @@ def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
     fewer = f"least({n('l')}, {n('r')})"  # of both sides, so that both read one shuffle
     passes = f"""l.key = r.key and l.id != r.id and ({n('l')} < {n('r')} or {n('l')} = {n('r')} and l.id < r.id)
         and {n('l')} >= {threshold}D * {n('r')} - 1e-9D
-        and bit_count(l.sign ^ r.sign) + bit_count(l.sign2 ^ r.sign2) <= {n('l')} + {n('r')} - 2 * {need}
+        and bit_count(l.sign ^ r.sign) <= {n('l')} + {n('r')} - 2 * {need}
+        and coalesce(bit_count(l.sign2 ^ r.sign2) + bit_count(l.sign ^ r.sign ^ l.sign2 ^ r.sign2), 0) <= {n('l')} + {n('r')} - 2 * {need}
         and (l.key < 0 or {place('l')} <= {fewer} - ceil({2 * threshold / (1 + threshold)}D * {fewer} - 1e-9D)
              and 1 + least({n('l')} - {place('l')} - 1, {n('r')} - {place('r')} - 1) >= {need})
         and case when l.fam = r.fam then l.slack + r.slack < -1e-9D and l.slack + r.slack + 2 * size(array_intersect(l.own, r.own)) >= -1e-9D else true end"""
@@ -246,10 +259,8 @@ def lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     found = classes(docs, id_col, text_col)
     sets = _sets(found, threshold)
     families = _families(found, sets, threshold)
-    entries = _entries(sets, families)
+    pairs = _matches(found, _entries(sets, families), threshold)
     dropped(sets)
-    pairs = _matches(found, entries, threshold)
-    dropped(entries)
     at = found.select("id", "first")
     placed = pairs.join(at.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(at.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
     ends = placed.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).cast("long").alias("links"), (F.col("fb") < F.col("fa")).alias("late")), F.struct(F.col("b").alias("id"), F.lit(1).cast("long").alias("links"), (F.col("fa") < F.col("fb")).alias("late")))).alias("e")).select("e.*")

@@ -123,3 +123,27 @@ def test_groups_with_like_middles_are_one(spark):
     rows = [(7, base), (3, base[1:] + ["x"]), (5, base[:-1]), (1, [f"c{i}" for i in range(40)]), (2, ["b1"])]
     got = ld._united(spark.createDataFrame(rows, "fam long, middle array<string>")).collect()
     assert {r.fam: r.to for r in got} == {7: 3, 3: 3, 5: 3, 1: 1, 2: 2}
+
+
+def test_signatures_and_prefixes_hold_what_the_join_needs(spark):
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(100)]
+    texts = [" ".join(rng.sample(base, n) + [f"own{n}"]) for n in (70, 78, 79, 80, 81, 84, 90, 99, 100)] + ["a b", "b a", "b  a", "a"]
+    rows = [*enumerate(texts), (50, "\n".join(texts[:2]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ld.classes(docs)
+    sets = ld._sets(found, 0.8)
+    assert {r.n: r.sign2 is not None for r in sets.collect()} == {n: n > ld.ONE_SIGN for n in (1, 2, 71, 79, 80, 81, 82, 85, 91, 100, 101)}
+    # a word of one class is counted as a place of the prefix and not kept in it
+    assert all(r.start == 1 and len(r.prefix) == r.n - -(-4 * r.n // 5) for r in sets.where("n > 3").collect())
+    assert sorted((tuple(r) for r in ld.lines(docs).collect()), key=str) == brute(rows, 0.8)
+
+
+def test_bands_are_joined_alike_without_a_broadcast(spark, monkeypatch):
+    rows = [(i, " ".join([f"b{k}" for k in range(30) if k != i % 5])) for i in range(12)] + [(20, "x y z v w " * 3 + "own"), (21, None)]
+    rows = [(i, None if t is None else t + f" own{i % 3}") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 0.8)
+    assert sorted((tuple(r) for r in ld.lines(docs).collect()), key=str) == want
+    monkeypatch.setattr(ld, "SMALL", 0)
+    assert sorted((tuple(r) for r in ld.lines(docs).collect()), key=str) == want
