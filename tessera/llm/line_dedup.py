@@ -209,7 +209,8 @@ def _entries(sets: DataFrame, families: DataFrame) -> DataFrame:
     that no other class has; ``size`` holds the number of words and the entry's place."""
     rows = sets.drop("bands").where("size(prefix) > 0").join(families.select("id", "fam", "slack", "own"), "id", "left")
     rows = rows.select("id", "n", "sign", "sign2", "start", "fam", "slack", "own", F.posexplode("prefix").alias("place", "key"))
-    return rows.select("key", "id", F.expr("shiftleft(cast(n as bigint), 32) | (start + place)").alias("size"), "sign", "sign2", "fam", "slack", "own")
+    rows = rows.select("key", "id", F.expr("shiftleft(cast(n as bigint), 32) | (start + place)").alias("size"), "sign", "sign2", "fam", "slack", "own")
+    return written(rows, "entries")
 
 
 def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
@@ -259,8 +260,10 @@ def lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     found = classes(docs, id_col, text_col)
     sets = _sets(found, threshold)
     families = _families(found, sets, threshold)
-    pairs = _matches(found, _entries(sets, families), threshold)
+    entries = _entries(sets, families)
     dropped(sets)
+    pairs = _matches(found, entries, threshold)
+    dropped(entries)
     at = found.select("id", "first")
     placed = pairs.join(at.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(at.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
     ends = placed.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).cast("long").alias("links"), (F.col("fb") < F.col("fa")).alias("late")), F.struct(F.col("b").alias("id"), F.lit(1).cast("long").alias("links"), (F.col("fa") < F.col("fb")).alias("late")))).alias("e")).select("e.*")
