@@ -25,6 +25,10 @@ are different nodes, and the smallest node of a component has its smallest doc_i
 Components: large-star and small-star rounds over the links until nothing
 changes, each round written to the shared folder.
 
+Joins are sorted ones, by hint: Spark sizes an exploded table like what it was
+exploded from and a written one by its compressed files, and would send tables to
+the driver that grow with the data. Only the table of offsets is broadcast.
+
 Defined cases: null text counts as empty; empty texts have fingerprint zero and
 link like any other; rows that share a doc_id keep a row each, and each belongs to
 the component of its own fingerprint; a null doc_id
@@ -113,11 +117,11 @@ def links(points: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     keys = [F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks(radius))]
     entries = points.select("rep", "fp", F.inline(F.array(*keys)))
     met = entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(entries.join(met, ["t", "key"]).select("t", "key", "n", "rep", "fp"), "members")
+    members = written(entries.join(met.hint("merge"), ["t", "key"]).select("t", "key", "n", "rep", "fp"), "members")
     cold = members.where(F.col("n") <= hot)
     a, b = cold.alias("a"), cold.select("t", "key", "rep", "fp").alias("b")
     near = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= radius)
-    pairs = a.join(b, near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    pairs = a.join(b.hint("merge"), near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
     if not members.where(F.col("n") > hot).isEmpty():
         pairs = pairs.union(_hot_links(members.where(F.col("n") > hot), radius))
     return pairs.distinct()
@@ -135,7 +139,7 @@ def _hot_links(members: DataFrame, radius: int) -> DataFrame:
     offsets = spark.createDataFrame(rows, "t short, d long, inner boolean")
     listed = members.join(F.broadcast(offsets), "t").select("t", "key", F.col("fp").bitwiseXOR(F.col("d")).alias("z"), "rep", "inner")
     centre = listed.groupBy("t", "key", "z").agg(F.min(F.when(F.col("inner"), F.col("rep"))).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1 and c is not null")
-    pairs = listed.join(centre, ["t", "key", "z"]).where("rep != c")
+    pairs = listed.join(centre.hint("merge"), ["t", "key", "z"]).where("rep != c")
     return pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
 
 
@@ -149,10 +153,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b").distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b").distinct()
         large = written(large, "large")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        linked = large.join(least, "b")
+        linked = large.join(least.hint("merge"), "b")
         small = linked.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(F.col("m").alias("a"), "b")).distinct()
         edges = written(small, "small")
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.crc32(F.concat_ws(",", "a", "b").cast("binary")))).first())
@@ -171,17 +175,17 @@ def classes(rows: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     ordered = firsts.repartitionByRange(*order).sortWithinPartitions(*order).drop("any")
     points = written(ordered.withColumn("rep", F.monotonically_increasing_id()), "points")
     found = components(links(points.select("rep", "fp"), radius, hot))
-    moved = points.select("rep", "fp").join(found.where("node != component"), F.col("rep") == F.col("node")).select("fp", "component")
+    moved = points.select("rep", "fp").join(found.where("node != component").hint("merge"), F.col("rep") == F.col("node")).select("fp", "component")
     firsts = points.select("rep", "component_id", "stays")
-    moved = moved.join(firsts, F.col("component") == F.col("rep")).select("fp", "component_id", "stays")
-    return points.join(moved.select("fp"), "fp", "left_anti").select("fp", "component_id", "stays").union(moved)
+    moved = moved.join(firsts.hint("merge"), F.col("component") == F.col("rep")).select("fp", "component_id", "stays")
+    return points.join(moved.select("fp").hint("merge"), "fp", "left_anti").select("fp", "component_id", "stays").union(moved)
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, fp, component_id): a row for each row of ``docs``; component_id
     is the smallest doc_id that it reaches over links, its own included."""
     rows = written(fingerprints(docs, words, id_col, text_col).withColumn("key", F.monotonically_increasing_id()), "fp")
-    return rows.join(classes(rows, radius, hot).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(classes(rows, radius, hot).select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:

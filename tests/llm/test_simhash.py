@@ -116,3 +116,18 @@ def test_a_row_without_id_links_others(spark):
     rows = [(7, 0b0, 0), (None, 0b1111, 1), (9, 0b11111111, 2), (None, 63 << 50, 3), (None, (63 << 50) + 1, 4), (12, 0xFFFF << 40, 5)]
     found = {r.fp: (r.component_id, r.stays) for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, fp long, key long")).collect()}
     assert found == {0: (7, 0), 0b1111: (7, 0), 0b11111111: (7, 0), 63 << 50: (None, None), (63 << 50) + 1: (None, None), 0xFFFF << 40: (12, 5)}
+
+
+def test_joins_of_tables_that_grow_are_never_broadcast(spark, monkeypatch):
+    plans, write = {}, simhash.written
+
+    def seen(df, label):
+        plans[label] = str(df._jdf.queryExecution().executedPlan())
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    rows = [(i, f"w{i // 2} a b c d e f g h i j k l m n o p q r s t" + " x" * (i % 2)) for i in range(40)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans["found"] = str(found._jdf.queryExecution().executedPlan())
+    assert {"members", "links", "large", "small"} <= set(plans)
+    assert [label for label, plan in plans.items() if "Broadcast" in plan or "SortMergeJoin" not in plan and label in ("members", "links", "large", "small", "found")] == []
