@@ -204,5 +204,5 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS)
 
     keyed = written(docs.mapInArrow(run, schema).withColumn(key, F.monotonically_increasing_id()), "keyed")
     rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(key).alias("key"))
-    gone = rows.where("doc_id is not null").join(classes(rows, radius).select("fp", "stays"), "fp").where("key != stays").select(F.col("key").alias(lost))
+    gone = rows.where("doc_id is not null").join(classes(rows, radius).select("fp", "stays").hint("merge"), "fp").where("key != stays").select(F.col("key").alias(lost))
     return keyed.join(gone, F.col(key) == F.col(lost), "left_anti").select(docs.columns)

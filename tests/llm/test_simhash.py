@@ -4,6 +4,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import simhash
 
@@ -131,3 +132,12 @@ def test_joins_of_tables_that_grow_are_never_broadcast(spark, monkeypatch):
     plans["found"] = str(found._jdf.queryExecution().executedPlan())
     assert {"members", "links", "large", "small"} <= set(plans)
     assert [label for label, plan in plans.items() if "Broadcast" in plan or "SortMergeJoin" not in plan and label in ("members", "links", "large", "small", "found")] == []
+
+
+def test_rows_meet_their_classes_in_a_sorted_join(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "classes", lambda rows, radius: rows.groupBy("fp").agg(F.min("key").alias("stays")))
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c d")], "doc_id long, text string")
+    kept = simhash.keep_one(docs)
+    plan = str(kept._jdf.queryExecution().executedPlan())
+    assert "SortMergeJoin [fp" in plan and "BroadcastHashJoin [fp" not in plan
+    assert kept.count() == 2
